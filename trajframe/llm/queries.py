@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from trajframe.llm.langid import op7_language
+from trajframe.llm.licenses import op3_licenses
 from trajframe.llm.mixing import OP10_SQL, op10_mixing
 from trajframe.llm.pii import op2_pii
+from trajframe.llm.quality import op4_quality
+from trajframe.llm.simhash import op5_simhash
 
 QUERIES = {
     "op2_pii": op2_pii,
+    "op3_licenses": op3_licenses,
+    "op4_quality": op4_quality,
+    "op5_simhash": op5_simhash,
+    "op7_language": op7_language,
     "op10_mixing": op10_mixing,
 }
 SQL = {
