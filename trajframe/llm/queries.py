@@ -9,6 +9,7 @@ from trajframe.llm.mixing import OP10_SQL, op10_mixing
 from trajframe.llm.pieces import op9_pieces
 from trajframe.llm.pii import op2_pii
 from trajframe.llm.quality import op4_quality
+from trajframe.llm.search import OP8_SQL, op8_search
 from trajframe.llm.simhash import op5_simhash
 from trajframe.llm.urls import OP6_SQL, op6_urls
 
@@ -20,11 +21,13 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_urls": op6_urls,
     "op7_language": op7_language,
+    "op8_search": op8_search,
     "op9_pieces": op9_pieces,
     "op10_mixing": op10_mixing,
 }
 SQL = {
     "op1_lines": OP1_SQL,
     "op6_urls": OP6_SQL,
+    "op8_search": OP8_SQL,
     "op10_mixing": OP10_SQL,
 }
