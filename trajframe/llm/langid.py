@@ -175,8 +175,8 @@ def train(labelled: DataFrame) -> ByteNetwork | None:
     return net
 
 
-def predict(docs: DataFrame, net: ByteNetwork | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) for every row."""
+def predict(docs: DataFrame, net: ByteNetwork | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score) for every row; with ``carry`` also all its columns behind, as c0, c1, ..."""
     tables = net.tables() if net else None
     classes = net.classes if net else [UNKNOWN]
 
@@ -214,9 +214,20 @@ def predict(docs: DataFrame, net: ByteNetwork | None, id_col: str = "doc_id", te
             best = total.argmax(axis=1)
             pred = [classes[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)]
             score = np.where(n > 0, total.max(axis=1) / np.maximum(n, 1e-9), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(np.minimum(score, 1.0))], ["doc_id", "lang_pred", "score"])
+            out = [batch.column(0), pa.array(pred, pa.string()), pa.array(np.minimum(score, 1.0)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "lang_pred", "score", *extra])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, f"doc_id {dict(docs.dtypes)[id_col]}, lang_pred string, score double")
+    extra = [f"c{i}" for i in range(len(docs.columns))] if carry else []
+    taken = docs.select(F.col(id_col), F.col(text_col), *(F.col(f"`{c}`") for c in docs.columns if carry))
+    schema = f"doc_id {dict(docs.dtypes)[id_col]}, lang_pred string, score double"
+    return taken.mapInArrow(work, ", ".join([schema, *(f"{e} {t}" for e, (_, t) in zip(extra, docs.dtypes, strict=False))]))
+
+
+def keep_known(docs: DataFrame, net: ByteNetwork | None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
+    """The documents whose language is predicted with a score of at least ``least``."""
+    found = predict(docs, net, id_col, text_col, carry=True)
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.drop("doc_id", "lang_pred", "score").toDF(*docs.columns)
 
 
 def held_out(doc_id="doc_id"):

@@ -207,6 +207,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(components(prints), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id; rows repeated under it count once.
+    Rows without an id can't be named in a group and stay."""
+    named = docs.where(F.col(id_col).isNotNull())
+    kept = near_duplicates(named, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    one = named.join(kept, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    return one.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op5_simhash(spark, sf_dir):
     found = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
