@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trajframe.operators.windows import EPISODE, FRAME, gradient, in_order
 
@@ -50,17 +51,17 @@ def fisher_tail(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, sum(math.exp(log(x) - base) for x in range(max(0, k - (n - r)), min(r, k) + 1) if log(x) <= here + 1e-7))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([float("nan") if pd.isna(x) or pd.isna(n) else t_tail(x, n) for x, n in zip(t, dof, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_p_value(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([float("nan") if pd.isna(x) else f_tail(x, a, b) for x, a, b in zip(f, d1, d2, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fisher_p_value(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_tail(*map(int, r)) for r in zip(a, b, c, d, strict=True)])
 
@@ -156,9 +157,9 @@ def false_discovery(tests: DataFrame, p: str = "p") -> DataFrame:
 def anova(rows: DataFrame, features: list[str], level: str) -> DataFrame:
     """(feature, groups, f, d1, d2): one-way analysis over levels with at least two values."""
     g = _long(rows, features, [level]).groupBy("feature", level).agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_samp("v").alias("s")).where("n >= 2")
-    total = g.groupBy("feature").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("N"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mu"), F.sum((F.col("n") - 1) * F.col("s")).alias("ssw"))
-    between = g.join(total, "feature").groupBy("feature", "groups", "N", "ssw").agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("mu"), 2)).alias("ssb"))
-    d1, d2 = F.col("groups") - 1, F.col("N") - F.col("groups")
+    sums = g.groupBy("feature").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mu"), F.sum((F.col("n") - 1) * F.col("s")).alias("ssw"))
+    between = g.join(sums, "feature").groupBy("feature", "groups", "total", "ssw").agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("mu"), 2)).alias("ssb"))
+    d1, d2 = F.col("groups") - 1, F.col("total") - F.col("groups")
     return between.where("groups > 1").select("feature", "groups", (F.col("ssb") / d1 / F.nullif(F.col("ssw") / d2, F.lit(0.0))).alias("f"), d1.alias("d1"), d2.alias("d2"))
 
 

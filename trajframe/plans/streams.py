@@ -1 +1,92 @@
-"""Registered queries."""
+"""Streaming queries: events arrive as a file per month, results are read back; the SQL is that of the batch operator."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trajframe.plans.registry import query
+from trajframe.plans.views import frames
+from trajframe.streaming import operators as S
+from trajframe.streaming.storage import new_folder
+
+
+def _arriving(spark, sf_dir):
+    """Frames with the part of the time in which they arrive (a few parts, whatever the size)."""
+    rows = frames(spark, sf_dir).withColumn("is_last", F.col("frame_index") == F.col("length") - 1)
+    span = F.floor(F.col("us") / F.lit(45 * 86_400_000_000))
+    return rows.select("episode_index", "frame_index", "event_id", "t", "s0", "s1", "task", "is_last", span.alias("part"))
+
+
+def _run(spark, sf_dir, transform, mode="append"):
+    return S.replay(spark, _arriving(spark, sf_dir), "part", transform, new_folder(spark), mode)
+
+
+@query("SELECT episode_index, COUNT(*) AS n, ROUND(SUM(s0), 2) AS total FROM fr GROUP BY 1")
+def i1_streaming_scan(spark, sf_dir):
+    rows = _run(spark, sf_dir, lambda s: s.select("episode_index", "s0"))
+    return rows.groupBy("episode_index").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("s0"), 2).alias("total"))
+
+
+@query("""
+SELECT a.episode_index, a.frame_index, ROUND(b.s0, 4) AS back_value, ROUND(c.s0, 4) AS ahead_value, a.frame_index < 3 AS back_pad, a.frame_index + 2 >= a.length AS ahead_pad
+FROM fr a JOIN fr b ON b.episode_index = a.episode_index AND b.frame_index = greatest(a.frame_index - 3, 0) JOIN fr c ON c.episode_index = a.episode_index AND c.frame_index = least(a.frame_index + 2, a.length - 1)
+""")
+def i2_look_around(spark, sf_dir):
+    rows = _run(spark, sf_dir, lambda s: S.look_around(s, "s0", 3, 2))
+    return rows.select("episode_index", "frame_index", F.round("back_value", 4).alias("back_value"), F.round("ahead_value", 4).alias("ahead_value"), "back_pad", "ahead_pad")
+
+
+@query("SELECT event_id, frame_index, ROUND(frame_index / 30, 5) AS timestamp FROM fr")
+def i3_recording(spark, sf_dir):
+    rows = _run(spark, sf_dir, lambda s: S.record(s, 30.0))
+    return rows.select("event_id", "frame_index", F.round("timestamp", 5).alias("timestamp"))
+
+
+@query("SELECT 's0' AS feature, COUNT(*) AS count, ROUND(MIN(s0), 4) AS min, ROUND(AVG(s0), 6) AS mean, ROUND(STDDEV_POP(s0), 6) AS std FROM fr")
+def i4_incremental_stats(spark, sf_dir):
+    """Stats merged from all batches equal those over all frames."""
+    folder = new_folder(spark)
+    rows = _arriving(spark, sf_dir)
+    for part in [r[0] for r in rows.select("part").distinct().orderBy("part").collect()]:
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    q = S.incremental_stats(S.read_frames(spark, f"{folder}/in", rows.drop("part").schema, 1), ["s0"], f"{folder}/stats", f"{folder}/marks")
+    q.processAllAvailable()
+    q.stop()
+    return S.stored_stats(spark, f"{folder}/stats").select("feature", "count", F.round("min", 4).alias("min"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query()
+def i5_similarity_gate(spark, sf_dir):
+    return _run(spark, sf_dir, lambda s: S.similarity_gate(s, ["s0", "s1"], 20.0))
+
+
+@query("SELECT episode_index, COUNT(*) AS n, CAST(SUM(CASE WHEN frame_index % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_late FROM fr GROUP BY 1")
+def i6_late_actions(spark, sf_dir):
+    """Every fourth action is for the step that has just been executed, the others for later ones."""
+    shaped = lambda s: s.select("episode_index", (F.col("frame_index") + F.when(F.col("frame_index") % 4 == 0, 0).otherwise(5)).alias("target"), F.col("s0").alias("value"), F.col("frame_index").alias("executed"))
+    rows = _run(spark, sf_dir, lambda s: S.late_actions(shaped(s)))
+    return rows.groupBy("episode_index").agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("n_late"))
+
+
+@query("""
+, m AS (SELECT *, CASE WHEN task = 'signup' THEN 1 ELSE 0 END AS e FROM fr), n AS (SELECT *, SUM(e) OVER (PARTITION BY episode_index ORDER BY frame_index) AS n FROM m),
+o AS (SELECT episode_index, t AS t0 FROM n WHERE e = 1 AND n % 2 = 1)
+SELECT episode_index, frame_index FROM n WHERE n % 2 = 1 OR (e = 1 AND n % 2 = 0)
+UNION SELECT n.episode_index, n.frame_index FROM n JOIN o ON o.episode_index = n.episode_index AND n.t <= o.t0 AND o.t0 - n.t <= 86400
+""")
+def i7_pre_roll(spark, sf_dir):
+    rows = _run(spark, sf_dir, lambda s: S.pre_roll(s.withColumn("event", F.col("task") == "signup"), "event", "t", 86400.0))
+    return rows.select("episode_index", "frame_index")
+
+
+@query("SELECT episode_index, frame_index, ROUND(coalesce((s0 - lag(s0) OVER (PARTITION BY episode_index ORDER BY frame_index)) / 0.1::DOUBLE, 0), 3) AS velocity, frame_index + 1 >= 40 AS truncated FROM fr")
+def i8_row_features(spark, sf_dir):
+    rows = _run(spark, sf_dir, lambda s: S.row_features(s, "s0", 0.1, 40))
+    return rows.select("episode_index", "frame_index", F.round("velocity", 3).alias("velocity"), "truncated")
+
+
+@query("SELECT task, COUNT(*) AS n, ROUND((COUNT(*) - 1) / (MAX(t) - MIN(t)) * 1000, 6) AS rate FROM fr GROUP BY 1")
+def i9_rates(spark, sf_dir):
+    """The aggregate that the streaming form keeps in complete mode, over all that has arrived."""
+    rows = _run(spark, sf_dir, lambda s: s.select("task", "t"))
+    return S.rates(rows, "task", "t").select("task", "n", F.round(F.col("rate") * 1000, 6).alias("rate"))

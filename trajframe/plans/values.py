@@ -1 +1,187 @@
-"""Registered queries."""
+"""Queries over column functions: vectors, rotations, gates."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from trajframe.functions import kinematics as K
+from trajframe.functions import vectors as V
+from trajframe.plans.registry import query
+from trajframe.plans.views import frames, table
+
+KEYS = ("episode_index", "frame_index")
+
+
+def _r(c, n=6):
+    return F.round(c + 0.0, n)
+
+
+@query("SELECT vec_id, ROUND(embedding[1]::DOUBLE, 6) AS x, ROUND(embedding[5]::DOUBLE, 6) AS y FROM embeddings")
+def b12_vector_to_scalars(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", *V.named(F.col("embedding"), ["x", "b", "c", "d", "y"]))
+    return rows.select("vec_id", _r(F.col("x").cast("double")).alias("x"), _r(F.col("y").cast("double")).alias("y"))
+
+
+@query("SELECT vec_id, CAST(6 + 16 AS INTEGER) AS dims, ROUND(embedding[1]::DOUBLE + embedding[8]::DOUBLE, 5) AS ends FROM embeddings")
+def b14_dimension_slice(spark, sf_dir):
+    v = V.pick(F.col("embedding").cast("array<double>"), "0:6,7:23")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(v).alias("dims"), _r(F.get(v, F.lit(0)) + F.get(v, F.lit(6)), 5).alias("ends"))
+
+
+@query("SELECT vec_id, CAST(80 AS INTEGER) AS dims, ROUND(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
+def b15_pad_vector(spark, sf_dir):
+    v = V.pad_to(F.col("embedding").cast("array<double>"), 80)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(v).alias("dims"), _r(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("SELECT episode_index, frame_index, sqrt(pow(s0 / 50, 2) + pow(s1 / 50, 2)) > 1 AS moving FROM fr")
+def b20_small_motion(spark, sf_dir):
+    return frames(spark, sf_dir).select(*KEYS, V.moves([F.col("s0") / 50, F.col("s1") / 50], 1.0).alias("moving"))
+
+
+@query("SELECT episode_index, frame_index, CASE WHEN task = 'error' THEN ROUND(s1, 4) ELSE ROUND(s0, 4) END AS action, task = 'signup' AS done, CASE WHEN task = 'signup' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM fr")
+def b21_intervention_override(spark, sf_dir):
+    from trajframe.operators.evaluate import override
+
+    success = F.col("task") == "signup"
+    return frames(spark, sf_dir).select(*KEYS, F.round(override(F.col("s0"), F.col("s1"), F.col("task") == "error"), 4).alias("action"), success.alias("done"), success.cast("double").alias("reward"))
+
+
+@query("SELECT episode_index, frame_index, CASE WHEN (s1 / 100 < 0.1 AND s0 / 100 > 0.9) OR (s1 / 100 > 0.9 AND s0 / 100 < 0.1) THEN -0.1::DOUBLE ELSE 0.0::DOUBLE END AS penalty FROM fr")
+def b22_gripper_penalty(spark, sf_dir):
+    return frames(spark, sf_dir).select(*KEYS, V.gripper_penalty(F.col("s1"), F.col("s0") / 100, -0.1, 100.0).alias("penalty"))
+
+
+@query("SELECT episode_index, frame_index, ROUND(least(greatest(s1 + s0 * 0.5, 10), 90), 4) AS pos, CAST(-(frame_index % 3 - 1) * 30 AS DOUBLE) AS command FROM fr")
+def b23_gripper_step(spark, sf_dir):
+    return frames(spark, sf_dir).select(*KEYS, F.round(V.gripper_step(F.col("s1"), F.col("s0"), 0.5, 10.0, 90.0), 4).alias("pos"), (V.gripper_command(F.col("frame_index") % 3, 30.0) + 0.0).alias("command"))
+
+
+@query("SELECT episode_index, COUNT(*) AS n FROM fr WHERE task <> 'error' GROUP BY 1")
+def b25_nan_filter(spark, sf_dir):
+    v = F.array(F.when(F.col("task") == "error", F.lit(float("nan"))).otherwise(F.col("s0")), F.col("s1"))
+    return frames(spark, sf_dir).where(~V.has_nan(v)).groupBy("episode_index").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT task, COUNT(*) AS n, CAST(SUM(CASE WHEN task = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS offline FROM fr GROUP BY task")
+def b26_route_interventions(spark, sf_dir):
+    rows = frames(spark, sf_dir).withColumn("flag", F.col("task") == "error")
+    routed = rows.select("task", F.explode(F.when(F.col("flag"), F.array(F.lit("online"), F.lit("offline"))).otherwise(F.array(F.lit("online")))).alias("sink"))
+    return routed.groupBy("task").agg(F.count_if(F.col("sink") == "online").alias("n"), F.count_if(F.col("sink") == "offline").alias("offline"))
+
+
+@query("SELECT episode_index, frame_index, ROUND((s0 - 20) / (15 + 1e-8), 6) AS z0, ROUND(2 * (s1 - 5) / 90.0 - 1, 6) AS z1 FROM fr")
+def h1_normalise(spark, sf_dir):
+    a = V.normalise(F.array("s0"), "mean_std", {"mean": [20.0], "std": [15.0]})
+    b = V.normalise(F.array("s1"), "quantiles", {"q01": [5.0], "q99": [95.0]})
+    return frames(spark, sf_dir).select(*KEYS, _r(F.get(a, F.lit(0))).alias("z0"), _r(F.get(b, F.lit(0))).alias("z1"))
+
+
+@query("SELECT episode_index, frame_index, ROUND(2 * (least(greatest(s0, 5), 60) - 5) / 55.0 - 1, 6) AS z FROM fr")
+def h2_clipped_normalise(spark, sf_dir):
+    v = V.normalise(F.array("s0"), "quantiles", {"q01": [5.0], "q99": [60.0]}, clip=True)
+    return frames(spark, sf_dir).select(*KEYS, _r(F.get(v, F.lit(0))).alias("z"))
+
+
+@query("SELECT episode_index, frame_index, ROUND(s1 - s0, 4) AS r0, ROUND(s0, 4) AS r1 FROM fr")
+def h3_relative_action(spark, sf_dir):
+    mask = V.joint_mask(["shoulder_pan", "gripper.pos"], ["Gripper"])
+    v = V.relative(F.array("s1", "s0"), F.array("s0", "s1"), mask)
+    return frames(spark, sf_dir).select(*KEYS, F.round(F.get(v, F.lit(0)), 4).alias("r0"), F.round(F.get(v, F.lit(1)), 4).alias("r1"))
+
+
+@query("""
+, a AS (SELECT episode_index, frame_index, s0 / 100 AS r, s1 / 100 AS p, (s0 + s1) / 200 AS y FROM fr)
+SELECT episode_index, frame_index, ROUND(sin(r/2)*cos(p/2)*cos(y/2) - cos(r/2)*sin(p/2)*sin(y/2), 6) AS qx,
+  ROUND(2 * acos(least(abs(cos(r/2)*cos(p/2)*cos(y/2) + sin(r/2)*sin(p/2)*sin(y/2)), 1)), 5) AS angle FROM a
+""")
+def h4_euler_and_geodesic(spark, sf_dir):
+    q = V.euler_to_quaternion(F.col("s0") / 100, F.col("s1") / 100, (F.col("s0") + F.col("s1")) / 200)
+    one = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    rows = frames(spark, sf_dir).select(*KEYS, q.alias("q"))
+    return rows.select(*KEYS, _r(F.get("q", F.lit(0))).alias("qx"), _r(V.geodesic(F.col("q"), one), 5).alias("angle"))
+
+
+@query("SELECT episode_index, frame_index, ROUND(s0, 4) AS x, ROUND(s1, 4) AS y, 0.0::DOUBLE AS z FROM fr")
+def h5_rotation_round_trip(spark, sf_dir):
+    """A vector turned by a rotation and back by its inverse, and the rotation through its vector form, is itself."""
+    q = V.euler_to_quaternion(F.col("s0") / 100, F.col("s1") / 100, F.lit(0.3))
+    rows = frames(spark, sf_dir).select(*KEYS, q.alias("q"), F.array(F.col("s0"), F.col("s1"), F.lit(0.0)).alias("v"))
+    again = rows.withColumn("p", V.rotvec_to_quaternion(V.quaternion_to_rotvec(F.col("q"))))
+    back = again.withColumn("w", V.rotate(V.quaternion_inverse(F.col("p")), V.rotate(F.col("q"), F.col("v"))))
+    return back.select(*KEYS, *(F.abs(_r(F.get("w", F.lit(i)), 4)).alias(n) for i, n in enumerate("xyz")))
+
+
+@query()
+def h6_forward_kinematics(spark, sf_dir):
+    pose = K.forward_kinematics([{"a": 0.0, "alpha": 90.0, "d": 0.1, "theta_offset": 0.0}, {"a": 0.3, "alpha": 0.0, "d": 0.0, "theta_offset": 0.0}])
+    rows = frames(spark, sf_dir).select(*KEYS, pose(F.array("s0", "s1")).alias("p"))
+    return rows.select(*KEYS, *(_r(F.get("p", F.lit(i))).alias(n) for i, n in enumerate(("x", "y", "z", "yaw", "pitch", "roll"))))
+
+
+@query("SELECT episode_index, frame_index, lpad(CAST(frame_index * 7 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(frame_index * 7 % 60 AS VARCHAR), 2, '0') AS clock, CAST(frame_index * 7 AS INTEGER) AS seconds, CAST(floor(frame_index * 7 * 2.5) AS BIGINT) AS frame FROM fr")
+def h10_clock(spark, sf_dir):
+    rows = frames(spark, sf_dir).withColumn("clock", V.seconds_to_clock(F.col("frame_index") * 7))
+    return rows.select(*KEYS, "clock", V.clock_to_seconds(F.col("clock")).alias("seconds"), V.seconds_to_frame(F.col("frame_index") * 7, 2.5).alias("frame"))
+
+
+@query("SELECT task || chr(10) AS task, COUNT(*) AS n FROM fr GROUP BY 1")
+def h12_newline(spark, sf_dir):
+    once = V.with_newline(F.col("task"))
+    return frames(spark, sf_dir).select(V.with_newline(once).alias("task")).groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT episode_index, frame_index, CAST(CASE WHEN frame_index % 5 = 3 THEN 1 WHEN frame_index % 5 = 1 THEN 0 ELSE -1 END AS BIGINT) AS place FROM fr")
+def h15_near_time(spark, sf_dir):
+    t = (F.col("frame_index") % 5).cast("double") + 5e-7
+    return frames(spark, sf_dir).select(*KEYS, V.near_any(F.array(F.lit(1.0), F.lit(3.0)), t).alias("place"))
+
+
+@query("""
+, q AS (SELECT episode_index, frame_index, s0 / 100 AS a FROM fr)
+SELECT episode_index, frame_index, ROUND(a, 6) AS axis_angle_z, CAST(7 AS INTEGER) AS dims FROM q
+""")
+def h16_pose_state(spark, sf_dir):
+    q = V.euler_to_quaternion(F.lit(0.0), F.lit(0.0), F.col("s0") / 100)
+    pose = V.pose_state(F.array("s0", "s1", "t"), q, F.lit(1.0))
+    rows = frames(spark, sf_dir).select(*KEYS, pose.alias("p"))
+    return rows.select(*KEYS, _r(F.get("p", F.lit(5))).alias("axis_angle_z"), F.size("p").alias("dims"))
+
+
+@query("SELECT vec_id, ROUND(1.0, 5)::DOUBLE AS length, ROUND(0.0, 5)::DOUBLE AS skew FROM embeddings")
+def h17_six_dimensional(spark, sf_dir):
+    """The rotation of any 6-vector has columns of length one at right angles."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", V.six_to_columns(F.slice(F.col("embedding").cast("array<double>"), 1, 6)).alias("m"))
+    x, y, z = (F.get("m", F.lit(i)) for i in range(3))
+    return rows.select("vec_id", F.round(V.norm(z), 5).alias("length"), F.abs(F.round(V.dot(x, y), 5)).alias("skew"))
+
+
+@query("SELECT vec_id, ROUND((embedding[19])::DOUBLE, 6) AS cropped, ROUND((embedding[64])::DOUBLE, 6) AS turned, CAST(4 AS INTEGER) AS strided FROM embeddings")
+def b24_crop_and_stride(spark, sf_dir):
+    """The 64 numbers as an 8 x 8 image."""
+    image = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice(F.col("embedding").cast("array<double>"), r * 8 + 1, 8))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", image.alias("i"))
+    first = lambda a: F.get(F.get(a, F.lit(0)), F.lit(0))
+    return rows.select("vec_id", _r(first(V.crop(F.col("i"), 2, 2, 3, 3))).alias("cropped"), _r(first(V.half_turn(F.col("i")))).alias("turned"), F.size(V.strided(F.col("i"), 2)).alias("strided"))
+
+
+@F.pandas_udf(T.DoubleType())
+def _weighted(s: pd.Series, k: pd.Series) -> pd.Series:
+    return s * 0.25 + k
+
+
+@query("SELECT episode_index, frame_index, ROUND(s0 * 0.25 + s1, 4) AS v FROM fr")
+def j4_user_function(spark, sf_dir):
+    return frames(spark, sf_dir).select(*KEYS, F.round(_weighted("s0", "s1"), 4).alias("v"))
+
+
+@query("SELECT episode_index, ROUND(AVG(z), 5) AS mean_z FROM (SELECT episode_index, (s0 - 20) / 15 AS z, task FROM fr) x WHERE task <> 'error' GROUP BY 1")
+def j1_step_pipeline(spark, sf_dir):
+    """Named steps applied one after another, rebuilt from their JSON form."""
+    from trajframe.operators.pipeline import Pipeline
+
+    steps = Pipeline([("filter", {"condition": "task <> 'error'"}), ("scale", {"col": "s0", "out": "z", "shift": 20.0, "span": 15.0})])
+    rows = Pipeline.from_json(steps.to_json())(frames(spark, sf_dir))
+    return rows.groupBy("episode_index").agg(F.round(F.avg("z"), 5).alias("mean_z"))

@@ -112,7 +112,7 @@ def late_actions(actions: DataFrame, key: str = "episode_index", step_col: str =
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         steps, values, high = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], -1)
         queue, out = dict(zip(steps, values, strict=True)), []
-        for t, v, x in pd.concat(list(batches))[[step_col, value, executed]].itertuples(index=False):
+        for t, v, x in pd.concat(list(batches)).sort_values(executed, kind="stable")[[step_col, value, executed]].itertuples(index=False):
             high = max(high, int(x))
             late = int(t) <= high
             if not late:
