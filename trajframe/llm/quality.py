@@ -24,8 +24,8 @@ from trajframe.llm.common import read
 COMMON = 0.002
 RARE = 0.005
 POOLED = "\x00pooled"
-MAX_CLASS_DISTANCE = 0.35
-MAX_WORD_DISTANCE = 0.60
+MAX_CLASS_DISTANCE = 0.28
+MAX_WORD_DISTANCE = 0.75
 #: Characters and words that a document needs for the two comparisons.
 MIN_CHARS = 200
 MIN_WORDS = 100
