@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, wherever a contract counts words: a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+WORD = r"[^ \t\n\x0B\f\r]+"
 SPAN_TYPE = "array<struct<start:int,end:int,match:string>>"
 
 

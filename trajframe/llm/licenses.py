@@ -9,14 +9,18 @@ repeated results.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajframe.llm.common import count_words, find_spans, read, whole_text
 
-#: A character of a word (before A-Z are lower-cased) and of what stands between words.
-_W = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A character of a word (before A-Z are lower-cased), and what stands between words. Listed one by one: Java tests a
+#: list with one look-up and a union of ranges range by range.
+_ASCII = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_W = rf"[{_ASCII}\x{{80}}-\x{{10FFFF}}]"
+_GAP = rf"[^{_ASCII}\x{{80}}-\x{{10FFFF}}]+"
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
 
@@ -134,8 +138,10 @@ def _rules() -> list[tuple[int, str, str, str, float]]:
 RULES = _rules()
 #: One expression finds all keywords; they are normalised to single spaces.
 KEYWORDS = sorted({r[2] for r in RULES}, key=lambda k: (-len(k), k))
-KEYWORD_PATTERN = r"(?i)(?<![a-z0-9])(?:" + "|".join(
-    k.replace(".", r"\.").replace(" ", r"[\s-]+").replace("license", "licen[cs]e") for k in KEYWORDS
+_AS_PATTERN = [k.replace(".", r"\.").replace(" ", r"[\s-]+").replace("license", "licen[cs]e") for k in KEYWORDS]
+#: Alternatives by their first letter, so that most places fail after a few comparisons.
+KEYWORD_PATTERN = r"(?i)\b(?:" + "|".join(
+    f"{c}(?:" + "|".join(k[1:] for k in _AS_PATTERN if k[0] == c) + ")" for c in sorted({k[0] for k in _AS_PATTERN})
 ) + r")(?=[^a-z]|$)"
 _FOUND = "array<struct<priority:int,length:int,start:int,end:int,label:string,strength:double>>"
 
@@ -152,31 +158,26 @@ def find_licenses(docs: DataFrame, text_col: str = "text", out_col: str = "licen
             lambda k: F.replace(F.regexp_replace(F.lower(k), r"[\s-]+", " "), F.lit("licence"), F.lit("license")),
         )
     )
-    rules = F.array(
-        *(
-            F.struct(F.lit(p).alias("priority"), F.lit(lb).alias("label"), F.lit(k).alias("keyword"), F.lit(rx).alias("pattern"), F.lit(s).alias("strength"))
-            for p, lb, k, rx, s in RULES
-        )
+    rules = F.from_json(
+        F.lit(json.dumps([dict(zip(("priority", "label", "keyword", "pattern", "strength"), r, strict=True)) for r in RULES])),
+        "array<struct<priority:int,label:string,keyword:string,pattern:string,strength:double>>",
     )
-    tried = F.filter(rules, lambda r: F.array_contains(hits, r["keyword"]))
-    found = F.flatten(
-        F.transform(
-            tried,
-            lambda r: F.transform(
-                find_spans(text, r["pattern"]),
-                lambda s: F.struct(
-                    r["priority"].alias("priority"),
-                    (s["start"] - s["end"]).alias("length"),
-                    s["start"].alias("start"),
-                    s["end"].alias("end"),
-                    r["label"].alias("label"),
-                    r["strength"].alias("strength"),
-                ),
-            ),
-        )
+    # An array of one struct: its fields are evaluated once for a document, not once for each rule.
+    once = F.array(F.struct(text.alias("text"), hits.alias("hits")))
+    tried = lambda d: F.filter(rules, lambda r: F.array_contains(d["hits"], r["keyword"]))
+    spans = lambda d, r: F.transform(
+        find_spans(d["text"], r["pattern"]),
+        lambda s: F.struct(
+            r["priority"].alias("priority"),
+            (s["start"] - s["end"]).alias("length"),
+            s["start"].alias("start"),
+            s["end"].alias("end"),
+            r["label"].alias("label"),
+            r["strength"].alias("strength"),
+        ),
     )
-    gated = F.when(F.regexp_like(text, F.lit(KEYWORD_PATTERN)), F.array_sort(F.array_distinct(found))).otherwise(F.array().cast(_FOUND))
-    out = docs.withColumn(out_col, gated)
+    found = F.flatten(F.flatten(F.transform(once, lambda d: F.transform(tried(d), lambda r: spans(d, r)))))
+    out = docs.withColumn(out_col, F.array_sort(F.array_distinct(found)))
 
     def inside(d: Column, e: Column) -> Column:
         better = F.struct(e["priority"], e["length"], e["start"], e["label"]) < F.struct(d["priority"], d["length"], d["start"], d["label"])
@@ -185,29 +186,41 @@ def find_licenses(docs: DataFrame, text_col: str = "text", out_col: str = "licen
     return out.withColumn(out_col, F.filter(out_col, lambda d: ~F.exists(F.col(out_col), lambda e: inside(d, e))))
 
 
+def base_places(text: Column) -> Column:
+    """array<struct<label,n,first,from_end>> of the base phrases that a text holds: how often, the words before the
+    first place, the words from the start of the last place to the end."""
+    phrases = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(phrase_pattern(p)).alias("pattern"), F.lit(len(p.split())).alias("words")) for p, label in BASE))
+    # The last two words of each phrase are looked for first, without their boundaries.
+    any_phrase = "|".join(_GAP.join(p.split()[-2:]) for p, _ in BASE)
+    cut = F.transform(phrases, lambda p: F.struct(p.alias("p"), F.split(text, p["pattern"], -1).alias("gaps")))
+    found = F.transform(
+        F.filter(cut, lambda c: F.size(c["gaps"]) > 1),
+        lambda c: F.struct(
+            c["p"]["label"].alias("label"),
+            (F.size(c["gaps"]) - 1).cast("long").alias("n"),
+            count_words(F.element_at(c["gaps"], 1), _W + "+").alias("first"),
+            (count_words(F.element_at(c["gaps"], -1), _W + "+") + c["p"]["words"]).alias("from_end"),
+        ),
+    )
+    none = F.array().cast("array<struct<label:string,n:bigint,first:bigint,from_end:bigint>>")
+    return F.when(F.regexp_like(text, F.lit("(?i)" + any_phrase)), found).otherwise(none)
+
+
 def op3_licenses(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     text = whole_text("text")
-    n_words = count_words(text, _W + "+")
-    docs = find_licenses(docs).withColumn("n_words", n_words)
-    for i, (phrase, _) in enumerate(BASE):
-        gaps = F.when(F.regexp_like(text, F.lit(phrase_pattern(phrase))), F.split(text, phrase_pattern(phrase), -1))
-        last = F.col("n_words") - count_words(F.element_at(gaps, -1), _W + "+") - len(phrase.split())
-        docs = docs.withColumn(
-            f"p{i}",
-            F.when(gaps.isNotNull(), F.struct((F.size(gaps) - 1).alias("n"), count_words(F.element_at(gaps, 1), _W + "+").alias("first"), last.alias("last"))),
-        )
-    places = [F.col(f"p{i}") for i in range(len(BASE))]
-    base = F.array_compact(F.array(*(F.when(p.isNotNull(), F.lit(label)) for p, (_, label) in zip(places, BASE, strict=True))))
+    docs = find_licenses(docs).withColumn("n_words", count_words(text, _W + "+")).withColumn("places", base_places(text))
+    places = F.col("places")
+    base = F.array_sort(F.transform(places, lambda p: p["label"]))
     found = F.transform("licenses", lambda d: d["label"])
     strength = F.array_max(F.transform("licenses", lambda d: d["strength"]))
     return docs.select(
         "doc_id",
         "n_words",
-        sum((F.coalesce(p["n"], F.lit(0)) for p in places), F.lit(0)).cast("long").alias("n_base"),
-        F.least(*(p["first"] for p in places)).alias("first_word"),
-        F.greatest(*(p["last"] for p in places)).alias("last_word"),
-        F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.aggregate(places, F.lit(0).cast("long"), lambda acc, p: acc + p["n"]).alias("n_base"),
+        F.array_min(F.transform(places, lambda p: p["first"])).alias("first_word"),
+        (F.col("n_words") - F.array_min(F.transform(places, lambda p: p["from_end"]))).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(base, found))), ",").alias("labels"),
         F.greatest(F.coalesce(strength, F.lit(0.0)), F.when(F.size(base) > 0, 0.4).otherwise(0.0)).alias("score"),
     )
