@@ -55,7 +55,7 @@ def _rules() -> list[tuple[int, str, str, str, float]]:
         for v in versions:
             add(1, f"{name}-{v}", "spdx", rf"SPDX-License-Identifier:\s*{name}-{v}(?:-only|-or-later|\+)?", 1.0)
             add(1, f"{name}-{v}", "gnu.org", rf"gnu\.org/(?:old-)?licenses/(?:old-licenses/)?{name}-{v}", 1.0)
-            add(2, f"{name}-{v}", keyword, rf"{full},?\s+(?:as\s+published.{{0,60}}?)?(?:version|v\.?)\s*{_v(v)}", 0.95)
+            add(2, f"{name}-{v}", keyword, rf"(?:GNU\s+)?{full},?\s+(?:as\s+published.{{0,60}}?)?(?:version|v\.?)\s*{_v(v)}", 0.95)
             add(3, f"{name}-{v}", name, rf"{name}[\s-]?v?{_v(v)}", 0.8)
         add(4, name, keyword, rf"(?:GNU\s+)?{full}", 0.8)
         add(4, name, name, rf"(?:GNU\s+){name}", 0.6)
