@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,11 +29,12 @@ from trajframe.llm.common import read
 MODEL = os.environ.get("TRAJFRAME_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 META = "▁"
 #: Stands for a meta symbol that the text itself holds while blanks are meta symbols; not a character of any piece.
-_LITERAL = ""
+_LITERAL = "\ue000"
 #: What a character without a piece costs below the least score.
 UNKNOWN_PENALTY = 10.0
-#: Words whose ids a task remembers.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers, and the longest that isn't streamed.
+REMEMBERED = 500_000
+LONG_WORD = 64
 
 
 class Pieces:
@@ -48,7 +50,13 @@ class Pieces:
         self.byte_id = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.score))
         self.unknown = min(s for s, _ in self.score.values()) - UNKNOWN_PENALTY
-        self.prefixes = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
+        # Nested dictionaries by character; None holds a piece's score and id.
+        self.trie: dict = {}
+        for p, known in self.score.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[None] = known
         # A cut before a meta symbol is safe if no piece has one behind another character, a cut at a line feed if no piece holds one.
         self.words = not any(re.search(f"[^{META}]{META}", p) for p in self.score)
         feed = "\n" if not any("\n" in p for p in self.score) else ""
@@ -58,13 +66,43 @@ class Pieces:
             self.bytes_of[i] = p.replace(META, " ").encode()
         for b, i in enumerate(self.byte_id):
             self.bytes_of[i] = bytes([b])
-        if any("" in p for p in self.score):
+        if any(_LITERAL in p for p in self.score):
             raise ValueError("a piece holds the private character that stands for a literal meta symbol")
 
     def fallback(self, char: str) -> list[int]:
         return [self.byte_id[b] for b in (META if char == _LITERAL else char).encode()]
 
 
+    def best_path(self, word: str) -> list[int]:
+        """Ids of a word by itself: the window of a stream that ends before anything can be committed."""
+        n, trie, unknown = len(word), self.trie, self.unknown
+        best, back, ids = [float("-inf")] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for start in range(n):
+            here, node, single = best[start], trie, False
+            for end in range(start, n):
+                node = node.get(word[end])
+                if node is None:
+                    break
+                known = node.get(None)
+                if known:
+                    if end == start:
+                        single = True
+                    if here + known[0] > best[end + 1]:
+                        best[end + 1], back[end + 1], ids[end + 1] = here + known[0], start, known[1]
+            if not single and here + unknown > best[start + 1]:
+                best[start + 1], back[start + 1], ids[start + 1] = here + unknown, start, -1
+        out: list[int] = []
+        while n:
+            out += [ids[n]] if ids[n] >= 0 else self.fallback(word[n - 1])[::-1]
+            n = back[n]
+        return out[::-1]
+
+
+#: Ids of words by model, kept by a worker from task to task.
+_KNOWN: dict[str, dict[str, bytes]] = {}
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
     return Pieces(path)
@@ -102,21 +140,21 @@ class StreamingViterbi:
 
     def _extend(self, until: int) -> None:
         """Pieces that start at each boundary before ``until``: all that they can span has been read."""
-        text, best, back, score, prefixes = self.text, self.best, self.back, self.model.score, self.model.prefixes
+        text, best, back, trie, unknown = self.text, self.best, self.back, self.model.trie, self.model.unknown
         grow = min(len(text), max(until, 0) + self.model.longest) + 1 - len(best)
         best += [float("-inf")] * grow
         back += [-1] * grow
         for start in range(self.done, until):
-            here = best[start]
-            for end in range(start + 1, min(start + self.model.longest, len(text)) + 1):
-                sub = text[start:end]
-                if sub not in prefixes:
+            here, node = best[start], trie
+            for end in range(start, len(text)):
+                node = node.get(text[end])
+                if node is None:
                     break
-                known = score.get(sub)
-                if known and here + known[0] > best[end]:
-                    best[end], back[end] = here + known[0], start
-            if text[start] not in score and here + self.model.unknown > best[start + 1]:
-                best[start + 1], back[start + 1] = here + self.model.unknown, start
+                known = node.get(None)
+                if known and here + known[0] > best[end + 1]:
+                    best[end + 1], back[end + 1] = here + known[0], start
+            if None not in trie.get(text[start], ()) and here + unknown > best[start + 1]:
+                best[start + 1], back[start + 1] = here + unknown, start
         self.done = max(self.done, until)
 
     def _commit(self) -> list[int]:
@@ -146,6 +184,11 @@ class StreamingViterbi:
         return out[::-1]
 
 
+def streamed(text: str, model: Pieces) -> list[int]:
+    stream = StreamingViterbi(model)
+    return stream.feed(text) + stream.finish()
+
+
 def encode(text: str, model: Pieces, known: dict[str, bytes] | None = None) -> bytes:
     """Ids of a text as little-endian int32; ``known`` remembers those of its words."""
     if not text:
@@ -160,8 +203,7 @@ def encode(text: str, model: Pieces, known: dict[str, bytes] | None = None) -> b
         if ids is None:
             if len(known) >= REMEMBERED:
                 known.clear()
-            stream = StreamingViterbi(model)
-            ids = known[word] = np.array(stream.feed(word) + stream.finish(), "<i4").tobytes()
+            ids = known[word] = array("i", model.best_path(word) if len(word) <= LONG_WORD else streamed(word, model)).tobytes()
         out.append(ids)
     return b"".join(out)
 
@@ -173,8 +215,7 @@ def _stream(text: str, model: Pieces) -> bytes:
         if part == _LITERAL:
             out += [model.byte_id[b] for b in part.encode()]
             continue
-        stream = StreamingViterbi(model)
-        out += stream.feed(("" if k else META) + part.replace(META, _LITERAL).replace(" ", META)) + stream.finish()
+        out += streamed(("" if k else META) + part.replace(META, _LITERAL).replace(" ", META), model)
     return np.array(out, "<i4").tobytes()
 
 
@@ -191,7 +232,7 @@ def encode_texts(docs: DataFrame, text_col: str = "text", out_col: str = "ids",
     at = docs.columns.index(text_col)
 
     def work(batches):
-        model, known = pieces(model_path), {}
+        model, known = pieces(model_path), _KNOWN.setdefault(model_path, {})
         for batch in batches:
             texts = batch.column(at).to_pylist()
             parts = [b"" if t is None else encode(t, model, known) for t in texts]
