@@ -5,6 +5,10 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
+
+from trajframe.llm import mixing
 
 
 def corpus(spark):
@@ -30,3 +34,18 @@ def test_stages(spark):
     assert kept["near_duplicates"] == kept["line_dedup"]
     assert kept["encode"] == kept["mixture"]
     assert docs.where("size(ids) = 0").count() == 0
+
+
+def test_mixture_keeps_rows_without_an_id(spark):
+    """Every row is sized and placed: as many words come out of each source as mix() takes, with and without an id."""
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    rows = [(i, words(30), f"s{i % 3}") for i in range(60)] + [(None, words(10 + i), f"s{i % 4}") for i in range(24)] + [(None, "same words", "s3")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r["source"]: r["n"] for r in mixing.mix(mixing.sized(docs)).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    out = [tuple(r) for r in corpus_pipeline.mixture(spark, docs, None).collect()]
+    assert {s: sum(len(t.split()) for _, t, x in out if x == s) for s in taken} == pytest.approx(taken, abs=40)
+    # The source s3 has only rows without an id, is capped, and gives each row three times, the two equal rows too.
+    assert sorted(r for r in out if r[2] == "s3") == sorted([r for r in rows if r[2] == "s3"] * 3)
+    assert {r for r in out if r[0] is None} <= set(rows) and len({r for r in out if r[0] is None and r[2] != "s3"}) > 0
+    assert out == [tuple(r) for r in corpus_pipeline.mixture(spark, docs.repartition(3), None).collect()]

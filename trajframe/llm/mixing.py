@@ -110,10 +110,19 @@ def training_order(mixed: DataFrame, slopes=SLOPES) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents of the mix in training order, one row for each copy; ``docs`` has doc_id and source."""
-    order = training_order(mix(sized(docs, text_col).dropDuplicates(["doc_id"])))
-    placed = docs.join(order.select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"), F.col("position").alias("__at")), F.col("doc_id") == F.col("__id"))
-    return placed.repartitionByRange("__at", "__id", "__copy").sortWithinPartitions("__at", "__id", "__copy").select(*docs.columns)
+    """The documents of the mix in training order, one row for each copy; ``docs`` has doc_id and source.
+
+    Rows repeated under one id are sized once. A row without an id is a document of its own, placed by its content; equal
+    rows without an id are each sized, and each copy of each of them is a row of the result.
+    """
+    content = F.concat(F.lit("?"), F.md5(F.to_json(F.struct(*docs.columns))))
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), content))
+    named, unnamed = keyed.where("doc_id IS NOT NULL"), keyed.where("doc_id IS NULL")
+    sizes = lambda rows: rows.select(F.col("__key").alias("doc_id"), "source", count_words(whole_text(text_col)).alias("size"))
+    order = training_order(mix(sizes(named).dropDuplicates(["doc_id"]).unionByName(sizes(unnamed))))
+    order = order.select(F.col("doc_id").alias("__key"), F.col("copy").alias("__copy"), F.col("position").alias("__at"))
+    placed = named.unionByName(unnamed.dropDuplicates(["__key"])).join(order, "__key")
+    return placed.repartitionByRange("__at", "__key", "__copy").sortWithinPartitions("__at", "__key", "__copy").select(*docs.columns)
 
 
 def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
