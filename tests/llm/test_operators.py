@@ -119,6 +119,48 @@ def test_license_rules_and_suppression(spark):
     assert len(licenses.RULES) > 200
 
 
+def example(tree, last):
+    """A text that a pattern matches: the first or last of its alternatives, as few or as many repeats."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            kind, value = arg[-1 if last else 0]
+            out += {"LITERAL": lambda v: chr(v), "RANGE": lambda v: chr(v[0]), "CATEGORY": lambda v: " "}[str(kind)](value)
+        elif name == "SUBPATTERN":
+            out += example(arg[-1], last)
+        elif name == "BRANCH":
+            out += example(arg[1][-1 if last else 0], last)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += example(arg[2], last) * max(arg[0], 1 if last else 0)
+        elif name == "ANY":
+            out += "x"
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+    return out
+
+
+def test_license_examples_pass_the_prefilter(spark):
+    """Each rule's own examples, alone in a text: the rule is tried and its label or one that includes it is found."""
+    parse = re._parser.parse
+    texts = [(r[1], r[2], example(parse(r[3]), last)) for r in licenses.RULES for last in (False, True)]
+    assert all(re.search(r[3], t) for (_, _, t), r in zip(texts, [r for r in licenses.RULES for _ in range(2)], strict=True))
+    got = licenses.find_licenses(docs_of(spark, [t for _, _, t in texts])).orderBy("doc_id").collect()
+    keyword = re.compile(licenses.KEYWORD_PATTERN)
+    for r, (label, key, text) in zip(got, texts, strict=True):
+        assert r["licenses"], (label, text)
+        hits = {re.sub(r"[\s-]+", " ", m.lower()).replace("licence", "license") for m in keyword.findall(text)}
+        assert key in hits or label in {d["label"] for d in r["licenses"]}, (label, key, text, hits)
+
+
+def test_license_versions_without_a_gap(spark):
+    texts = ["released under GPLv2", "GPLv3", "LGPLv2.1", "AGPLv3", "Open Database License", "MS-PL 1.0", "zlib/libpng License", "noncommercial use only", "non-commercial use only", "_MPL 2.0"]
+    got = [[d["label"] for d in r["licenses"]] for r in licenses.find_licenses(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [["gpl-2.0"], ["gpl-3.0"], ["lgpl-2.1"], ["agpl-3.0"], ["odbl"], ["ms-pl-1.0"], ["zlib"], ["non-commercial"], ["non-commercial"], ["mpl-2.0"]]
+
+
 # Quality
 
 

@@ -43,7 +43,7 @@ def _rules() -> list[tuple[int, str, str, str, float]]:
     rules: list[tuple[int, str, str, str, float]] = []
 
     def add(priority, label, keyword, pattern, strength):
-        rules.append((priority, label, keyword, rf"(?i)(?<![a-z0-9])(?:{pattern})(?![a-z0-9])", strength))
+        rules.append((priority, label, keyword.replace("-", " "), rf"(?i)(?<![a-z0-9])(?:{pattern})(?![a-z0-9])", strength))
 
     gnu = {
         "gpl": (r"General\s+Public\s+Licen[cs]e", "general public", ("1.0", "2.0", "3.0")),
@@ -106,7 +106,7 @@ def _rules() -> list[tuple[int, str, str, str, float]]:
     plain = {
         "mit": ("mit license", r"MIT\s+Licen[cs]e"),
         "isc": ("isc license", r"ISC\s+Licen[cs]e"),
-        "zlib": ("zlib license", r"zlib(?:/libpng)?\s+Licen[cs]e"),
+        "zlib": ("zlib", r"zlib(?:/libpng)?\s+Licen[cs]e"),
         "unlicense": ("unlicense", r"(?:The\s+)?Unlicense"),
         "wtfpl": ("wtfpl", r"WTFPL"),
         "cc0": ("cc0", r"CC0(?:[\s-]1\.0)?"),
@@ -131,18 +131,20 @@ def _rules() -> list[tuple[int, str, str, str, float]]:
     add(5, "copyright", "copyright", r"Copyright\s+(?:\(c\)|©)?\s*(?:19|20)[0-9]{2}", 0.4)
     add(5, "public-domain", "public domain", r"(?:in|to|into)\s+the\s+public\s+domain", 0.4)
     add(5, "proprietary", "proprietary", r"proprietary\s+and\s+confidential|confidential\s+and\s+proprietary", 0.5)
-    add(5, "non-commercial", "commercial use", r"non-?commercial\s+use\s+only", 0.4)
+    for keyword in ("noncommercial use", "non commercial use"):
+        add(5, "non-commercial", keyword, r"non-?commercial\s+use\s+only", 0.4)
     return sorted(rules, key=lambda r: r[:3])
 
 
 RULES = _rules()
-#: One expression finds all keywords; they are normalised to single spaces.
+#: One expression finds all keywords, as hits are normalised: hyphens and white space are a single space. A keyword is a literal that each
+#: match of its rule holds, and nothing is asked of what follows it (GPLv3, Open Database), so the prefilter lets through all that a rule matches.
 KEYWORDS = sorted({r[2] for r in RULES}, key=lambda k: (-len(k), k))
 _AS_PATTERN = [k.replace(".", r"\.").replace(" ", r"[\s-]+").replace("license", "licen[cs]e") for k in KEYWORDS]
 #: Alternatives by their first letter, so that most places fail after a few comparisons.
-KEYWORD_PATTERN = r"(?i)\b(?:" + "|".join(
+KEYWORD_PATTERN = r"(?i)(?<![a-z0-9])(?:" + "|".join(
     f"{c}(?:" + "|".join(k[1:] for k in _AS_PATTERN if k[0] == c) + ")" for c in sorted({k[0] for k in _AS_PATTERN})
-) + r")(?=[^a-z]|$)"
+) + ")"
 _FOUND = "array<struct<priority:int,length:int,start:int,end:int,label:string,strength:double>>"
 
 
