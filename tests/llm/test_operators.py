@@ -194,6 +194,25 @@ def test_quality_references_count_everything(spark):
     assert refs[quality.POOLED]["total"] == 270
 
 
+def test_quality_rejects_gibberish_and_other_languages(spark):
+    """Texts of 100 words and more with ordinary letters: kept in their own language, not in another, nor without its words."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randrange(2, 9)))
+    rows = []
+    for lang in ("en", "de"):
+        vocabulary = [word() for _ in range(8000)]
+        weights = [1 / (r + 3) for r in range(8000)]
+        say = lambda n, v=vocabulary, w=weights: " ".join(rng.choices(v, w, k=n))
+        other = "de" if lang == "en" else "en"
+        rows += [(say(rng.randrange(100, 400)), lang, "clean") for _ in range(300)] + [(say(200), other, "wrong") for _ in range(5)]
+        rows += [(" ".join(word() for _ in range(n)), lang, "gibberish") for n in (100, 200, 2000)]
+    docs = docs_of(spark, [t for t, *_ in rows], lang=[x for _, x, _ in rows])
+    got = quality.score_quality(docs, quality.references(docs)).orderBy("doc_id").collect()
+    for r, (_, lang, kind) in zip(got, rows, strict=True):
+        assert not r["base_failed"] and r["kept"] == (kind == "clean"), (lang, kind, r)
+    assert quality.references(docs)["en"].keys() == {"classes", "words", "total"}
+
+
 # SimHash
 
 

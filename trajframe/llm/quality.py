@@ -1,8 +1,9 @@
 """Quality rules: how far a document's character classes and common words lie from its language.
 
 References are counted over all documents: for every language, the histogram of character classes and of its
-common words (those with at least COMMON of the language's words, so at most 1 / COMMON of them). A language with
-less than RARE of all words uses the reference pooled over all, so there are at most 1 / RARE references. A document
+COMMON most frequent words. The most frequent ones have a bin each and the others share one with those of
+similar rank (up to each of BANDS), so that the histogram has most of the words' mass and few bins that a short text leaves
+empty by chance; all other words have the last bin. A language with less than RARE of all words uses the reference pooled over all, so there are at most 1 / RARE references. A document
 fails if the Jensen-Shannon distance (base 2, 0 to 1) of either histogram is above its bound and the document is long
 enough for that histogram to mean something.
 
@@ -12,20 +13,25 @@ repeated rows give repeated results; without any words there are no references a
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajframe.llm.common import read
 
-COMMON = 0.002
+COMMON = 5000
+#: Words up to the first rank have a bin each; those from each rank to the next share one.
+BANDS = (40, 200, 1000, COMMON)
+BINS = BANDS[0] + len(BANDS)
 RARE = 0.005
 POOLED = "\x00pooled"
 MAX_CLASS_DISTANCE = 0.28
-MAX_WORD_DISTANCE = 0.75
+#: On sf0.1, clean texts of 100 words and more lie within 0.39 of their language, clean texts beyond 0.45 of another one, gibberish beyond 0.68.
+MAX_WORD_DISTANCE = 0.42
 #: Characters and words that a document needs for the two comparisons.
 MIN_CHARS = 200
 MIN_WORDS = 100
@@ -117,12 +123,13 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
         counts.unpersist()
         return {}
     own = [lang for lang, n in totals.items() if lang != POOLED and n >= RARE * everything]
-    least = F.lit(float(COMMON)) * F.coalesce(*(F.when(F.col("lang") == lang, F.lit(float(totals[lang]))) for lang in own), F.lit(0.0))
-    mine = counts.where(F.col("lang").isin(own) & ((F.col("kind") == "c") | (F.col("n") >= least)))
-    pooled = counts.groupBy("kind", "item").agg(F.sum("n").alias("n")).where((F.col("kind") == "c") | (F.col("n") >= COMMON * everything))
+    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "item"))
+    every = counts.groupBy("kind", "item").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "kind", "item", "n")
+    mine = counts.where(F.col("lang").isin(own)).select("lang", "kind", "item", "n").withColumn("rank", rank).where(F.col("rank") <= COMMON)
+    pooled = every.withColumn("rank", rank).where(F.col("rank") <= COMMON)
     out = {lang: {"classes": np.zeros(len(CLASSES)), "words": {}, "total": totals[lang]} for lang in own}
     out[POOLED] = {"classes": np.zeros(len(CLASSES)), "words": {}, "total": everything}
-    for r in mine.select("lang", "kind", "item", "n").unionByName(pooled.select(F.lit(POOLED).alias("lang"), "kind", "item", "n")).collect():
+    for r in mine.unionByName(pooled).collect():
         item = bytes(r["item"])
         if r["kind"] == "c":
             out[r["lang"]]["classes"][CLASSES.index(item.decode())] += r["n"]
@@ -156,21 +163,27 @@ def judge(text: str | None, ref: dict | None) -> tuple:
     if ref:
         by_class = js_distance(counts.astype(float), ref["classes"])
         common = ref["index"]
-        mine = np.zeros(len(common) + 1)
-        for w in raw.lower().split():
-            mine[common.get(w, -1)] += 1
+        mine = np.bincount([common.get(w, BINS - 1) for w in raw.lower().split()], minlength=BINS).astype(float)
         by_word = js_distance(mine, ref["vector"])
     far = (len(text) >= MIN_CHARS and by_class > MAX_CLASS_DISTANCE) or (n >= MIN_WORDS and by_word > MAX_WORD_DISTANCE)
     return n, len(text) - int(counts[3]), n_symbols, repeated_lines(text), repeats, failed, not failed and not far, round(by_class, 9), round(by_word, 9)
 
 
+def word_bins(words: dict[bytes, int], total: int) -> dict:
+    """Each common word's bin, and the reference's histogram over the bins."""
+    index = {w: r if r < BANDS[0] else BANDS[0] + bisect_right(BANDS[1:], r) for r, w in enumerate(sorted(words, key=lambda w: (-words[w], w)))}
+    vector = np.zeros(BINS)
+    for w, n in words.items():
+        vector[index[w]] += n
+    vector[-1] += max(0, total - sum(words.values()))
+    return {"index": index, "vector": vector}
+
+
 def score_quality(docs: DataFrame, refs: dict[str, dict], id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """One row for each document with its counts, distances and verdict."""
     table = {}
     for lang, r in refs.items():
-        items = sorted(r["words"])
-        vector = np.array([*(r["words"][w] for w in items), max(0, r["total"] - sum(r["words"].values()))], float)
-        table[lang] = {"classes": r["classes"], "index": {w: i for i, w in enumerate(items)}, "vector": vector}
+        table[lang] = {"classes": r["classes"]} | word_bins(r["words"], r["total"])
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, {SCORED}"
     types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
     names = ["doc_id", *(x.split()[0] for x in SCORED.split(", "))]
