@@ -35,6 +35,8 @@ MAX_WORD_DISTANCE = 0.42
 #: Characters and words that a document needs for the two comparisons.
 MIN_CHARS = 200
 MIN_WORDS = 100
+#: Parts of a language's vocabulary that are ranked apart.
+PARTS = 64
 #: Distinct words that a task counts before it hands its counts on.
 FLUSH = 400_000
 
@@ -123,10 +125,9 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
         counts.unpersist()
         return {}
     own = [lang for lang, n in totals.items() if lang != POOLED and n >= RARE * everything]
-    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "item"))
     every = counts.groupBy("kind", "item").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "kind", "item", "n")
-    mine = counts.where(F.col("lang").isin(own)).select("lang", "kind", "item", "n").withColumn("rank", rank).where(F.col("rank") <= COMMON)
-    pooled = every.withColumn("rank", rank).where(F.col("rank") <= COMMON)
+    mine = _most_frequent(counts.where(F.col("lang").isin(own)).select("lang", "kind", "item", "n"))
+    pooled = _most_frequent(every)
     out = {lang: {"classes": np.zeros(len(CLASSES)), "words": {}, "total": totals[lang]} for lang in own}
     out[POOLED] = {"classes": np.zeros(len(CLASSES)), "words": {}, "total": everything}
     for r in mine.unionByName(pooled).collect():
@@ -139,6 +140,14 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     return out
 
 
+def _most_frequent(counts: DataFrame) -> DataFrame:
+    """The COMMON most frequent items of each language and kind, first within PARTS parts of them, so that no task gets a language's whole vocabulary."""
+    for part in (F.pmod(F.xxhash64("item"), F.lit(PARTS)), F.lit(0).cast("long")):
+        rank = F.row_number().over(Window.partitionBy("lang", "kind", "part").orderBy(F.col("n").desc(), "item"))
+        counts = counts.withColumn("part", part).withColumn("rank", rank).where(F.col("rank") <= COMMON).drop("part", "rank")
+    return counts
+
+
 def _languages(counts: DataFrame) -> list:
     """Words of each language; those below RARE are summed up, so few rows come back."""
     totals = counts.where("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("n"))
