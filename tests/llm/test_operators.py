@@ -411,14 +411,13 @@ def test_tables_equal_the_convolution():
 # Search
 
 
-def brute_search(texts, queries, k=10, terms=16):
+def brute_search(texts, queries, k=10):
     tokens = [search.terms_of(t) for t in texts]
     n, mean = len(texts), sum(map(len, tokens)) / len(texts)
     df = Counter(t for x in tokens for t in set(x))
     out = []
     for q in queries:
-        tf = Counter(tokens[q])
-        pick = sorted(tf, key=lambda t: (-round(tf[t] * math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)), 9), t))[:terms]
+        pick = set(tokens[q])
         scores = Counter()
         for d, x in enumerate(tokens):
             c = Counter(x)
@@ -429,7 +428,12 @@ def brute_search(texts, queries, k=10, terms=16):
     return out
 
 
-def test_search_is_exact(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_search_is_exact(spark, monkeypatch, small):
+    """All terms of every query, over several shards, tiles and blocks of queries."""
+    if small:
+        for name, value in (("SHARD_DOCS", 20), ("TILE_DOCS", 45), ("QUERY_BLOCK", 4), ("QUERY_PARTS", 2), ("POSTING_BLOCK", 4), ("FIRST_POSTINGS", 8), ("PER_SCORE", 1)):
+            monkeypatch.setattr(search, name, value)
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(60)]
     texts = [" ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(60)], k=rng.randrange(0, 60))) for _ in range(300)]
@@ -439,18 +443,48 @@ def test_search_is_exact(spark):
     assert got == brute_search(texts, range(0, 300, 20))
 
 
+def test_packed_lists_come_back():
+    counts = np.array([0, 3, 0, 2, 1, 0])
+    ids = np.array([0, 5, 70_000, 2, 3, 9])
+    assert search.unpacked_lists(search.packed_lists(ids, counts), counts).tolist() == ids.tolist()
+    assert search.unpacked(search.packed(np.zeros(0, np.int64))).tolist() == []
+
+
+def tile_of(lists, n_docs):
+    """A tile over documents whose terms and frequencies are given as {term: frequency}."""
+    names = sorted({t for d in lists for t in d})
+    at = {t: i for i, t in enumerate(names)}
+    flat = [sorted((at[t], n) for t, n in d.items()) for d in lists]
+    counts = np.array([len(d) for d in lists])
+    shard = {
+        "terms": search.zstandard.compress(b"\n".join(names)),
+        "ids": np.arange(len(lists), dtype="<i8").tobytes(),
+        "lengths": search.packed(np.array([sum(d.values()) for d in lists])),
+        "counts": search.packed(counts),
+        "lists": search.packed_lists(np.array([t for d in flat for t, _ in d]), counts),
+        "tfs": search.packed(np.array([n for d in flat for _, n in d])),
+    }
+    return search.Tile([shard], n_docs, 50.0), at
+
+
 def test_block_max_wand_equals_scoring_all():
+    """Long and short queries over skewed lists: pruning by list and block maxima changes nothing."""
     rng = np.random.default_rng(2)
-    for _ in range(30):
-        lists = [np.sort(rng.choice(2000, rng.integers(1, 800), replace=False)) for _ in range(5)]
-        scores = [rng.integers(1, 1000, len(x)) for x in lists]
-        p = search.Postings(np.concatenate(lists), np.concatenate(scores), np.array([len(x) for x in lists]))
+    for turn in range(12):
+        n, v = 3000, 400
+        docs = [{b"t%d" % t: int(rng.integers(1, 6)) for t in np.unique((v * rng.random(rng.integers(1, 60)) ** 3).astype(int))} for _ in range(n)]
+        tile, _ = tile_of(docs, n)
+        query = docs[turn] if turn % 2 else {b"t%d" % t: 1 for t in rng.integers(0, v, 120)}
+        terms = [t for t in query if t in tile.vocabulary]
+        df = {t: sum(t in d for d in docs) for t in terms}
         total = Counter()
-        for x, s in zip(lists, scores, strict=True):
-            for d, v in zip(x.tolist(), s.tolist(), strict=True):
-                total[d] += v
-        want = sorted(total.items(), key=lambda i: (-i[1], i[0]))[:10]
-        assert sorted(p.top(list(range(5)), 10), key=lambda h: (-h[0], h[1])) == [(s, d) for d, s in want]
+        for i, d in enumerate(docs):
+            for t in terms:
+                if t in d:
+                    total[i] += int(search.impacts(np.array([float(d[t])]), np.array([float(sum(d.values()))]), np.array([float(df[t])]), n, 50.0)[0])
+        want = sorted(((s, d) for d, s in total.items()), key=lambda i: (-i[0], i[1]))[:10]
+        scores, places = tile.top(np.array([tile.vocabulary[t] for t in terms]), np.array([float(df[t]) for t in terms]), 10)
+        assert list(zip(scores.tolist(), places.tolist(), strict=True)) == want
 
 
 # Pieces
