@@ -412,7 +412,7 @@ def test_tables_equal_the_convolution():
 
 
 def brute_search(texts, queries, k=10):
-    tokens = [search.terms_of(t) for t in texts]
+    tokens = [re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower()) for t in texts]
     n, mean = len(texts), sum(map(len, tokens)) / len(texts)
     df = Counter(t for x in tokens for t in set(x))
     out = []
@@ -423,7 +423,7 @@ def brute_search(texts, queries, k=10):
             c = Counter(x)
             for t in pick:
                 if c[t]:
-                    scores[d] += int(search.impacts(np.array([c[t]], float), np.array([len(x)], float), np.array([df[t]], float), n, mean)[0])
+                    scores[d] += int(search.contributions(search.idf_weight(df[t], n), float(c[t]), float(len(x)), mean))
         out += [(q, r + 1, d, s / search.UNIT) for r, (d, s) in enumerate(sorted(scores.items(), key=lambda i: (-i[1], i[0]))[:k])]
     return out
 
@@ -481,10 +481,13 @@ def test_block_max_wand_equals_scoring_all():
         for i, d in enumerate(docs):
             for t in terms:
                 if t in d:
-                    total[i] += int(search.impacts(np.array([float(d[t])]), np.array([float(sum(d.values()))]), np.array([float(df[t])]), n, 50.0)[0])
+                    total[i] += int(search.contributions(search.idf_weight(df[t], n), float(d[t]), float(sum(d.values())), 50.0))
         want = sorted(((s, d) for d, s in total.items()), key=lambda i: (-i[0], i[1]))[:10]
         scores, places = tile.top(np.array([tile.vocabulary[t] for t in terms]), np.array([float(df[t]) for t in terms]), 10)
         assert list(zip(scores.tolist(), places.tolist(), strict=True)) == want
+        floor = want[len(want) // 2][0]
+        scores, places = tile.top(np.array([tile.vocabulary[t] for t in terms]), np.array([float(df[t]) for t in terms]), 10, floor)
+        assert list(zip(scores.tolist(), places.tolist(), strict=True)) == [w for w in want if w[0] >= floor]
 
 
 # Pieces
