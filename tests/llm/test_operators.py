@@ -483,10 +483,10 @@ def test_block_max_wand_equals_scoring_all():
                 if t in d:
                     total[i] += int(search.contributions(search.idf_weight(df[t], n), float(d[t]), float(sum(d.values())), 50.0))
         want = sorted(((s, d) for d, s in total.items()), key=lambda i: (-i[0], i[1]))[:10]
-        scores, places = tile.top(np.array([tile.vocabulary[t] for t in terms]), np.array([float(df[t]) for t in terms]), 10)
+        scores, places = tile.top(np.array([tile.vocabulary[t] for t in terms]), search.idf_weight(np.array([float(df[t]) for t in terms]), n), 10)
         assert list(zip(scores.tolist(), places.tolist(), strict=True)) == want
         floor = want[len(want) // 2][0]
-        scores, places = tile.top(np.array([tile.vocabulary[t] for t in terms]), np.array([float(df[t]) for t in terms]), 10, floor)
+        scores, places = tile.top(np.array([tile.vocabulary[t] for t in terms]), search.idf_weight(np.array([float(df[t]) for t in terms]), n), 10, floor)
         assert list(zip(scores.tolist(), places.tolist(), strict=True)) == [w for w in want if w[0] >= floor]
 
 
