@@ -475,7 +475,8 @@ def test_block_max_wand_equals_scoring_all():
         docs = [{b"t%d" % t: int(rng.integers(1, 6)) for t in np.unique((v * rng.random(rng.integers(1, 60)) ** 3).astype(int))} for _ in range(n)]
         tile, _ = tile_of(docs, n)
         query = docs[turn] if turn % 2 else {b"t%d" % t: 1 for t in rng.integers(0, v, 120)}
-        terms = [t for t in query if t in tile.vocabulary]
+        number = {t: i for i, t in enumerate(tile.vocabulary.to_pylist())}
+        terms = [t for t in query if t in number]
         df = {t: sum(t in d for d in docs) for t in terms}
         total = Counter()
         for i, d in enumerate(docs):
@@ -483,10 +484,10 @@ def test_block_max_wand_equals_scoring_all():
                 if t in d:
                     total[i] += int(search.contributions(search.idf_weight(df[t], n), float(d[t]), float(sum(d.values())), 50.0))
         want = sorted(((s, d) for d, s in total.items()), key=lambda i: (-i[0], i[1]))[:10]
-        scores, places = tile.top(np.array([tile.vocabulary[t] for t in terms]), search.idf_weight(np.array([float(df[t]) for t in terms]), n), 10)
+        scores, places = tile.top(np.array([number[t] for t in terms]), search.idf_weight(np.array([float(df[t]) for t in terms]), n), 10)
         assert list(zip(scores.tolist(), places.tolist(), strict=True)) == want
         floor = want[len(want) // 2][0]
-        scores, places = tile.top(np.array([tile.vocabulary[t] for t in terms]), search.idf_weight(np.array([float(df[t]) for t in terms]), n), 10, floor)
+        scores, places = tile.top(np.array([number[t] for t in terms]), search.idf_weight(np.array([float(df[t]) for t in terms]), n), 10, floor)
         assert list(zip(scores.tolist(), places.tolist(), strict=True)) == [w for w in want if w[0] >= floor]
 
 
