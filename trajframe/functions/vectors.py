@@ -167,6 +167,23 @@ def six_to_columns(v: Column, eps: float = 1e-6) -> Column:
     return F.array(x, y, cross(x, y))
 
 
+def columns_to_quaternion(m: Column) -> Column:
+    """(x, y, z, w) of a rotation given by its three columns. The largest of the four is found from the diagonal, the others from it."""
+    c = lambda col, row: F.get(F.get(m, F.lit(col)), F.lit(row))
+    d0, d1, d2 = c(0, 0), c(1, 1), c(2, 2)
+    root = lambda v: F.sqrt(F.greatest(v, F.lit(0.0))) / 2
+    x, y, z, w = root(1 + d0 - d1 - d2), root(1 - d0 + d1 - d2), root(1 - d0 - d1 + d2), root(1 + d0 + d1 + d2)
+    xy, xz, yz = (c(0, 1) + c(1, 0)) / 4, (c(0, 2) + c(2, 0)) / 4, (c(1, 2) + c(2, 1)) / 4
+    wx, wy, wz = (c(1, 2) - c(2, 1)) / 4, (c(2, 0) - c(0, 2)) / 4, (c(0, 1) - c(1, 0)) / 4
+    most = F.greatest(x, y, z, w)
+    return (
+        F.when(w == most, F.array(wx / w, wy / w, wz / w, w))
+        .when(x == most, F.array(x, xy / x, xz / x, wx / x))
+        .when(y == most, F.array(xy / y, y, yz / y, wy / y))
+        .otherwise(F.array(xz / z, yz / z, z, wz / z))
+    )
+
+
 def pose_state(position: Column, quaternion: Column, gripper: Column) -> Column:
     return F.concat(position, quaternion_to_axis_angle(quaternion), F.array(gripper))
 
@@ -185,7 +202,11 @@ def strided(image: Column, step: int) -> Column:
 
 def channels_first(image: Column, n: int = 3) -> Column:
     """Rows of pixels in 0..255 as n planes in 0..1."""
-    return F.array(*(F.transform(image, lambda r, c=c: F.transform(r, lambda p: F.get(p, F.lit(c)) / 255.0)) for c in range(n)))
+
+    def plane(c: int) -> Column:
+        return F.transform(image, lambda row: F.transform(row, lambda p: F.get(p, F.lit(c)) / 255.0))
+
+    return F.array(*(plane(c) for c in range(n)))
 
 
 def half_turn(image: Column) -> Column:

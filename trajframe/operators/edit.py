@@ -7,19 +7,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajframe.operators.numbering import cumulative_offsets, dense_numbers, renumber
+from trajframe.operators.numbering import cumulative_offsets, dense_numbers, kept_episodes, renumber
 
 REQUIRED = ("timestamp", "frame_index", "episode_index", "index", "task_index")
 
 
-def delete_episodes(frames: DataFrame, gone: list[int]) -> DataFrame:
-    """Frames without some episodes, numbered anew in ``new_episode_index`` and ``new_index``. Task ids keep their old order."""
+def delete_episodes(frames: DataFrame, gone: list[int], episodes: DataFrame | None = None) -> DataFrame:
+    """Frames without some episodes, numbered anew in ``new_episode_index`` and ``new_index``. Task ids keep their old order.
+
+    With ``episodes`` (episode_index, length) nothing is counted over frames.
+    """
     if not gone:
         raise ValueError("no episodes to delete")
-    kept = frames.select("episode_index").distinct().where(~F.col("episode_index").isin(gone))
-    if kept.isEmpty():
+    known = frames.groupBy("episode_index").agg(F.count(F.lit(1)).alias("length")) if episodes is None else episodes
+    left = known.where(~F.col("episode_index").isin(gone))
+    if left.isEmpty():
         raise ValueError("all episodes would be deleted")
-    return renumber(frames, kept)
+    return renumber(frames, kept_episodes(left))
 
 
 def merge_tasks(parts: list[DataFrame]) -> DataFrame:
@@ -29,18 +33,19 @@ def merge_tasks(parts: list[DataFrame]) -> DataFrame:
     return first.select("task", (F.row_number().over(Window.orderBy("place")) - 1).cast("long").alias("task_index"))
 
 
-def merge_datasets(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """Frames and tasks of several (frames, tasks): episodes and indices are shifted by what comes before, tasks re-mapped.
+def merge_datasets(parts: list[tuple[DataFrame, DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Frames and tasks of several (frames, tasks, episodes): episodes and indices are shifted by what comes before, tasks re-mapped.
 
-    Offsets come from one aggregate over all parts (a row for each), not from a pass per part.
+    Offsets come from the episodes' metadata (a row for each part), so every frame is read once.
     """
-    tasks = merge_tasks([t for _, t in parts])
+    tasks = merge_tasks([t for _, t, _ in parts])
     tagged = []
-    for i, (frames, own) in enumerate(parts):
+    for i, (frames, own, _) in enumerate(parts):
         rows = frames.join(F.broadcast(own.select("task", "task_index")), "task_index").drop("task_index")
         tagged.append(rows.withColumn("__part", F.lit(i)))
     every = reduce(lambda a, b: a.unionByName(b), tagged)
-    sizes = every.groupBy("__part").agg((F.max("episode_index") + 1).alias("e"), F.count(F.lit(1)).alias("f"))
+    known = reduce(DataFrame.unionByName, [e.select(F.lit(i).alias("__part"), "episode_index", "length") for i, (_, _, e) in enumerate(parts)])
+    sizes = known.groupBy("__part").agg((F.max("episode_index") + 1).alias("e"), F.sum("length").alias("f"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("__part", F.coalesce(F.sum("e").over(before), F.lit(0)).alias("de"), F.coalesce(F.sum("f").over(before), F.lit(0)).alias("df"))
     out = every.join(F.broadcast(shifts), "__part").join(F.broadcast(tasks), "task")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trajframe.functions.vectors import geodesic
 from trajframe.operators.windows import EPISODE, FRAME, gradient, in_order
 
 # Tails of distributions for p-values: small tables of groups, so Arrow-batched functions are enough.
@@ -81,9 +82,10 @@ def evaluation_rollup(metrics: DataFrame, group: str, task: str) -> DataFrame:
     )
 
 
-def kinematics(frames: DataFrame, position: list[str], time: str) -> DataFrame:
+def kinematics(frames: DataFrame, position: list[str], time: str, orientation: str | None = None) -> DataFrame:
     """(episode, duration, path_length, mean_speed, peak_speed, mean_acc, sd_acc, mean_jerk, sd_jerk, log_jerk): speeds from uneven
-    steps, SD with n - 1; episodes under four frames are left out."""
+    steps, SD with n - 1; episodes under four frames are left out. With an ``orientation`` (quaternions) also mean_turn and peak_turn, the angle
+    between neighbouring frames by their time."""
     w, t = in_order(), F.col(time)
     rows = frames.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(EPISODE))).where("__n >= 4")
     for name, cols in (("v", position), ("a", [f"v_{c}" for c in position]), ("j", [f"a_{c}" for c in (f"v_{c}" for c in position)])):
@@ -95,7 +97,11 @@ def kinematics(frames: DataFrame, position: list[str], time: str) -> DataFrame:
     step = F.sqrt(sum((F.pow(F.col(c) - F.lag(c).over(w), 2) for c in position), F.lit(0.0)))
     rows = rows.withColumns({"__v": size(v), "__a": size(a), "__j": size(j), "__d": step, "__dt": t - F.lag(t).over(w)})
     rows = rows.withColumn("__jj", (F.pow("__j", 2) + F.pow(F.lag("__j").over(w), 2)) / 2 * F.col("__dt"))
+    turn = [] if orientation is None else [F.avg("__w").alias("mean_turn"), F.max("__w").alias("peak_turn")]
+    if turn:
+        rows = rows.withColumn("__w", geodesic(F.col(orientation), F.lag(orientation).over(w)) / F.nullif(F.col("__dt"), F.lit(0.0)))
     out = rows.groupBy(EPISODE).agg(
+        *turn,
         (F.max(t) - F.min(t)).alias("duration"),
         F.sum("__d").alias("path_length"),
         F.avg("__v").alias("mean_speed"),
@@ -120,11 +126,14 @@ def resample(frames: DataFrame, cols: list[str], points: int) -> DataFrame:
     return both.select(EPISODE, "point", *((F.col(f"lo_{c}") + (F.col(f"hi_{c}") - F.col(f"lo_{c}")) * (F.col("at") - F.col("lo"))).alias(c) for c in cols))
 
 
-def accuracy(points: DataFrame, reference: DataFrame, cols: list[str]) -> DataFrame:
-    """(episode, mean_error, max_error, rmse) against a reference with the same points; the reference has ``points`` rows."""
+def accuracy(points: DataFrame, reference: DataFrame, cols: list[str], orientation: str | None = None) -> DataFrame:
+    """(episode, mean_error, max_error, rmse) against a reference with the same points; the reference has ``points`` rows. With an
+    ``orientation`` (quaternions) also mean_turn, the mean angle between both."""
     d2 = sum((F.pow(F.col(f"p.{c}") - F.col(f"r.{c}"), 2) for c in cols), F.lit(0.0))
-    rows = points.alias("p").join(F.broadcast(reference).alias("r"), "point").select(F.col(f"p.{EPISODE}"), d2.alias("d2"))
-    return rows.groupBy(EPISODE).agg(F.avg(F.sqrt("d2")).alias("mean_error"), F.max(F.sqrt("d2")).alias("max_error"), F.sqrt(F.avg("d2")).alias("rmse"))
+    rows = points.alias("p").join(F.broadcast(reference).alias("r"), "point")
+    turn = [] if orientation is None else [geodesic(F.col(f"p.{orientation}"), F.col(f"r.{orientation}")).alias("turn")]
+    rows = rows.select(F.col(f"p.{EPISODE}"), d2.alias("d2"), *turn)
+    return rows.groupBy(EPISODE).agg(*(F.avg(c).alias("mean_turn") for c in rows.columns if c == "turn"), F.avg(F.sqrt("d2")).alias("mean_error"), F.max(F.sqrt("d2")).alias("max_error"), F.sqrt(F.avg("d2")).alias("rmse"))
 
 
 def _long(rows: DataFrame, features: list[str], keep: list[str]) -> DataFrame:

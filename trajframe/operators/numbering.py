@@ -31,11 +31,26 @@ def dense_numbers(ids: DataFrame, col: str, out: str) -> DataFrame:
     return counted.select(col, out)
 
 
+def kept_episodes(known: DataFrame, episode: str = "episode_index", length: str = "length") -> DataFrame:
+    """(episode, length, new_episode_index, new_from_index) of episodes (episode, length): dense numbers and offsets in one pass over them."""
+    rows = known.select(episode, length).withColumn("__bucket", F.floor(F.col(episode) / BUCKET))
+    sums = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"), F.sum(length).alias("__sum"))
+    running = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("__bucket", *(F.coalesce(F.sum(c).over(running), F.lit(0)).alias(f"{c}0") for c in ("__n", "__sum")))
+    inside = Window.partitionBy("__bucket").orderBy(episode)
+    out = rows.join(F.broadcast(bases), "__bucket").select(
+        episode,
+        length,
+        (F.col("__n0") + F.row_number().over(inside) - 1).cast("long").alias("new_episode_index"),
+        (F.col("__sum0") + F.sum(length).over(inside) - F.col(length)).cast("long").alias("new_from_index"),
+    )
+    return out
+
+
 def renumber(frames: DataFrame, kept: DataFrame, episode: str = "episode_index", frame: str = "frame_index") -> DataFrame:
-    """Frames of the kept episodes (a table of ids), with dense ``new_episode_index`` and ``new_index``."""
-    sizes = frames.join(kept.select(episode).distinct(), episode, "left_semi").groupBy(episode).agg(F.count(F.lit(1)).alias("__n"))
-    numbered = dense_numbers(sizes, episode, "new_episode_index").join(cumulative_offsets(sizes, "__n", episode, "__from", "__to"), episode)
-    return frames.join(numbered.select(episode, "new_episode_index", "__from"), episode).withColumn("new_index", F.col("__from") + F.col(frame)).drop("__from")
+    """Frames of the kept episodes (see ``kept_episodes``), with dense ``new_episode_index`` and ``new_index``: one join."""
+    numbered = kept.select(episode, "new_episode_index", F.col("new_from_index").alias("__from"))
+    return frames.join(numbered, episode).withColumn("new_index", F.col("__from") + F.col(frame)).drop("__from")
 
 
 def pack_files(sizes: DataFrame, limit: float, files_per_chunk: int = 1000, group: str = "dataset", order: str = "episode_index", size: str = "size") -> DataFrame:

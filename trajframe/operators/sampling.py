@@ -13,6 +13,11 @@ def sample_size(length: Column, least: int = 100, most: int = 10_000, power: flo
     return F.greatest(F.least(F.lit(least), length), F.least(F.pow(length.cast("double"), power).cast("int"), F.lit(most)))
 
 
+def hashed(*cols: Column) -> Column:
+    """A number below 2^32 from a hash of some columns."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(c.cast("string") for c in cols))), 1, 8), 16, 10).cast("long")
+
+
 def evenly_spaced(episodes: DataFrame, **bounds) -> DataFrame:
     """(episode, frame): indices rounded, half to even, from equal steps between the first and last frame."""
     n = sample_size(F.col("length"), **bounds)
@@ -23,15 +28,17 @@ def evenly_spaced(episodes: DataFrame, **bounds) -> DataFrame:
 
 def episode_sampler(frames: DataFrame, drop_first: int = 0, drop_last: int = 0, episodes: list[int] | None = None, seed: int | None = None) -> DataFrame:
     """Frames without the first and last of each episode; ``frames`` has the length. With a seed in a pseudo-random order."""
-    kept = frames.where((F.col(FRAME) >= drop_first) & (F.col(FRAME) < F.col("length") - drop_last))
     if episodes is not None:
-        kept = kept.where(F.col(EPISODE).isin(episodes))
+        frames = frames.where(F.col(EPISODE).isin(episodes))
+    kept = frames.where((F.col(FRAME) >= drop_first) & (F.col(FRAME) < F.col("length") - drop_last))
+    if kept.isEmpty():
+        raise ValueError("no frame is left to sample: the dropped ends cover every episode")
     return kept if seed is None else shuffled(kept, [EPISODE, FRAME], seed)
 
 
 def shuffled(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """All rows in an order that a hash of their keys gives: the same for the same seed, sorted by ranges."""
-    return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
+    return rows.orderBy(hashed(*(F.col(k) for k in keys), F.lit(seed)), *keys)
 
 
 def fraction_per_episode(rows: DataFrame, fraction: float, rank: Column, order: str = FRAME) -> DataFrame:
@@ -42,10 +49,10 @@ def fraction_per_episode(rows: DataFrame, fraction: float, rank: Column, order:
 
 
 def with_replacement(rows: DataFrame, index: str, size: int, draws: int, seed: int) -> DataFrame:
-    """``draws`` rows (at most ``size``, the number of rows) picked by hashed positions of a dense index."""
+    """``draws`` rows (at most ``size``, the number of rows), each picked by a hash of the draw's number from a dense index: a row may come again."""
     n = min(draws, size)
     spark = rows.sparkSession
-    picks = spark.range(n).select(F.col("id").alias("draw"), F.pmod((F.col("id") + seed) * 2654435761, F.lit(size)).alias(index))
+    picks = spark.range(n).select(F.col("id").alias("draw"), (hashed(F.col("id"), F.lit(seed)) % size).alias(index))
     return rows.join(picks, index)
 
 

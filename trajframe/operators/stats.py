@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 QUANTILES = (0.01, 0.10, 0.50, 0.90, 0.99)
 EPISODE = "episode_index"
+#: Buckets in which parts are merged before they are merged to one.
+MERGE_BUCKETS = 4096
 
 
 def quantile_key(q: float) -> str:
@@ -39,21 +41,40 @@ def vector_stats(frames: DataFrame, col: str, key: str) -> DataFrame:
 
 def merge_stats(parts: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
     """Parts merged by count: mean, parallel variance, min, max; quantiles as count-weighted means, null unless every part has them."""
-    c, m, s = F.col("count"), F.col("mean"), F.col("std")
-    total, mean = F.sum(c), F.sum(c * m) / F.sum(c)
     quantiles = [q for q in parts.columns if q[0] == "q" and q[1:].isdigit()]
-    # sum c (v + d^2) = sum c (v + m^2) - n mu^2; taken around each group's first mean it would lose fewer digits, so a second pass does.
-    means = parts.groupBy(*by).agg(mean.alias("__mu"))
-    spread = F.col("count") * (s * s + (m - F.col("__mu")) * (m - F.col("__mu")))
-    agg = parts.join(means, list(by)).groupBy(*by).agg(
+    c = F.col("count").cast("double")
+    moments = lambda n, mean, m2: F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"))
+
+    def merged(items: Column) -> Column:
+        """(n, mean, m2) of an array of them, one after another: digits aren't lost as with sums of squares."""
+
+        def step(a: Column, b: Column) -> Column:
+            n, d = a["n"] + b["n"], b["mean"] - a["mean"]
+            share = F.when(n > 0, b["n"] / n).otherwise(0.0)
+            return moments(n, a["mean"] + d * share, a["m2"] + b["m2"] + d * d * a["n"] * share)
+
+        return F.aggregate(items, moments(F.lit(0.0), F.lit(0.0), F.lit(0.0)), step)
+
+    # In two levels, so that no task holds more than the parts of one bucket, or one row for each bucket.
+    rows = parts.withColumn("__bucket", F.pmod(F.xxhash64(*parts.columns), F.lit(MERGE_BUCKETS)))
+    own = moments(c, F.coalesce("mean", F.lit(0.0)), c * F.coalesce(F.col("std") * F.col("std"), F.lit(0.0)))
+    first = rows.groupBy(*by, "__bucket").agg(
+        merged(F.collect_list(own)).alias("m"),
+        F.sum("count").alias("count"),
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+        F.count(F.lit(1)).alias("__rows"),
+        *(F.struct(F.count(q).alias("n"), F.sum(c * F.col(q)).alias("s")).alias(q) for q in quantiles),
+    )
+    total = F.sum("count")
+    return first.groupBy(*by).agg(
         total.alias("count"),
         F.min("min").alias("min"),
         F.max("max").alias("max"),
-        F.first("__mu").alias("mean"),
-        F.sqrt(F.sum(spread) / total).alias("std"),
-        *(F.when(F.count(q) == F.count(F.lit(1)), F.sum(c * F.col(q)) / total).alias(q) for q in quantiles),
+        merged(F.collect_list("m"))["mean"].alias("mean"),
+        F.sqrt(merged(F.collect_list("m"))["m2"] / total).alias("std"),
+        *(F.when(F.sum(f"{q}.n") == F.sum("__rows"), F.sum(f"{q}.s") / total).alias(q) for q in quantiles),
     )
-    return agg
 
 
 def update_stats(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -95,24 +116,35 @@ def histogram_quantiles(rows: DataFrame, by: list[str], value: str, quantiles=QU
 def relative_chunk_stats(frames: DataFrame, action: str, state: str, horizon: int) -> DataFrame:
     """(count, min, max, mean, std) of action[t + k] - state[t] over all full windows of an episode.
 
-    A frame is joined with the ``horizon`` starts before it: equal keys, no windows of arrays.
+    A window's four numbers are rolling aggregates of the action, moved by the start's state; no frame is copied for each window.
     """
-    starts = frames.where(F.col("frame_index") + horizon <= F.col("length")).select(EPISODE, F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("k"), (F.col("frame_index") + F.col("k")).alias("at"), F.col(state).alias("s"))
-    rows = starts.join(frames.select(EPISODE, F.col("frame_index").alias("at"), F.col(action).alias("a")), [EPISODE, "at"])
-    d = F.col("a") - F.col("s")
-    return rows.agg(F.count(d).alias("count"), F.min(d).alias("min"), F.max(d).alias("max"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"))
+    w = Window.partitionBy(EPISODE).orderBy("frame_index").rowsBetween(0, horizon - 1)
+    a, s = F.col(action), F.col(state)
+    rows = frames.select(EPISODE, "frame_index", "length", (F.min(a).over(w) - s).alias("lo"), (F.max(a).over(w) - s).alias("hi"), (F.avg(a).over(w) - s).alias("m"), F.var_pop(a).over(w).alias("v"))
+    full = rows.where(F.col("frame_index") + horizon <= F.col("length"))
+    # All windows are of one size: the variance is the mean of the inner ones and the variance of the means.
+    return full.agg((F.count(F.lit(1)) * horizon).alias("count"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.avg("m").alias("mean"), F.sqrt(F.avg("v") + F.var_pop("m")).alias("std"))
 
 
-def axis_stats(rows: DataFrame, array: str, mode: str) -> DataFrame:
-    """Mean, population std and count of an array column per position (channel), per row or over everything (global)."""
-    long = rows.select(F.monotonically_increasing_id().alias("row"), F.posexplode(array).alias("channel", "v"))
-    by = {"channel": ["channel"], "row": ["row"], "global": []}[mode]
-    v = F.col("v").cast("double")
+def axis_stats(rows: DataFrame, array: str, mode: str, scale: float = 1.0, keep: list[str] | None = None) -> DataFrame:
+    """Mean, population std and count of an array column per position (channel), per row or over everything (global).
+
+    ``keep`` names further columns that stay as axes; for rows they are the row's name. Pixels (``scale`` 255) come out in 0..1.
+    """
+    keep = keep or []
+    long = rows.select(*keep, *([] if keep else [F.monotonically_increasing_id().alias("row")]), F.posexplode(array).alias("channel", "v"))
+    by = {"channel": [*keep, "channel"], "row": keep or ["row"], "global": keep}[mode]
+    v = F.col("v").cast("double") / scale
     return long.groupBy(*by).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
 
 
-def stats_violations(stats: DataFrame) -> DataFrame:
-    """(feature, problem) of stats that can't be right."""
+def stats_violations(stats: DataFrame, dims: dict[str, int] | None = None) -> DataFrame:
+    """(feature, problem) of stats that can't be right; ``dims`` says how many values a feature (of stats with ``dim``) has, an image one for each channel."""
+    if dims:
+        wanted = F.element_at(F.create_map(*(F.lit(x) for pair in dims.items() for x in pair)), F.col("feature"))
+        found = stats.groupBy("feature").agg(F.count_distinct("dim").alias("n"), F.min("dim").alias("lo"), F.max("dim").alias("hi"))
+        wrong = found.where((F.col("n") != wanted) | (F.col("lo") != 0) | (F.col("hi") != wanted - 1)).select("feature", F.lit("wrong shape").alias("problem"))
+        return stats_violations(stats).distinct().unionByName(wrong)
     checks = {
         "count below one": F.col("count") < 1,
         "min above max": F.col("min") > F.col("max"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trajframe.functions import vectors as V
 from trajframe.operators import stats as S
 from trajframe.plans.registry import query
-from trajframe.plans.views import frames, table, tasks
+from trajframe.plans.views import frames, half_of, table, tasks
 from trajframe.sources import dataset as D
 
 
@@ -46,12 +46,12 @@ def c11_task_remapping(spark, sf_dir):
     return frames(spark, sf_dir).join(F.broadcast(mapping), "task_index").select("idx", "new_task_index")
 
 
-@query("SELECT CAST(1 AS INTEGER) AS part, COUNT(*) AS n FROM fr WHERE episode_index < 75 UNION ALL SELECT 2, COUNT(*) FROM fr WHERE episode_index >= 75")
+@query(", h AS (SELECT (MAX(episode_index) + 1) // 2 AS h FROM ep) SELECT CAST(CASE WHEN episode_index < h THEN 1 ELSE 2 END AS INTEGER) AS part, COUNT(*) AS n, ROUND(SUM(s0), 2) AS total FROM fr, h GROUP BY 1")
 def g7_transition_concat(spark, sf_dir):
-    rows = frames(spark, sf_dir).select("episode_index", "s0")
-    a = rows.where("episode_index < 75").withColumn("part", F.lit(1))
-    b = rows.where("episode_index >= 75").withColumn("part", F.lit(2)).select("part", "s0", "episode_index")
-    return a.unionByName(b).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    rows, half = frames(spark, sf_dir).select("episode_index", "s0"), half_of(spark, sf_dir)
+    a = rows.where(F.col("episode_index") < half).withColumn("part", F.lit(1))
+    b = rows.where(F.col("episode_index") >= half).withColumn("part", F.lit(2)).select("part", "s0", "episode_index")
+    return a.unionByName(b).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("s0"), 2).alias("total"))
 
 
 @query("SELECT conv_id, turn AS frame_index, role, length(text) AS n FROM conversations")
@@ -84,9 +84,13 @@ def a18_file_report(spark, sf_dir):
     return D.file_report(table(spark, sf_dir, "events"))
 
 
-@query("SELECT DISTINCT episode_index FROM fr WHERE FALSE")
+@query("""
+SELECT 'embedding' AS "column", 'wrong length' AS problem, COUNT(*) AS n FROM embeddings WHERE label IN (3, 5) HAVING COUNT(*) > 0
+UNION ALL SELECT 'task', 'null value', COUNT(*) FROM embeddings WHERE label = 7 HAVING COUNT(*) > 0
+UNION ALL SELECT 'label', 'extra column', 1 UNION ALL SELECT 'state', 'missing column', 1
+""")
 def b17_frame_violations(spark, sf_dir):
-    """Nothing is found where the schema holds."""
-    rows = table(spark, sf_dir, "embeddings").select("embedding")
-    found = D.frame_violations(rows, {"embedding": {"dtype": "float32", "shape": [64]}})
-    return found.select(F.lit(0).cast("long").alias("episode_index"))
+    """Vectors of one label are cut short, those of another are null, a third has no task; a column is missing, another is too much."""
+    cut = F.when(F.col("label") == 3, F.slice("embedding", 1, 60)).when(F.col("label") != 5, F.col("embedding"))
+    rows = table(spark, sf_dir, "embeddings").select(cut.alias("embedding"), F.when(F.col("label") != 7, F.lit("t")).alias("task"), "label")
+    return D.frame_violations(rows, {"embedding": {"dtype": "float32", "shape": [64]}, "task": {"dtype": "string", "shape": [1]}, "state": {"dtype": "float32", "shape": [1]}})

@@ -7,31 +7,36 @@ from pyspark.sql import functions as F
 
 from trajframe.operators import edit as E
 from trajframe.plans.registry import query
-from trajframe.plans.views import episodes, frames, table, tasks
+from trajframe.plans.views import episodes, frames, half_of, table, tasks
 
 
 def _parts(spark, sf_dir):
-    """The frames in two datasets, each numbered from 0: users under 75 and the others."""
-    rows = frames(spark, sf_dir).select("episode_index", "frame_index", "task", "s0")
+    """The frames in two datasets (frames, tasks, episodes), each numbered from 0: the first half of the episodes and the others."""
+    rows, known, half = frames(spark, sf_dir).select("episode_index", "frame_index", "task", "s0"), episodes(spark, sf_dir), half_of(spark, sf_dir)
     out = []
-    for half in (rows.where("episode_index < 75"), rows.where("episode_index >= 75")):
-        own = E.renumber(half, half.select("episode_index").distinct())
-        kinds = half.select("task").distinct().withColumn("task_index", (F.row_number().over(Window.orderBy("task")) - 1).cast("long"))
-        own = own.join(F.broadcast(kinds), "task").select(F.col("new_episode_index").alias("episode_index"), "frame_index", F.col("new_index").alias("index"), "task_index", "s0")
-        out.append((own, kinds))
+    for own in (F.col("episode_index") < half, F.col("episode_index") >= half):
+        kept = E.kept_episodes(known.where(own))
+        part = E.renumber(rows.where(own), kept)
+        kinds = rows.where(own).select("task").distinct().withColumn("task_index", (F.row_number().over(Window.orderBy("task")) - 1).cast("long"))
+        part = part.join(F.broadcast(kinds), "task").select(F.col("new_episode_index").alias("episode_index"), "frame_index", F.col("new_index").alias("index"), "task_index", "s0")
+        out.append((part, kinds, kept.select(F.col("new_episode_index").alias("episode_index"), "length")))
     return out
 
 
-@query("SELECT episode_index, frame_index, idx AS index, task_index, task, ROUND(s0, 4) AS s0, CASE WHEN episode_index < 75 THEN 0 ELSE 1 END AS dataset_index FROM fr")
+_HALF = ", h AS (SELECT (MAX(episode_index) + 1) // 2 AS h FROM ep)"
+
+
+@query(_HALF + """, o AS (SELECT task, MIN(CASE WHEN episode_index < h THEN 0 ELSE 1 END) AS p FROM fr, h GROUP BY 1), n AS (SELECT task, ROW_NUMBER() OVER (ORDER BY p, task) - 1 AS task_index FROM o)
+SELECT episode_index, frame_index, idx AS index, n.task_index, task, ROUND(s0, 4) AS s0, CASE WHEN episode_index < h THEN 0 ELSE 1 END AS dataset_index FROM fr JOIN n USING (task), h""")
 def g1_merge_datasets(spark, sf_dir):
     """Splitting and merging again gives the frames back: episodes and indices shift to where they were."""
     merged, _ = E.merge_datasets(_parts(spark, sf_dir))
     return merged.select("episode_index", "frame_index", "index", "task_index", "task", F.round("s0", 4).alias("s0"), "dataset_index")
 
 
-@query("SELECT CASE WHEN episode_index < 75 THEN 0 ELSE 1 END AS dataset_index, COUNT(*) AS n, ROUND(SUM(s0), 2) AS total FROM fr GROUP BY 1")
+@query(_HALF + "SELECT CASE WHEN episode_index < h THEN 0 ELSE 1 END AS dataset_index, COUNT(*) AS n, ROUND(SUM(s0), 2) AS total FROM fr, h GROUP BY 1")
 def g2_concatenated_view(spark, sf_dir):
-    (a, _), (b, _) = _parts(spark, sf_dir)
+    (a, *_), (b, *_) = _parts(spark, sf_dir)
     both = E.common_features([a.withColumn("only_here", F.lit(1)), b])
     return both.groupBy("dataset_index").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("s0"), 2).alias("total"))
 
@@ -41,7 +46,7 @@ def g2_concatenated_view(spark, sf_dir):
 SELECT event_id, ne AS new_episode_index, nf + frame_index AS new_index FROM fr JOIN k USING (episode_index)
 """)
 def g4_delete_episodes(spark, sf_dir):
-    return E.delete_episodes(frames(spark, sf_dir), [0, 7, 12]).select("event_id", "new_episode_index", "new_index")
+    return E.delete_episodes(frames(spark, sf_dir), [0, 7, 12], episodes(spark, sf_dir)).select("event_id", "new_episode_index", "new_index")
 
 
 @query("""
@@ -109,10 +114,14 @@ def c14_metadata_assembly(spark, sf_dir):
     return E.assemble_metadata({"episodes": e, "stats": s}).select("episode_index", F.array_join("missing", ",").alias("missing"))
 
 
-@query("SELECT 'kind' AS \"column\", 'x' AS value, TRUE AS agreed UNION ALL SELECT 'n_regionkey', NULL, FALSE")
+@query("""
+, o AS (SELECT o_custkey % 7 AS c, CASE WHEN o_orderdate < DATE '2100-01-01' THEN o_orderstatus END AS s, CAST(o_custkey % 1 AS VARCHAR) AS z FROM orders),
+l AS (SELECT 'c' AS "column", CAST(c AS VARCHAR) AS v FROM o UNION ALL SELECT 's', s FROM o UNION ALL SELECT 'z', z FROM o)
+SELECT "column", CASE WHEN COUNT(DISTINCT coalesce(v, 'null')) = 1 THEN MIN(coalesce(v, 'null')) END AS value, COUNT(DISTINCT coalesce(v, 'null')) = 1 AS agreed FROM l GROUP BY 1
+""")
 def d28_metadata_agreement(spark, sf_dir):
-    meta = table(spark, sf_dir, "nation").withColumn("kind", F.lit("x"))
-    return E.agreement(meta, ["kind", "n_regionkey"], "n_nationkey")
+    meta = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("c"), F.col("o_orderstatus").alias("s"), (F.col("o_custkey") % 1).cast("string").alias("z"))
+    return E.agreement(meta, ["c", "s", "z"], "c")
 
 
 @query("SELECT task, task_index FROM tk UNION ALL SELECT o_orderstatus, 4 + ROW_NUMBER() OVER (ORDER BY o_orderstatus) FROM (SELECT DISTINCT o_orderstatus FROM orders) x")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trajframe.functions.vectors import euler_to_quaternion
 from trajframe.operators import evaluate as V
 from trajframe.plans.registry import query
 from trajframe.plans.views import events, frames, table
@@ -33,11 +34,15 @@ def d13_evaluation_rollup(spark, sf_dir):
 
 
 @query("""
-, x AS (SELECT episode_index, t, sqrt(pow(s0 - lag(s0) OVER w, 2) + pow(s1 - lag(s1) OVER w, 2)) AS d FROM fr WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index))
-SELECT episode_index, ROUND(MAX(t) - MIN(t), 2) AS duration, ROUND(SUM(d), 3) AS path_length FROM x GROUP BY 1 HAVING COUNT(*) >= 4
+, x AS (SELECT episode_index, t, sqrt(pow(s0 - lag(s0) OVER w, 2) + pow(s1 - lag(s1) OVER w, 2)) AS d, abs(s0 - lag(s0) OVER w) / 100 / nullif(t - lag(t) OVER w, 0) AS turn FROM fr WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index))
+SELECT episode_index, ROUND(MAX(t) - MIN(t), 2) AS duration, ROUND(SUM(d), 3) AS path_length, ROUND(MAX(turn) * 1000, 5) AS peak_turn, ROUND(AVG(turn) * 1000, 5) AS mean_turn FROM x GROUP BY 1 HAVING COUNT(*) >= 4
 """)
 def d14_kinematics(spark, sf_dir):
-    return V.kinematics(frames(spark, sf_dir), ["s0", "s1"], "t").select("episode_index", F.round("duration", 2).alias("duration"), F.round("path_length", 3).alias("path_length"))
+    """Positions from two columns, a turn about one axis from the first."""
+    q = euler_to_quaternion(F.lit(0.0), F.lit(0.0), F.col("s0") / 100)
+    rows = V.kinematics(frames(spark, sf_dir).withColumn("q", q), ["s0", "s1"], "t", "q")
+    turns = (F.round(F.col(c) * 1000, 5).alias(c) for c in ("peak_turn", "mean_turn"))
+    return rows.select("episode_index", F.round("duration", 2).alias("duration"), F.round("path_length", 3).alias("path_length"), *turns)
 
 
 @query()
@@ -59,11 +64,13 @@ def d16_expert_reference(spark, sf_dir):
     return points.where("episode_index % 10 = 0").groupBy("point").agg(F.round(F.avg("s0"), 5).alias("s0"))
 
 
-@query(_POINTS + "SELECT pt.episode_index, ROUND(AVG(abs(pt.s0 - rf.s0)), 5) AS mean_error, ROUND(MAX(abs(pt.s0 - rf.s0)), 5) AS max_error, ROUND(sqrt(AVG(pow(pt.s0 - rf.s0, 2))), 5) AS rmse FROM pt JOIN rf ON rf.point = pt.point GROUP BY 1")
+@query(_POINTS + "SELECT pt.episode_index, ROUND(AVG(abs(pt.s0 - rf.s0)), 5) AS mean_error, ROUND(MAX(abs(pt.s0 - rf.s0)), 5) AS max_error, ROUND(sqrt(AVG(pow(pt.s0 - rf.s0, 2))), 5) AS rmse, ROUND(AVG(abs(pt.s0 - rf.s0)) / 100, 3) AS mean_turn FROM pt JOIN rf ON rf.point = pt.point GROUP BY 1")
 def d15_accuracy(spark, sf_dir):
     points = V.resample(frames(spark, sf_dir), ["s0"], 10)
     reference = points.where("episode_index % 10 = 0").groupBy("point").agg(F.avg("s0").alias("s0"))
-    return V.accuracy(points, reference, ["s0"]).select("episode_index", *(F.round(c, 5).alias(c) for c in ("mean_error", "max_error", "rmse")))
+    turned = lambda rows: rows.withColumn("q", euler_to_quaternion(F.lit(0.0), F.lit(0.0), F.col("s0") / 100))
+    found = V.accuracy(turned(points), turned(reference), ["s0"], "q")
+    return found.select("episode_index", *(F.round(c, 5).alias(c) for c in ("mean_error", "max_error", "rmse")), F.round("mean_turn", 3).alias("mean_turn"))
 
 
 _G = """

@@ -90,7 +90,7 @@ def c3_frame_episode_join(spark, sf_dir):
 SELECT fr.episode_index, frame_index, ne AS new_episode_index, nf + frame_index AS new_index FROM fr JOIN k USING (episode_index)
 """)
 def e10_dense_renumbering(spark, sf_dir):
-    kept = episodes(spark, sf_dir).where("episode_index % 3 <> 0").select("episode_index")
+    kept = numbering.kept_episodes(episodes(spark, sf_dir).where("episode_index % 3 <> 0"))
     return numbering.renumber(frames(spark, sf_dir), kept).select("episode_index", "frame_index", "new_episode_index", "new_index")
 
 

@@ -47,12 +47,14 @@ def h9_stage_to_progress(spark, sf_dir):
 
 
 @query(_IV + """
-, l AS (SELECT episode_index, name, 4.0 AS d FROM iv GROUP BY 1, 2), t AS (SELECT episode_index, COUNT(*) * 4.0 AS total FROM iv GROUP BY 1),
+, dv AS (SELECT episode_index, name, pos, 4.0::DOUBLE + (episode_index + 3 * pos) % 7 AS d FROM iv), l AS (SELECT episode_index, name, arg_max(d, pos) AS d FROM dv GROUP BY 1, 2), t AS (SELECT episode_index, SUM(d) AS total FROM dv GROUP BY 1),
 p AS (SELECT name, AVG(d / total) AS p FROM l JOIN t USING (episode_index) GROUP BY 1)
 SELECT name, ROUND(p / SUM(p) OVER (), 6) AS proportion FROM p
 """)
 def d11_temporal_proportions(spark, sf_dir):
-    return P.proportions(_intervals(spark, sf_dir)).withColumn("proportion", F.round("proportion", 6))
+    """Stages of different lengths, some names twice in an episode."""
+    spans = _intervals(spark, sf_dir).withColumn("end", F.col("end") + (F.col("episode_index") + 3 * F.col("pos")) % 7)
+    return P.proportions(spans).withColumn("proportion", F.round("proportion", 6))
 
 
 _DELTA = """
@@ -83,15 +85,16 @@ def e18_batch_normalised_weights(spark, sf_dir):
 @query(_IV + """
 , s AS (SELECT f.episode_index, f.frame_index, CASE WHEN f.frame_index < 3 THEN 0.0 WHEN f.frame_index > (nv.n - 1) * 6 + 7 THEN nv.n - 1 + 0.999 WHEN (f.frame_index - 3) % 6 = 5 THEN (f.frame_index - 3) // 6 + 1.0
   ELSE (f.frame_index - 3) // 6 + least((f.frame_index - 3) % 6 / 4.0, CASE WHEN (f.frame_index - 3) // 6 = nv.n - 1 THEN 0.999 ELSE 1.0 END) END AS stage FROM fr f JOIN nv ON nv.episode_index = f.episode_index)
-SELECT episode_index, frame_index, ROUND(stage - coalesce(lag(stage, 4) OVER w, first_value(stage) OVER w), 4) AS gain FROM s WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index)
+SELECT episode_index, frame_index, ROUND(coalesce(lag(stage, 4) OVER w, first_value(stage) OVER w), 4) AS back, ROUND(stage, 4) AS now,
+  ROUND(coalesce(lead(stage, 4) OVER w, last_value(stage) OVER (PARTITION BY episode_index ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), 4) AS ahead FROM s WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index)
 """)
 def e28_progress_targets(spark, sf_dir):
-    """Stage + tau at each slot of a symmetric window; the gain over the slot four frames back."""
+    """Stage + tau at each slot of a symmetric window."""
     from trajframe.operators.windows import delta_window
 
     staged = P.stage_and_tau(frames(spark, sf_dir).select(*KEYS), _intervals(spark, sf_dir))
     rows = delta_window(staged, "stage", [-4, 0, 4])
-    return rows.select(*KEYS, F.round(F.get("stage_window", F.lit(1)) - F.get("stage_window", F.lit(0)), 4).alias("gain"))
+    return rows.select(*KEYS, *(F.round(F.get("stage_window", F.lit(i)), 4).alias(n) for i, n in enumerate(("back", "now", "ahead"))))
 
 
 @query(_IV + "SELECT iv.episode_index, CAST(pos AS INTEGER) AS pos, name, ROUND(a / 10.0, 2)::DOUBLE AS start FROM iv JOIN ep USING (episode_index)")

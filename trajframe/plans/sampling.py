@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trajframe.operators import sampling as S
@@ -26,10 +27,15 @@ def f2_episode_sampler(spark, sf_dir):
     return S.episode_sampler(frames(spark, sf_dir), 5, 3, [1, 2, 3, 50]).select(*KEYS)
 
 
-@query("SELECT COUNT(*) AS n, COUNT(DISTINCT idx) AS n_distinct FROM fr")
+@query("SELECT COUNT(*) AS n, COUNT(DISTINCT idx) AS n_distinct, CAST(0 AS BIGINT) AS out_of_order, CAST(0 AS BIGINT) AS overlaps, MIN(CAST('0x' || substr(md5(idx || ':3'), 1, 8) AS BIGINT)) AS first_key FROM fr")
 def f3_shuffle(spark, sf_dir):
-    """A permutation: every frame once, in an order given by the seed."""
-    return S.shuffled(frames(spark, sf_dir), ["idx"], 3).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("idx").alias("n_distinct"))
+    """A permutation: every frame once, rising by a hash of index and seed inside each partition and from one partition to the next."""
+    rows = S.shuffled(frames(spark, sf_dir).select("idx"), ["idx"], 3)
+    placed = rows.select("idx", S.hashed(F.col("idx"), F.lit(3)).alias("k"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at"))
+    steps = placed.withColumn("late", F.col("k") < F.lag("k").over(Window.partitionBy("p").orderBy("at")))
+    parts = steps.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("idx").alias("d"), F.count_if("late").alias("late"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    parts = parts.withColumn("overlap", F.col("lo") < F.max("hi").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)))
+    return parts.agg(F.sum("n").alias("n"), F.sum("d").alias("n_distinct"), F.sum("late").alias("out_of_order"), F.count_if("overlap").alias("overlaps"), F.min("lo").alias("first_key"))
 
 
 @query("""
@@ -43,7 +49,7 @@ def f4_fraction_per_episode(spark, sf_dir):
 @query("""
 , n AS (SELECT COUNT(*) AS c FROM fr)
 SELECT CAST(i.i AS BIGINT) AS draw, fr.idx, CASE WHEN k.k = 0 THEN 'online' ELSE 'offline' END AS source
-FROM n, (VALUES (0, 64), (1, 192)) k(k, m), range(0, 192) i(i), fr WHERE i.i < k.m AND fr.idx = ((i.i + k.k) * 2654435761) % n.c
+FROM n, (VALUES (0, 64), (1, 192)) k(k, m), range(0, 192) i(i), fr WHERE i.i < k.m AND fr.idx = CAST('0x' || substr(md5(i.i || ':' || k.k), 1, 8) AS BIGINT) % n.c
 """)
 def f5_mixed_batch(spark, sf_dir):
     rows = frames(spark, sf_dir).select("idx")

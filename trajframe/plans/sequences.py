@@ -148,12 +148,14 @@ def e19_upsample(spark, sf_dir):
 
 
 def _chunks(spark, sf_dir, every: int, horizon: int):
+    """Every chunk predicts its own values for a step: the true one, off by a number that goes with the chunk's start."""
     rows = frames(spark, sf_dir).withColumn("a", F.collect_list("s0").over(W.in_order().rowsBetween(0, horizon - 1)))
+    rows = rows.withColumn("a", F.transform("a", lambda x: x + F.col("frame_index") % 11 * 0.5))
     return rows.where((F.col("frame_index") % every == 0) & (F.size("a") == horizon)).select("episode_index", F.col("frame_index").alias("start_step"), F.col("event_id").alias("arrival"), F.col("a").alias("actions"))
 
 
 _CHUNKS = """
-, c AS (SELECT f.episode_index, f.frame_index AS start_step, f.event_id AS arrival, k.k, f.frame_index + k.k AS target, g.s0 * (1 + f.frame_index * 0.0) AS a
+, c AS (SELECT f.episode_index, f.frame_index AS start_step, f.event_id AS arrival, k.k, f.frame_index + k.k AS target, g.s0 + f.frame_index % 11 * 0.5::DOUBLE AS a
         FROM fr f JOIN range(0, 8) k(k) ON TRUE JOIN fr g ON g.episode_index = f.episode_index AND g.frame_index = f.frame_index + k.k WHERE f.frame_index % 3 = 0 AND f.frame_index + 8 <= f.length)
 """
 
@@ -166,7 +168,10 @@ def e20_temporal_ensemble(spark, sf_dir):
     return W.temporal_ensemble(_chunks(spark, sf_dir, 3, 8), 0.01).withColumn("value", F.round("value", 4))
 
 
-@query(_CHUNKS + "SELECT episode_index, target, ROUND(arg_min(a, arrival), 4) AS value, COUNT(*) AS n FROM c WHERE target > 10 GROUP BY 1, 2")
+@query(_CHUNKS + """
+, o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY episode_index, target ORDER BY arrival) AS r, COUNT(*) OVER (PARTITION BY episode_index, target) AS m FROM c WHERE target > 10)
+SELECT episode_index, target, ROUND(SUM(a * pow(0.5, CASE WHEN r = 1 THEN m - 1 ELSE m - r + 1 END)), 4) AS value, COUNT(*) AS n FROM o GROUP BY 1, 2
+""")
 def e21_overlap_merge(spark, sf_dir):
     return W.merge_overlaps(_chunks(spark, sf_dir, 3, 8), "average", F.lit(10)).withColumn("value", F.round("value", 4))
 
@@ -219,7 +224,14 @@ def e27_stride(spark, sf_dir):
     return W.strided(frames(spark, sf_dir), 7).select(*KEYS)
 
 
-@query()
+@query("""
+, kept AS (
+  SELECT episode_index, frame_index FROM fr WHERE frame_index = 0
+  UNION ALL
+  SELECT k.episode_index, MIN(f.frame_index) FROM kept k JOIN fr c ON c.episode_index = k.episode_index AND c.frame_index = k.frame_index
+  JOIN fr f ON f.episode_index = k.episode_index AND f.frame_index > k.frame_index AND sqrt(pow(f.s0 - c.s0, 2) + pow(f.s1 - c.s1, 2)) >= 20 GROUP BY k.episode_index)
+SELECT episode_index, frame_index FROM kept
+""")
 def e29_near_duplicate_runs(spark, sf_dir):
     return W.drop_near_duplicates(frames(spark, sf_dir), ["s0", "s1"], 20.0)
 

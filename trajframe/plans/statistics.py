@@ -91,9 +91,42 @@ def d1_vector_stats(spark, sf_dir):
     return rows.select("label", "dim", "count", F.round("min", 5).alias("min"), F.round("mean", 5).alias("mean"))
 
 
-@query("SELECT 's0' AS feature, 'missing value' AS problem FROM ep WHERE FALSE")
+@query(_PER + """
+, b AS (SELECT 'ep' || episode_index AS feature, CASE WHEN episode_index % 5 = 2 THEN 0 ELSE count END AS count, CASE WHEN episode_index % 5 = 0 THEN max + 1 ELSE min END AS min, max,
+  CASE WHEN episode_index % 5 = 3 THEN NULL ELSE mean END AS mean, CASE WHEN episode_index % 5 = 1 THEN -1 ELSE std END AS std FROM per WHERE feature = 's0')
+SELECT feature, 'count below one' AS problem FROM b WHERE count < 1 UNION ALL SELECT feature, 'min above max' FROM b WHERE min > max
+UNION ALL SELECT feature, 'mean outside range' FROM b WHERE mean < min - 1e-9 OR mean > max + 1e-9 UNION ALL SELECT feature, 'negative std' FROM b WHERE std < 0
+UNION ALL SELECT feature, 'missing value' FROM b WHERE mean IS NULL
+""")
 def d8_stats_violations(spark, sf_dir):
-    return S.stats_violations(S.merge_stats(S.per_episode_stats(frames(spark, sf_dir), ["s0", "s1"])))
+    """Statistics of every episode, four of five of them broken in some way."""
+    per = S.per_episode_stats(frames(spark, sf_dir), ["s0"])
+    kind = F.col("episode_index") % 5
+    broken = per.select(
+        F.concat(F.lit("ep"), "episode_index").alias("feature"),
+        F.when(kind == 2, 0).otherwise(F.col("count")).alias("count"),
+        F.when(kind == 0, F.col("max") + 1).otherwise(F.col("min")).alias("min"),
+        "max",
+        F.when(kind != 3, F.col("mean")).alias("mean"),
+        F.when(kind == 1, F.lit(-1.0)).otherwise(F.col("std")).alias("std"),
+    )
+    return S.stats_violations(broken)
+
+
+@query("SELECT 'embedding' || label AS feature, 'wrong shape' AS problem FROM embeddings WHERE label % 3 <> 0 GROUP BY label")
+def d8_stats_shapes(spark, sf_dir):
+    """A feature has stats for each of its values; a third of the labels say how many there are."""
+    rows = table(spark, sf_dir, "embeddings")
+    stats = S.vector_stats(rows, "embedding", "label").select(F.concat(F.lit("embedding"), "label").alias("feature"), "dim", "count", "min", "max", "mean", "std")
+    labels = [r[0] for r in rows.select("label").distinct().collect()]  # ten of them
+    return S.stats_violations(stats, {f"embedding{k}": 64 if k % 3 == 0 else 63 for k in labels})
+
+
+@query("SELECT vec_id AS row, COUNT(*) AS count, ROUND(AVG(v::DOUBLE / 255), 9) AS mean, ROUND(STDDEV_POP(v::DOUBLE / 255), 9) AS std FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings) x GROUP BY 1")
+def d7_axis_stats_per_row(spark, sf_dir):
+    """Pixels of each image as one: the row is the axis that stays."""
+    rows = S.axis_stats(table(spark, sf_dir, "embeddings").select("embedding", "vec_id"), "embedding", "row", scale=255.0, keep=["vec_id"])
+    return rows.select(F.col("vec_id").alias("row"), "count", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
 @query("SELECT task, ROUND(MIN(s0), 4) AS min_s0, ROUND(MAX(s0), 4) AS max_s0, ROUND(MIN(s1), 4) AS min_s1, ROUND(MAX(s1), 4) AS max_s1 FROM fr GROUP BY task")

@@ -47,25 +47,37 @@ def i4_incremental_stats(spark, sf_dir):
     """Stats merged from all batches equal those over all frames."""
     folder = new_folder(spark)
     rows = _arriving(spark, sf_dir)
-    for part in [r[0] for r in rows.select("part").distinct().orderBy("part").collect()]:
-        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    q = S.incremental_stats(S.read_frames(spark, f"{folder}/in", rows.drop("part").schema, 1), ["s0"], f"{folder}/stats", f"{folder}/marks")
+    S.arrivals(rows, "part", f"{folder}/in")
+    q = S.incremental_stats(S.read_frames(spark, f"{folder}/in", rows.drop("part").schema, S.FILES), ["s0"], f"{folder}/stats", f"{folder}/marks")
     q.processAllAvailable()
     q.stop()
     return S.stored_stats(spark, f"{folder}/stats").select("feature", "count", F.round("min", 4).alias("min"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query()
+@query("""
+, kept AS (
+  SELECT episode_index, frame_index FROM fr WHERE frame_index = 0
+  UNION ALL
+  SELECT k.episode_index, MIN(f.frame_index) FROM kept k JOIN fr c ON c.episode_index = k.episode_index AND c.frame_index = k.frame_index
+  JOIN fr f ON f.episode_index = k.episode_index AND f.frame_index > k.frame_index AND sqrt(pow(f.s0 - c.s0, 2) + pow(f.s1 - c.s1, 2)) >= 20 GROUP BY k.episode_index)
+SELECT episode_index, frame_index FROM kept
+""")
 def i5_similarity_gate(spark, sf_dir):
     return _run(spark, sf_dir, lambda s: S.similarity_gate(s, ["s0", "s1"], 20.0))
 
 
-@query("SELECT episode_index, COUNT(*) AS n, CAST(SUM(CASE WHEN frame_index % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_late FROM fr GROUP BY 1")
+@query("""
+, p AS (SELECT episode_index, frame_index AS f, s0, coalesce(0.3 * lag(s0) OVER (PARTITION BY episode_index ORDER BY frame_index) + 0.7 * s0, s0) AS merged FROM fr)
+SELECT episode_index, f + 6 AS target, ROUND(s0, 4) AS value, FALSE AS late FROM p
+UNION ALL SELECT episode_index, CASE WHEN f % 4 = 0 THEN f ELSE f + 5 END, ROUND(CASE WHEN f % 4 = 0 THEN s0 ELSE merged END, 4), f % 4 = 0 FROM p
+""")
 def i6_late_actions(spark, sf_dir):
-    """Every fourth action is for the step that has just been executed, the others for later ones."""
-    shaped = lambda s: s.select("episode_index", (F.col("frame_index") + F.when(F.col("frame_index") % 4 == 0, 0).otherwise(5)).alias("target"), F.col("s0").alias("value"), F.col("frame_index").alias("executed"))
+    """Each frame sends an action for six steps on and one for five steps on, which merges with the one before; every fourth sends
+    the latter for the step that has just been executed."""
+    near = F.col("frame_index") + F.when(F.col("frame_index") % 4 == 0, 0).otherwise(5)
+    shaped = lambda s: s.select("episode_index", F.explode(F.array(near, F.col("frame_index") + 6)).alias("target"), F.col("s0").alias("value"), F.col("frame_index").alias("executed"), "is_last")
     rows = _run(spark, sf_dir, lambda s: S.late_actions(shaped(s)))
-    return rows.groupBy("episode_index").agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("n_late"))
+    return rows.select("episode_index", "target", F.round("value", 4).alias("value"), "late")
 
 
 @query("""
@@ -79,14 +91,19 @@ def i7_pre_roll(spark, sf_dir):
     return rows.select("episode_index", "frame_index")
 
 
-@query("SELECT episode_index, frame_index, ROUND(coalesce((s0 - lag(s0) OVER (PARTITION BY episode_index ORDER BY frame_index)) / 0.1::DOUBLE, 0), 3) AS velocity, frame_index + 1 >= 40 AS truncated FROM fr")
+@query("""
+, m AS (SELECT *, task IN ('click', 'view') AS en FROM fr), e AS (SELECT *, en AND NOT coalesce(lag(en) OVER (PARTITION BY episode_index ORDER BY frame_index), FALSE) AS edge FROM m)
+SELECT episode_index, frame_index, ROUND(coalesce((s0 - lag(s0) OVER w) / 0.1::DOUBLE, 0), 3) AS velocity, frame_index + 1 >= 40 AS truncated,
+  ROUND(last_value(CASE WHEN edge THEN s0 END IGNORE NULLS) OVER w, 4) AS reference, ROUND(last_value(CASE WHEN en THEN s0 END IGNORE NULLS) OVER w, 4) AS command
+FROM e WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+""")
 def i8_row_features(spark, sf_dir):
-    rows = _run(spark, sf_dir, lambda s: S.row_features(s, "s0", 0.1, 40))
-    return rows.select("episode_index", "frame_index", F.round("velocity", 3).alias("velocity"), "truncated")
+    rows = _run(spark, sf_dir, lambda s: S.row_features(s.withColumn("on", F.col("task").isin("click", "view")), "s0", 0.1, 40, "on"))
+    return rows.select("episode_index", "frame_index", F.round("velocity", 3).alias("velocity"), "truncated", F.round("reference", 4).alias("reference"), F.round("command", 4).alias("command"))
 
 
 @query("SELECT task, COUNT(*) AS n, ROUND((COUNT(*) - 1) / (MAX(t) - MIN(t)) * 1000, 6) AS rate FROM fr GROUP BY 1")
 def i9_rates(spark, sf_dir):
-    """The aggregate that the streaming form keeps in complete mode, over all that has arrived."""
-    rows = _run(spark, sf_dir, lambda s: s.select("task", "t"))
-    return S.rates(rows, "task", "t").select("task", "n", F.round(F.col("rate") * 1000, 6).alias("rate"))
+    """The aggregate is kept by the stream; its last result is over all that has arrived."""
+    rows = _run(spark, sf_dir, lambda s: S.rates(s, "task", "t"), "complete")
+    return rows.select("task", "n", F.round(F.col("rate") * 1000, 6).alias("rate"))

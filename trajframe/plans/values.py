@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,14 +106,20 @@ def h4_euler_and_geodesic(spark, sf_dir):
     return rows.select(*KEYS, _r(F.get("q", F.lit(0))).alias("qx"), _r(V.geodesic(F.col("q"), one), 5).alias("angle"))
 
 
-@query("SELECT episode_index, frame_index, ROUND(s0, 4) AS x, ROUND(s1, 4) AS y, 0.0::DOUBLE AS z FROM fr")
+@query("""
+, a AS (SELECT episode_index, frame_index, s0, s1, s0 / 100 AS r, s1 / 100 AS p, 0.3::DOUBLE AS y FROM fr)
+SELECT episode_index, frame_index, ROUND(s0, 4) AS x, ROUND(s1, 4) AS y, 0.0::DOUBLE AS z,
+  ROUND(cos(p) * cos(y) * s0 + (sin(r) * sin(p) * cos(y) - cos(r) * sin(y)) * s1, 4) AS tx,
+  ROUND(cos(p) * sin(y) * s0 + (sin(r) * sin(p) * sin(y) + cos(r) * cos(y)) * s1, 4) AS ty, ROUND(-sin(p) * s0 + sin(r) * cos(p) * s1, 4) AS tz FROM a
+""")
 def h5_rotation_round_trip(spark, sf_dir):
-    """A vector turned by a rotation and back by its inverse, and the rotation through its vector form, is itself."""
+    """A turned vector, and the one that comes back by the inverse of the rotation taken through its vector form."""
     q = V.euler_to_quaternion(F.col("s0") / 100, F.col("s1") / 100, F.lit(0.3))
     rows = frames(spark, sf_dir).select(*KEYS, q.alias("q"), F.array(F.col("s0"), F.col("s1"), F.lit(0.0)).alias("v"))
     again = rows.withColumn("p", V.rotvec_to_quaternion(V.quaternion_to_rotvec(F.col("q"))))
-    back = again.withColumn("w", V.rotate(V.quaternion_inverse(F.col("p")), V.rotate(F.col("q"), F.col("v"))))
-    return back.select(*KEYS, *(F.abs(_r(F.get("w", F.lit(i)), 4)).alias(n) for i, n in enumerate("xyz")))
+    turned = again.withColumn("t", V.rotate(F.col("q"), F.col("v")))
+    back = turned.withColumn("w", V.rotate(V.quaternion_inverse(F.col("p")), F.col("t")))
+    return back.select(*KEYS, *(F.abs(_r(F.get("w", F.lit(i)), 4)).alias(n) for i, n in enumerate("xyz")), *(_r(F.get("t", F.lit(i)), 4).alias(f"t{n}") for i, n in enumerate("xyz")))
 
 
 @query()
@@ -150,12 +158,19 @@ def h16_pose_state(spark, sf_dir):
     return rows.select(*KEYS, _r(F.get("p", F.lit(5))).alias("axis_angle_z"), F.size("p").alias("dims"))
 
 
-@query("SELECT vec_id, ROUND(1.0, 5)::DOUBLE AS length, ROUND(0.0, 5)::DOUBLE AS skew FROM embeddings")
+@query("""
+, e AS (SELECT vec_id, embedding[1]::DOUBLE AS a1, embedding[2]::DOUBLE AS a2, embedding[3]::DOUBLE AS a3, embedding[4]::DOUBLE AS b1, embedding[5]::DOUBLE AS b2, embedding[6]::DOUBLE AS b3 FROM embeddings),
+x AS (SELECT *, a1 / n AS x1, a2 / n AS x2, a3 / n AS x3 FROM (SELECT *, greatest(sqrt(a1*a1 + a2*a2 + a3*a3), 1e-6) AS n FROM e) q),
+d AS (SELECT *, b1 - d * x1 AS c1, b2 - d * x2 AS c2, b3 - d * x3 AS c3 FROM (SELECT *, x1*b1 + x2*b2 + x3*b3 AS d FROM x) q),
+y AS (SELECT *, c1 / m AS y1, c2 / m AS y2, c3 / m AS y3 FROM (SELECT *, greatest(sqrt(c1*c1 + c2*c2 + c3*c3), 1e-6) AS m FROM d) q)
+SELECT vec_id, ROUND(x1, 5) AS x1, ROUND(y2, 5) AS y2, ROUND(x1*y2 - x2*y1, 5) AS z3, ROUND(acos(least(greatest((x1 + y2 + x1*y2 - x2*y1 - 1) / 2, -1), 1)), 4) AS angle FROM y
+""")
 def h17_six_dimensional(spark, sf_dir):
-    """The rotation of any 6-vector has columns of length one at right angles."""
+    """The rotation of a 6-vector: the diagonal of its matrix, and the length of its axis-angle form."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", V.six_to_columns(F.slice(F.col("embedding").cast("array<double>"), 1, 6)).alias("m"))
-    x, y, z = (F.get("m", F.lit(i)) for i in range(3))
-    return rows.select("vec_id", F.round(V.norm(z), 5).alias("length"), F.abs(F.round(V.dot(x, y), 5)).alias("skew"))
+    at = lambda c, r: F.get(F.get("m", F.lit(c)), F.lit(r))
+    angle = V.norm(V.quaternion_to_axis_angle(V.columns_to_quaternion(F.col("m"))))
+    return rows.select("vec_id", _r(at(0, 0), 5).alias("x1"), _r(at(1, 1), 5).alias("y2"), _r(at(2, 2), 5).alias("z3"), _r(F.least(angle, F.lit(2 * math.pi) - angle), 4).alias("angle"))
 
 
 @query("SELECT vec_id, ROUND((embedding[19])::DOUBLE, 6) AS cropped, ROUND((embedding[64])::DOUBLE, 6) AS turned, CAST(4 AS INTEGER) AS strided FROM embeddings")

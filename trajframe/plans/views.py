@@ -1,6 +1,7 @@
 """The events table seen as trajectories: users are episodes, their events frames, event types tasks.
 
-``VIEWS`` gives the same tables to the oracle, as common table expressions.
+Frames, episodes and tasks are derived from the events once for each session and table folder and written as Parquet to the shared
+folder, as a dataset would hold them; queries scan that. ``VIEWS`` gives the same tables to the oracle, as common table expressions.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajframe.operators.numbering import cumulative_offsets
+from trajframe.streaming.storage import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,20 +29,47 @@ def events(spark, sf_dir) -> DataFrame:
     )
 
 
+#: Where the derived tables of a session lie, by application, source folder and name.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def written(spark, sf_dir, name: str, derive, key: str) -> DataFrame:
+    """A derived table, written at its first use: clustered by ``key``, so that filters on it and on what rises with it skip files and row groups."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _WRITTEN:
+        path = f"{new_folder(spark)}/{name}"
+        rows = derive(spark, sf_dir)
+        rows.repartitionByRange(key).sortWithinPartitions(key).write.parquet(path)
+        _WRITTEN[at] = path
+    return spark.read.parquet(_WRITTEN[at])
+
+
 def episodes(spark, sf_dir) -> DataFrame:
     """(episode_index, length, dataset_from_index, dataset_to_index)"""
+    return written(spark, sf_dir, "episodes", _episodes, "episode_index")
+
+
+def _episodes(spark, sf_dir) -> DataFrame:
     lengths = events(spark, sf_dir).groupBy("episode_index").agg(F.count(F.lit(1)).alias("length"))
     return cumulative_offsets(lengths, "length", "episode_index", "dataset_from_index", "dataset_to_index")
 
 
 def tasks(spark, sf_dir) -> DataFrame:
     """(task, task_index): one row for each kind of event, so its window needs no partition."""
+    return written(spark, sf_dir, "tasks", _tasks, "task_index")
+
+
+def _tasks(spark, sf_dir) -> DataFrame:
     kinds = events(spark, sf_dir).select("task").distinct()
     return kinds.withColumn("task_index", (F.row_number().over(Window.orderBy("task")) - 1).cast("long"))
 
 
 def frames(spark, sf_dir) -> DataFrame:
     """(episode_index, frame_index, idx, us, t, event_id, task, task_index, s0, s1, length, dataset_from_index)"""
+    return written(spark, sf_dir, "frames", _frames, "idx")
+
+
+def _frames(spark, sf_dir) -> DataFrame:
     order = Window.partitionBy("episode_index").orderBy("us", "event_id")
     rows = events(spark, sf_dir).withColumn("frame_index", (F.row_number().over(order) - 1).cast("long"))
     known = episodes(spark, sf_dir).select("episode_index", "length", "dataset_from_index")
@@ -61,8 +90,13 @@ def frames(spark, sf_dir) -> DataFrame:
     )
 
 
+def half_of(spark, sf_dir) -> int:
+    """The episode at which the second of two halves begins."""
+    return (episodes(spark, sf_dir).agg(F.max("episode_index")).first()[0] + 1) // 2
+
+
 VIEWS = """
-WITH ev AS (
+WITH RECURSIVE ev AS (
   SELECT user_id AS episode_index, event_id, event_type AS task, epoch_us(ts) AS us, value AS s0,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS s1 FROM events),
 ep AS (

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -164,6 +164,11 @@ def frame_violations(frames: DataFrame, features: dict) -> DataFrame:
     for n, size in vectors:
         bad = frames.where(F.col(f"`{n}`").isNull() | (F.size(f"`{n}`") != size)).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
         out = out.unionByName(bad.select(F.lit(n).alias("column"), F.lit("wrong length").alias("problem"), "n"))
+    scalars = [n for n, s in features.items() if n in have and have[n] == want.get(n) and n not in dict(vectors)]
+    if scalars:
+        nulls = frames.agg(*(F.count_if(F.col(f"`{n}`").isNull()).alias(n) for n in scalars))
+        each = F.inline(F.array(*(F.struct(F.lit(n).alias("column"), F.lit("null value").alias("problem"), F.col(f"`{n}`").alias("n")) for n in scalars)))
+        out = out.unionByName(nulls.select(each).where("n > 0"))
     return out
 
 
@@ -177,7 +182,7 @@ def convert_legacy(spark: SparkSession, root: str, fps: int, features: dict) ->
     from trajframe.operators.stats import merge_stats
 
     episodes, stats, tasks = read_legacy_lines(spark, root)
-    frames = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/data")
+    frames = spark.read.parquet(f"{root}/data")
     known = cumulative_offsets(episodes.select("episode_index", "tasks", "length"), "length", "episode_index", "dataset_from_index", "dataset_to_index")
     totals = known.agg(F.count(F.lit(1)), F.sum("length")).first()
     info = Info(fps, features, total_episodes=totals[0], total_frames=totals[1] or 0, total_tasks=tasks.count(), splits={"train": f"0:{totals[0]}"})
@@ -217,3 +222,39 @@ def flatten_evaluation(spark: SparkSession, path: str) -> DataFrame:
     clean = lambda c: F.nanvl(c.cast("double"), F.lit(None).cast("double"))
     pick = lambda names: F.coalesce(*(clean(F.col(f"{b}.{n}")) for b in blocks for n in names if n in rows.schema[b].dataType.names), F.lit(None).cast("double"))
     return rows.select(F.col("_metadata.file_name").alias("file"), pick(("pc_success", "success_rate", "success")).alias("success"), pick(("avg_sum_reward", "reward")).alias("reward"))
+
+
+def transitions_to_episodes(rows: DataFrame, env: str, order: list[str], ends: Column | str) -> DataFrame:
+    """Ordered transitions as frames: adds episode_index, frame_index and index. An episode ends where ``ends`` holds; what is left at an
+    environment's end is an episode too. Environments, numbered by integers, come one after another."""
+    w = Window.partitionBy(env).orderBy(*order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("__end", (F.expr(ends) if isinstance(ends, str) else ends).cast("int"))
+    numbered = numbered.withColumn("__seg", F.coalesce(F.sum("__end").over(before), F.lit(0))).withColumn("__row", F.row_number().over(w) - 1)
+    numbered = numbered.withColumn("frame_index", (F.row_number().over(Window.partitionBy(env, "__seg").orderBy(*order)) - 1).cast("long"))
+    per = numbered.groupBy(env).agg((F.max("__seg") + 1).alias("__episodes"), F.count(F.lit(1)).alias("__rows"))
+    per = cumulative_offsets(per, "__episodes", env, "__e", "__e1")
+    per = cumulative_offsets(per, "__rows", env, "__i", "__i1").select(env, "__e", "__i")
+    out = numbered.join(per, env).withColumn("episode_index", (F.col("__e") + F.col("__seg")).cast("long")).withColumn("index", (F.col("__i") + F.col("__row")).cast("long"))
+    return out.drop("__end", "__seg", "__row", "__e", "__i")
+
+
+def images_to_pointers(frames: DataFrame, episodes: DataFrame, images: list[str], fps: float, kept: Column | None = None, stats: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """A dataset whose image columns have become video files, all but the encoding: frames and stats without them, episodes numbered
+    anew with pointers videos/<image>/{from,to}_timestamp into one file for each image."""
+    from trajframe.operators.numbering import kept_episodes, renumber
+
+    chosen = kept_episodes(episodes if kept is None else episodes.where(kept))
+    rows = renumber(frames.drop(*images), chosen)
+    ends = {f"videos/{i}/{side}_timestamp": (F.col("new_from_index") + more) / fps for i in images for side, more in (("from", F.lit(0)), ("to", F.col("length")))}
+    return rows, chosen.withColumns(ends), None if stats is None else stats.where(~F.col("feature").isin(images))
+
+
+def write_legacy(frames: DataFrame, tasks: DataFrame, features: list[str], root: str) -> None:
+    """The older layout: a file for each episode, JSON lines for episodes, their stats and tasks."""
+    per = frames.groupBy("episode_index").agg(F.array_sort(F.collect_set("task")).alias("tasks"), F.count(F.lit(1)).alias("length"))
+    values = lambda c: F.struct(*(F.array(f(c)).alias(n) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop))), F.array(F.count(c)).alias("count"))
+    stats = frames.groupBy("episode_index").agg(F.struct(*(values(c).alias(c) for c in features)).alias("stats"))
+    frames.repartition("episode_index").sortWithinPartitions("frame_index").write.partitionBy("episode_index").parquet(f"{root}/data")
+    for name, rows in (("episodes", per), ("episodes_stats", stats), ("tasks", tasks)):
+        rows.write.json(f"{root}/meta/{name}.jsonl")

@@ -1,6 +1,7 @@
 """Structured Streaming forms of the sequence operators.
 
-State is bounded per episode: the last few rows, a kept vector or a counter, and leaves with the watermark or the episode's end.
+State is bounded per episode (the last few rows, a kept vector or a counter) and leaves when a row that ``end`` marks as the
+episode's last has come. Rows of an episode that come behind its end would start it anew.
 """
 
 from __future__ import annotations
@@ -50,14 +51,23 @@ def look_around(frames: DataFrame, value: str, back: int, ahead: int, key: str =
     return frames.groupBy(key).applyInPandasWithState(step, schema, "rows array<array<double>>, sent long", "append", GroupStateTimeout.NoTimeout)
 
 
-def similarity_gate(frames: DataFrame, cols: list[str], tolerance: float, key: str = "episode_index", order: str = "frame_index") -> DataFrame:
+def _keep(state: GroupState, rows: pd.DataFrame, end: str, value: tuple) -> None:
+    """The state for the next batch, or none once the episode has ended."""
+    if bool(rows[end].any()):
+        if state.exists:
+            state.remove()
+    else:
+        state.update(value)
+
+
+def similarity_gate(frames: DataFrame, cols: list[str], tolerance: float, key: str = "episode_index", order: str = "frame_index", end: str = "is_last") -> DataFrame:
     """(key, order) of frames not seen before and at least ``tolerance`` from the last kept one; state: that one and its step."""
     kinds = dict(frames.dtypes)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept, most = (list(state.get[0]), state.get[1]) if state.exists else ([], -1)
-        out = []
-        for row in pd.concat(list(batches)).sort_values(order)[[order, *cols]].itertuples(index=False):
+        out, rows = [], pd.concat(list(batches))
+        for row in rows.sort_values(order)[[order, *cols]].itertuples(index=False):
             o, p = int(row[0]), [float(x) for x in row[1:]]
             if o <= most:
                 continue
@@ -66,74 +76,78 @@ def similarity_gate(frames: DataFrame, cols: list[str], tolerance: float, key: s
                 continue
             kept = p
             out.append((k[0], o))
-        state.update((kept, most))
+        _keep(state, rows, end, (kept, most))
         if out:
             yield pd.DataFrame(out, columns=[key, order])
 
     return frames.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} long", "kept array<double>, most long", "append", GroupStateTimeout.NoTimeout)
 
 
-def row_features(frames: DataFrame, value: str, dt: float, limit: int, key: str = "episode_index", order: str = "frame_index") -> DataFrame:
-    """(key, order, velocity, truncated): the step from the last row, and whether ``limit`` rows have gone by."""
+def row_features(frames: DataFrame, value: str, dt: float, limit: int, enabled: str, key: str = "episode_index", order: str = "frame_index", end: str = "is_last") -> DataFrame:
+    """(key, order, velocity, truncated, reference, command): the step from the last row, whether ``limit`` rows have gone by, the value
+    at the last rising edge of ``enabled`` and the last one while it held."""
     kinds = dict(frames.dtypes)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before, n = state.get if state.exists else (None, 0)
-        out = []
-        for o, v in pd.concat(list(batches)).sort_values(order)[[order, value]].itertuples(index=False):
+        before, n, reference, command, was = state.get if state.exists else (None, 0, None, None, False)
+        out, rows = [], pd.concat(list(batches))
+        for o, v, on in rows.sort_values(order)[[order, value, enabled]].itertuples(index=False):
             n += 1
-            out.append((k[0], int(o), 0.0 if before is None else (v - before) / dt, n >= limit))
+            if on:
+                reference, command = reference if was else float(v), float(v)
+            was = bool(on)
+            out.append((k[0], int(o), 0.0 if before is None else (v - before) / dt, n >= limit, reference, command))
             before = float(v)
-        state.update((before, n))
-        yield pd.DataFrame(out, columns=[key, order, "velocity", "truncated"])
+        _keep(state, rows, end, (before, n, reference, command, was))
+        yield pd.DataFrame(out, columns=[key, order, "velocity", "truncated", "reference", "command"]).astype({"reference": "float64", "command": "float64"})
 
-    schema = f"{key} {kinds[key]}, {order} long, velocity double, truncated boolean"
-    return frames.groupBy(key).applyInPandasWithState(step, schema, "before double, n long", "append", GroupStateTimeout.NoTimeout)
+    schema = f"{key} {kinds[key]}, {order} long, velocity double, truncated boolean, reference double, command double"
+    return frames.groupBy(key).applyInPandasWithState(step, schema, "before double, n long, reference double, command double, was boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def record(frames: DataFrame, fps: float, key: str = "episode_index", order: str = "event_id") -> DataFrame:
+def record(frames: DataFrame, fps: float, key: str = "episode_index", order: str = "event_id", end: str = "is_last") -> DataFrame:
     """(key, order, frame_index, timestamp): a counter per episode numbers frames as they arrive."""
     kinds = dict(frames.dtypes)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
         rows = pd.concat(list(batches)).sort_values(order)
-        state.update((n + len(rows),))
+        _keep(state, rows, end, (n + len(rows),))
         yield pd.DataFrame({key: k[0], order: rows[order].to_numpy(), "frame_index": range(n, n + len(rows)), "timestamp": [i / fps for i in range(n, n + len(rows))]})
 
     schema = f"{key} {kinds[key]}, {order} {kinds[order]}, frame_index long, timestamp double"
     return frames.groupBy(key).applyInPandasWithState(step, schema, "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def late_actions(actions: DataFrame, key: str = "episode_index", step_col: str = "target", value: str = "value", executed: str = "executed") -> DataFrame:
+def late_actions(actions: DataFrame, key: str = "episode_index", step_col: str = "target", value: str = "value", executed: str = "executed", end: str = "is_last") -> DataFrame:
     """(key, target, value, late): actions at or before the last executed step are late; others are merged with the queued value."""
     kinds = dict(actions.dtypes)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         steps, values, high = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], -1)
-        queue, out = dict(zip(steps, values, strict=True)), []
-        for t, v, x in pd.concat(list(batches)).sort_values(executed, kind="stable")[[step_col, value, executed]].itertuples(index=False):
+        queue, out, rows = dict(zip(steps, values, strict=True)), [], pd.concat(list(batches))
+        for t, v, x in rows.sort_values(executed, kind="stable")[[step_col, value, executed]].itertuples(index=False):
             high = max(high, int(x))
             late = int(t) <= high
             if not late:
                 queue[int(t)] = 0.3 * queue[int(t)] + 0.7 * float(v) if int(t) in queue else float(v)
             out.append((k[0], int(t), float(v) if late else queue[int(t)], late))
         queue = {t: v for t, v in queue.items() if t > high}
-        state.update((list(queue), list(queue.values()), high))
+        _keep(state, rows, end, (list(queue), list(queue.values()), high))
         yield pd.DataFrame(out, columns=[key, step_col, value, "late"])
 
     schema = f"{key} {kinds[key]}, {step_col} long, {value} double, late boolean"
     return actions.groupBy(key).applyInPandasWithState(step, schema, "steps array<long>, vals array<double>, high long", "append", GroupStateTimeout.NoTimeout)
 
 
-def pre_roll(frames: DataFrame, event: str, time: str, seconds: float, key: str = "episode_index", order: str = "frame_index") -> DataFrame:
+def pre_roll(frames: DataFrame, event: str, time: str, seconds: float, key: str = "episode_index", order: str = "frame_index", end: str = "is_last") -> DataFrame:
     """(key, order): while saving is off, the rows of the last ``seconds`` wait in state; an event lets them out and saving goes on until the next event."""
     kinds = dict(frames.dtypes)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         steps, times, saving = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], False)
-        out = []
-        for o, t, e in pd.concat(list(batches)).sort_values(order)[[order, time, event]].itertuples(index=False):
+        out, rows = [], pd.concat(list(batches))
+        for o, t, e in rows.sort_values(order)[[order, time, event]].itertuples(index=False):
             if e and not saving:
                 out += [(k[0], s) for s, x in zip(steps, times, strict=True) if t - x <= seconds]
                 steps, times, saving = [], [], True
@@ -146,7 +160,7 @@ def pre_roll(frames: DataFrame, event: str, time: str, seconds: float, key: str
                 while times and t - times[0] > seconds:
                     steps.pop(0)
                     times.pop(0)
-        state.update((steps, times, saving))
+        _keep(state, rows, end, (steps, times, saving))
         if out:
             yield pd.DataFrame(out, columns=[key, order])
 
@@ -177,13 +191,27 @@ def stored_stats(spark: SparkSession, path: str) -> DataFrame:
     return merge_stats(spark.read.parquet(path).drop("batch"))
 
 
+#: Files of a part: tasks of one trigger.
+FILES = 4
+
+
+def arrivals(rows: DataFrame, split: str, folder: str, key: str = "episode_index") -> None:
+    """``rows`` written as FILES files for each value of ``split``, in that order, each file with the whole of its episodes' rows."""
+    for part in [r[0] for r in rows.select(split).distinct().orderBy(split).collect()]:
+        rows.where(F.col(split) == F.lit(part)).drop(split).repartition(FILES, key).write.mode("append").parquet(folder)
+
+
 def replay(spark: SparkSession, rows: DataFrame, split: str, transform, folder: str, mode: str = "append") -> DataFrame:
-    """Writes ``rows`` as one file for each value of ``split``, streams them in that order through ``transform`` and reads what came out."""
+    """Streams ``rows``, part by part, through ``transform`` and reads what came out; in complete mode that is the last result.
+
+    A trigger takes FILES files. A part may have fewer, so that a trigger takes some of the next one too: rows of an episode still come in order.
+    """
     source, sink, marks = f"{folder}/in", f"{folder}/out", f"{folder}/marks"
-    parts = [r[0] for r in rows.select(split).distinct().orderBy(split).collect()]
-    for part in parts:
-        rows.where(F.col(split) == F.lit(part)).drop(split).coalesce(1).write.mode("append").parquet(source)
-    stream = read_frames(spark, source, rows.drop(split).schema, 1)
-    q = transform(stream).writeStream.outputMode(mode).format("parquet").option("path", sink).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    q.awaitTermination()
+    arrivals(rows, split, source)
+    writer = transform(read_frames(spark, source, rows.drop(split).schema, FILES)).writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", sink)
+    else:
+        writer = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(sink))
+    writer.start().awaitTermination()
     return spark.read.parquet(sink)

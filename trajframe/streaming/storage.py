@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where the session names none, a local one is set."""
+    """A new folder under spark.checkpoint.dir. Where the session names none, a single machine gets a local one; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
