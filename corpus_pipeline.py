@@ -6,7 +6,7 @@ return the columns of documents.
 
 from __future__ import annotations
 
-from trajframe.llm import langid, lines, mixing, near, pieces
+from trajframe.llm import langid, lines, mixing, pieces, simhash
 from trajframe.llm.common import stored
 
 
@@ -17,13 +17,13 @@ def language(spark, docs, sf_dir):
 
 
 def line_dedup(spark, docs, sf_dir):
-    """Lines that repeat an earlier one, exactly or but for an edit, go; so do documents left without a word."""
-    return lines.dedup_lines(docs)
+    """Lines that repeat an earlier one, exactly or (from 20 characters on) but for an edit, go; so do documents left without a word."""
+    return lines.dedup_lines(docs, min_chars=20)
 
 
 def near_duplicates(spark, docs, sf_dir):
     """One document of each group of near copies stays: those linked by a Jaccard similarity of 0.8 or more of their 5-word shingles."""
-    return near.keep_one_each(docs, shingle=5, similarity=0.8)
+    return simhash.keep_one_each(docs, shingle=5, similarity=0.8)
 
 
 def mixture(spark, docs, sf_dir):

@@ -7,7 +7,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from trajframe.llm import near
+from trajframe.llm import simhash
 
 
 def shingled(text):
@@ -48,9 +48,9 @@ def test_stage_keeps_one_of_each_group(spark, seed):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, None).where("doc_id IS NOT NULL").collect())
     assert got == sorted(brute_kept(texts)) and len(got) < len(texts) - 40
-    assert near.keep_one_each(docs).where("doc_id IS NULL").count() == 2
+    assert simhash.keep_one_each(docs, shingle=5, similarity=0.8).where("doc_id IS NULL").count() == 2
 
 
 def test_nothing_to_link(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert near.keep_one_each(docs).count() == 0
+    assert simhash.keep_one_each(docs, shingle=5, similarity=0.8).count() == 0

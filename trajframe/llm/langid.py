@@ -15,7 +15,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajframe.llm.common import read
@@ -30,8 +30,6 @@ WINDOWS_PER_DOC = 3
 STEPS, BATCH, RATE = 500, 64, 0.01
 #: Bytes that one numpy step works on.
 CHUNK = 1 << 18
-#: Languages with a smaller share of the labelled rows aren't learned; so there are at most 1 / LEAST_SHARE.
-LEAST_SHARE = 0.001
 
 SYMBOLS = 64
 _SYMBOL = np.zeros(256, np.uint8)
@@ -142,10 +140,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def training_windows(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[np.ndarray, list[str]]:
     """Symbols and languages of the sample. ``labelled`` has doc_id, lang, text; only pieces of the sampled rows are collected."""
-    rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
-    totals = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    everything = totals.agg(F.sum("n")).first()[0] or 0
-    counts = {r["lang"]: r["n"] for r in totals.where(F.col("n") >= LEAST_SHARE * everything).collect()}
+    named = labelled.where(F.col("lang").isNotNull())
+    counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}  # a row for each language
+    rows = named.where(F.length("text") > 0).select("doc_id", "lang", "text")
     if not counts:
         return np.zeros((0, WINDOW), np.uint8), []
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sorted(counts.items())), F.lit(0.0))
@@ -153,6 +150,12 @@ def training_windows(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> t
     piece = lambda k: F.substr(F.col("text"), (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW))
     drawn = rows.where(draw < share).select("lang", F.explode(F.array(*(piece(k) for k in range(WINDOWS_PER_DOC)))).alias("piece"))
     got = sorted((r["lang"], r["piece"]) for r in drawn.collect())
+    seen = {lang for lang, _ in got}
+    missed = [k for k in counts if k not in seen]
+    if missed:  # the draw can miss a rare language: the documents that come first in it stand in
+        order = Window.partitionBy("lang").orderBy(draw, "doc_id")
+        stand_in = rows.where(F.col("lang").isin(missed)).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= per_language)
+        got = sorted([*got, *((r["lang"], r["piece"]) for r in stand_in.select("lang", F.explode(F.array(*(piece(k) for k in range(WINDOWS_PER_DOC)))).alias("piece")).collect())])
     x = np.zeros((len(got), WINDOW), np.uint8)
     for row, (_, text) in zip(x, got, strict=True):
         raw = text.encode()[:WINDOW]

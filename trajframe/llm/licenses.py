@@ -14,7 +14,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajframe.llm.common import count_words, find_spans, read, whole_text
+from trajframe.llm.common import count_words, find_spans, read, run_of, runs_of, then, whole_text
 
 #: A character of a word (before A-Z are lower-cased), and what stands between words. Listed one by one: Java tests a
 #: list with one look-up and a union of ranges range by range.
@@ -34,6 +34,66 @@ def _v(version: str) -> str:
     return rf"{major}(?:\.0)?(?![.0-9]*[1-9])" if minor == "0" else rf"{major}\.{minor}"
 
 
+#: Fixed values: (label, keyword, signature) from the texts of licenses themselves; a blank stands for any white space.
+BODIES = (
+    ("mit", "the above copyright", r"The above copyright notice and this permission notice shall be included in all copies"),
+    ("mit", "without restriction", r"deal in the Software without restriction, including without limitation the rights to use"),
+    ("bsd", "redistributions", r"Redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions", r"Redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "neither the name", r"Neither the names? of .{1,80}? nor the names of (?:its|the) contributors may be used to endorse"),
+    ("bsd-4-clause", "all advertising", r"All advertising materials mentioning features or use of this software must display"),
+    ("isc", "the software is provided", r"THE SOFTWARE IS PROVIDED \"AS IS\" AND (?:THE AUTHOR|ISC) DISCLAIMS ALL WARRANTIES"),
+    ("zlib", "altered source", r"Altered source versions must be plainly marked as such"),
+    ("zlib", "the origin of", r"The origin of this software must not be misrepresented"),
+    ("apache-2.0", "you may not use", r"you may not use this file except in compliance with the License"),
+    ("apache-2.0", "each contributor", r"each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable"),
+    ("apache", "licensed under the apache", r"Licensed under the Apache License"),
+    ("gpl", "you can redistribute", r"you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("lgpl", "you can redistribute", r"you can redistribute it and/or modify it under the terms of the GNU (?:Lesser|Library) General Public License"),
+    ("agpl", "you can redistribute", r"you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"),
+    ("gpl", "without even the", r"WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    ("gpl-or-later", "any later version", r"(?:either )?version [0-9.]+ of the License,? or (?:\(at your option\) )?any later version"),
+    ("gpl", "everyone is permitted", r"Everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("gpl-exception", "special exception", r"As a special exception, .{0,80}?(?:permission|you may|the copyright holders)"),
+    ("gpl-classpath-exception", "classpath exception", r"Classpath exception"),
+    ("gcc-exception", "gcc runtime", r"GCC Runtime Library Exception"),
+    ("mpl-2.0", "this source code form", r"This Source Code Form is subject to the terms of the Mozilla Public License, v\. 2\.0"),
+    ("mpl-1.1", "the contents of this file", r"The contents of this file are subject to the Mozilla Public License Version 1\.1"),
+    ("cddl", "the contents of this file", r"The contents of this file are subject to the terms of the Common Development and Distribution License"),
+    ("epl", "this program and the", r"This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("unlicense", "this is free and", r"This is free and unencumbered software released into the public domain"),
+    ("cc0", "to the extent possible", r"To the extent possible under law, .{1,80}? has waived all copyright and related or neighboring rights"),
+    ("cc0", "the person who", r"The person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc-by-sa", "if you remix", r"If you remix, transform, or build upon the material, you must distribute your contributions under the same license"),
+    ("wtfpl", "you just do what", r"You just DO WHAT THE FUCK YOU WANT TO"),
+    ("bsl", "boost software", r"Distributed under the Boost Software License"),
+    ("ofl", "reserved font name", r"with Reserved Font Name"),
+    ("ofl", "the font software", r"The Font Software may be sold as part of a larger software package"),
+    ("postgresql", "postgresql license", r"PostgreSQL Licen[cs]e"),
+    ("beerware", "beer ware", r"THE BEER-WARE LICENSE"),
+    ("json", "shall be used for good", r"The Software shall be used for Good, not Evil"),
+    ("artistic", "distribute this package", r"distribute this Package.{0,40}? Artistic License"),
+    ("perl", "same terms as perl", r"under the same terms as Perl itself"),
+    ("python", "psf license", r"PSF LICENSE AGREEMENT FOR PYTHON"),
+    ("dual", "dual licensed", r"dual[\s-]licensed under"),
+    ("dual", "at your option", r"at your option, under (?:either|the terms of)"),
+    ("sspl", "server side public", r"Server Side Public License"),
+    ("busl", "business source", r"Business Source License"),
+    ("elastic", "elastic license", r"Elastic License"),
+    ("commons-clause", "commons clause", r"Commons Clause"),
+    ("polyform", "polyform", r"PolyForm (?:Noncommercial|Small Business|Shield|Perimeter|Strict)"),
+    ("openrail", "openrail", r"OpenRAIL(?:-[MDS])?"),
+    ("spdx-url", "spdx.org", r"spdx\.org/licenses/[A-Za-z0-9.-]+"),
+    ("osi-url", "opensource.org", r"opensource\.org/licenses?/[A-Za-z0-9.-]+"),
+    ("mit", "opensource.org", r"opensource\.org/licenses?/mit"),
+    ("bsd", "opensource.org", r"opensource\.org/licenses?/bsd"),
+    ("odbl", "opendatacommons", r"opendatacommons\.org/licenses/odbl"),
+    ("no-redistribution", "no part of this", r"No part of this .{1,40}? may be reproduced"),
+    ("no-redistribution", "reproduction prohibited", r"reproduction prohibited"),
+    ("trade-secret", "trade secret", r"contains (?:confidential|proprietary) (?:[a-z]+ ){0,5}?trade secrets?"),
+)
+
+
 def _rules() -> list[tuple[int, str, str, str, float]]:
     """(priority, label, keyword, pattern, strength), the best priority first.
 
@@ -127,6 +187,8 @@ def _rules() -> list[tuple[int, str, str, str, float]]:
     add(3, "mit", "permission is hereby", r"Permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+obtaining\s+a\s+copy", 0.95)
     add(3, "isc", "permission to use", r"Permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software", 0.95)
     add(3, "bsd", "redistribution and use", r"Redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", 0.95)
+    for label, keyword, pattern in BODIES:
+        add(3, label, keyword, r"\s+".join(pattern.split(" ")), 0.95)
     add(5, "reserved", "rights reserved", r"(?:All|Some)\s+rights\s+reserved", 0.4)
     add(5, "copyright", "copyright", r"Copyright\s+(?:\(c\)|©)?\s*(?:19|20)[0-9]{2}", 0.4)
     add(5, "public-domain", "public domain", r"(?:in|to|into)\s+the\s+public\s+domain", 0.4)
@@ -145,6 +207,7 @@ _AS_PATTERN = [k.replace(".", r"\.").replace(" ", r"[\s-]+").replace("license",
 KEYWORD_PATTERN = r"(?i)(?<![a-z0-9])(?:" + "|".join(
     f"{c}(?:" + "|".join(k[1:] for k in _AS_PATTERN if k[0] == c) + ")" for c in sorted({k[0] for k in _AS_PATTERN})
 ) + ")"
+PRIORITIES = 5
 _FOUND = "array<struct<priority:int,length:int,start:int,end:int,label:string,strength:double>>"
 
 
@@ -179,13 +242,37 @@ def find_licenses(docs: DataFrame, text_col: str = "text", out_col: str = "licen
         ),
     )
     found = F.flatten(F.flatten(F.transform(once, lambda d: F.transform(tried(d), lambda r: spans(d, r)))))
-    out = docs.withColumn(out_col, F.array_sort(F.array_distinct(found)))
+    return docs.withColumn(out_col, F.array_sort(unsuppressed(found)))
+
+
+def unsuppressed(found: Column) -> Column:
+    """The detections that don't lie inside another of better priority, nor of the same one and longer, or as long with a smaller label.
+
+    In order of start, the longer first, a detection is inside an earlier one exactly if the furthest end so far, over all priorities up to
+    its own, isn't before its end. Furthest ends are found for each run of detections first, then inside each run.
+    """
+    # Rows that are found twice are as long and of one label: the second goes.
+    order = F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("start"), d["length"].alias("length"), d["priority"].alias("priority"), d["label"].alias("label"), d.alias("d"))))
+    nothing = F.array_repeat(F.lit(-1), PRIORITIES)
+
+    def furthest(d: Column) -> Column:
+        """For each run, the ends by priority over all runs before it."""
+        one = lambda run, p: F.coalesce(F.array_max(F.transform(F.filter(run, lambda x: x["priority"] == p), lambda x: x["d"]["end"])), F.lit(-1))
+        own = F.transform(runs_of(d["o"]), lambda r: F.transform(F.sequence(F.lit(1), F.lit(PRIORITIES)), lambda p: one(run_of(d["o"], r), p)))
+        first = F.struct(nothing.alias("ends"), F.array().cast("array<array<int>>").alias("out"))
+        merged = lambda acc, x: F.struct(F.zip_with(acc["ends"], x, lambda a, b: F.greatest(a, b)).alias("ends"), F.concat(acc["out"], F.array(acc["ends"])).alias("out"))
+        return F.aggregate(own, first, merged, lambda acc: acc["out"])
+
+    def kept(d: Column, ends: Column, run: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            covered = F.array_max(F.slice(acc["ends"], F.lit(1), x["priority"])) >= x["d"]["end"]
+            ends = F.transform(acc["ends"], lambda e, i: F.when(i == x["priority"] - 1, F.greatest(e, x["d"]["end"])).otherwise(e))
+            return F.struct(ends.alias("ends"), F.when(covered, acc["out"]).otherwise(F.concat(acc["out"], F.array(x["d"]))).alias("out"))
 
-    def inside(d: Column, e: Column) -> Column:
-        better = F.struct(e["priority"], e["length"], e["start"], e["label"]) < F.struct(d["priority"], d["length"], d["start"], d["label"])
-        return better & (e["start"] <= d["start"]) & (e["end"] >= d["end"])
+        return F.aggregate(run_of(d["o"], run), F.struct(ends.alias("ends"), F.array().cast(_FOUND).alias("out")), step, lambda acc: acc["out"])
 
-    return out.withColumn(out_col, F.filter(out_col, lambda d: ~F.exists(F.col(out_col), lambda e: inside(d, e))))
+    placed = then(F.array(F.struct(order.alias("o"))), ends=furthest)
+    return F.flatten(F.flatten(F.transform(placed, lambda e: F.transform(e["ends"], lambda ends, run: kept(e["d"], ends, run)))))
 
 
 def base_places(text: Column) -> Column:

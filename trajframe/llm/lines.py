@@ -7,11 +7,11 @@ verified with a banded bit-parallel edit distance.
 
 Keys under which many lines meet aren't expanded into pairs. Their lines stay in, with the unmatched segment cut
 into FANOUT smaller ones and all around it as the key, again and again; at one character (or one place between two)
-all lines that meet are within one edit of each other, and all but the first are near copies of the first. This is exact,
-and linear in the lines times the logarithm of their length.
+all lines that meet are within one edit of each other, so that each is compared with the first of them only. This is exact but
+for collisions of 64-bit keys, which can hide a link and can't make one, and linear in the lines times the logarithm of their length.
 
 A line is dropped if an equal line, or one within an edit of it, occurs earlier (by doc_id, then line number). Lines
-without a word are left alone; lines under MIN_CHARS are compared for equality only.
+without a word are left alone; a caller may have short lines compared for equality only.
 
 Defined results: a null or empty text has no lines and stays as it is; rows repeated under one id count once and get the
 same decisions; rows without an id are left as they are; an empty table gives an empty result.
@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from trajframe.llm.common import read, stored
 
 MAX_EDITS = 1
-MIN_CHARS = 20
 SMALL_BUCKET = 6
 FANOUT = 4
+#: Halvings before a distance is counted character by character.
+HALVINGS = 5
 _SPACE = " \t\n\x0b\f\r"
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -81,7 +82,7 @@ def banded_distance(x: Column, y: Column, k: int = MAX_EDITS) -> Column:
 
 
 def within_one_edit(x: Column, y: Column) -> Column:
-    """Equal halves from the start or the end are taken off first (one edit leaves one of them equal), twice."""
+    """Equal halves from the start or the end are taken off first (one edit leaves one of them equal), until few characters are left."""
     pair = F.array(F.struct(x.alias("x"), y.alias("y")))
 
     def halve(s: Column) -> Column:
@@ -93,7 +94,7 @@ def within_one_edit(x: Column, y: Column) -> Column:
         cut_tail = F.struct(F.left(s["x"], F.length(s["x"]) - h).alias("x"), F.left(s["y"], F.length(s["y"]) - h).alias("y"))
         return F.when(head, cut_head).when(tail, cut_tail)
 
-    for _ in range(2):
+    for _ in range(HALVINGS):
         pair = F.filter(F.transform(pair, halve), lambda s: s.isNotNull())
     near = F.exists(pair, lambda s: banded_distance(F.split(s["x"], ""), F.split(s["y"], "")) <= MAX_EDITS)
     return (F.abs(F.length(x) - F.length(y)) <= MAX_EDITS) & near
@@ -117,15 +118,15 @@ def _segments(n: Column) -> list[tuple[bool, Column, Column, Column]]:
     return [(own, m, a, b) for own, m in ((True, n), (False, n - 1)) for a, b in ((half(m), m), (F.lit(0), half(m)))]
 
 
-def _first_keys(line: Column, n: Column) -> Column:
+def _first_keys(line: Column, n: Column, min_chars: int) -> Column:
     """The keys of all segments, as array<long>; lines that are compared for equality only have none."""
-    return F.when(n >= MIN_CHARS, F.array(*(_key("", m, a, b, line) for _, m, a, b in _segments(n))))
+    return F.when(n >= min_chars, F.array(*(_key("", m, a, b, line) for _, m, a, b in _segments(n))))
 
 
-def _probes(classes: DataFrame) -> DataFrame:
+def _probes(classes: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, line_no, key, kind, m, a, b, own): a row for each key of a distinct line."""
     cells = [F.struct(F.get("keys", F.lit(i)).alias("key"), F.lit("").alias("kind"), m.alias("m"), a.alias("a"), b.alias("b"), F.lit(own).alias("own")) for i, (own, m, a, b) in enumerate(_segments(F.col("n")))]
-    return classes.where("keys IS NOT NULL").select("doc_id", "line_no", F.inline(F.array(*cells))).where(F.col("m") >= MIN_CHARS)
+    return classes.where("keys IS NOT NULL").select("doc_id", "line_no", F.inline(F.array(*cells))).where(F.col("m") >= max(min_chars, 1))
 
 
 def _finer(crowd: DataFrame) -> DataFrame:
@@ -153,18 +154,18 @@ def _met(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.where("size > 1 AND owns > 0"), "key")
 
 
-def near_copies(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, classes: DataFrame, min_chars: int = 0) -> DataFrame:
     """(doc_id, line_no, first struct<doc_id,line_no>) of distinct lines with an earlier line within one edit.
 
     ``classes`` has each distinct line's first place and its keys.
     """
-    met = stored(_met(_probes(classes)))
+    met = stored(_met(_probes(classes, min_chars)))
     wanted = met.groupBy("doc_id").agg(F.collect_set("line_no").alias("nos"))
     # Whole documents are dealt out, and only their wanted lines cut from them: one split, no row for the other lines.
     cut = F.transform(F.array(F.split("text", "\n")), lambda lines: F.transform(F.col("nos"), lambda i: F.struct(i.alias("line_no"), F.get(lines, i).alias("line"))))
     texts = docs.join(wanted, "doc_id").select("doc_id", F.inline(F.get(cut, F.lit(0))))
     texts = stored(texts.dropDuplicates(["doc_id", "line_no"]))
-    pairs, found = [], []
+    pairs = []
     while True:
         few = met.where(F.col("size") <= SMALL_BUCKET).select("key", "doc_id", "line_no", "own", "kind")
         x, y = few.alias("x"), few.alias("y")
@@ -173,7 +174,7 @@ def near_copies(docs: DataFrame, classes: DataFrame) -> DataFrame:
         pairs.append(x.join(y, F.col("x.key") == F.col("y.key")).where(later & roles).select("x.doc_id", "x.line_no", F.struct("y.doc_id", "y.line_no").alias("first")))
         leaf = ((F.col("kind") == "s") & (F.col("b") - F.col("a") == 1)) | ((F.col("kind") == "i") & (F.col("a") == F.col("b")))
         crowd = met.where(F.col("size") > SMALL_BUCKET)
-        found.append(crowd.where(leaf & (F.struct("doc_id", "line_no") > F.col("first"))).select("doc_id", "line_no", "first"))
+        pairs.append(crowd.where(leaf & (F.struct("doc_id", "line_no") > F.col("first"))).select("doc_id", "line_no", "first"))
         crowd = crowd.where(~leaf)
         if crowd.isEmpty():
             break
@@ -186,31 +187,33 @@ def near_copies(docs: DataFrame, classes: DataFrame) -> DataFrame:
     named = every.join(texts, ["doc_id", "line_no"]).join(
         texts.select(F.struct("doc_id", "line_no").alias("first"), F.col("line").alias("other")), "first"
     )
-    out = named.where(within_one_edit(F.col("line"), F.col("other"))).select("doc_id", "line_no", "first")
-    for f in found:
-        out = out.unionByName(f)
-    return out.groupBy("doc_id", "line_no").agg(F.min("first").alias("first"))
+    # Comparing costs far more than its bytes suggest: the pairs are dealt out again, evenly.
+    named = stored(named.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "line_no"))
+    return named.where(within_one_edit(F.col("line"), F.col("other"))).groupBy("doc_id", "line_no").agg(F.min("first").alias("first"))
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, reason exact|near, first struct<doc_id,line_no>) for every line that an earlier one makes redundant."""
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 0) -> DataFrame:
+    """(doc_id, line_no, reason exact|near, first struct<doc_id,line_no>) for every line that an earlier one makes redundant.
+
+    Lines of fewer than ``min_chars`` characters are compared for equality only.
+    """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     n = F.length("line")
     # Two 64-bit hashes name a line.
     name = (F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
-    rows = stored(lines_of(docs).select("doc_id", "line_no", *name, n.alias("n"), _first_keys(F.col("line"), n).alias("keys")))
+    rows = stored(lines_of(docs).select("doc_id", "line_no", *name, n.alias("n"), _first_keys(F.col("line"), n, min_chars).alias("keys")))
     first = F.min(F.struct("doc_id", "line_no")).alias("f")
     classes = rows.groupBy("h1", "h2").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
     classes = stored(classes.select("h1", "h2", "f.*", "n", "keys", "copies"))
-    near = near_copies(docs, classes)
+    near = near_copies(docs, classes, min_chars)
     again = classes.where("copies > 1").select("h1", "h2", F.struct("doc_id", "line_no").alias("first"))
     exact = rows.select("doc_id", "line_no", "h1", "h2").join(again, ["h1", "h2"]).where(F.struct("doc_id", "line_no") > F.col("first"))
     return exact.select("doc_id", "line_no", F.lit("exact").alias("reason"), "first").unionByName(near.select("doc_id", "line_no", F.lit("near").alias("reason"), "first"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 0) -> DataFrame:
     """The documents without their dropped lines; those that lose all their lines with a word go."""
-    gone = dropped_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
+    gone = dropped_lines(docs, id_col, text_col, min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
     out = docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col(id_col) == F.col("__id"), "left")
     lines = F.split(F.col(text_col), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
@@ -235,12 +238,12 @@ WITH l AS (
   SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
 w AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, line_no) AS k, length(line) AS n FROM w),
-c AS (SELECT doc_id, line_no, line, n FROM r WHERE k = 1 AND n >= 20),
+c AS (SELECT doc_id, line_no, line, n FROM r WHERE k = 1),
 keys AS (
   SELECT doc_id, line_no, line, n, n AS m, 1 AS s, left(line, CAST(floor(n / 2) AS BIGINT)) AS part FROM c
   UNION ALL SELECT doc_id, line_no, line, n, n, 2, right(line, CAST(n - floor(n / 2) AS BIGINT)) FROM c
-  UNION ALL SELECT doc_id, line_no, line, n, n - 1, 1, left(line, CAST(floor((n - 1) / 2) AS BIGINT)) FROM c WHERE n > 20
-  UNION ALL SELECT doc_id, line_no, line, n, n - 1, 2, right(line, CAST(n - 1 - floor((n - 1) / 2) AS BIGINT)) FROM c WHERE n > 20),
+  UNION ALL SELECT doc_id, line_no, line, n, n - 1, 1, left(line, CAST(floor((n - 1) / 2) AS BIGINT)) FROM c WHERE n > 1
+  UNION ALL SELECT doc_id, line_no, line, n, n - 1, 2, right(line, CAST(n - 1 - floor((n - 1) / 2) AS BIGINT)) FROM c WHERE n > 1),
 pairs AS (
   SELECT DISTINCT x.doc_id, x.line_no, x.line AS xl, y.line AS yl, greatest(x.n, y.n) AS longer, least(x.n, y.n) AS shorter
   FROM keys x JOIN keys y ON x.m = y.m AND x.s = y.s AND x.part = y.part

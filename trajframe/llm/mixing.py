@@ -5,6 +5,9 @@ token demand; the source's documents, in a fixed pseudo-random order and repeate
 demand, and inverting it gives each document the time (0 to 1) at which it is trained on. The mix is the documents
 range-sorted by that time.
 
+The last, partial pass over a source takes documents that are large for it (LARGE of it or more) only after all others, so
+that it ends close to its target.
+
 Defined results: a null text has size 0 and is never taken; a null source is a source of its own and comes last;
 rows repeated under one id are separate documents with the same place in the order. Reruns agree.
 """
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajframe.llm.common import count_words, read, whole_text
+from trajframe.llm.common import count_words, read, stored, whole_text
 
 CYCLE = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
@@ -23,6 +26,8 @@ MAX_REPEATS = 3
 SLOPES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 #: Rows of one prefix-sum bucket, on average.
 BUCKET_ROWS = 4096
+#: A document is large for a partial pass if it is this share of it.
+LARGE = 0.02
 
 
 def source_targets(sizes: DataFrame, cycle=CYCLE, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -57,21 +62,24 @@ def mix(docs: DataFrame, cycle=CYCLE, max_repeats: int = MAX_REPEATS, slopes=SLO
     of the pseudo-random order, a running sum over those sums, and a running sum inside each bucket. Buckets hold
     some thousand rows, so that no task gets a whole source.
     """
-    docs = docs.select("doc_id", "source", "size", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias("h"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws("?", F.lit(""), "size", "source"))
+    docs = stored(docs.select("doc_id", "source", "size", F.md5(name).alias("h")))  # narrow, and read several times
     targets = source_targets(docs, cycle, max_repeats)
     rows = docs.groupBy("source").agg(F.count(F.lit(1)).alias("rows")).withColumn("buckets", F.ceil(F.col("rows") / BUCKET_ROWS))
     known = targets.alias("t").join(rows.alias("r"), F.col("t.source").eqNullSafe(F.col("r.source"))).select("t.*", "r.buckets")
     spread = docs.alias("d").join(known.alias("k"), F.col("d.source").eqNullSafe(F.col("k.source")), "left")
     place = F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    spread = spread.select("d.doc_id", "d.source", "d.size", "d.h", "k.rank", "k.source_size", "k.target", F.floor(place * F.col("k.buckets")).alias("bucket"))
+    # Whole passes over the source, then the documents whose middle lies before the end of the last, partial one.
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    part = F.col("target") - passes * F.col("source_size")
+    large = (F.col("size") > part * LARGE).cast("int")
+    bucket = F.floor(place * F.col("k.buckets")) + large * F.col("k.buckets")
+    spread = spread.select("d.doc_id", "d.source", "d.size", "d.h", "k.rank", "k.source_size", "k.target", bucket.alias("bucket"))
     sums = spread.groupBy("rank", "bucket").agg(F.sum("size").alias("bucket_size"))
     running = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("rank", "bucket", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)).alias("base"))
     inside = Window.partitionBy("rank", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = spread.join(sums, ["rank", "bucket"]).withColumn("at", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    # Whole passes over the source, then the documents whose middle lies before the end of the last, partial one.
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    part = F.col("target") - passes * F.col("source_size")
     copies = F.when(F.col("size") > 0, passes + (F.col("at") + F.col("size") / 2 <= part).cast("int")).otherwise(F.lit(0))
     out = out.withColumn("copies", F.least(copies, F.lit(max_repeats)).cast("int"))
     return out.select(
@@ -132,9 +140,11 @@ def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def op10_mixing(spark, sf_dir):
     mixed = mix(sized(read(spark, sf_dir, "documents")))
     first = position(F.col("at").cast("double"), F.col("target"), F.col("rank"))
-    return mixed.select(
+    placed = mixed.select(
         "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round(F.when(F.col("copies") > 0, first), 9).alias("position")
     )
+    order = (F.col("position").asc_nulls_last(), "doc_id")
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 #: The same targets by pouring from the lowest cap up, the same order by md5, in DuckDB.
@@ -154,7 +164,7 @@ f AS (SELECT max(level) AS final FROM l WHERE cap > level * weight),
 t AS (SELECT source, rank, source_size, CASE WHEN cap <= level * weight OR final IS NULL THEN cap ELSE final * weight END AS target FROM l, f),
 o AS (
   SELECT d.doc_id, d.size, t.rank, t.source_size, t.target,
-         CAST(sum(d.size) OVER (PARTITION BY t.rank ORDER BY d.h, d.doc_id) - d.size AS BIGINT) AS done
+         CAST(sum(d.size) OVER (PARTITION BY t.rank ORDER BY d.size > (target - floor(target / source_size) * source_size) * 0.02::DOUBLE, d.h, d.doc_id) - d.size AS BIGINT) AS done
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (
   SELECT *, CASE WHEN size > 0 THEN floor(target / source_size) +

@@ -1,4 +1,8 @@
-"""Near copies by an exact set-similarity join: Jaccard similarity of word shingles, prefix filter, verified pairs.
+"""Near copies by text, the second half of the SimHash operator: fingerprints propose, an exact set-similarity join completes.
+
+Documents whose fingerprints lie within two bits, found by the generalised pigeonhole, are compared as texts and linked first. A
+Jaccard similarity of 0.8 can leave ten or more of 64 bits different, where no partition is selective; so a prefix-filter join finds all
+other links, and needs pairs only of sets that fingerprints haven't linked.
 
 A document is the set of its SHINGLE-word shingles. Its shingles are put in one order that holds for all documents: those that
 a sample of the documents has seldom first (else by hash), often ones last. Two sets of similarity t or more share
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 
 from trajframe.llm.common import stored
 from trajframe.llm.graph import connected_components
+from trajframe.llm.simhash import majority_bits, near_edges
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -71,7 +76,7 @@ def often_seen(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> np.
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: Fraction) -> DataFrame:
-    """(doc_id, node, n, keys): every row's set, named by its digest, with its size and first shingles."""
+    """(doc_id, node, n, fp, keys): every row's set, named by its digest, with its size, fingerprint and first shingles."""
     often = often_seen(docs, id_col, text_col, shingle)
     by_hash = np.argsort(often)
     hashes = often[by_hash]
@@ -89,10 +94,20 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
         for batch in batches:
             sets = [shingles(t, shingle) for t in batch.column(1).to_pylist()]
             nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets))
-            columns = [batch.column(0), pa.array(nodes.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), _arrays([first(s) for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "keys"])
+            fp = np.fromiter((majority_bits(s) for s in sets), np.uint64, len(sets))
+            columns = [batch.column(0), pa.array(nodes.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp.view(np.int64)), _arrays([first(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fp", "keys"])
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, f"doc_id {dict(docs.dtypes)[id_col]}, node long, n long, fp long, keys array<long>")
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, f"doc_id {dict(docs.dtypes)[id_col]}, node long, n long, keys array<long>")
+
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """(x, y): sets to compare because of their fingerprints. A set stands for all with its fingerprint: each of them is compared with it,
+    and it with those that stand for fingerprints within two bits."""
+    heads = classes.groupBy("fp").agg(F.min("node").alias("head"))
+    same = classes.join(heads, "fp").where("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y"))
+    a, b = heads.toDF("a", "x"), heads.toDF("b", "y")
+    return same.unionByName(near_edges(heads.select("fp")).join(a, "a").join(b, "b").select("x", "y"))
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -100,12 +115,13 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = Fraction(str(similarity))
     a, b = F.lit(least.numerator), F.lit(least.denominator)
     prints = stored(prefixes(docs, id_col, text_col, shingle, least))
-    classes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")))
+    classes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp")))
+    proposed = stored(fingerprint_pairs(classes))
     own = prints.join(classes.select("node", F.col("first").alias("doc_id")), ["doc_id", "node"]).dropDuplicates(["node"])
     rows = own.select("node", "n", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("low"), F.max("n").alias("high")).where("size > 1")
     met = stored(rows.join(sizes, "key").where((F.col("n") * b >= F.col("low") * a) | (F.col("high") * b >= F.col("n") * a)).select("key", "node", "n", "size"))
-    wanted = met.select("node").distinct().join(classes, "node").select("node", F.col("first").alias("__first"))
+    wanted = met.select("node").unionByName(proposed.select(F.explode(F.array("x", "y")).alias("node"))).distinct().join(classes, "node").select("node", F.col("first").alias("__first"))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(wanted, F.col("__id") == F.col("__first"))
     sets = shingle_sets(texts.select(F.struct("__id", "node").alias("__key"), "__text"), "__key", "__text", shingle).select("doc_id.node", "hashes")
     sets = stored(sets.dropDuplicates(["node"]))
@@ -124,7 +140,10 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         x, y = rows.alias("x"), rows.alias("y")
         return x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits("x.n", "y.n")).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
 
-    links = verified(pairs_of(met.where(F.col("size") <= SMALL_BUCKET).withColumn("root", F.col("node"))))
+    links = verified(proposed)
+    roots = connected_components(links)
+    few = met.where(F.col("size") <= SMALL_BUCKET).join(roots, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("root"))
+    links = links.unionByName(verified(pairs_of(few)))
     crowd = met.where(F.col("size") > SMALL_BUCKET).select("key", "node", "n")
     roots = connected_components(links)
     for turn in range(ROUNDS + 1):
@@ -144,10 +163,3 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return classes.join(roots, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; rows repeated under it count once.
-    Rows without an id can't be named in a group and stay."""
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = similar_sets(named, id_col, text_col, shingle, similarity).groupBy("root").agg(F.min("first").alias("__id")).select("__id").distinct()
-    one = named.join(kept, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))

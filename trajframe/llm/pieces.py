@@ -9,7 +9,8 @@ The given model file holds its pieces with merge ranks as scores. They are taken
 those of the best-scoring path over these pieces, not of the pair merges.
 
 Defined results: a null text has null ids and decodes to null; an empty text has no ids; repeated rows give repeated results.
-A blank in front of the text is added and taken off again; the meta symbol itself is encoded by its bytes.
+A blank in front of the text is added and taken off again; the meta symbol itself is encoded by its bytes. A column that has the
+name of the result's is replaced.
 """
 
 from __future__ import annotations
@@ -32,9 +33,8 @@ META = "▁"
 _LITERAL = "\ue000"
 #: What a character without a piece costs below the least score.
 UNKNOWN_PENALTY = 10.0
-#: Words whose ids a worker remembers, and the longest that isn't streamed.
-REMEMBERED = 500_000
-LONG_WORD = 64
+#: Segments whose ids a task remembers, in each of two generations.
+REMEMBERED = 50_000
 
 
 class Pieces:
@@ -73,15 +73,15 @@ class Pieces:
         return [self.byte_id[b] for b in (META if char == _LITERAL else char).encode()]
 
 
-    def best_path(self, word: str) -> list[int]:
-        """Ids of a word by itself: the window of a stream that ends before anything can be committed."""
-        n, trie, unknown = len(word), self.trie, self.unknown
+    def best_path(self, segment: str) -> list[int]:
+        """Ids of a segment that fits into the window, so that nothing can be committed before its end."""
+        n, trie, unknown = len(segment), self.trie, self.unknown
         best, back, ids = [float("-inf")] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         for start in range(n):
             here, node, single = best[start], trie, False
             for end in range(start, n):
-                node = node.get(word[end])
+                node = node.get(segment[end])
                 if node is None:
                     break
                 known = node.get(None)
@@ -94,13 +94,29 @@ class Pieces:
                 best[start + 1], back[start + 1], ids[start + 1] = here + unknown, start, -1
         out: list[int] = []
         while n:
-            out += [ids[n]] if ids[n] >= 0 else self.fallback(word[n - 1])[::-1]
+            out += [ids[n]] if ids[n] >= 0 else self.fallback(segment[n - 1])[::-1]
             n = back[n]
         return out[::-1]
 
 
-#: Ids of words by model, kept by a worker from task to task.
-_KNOWN: dict[str, dict[str, bytes]] = {}
+class Memo:
+    """The ids of recent segments, bounded: the younger of two generations takes the place of the older once it is full."""
+
+    def __init__(self, size: int = REMEMBERED):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, segment: str) -> bytes | None:
+        found = self.young.get(segment)
+        if found is None:
+            found = self.old.get(segment)
+            if found is not None:
+                self.put(segment, found)
+        return found
+
+    def put(self, segment: str, ids: bytes) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[segment] = ids
 
 
 @lru_cache(maxsize=2)
@@ -114,29 +130,74 @@ class StreamingViterbi:
     ``text`` holds the characters from the last committed boundary on, ``best`` and ``back`` the best score of a path
     to each boundary in it and where its last piece starts. A piece is at most ``longest`` characters, so only
     the last ``longest`` boundaries can be continued; when the paths to all of them share a boundary, what lies before is
-    committed and forgotten.
+    committed and forgotten. A boundary that no piece spans (before a blank, around a line feed) is shared by all paths whatever
+    came before: the stream commits there without looking, and the ids of a segment between two of them can be remembered. The window is
+    as long as the stretch in which paths stay apart; nothing is forced, since that could change ids.
     """
 
-    def __init__(self, model: Pieces):
-        self.model = model
+    def __init__(self, model: Pieces, memo: Memo | None = None):
+        self.model, self.memo = model, memo
+        self.held = ""  # the start of a segment whose end hasn't come
         self.text, self.best, self.back = "", [0.0], [-1]
         self.done = 0  # boundaries whose best path is final
         self.most = 0  # the longest window so far
 
     def feed(self, chunk: str) -> list[int]:
+        return np.frombuffer(b"".join(self.parts(chunk)), "<i4").tolist()
+
+    def finish(self) -> list[int]:
+        return np.frombuffer(b"".join(self.last_parts()), "<i4").tolist()
+
+    def parts(self, chunk: str) -> list[bytes]:
+        """As feed(), the ids as pieces of little-endian int32."""
+        model = self.model
+        if not model.words:
+            return [self._advance(chunk)]
+        segments = model.cut.findall(self.held + chunk)
+        self.held = segments.pop() if segments else ""
+        out = [self._segment(s, k == 0) for k, s in enumerate(segments)]
+        if len(self.held) > model.longest and not self.held.endswith(META):
+            if self.text and segments:  # the held segment is a new one: the one before it has ended
+                out.append(self._close())
+            out.append(self._advance(self.held))
+            self.held = ""
+        return out
+
+    def last_parts(self) -> list[bytes]:
+        out = [self._segment(self.held, True)] if self.held else []
+        self.held = ""
+        return [*out, self._close()]
+
+    def _segment(self, segment: str, first: bool) -> bytes:
+        """Ids of a segment that has ended, or of the end of one that has begun to pass."""
+        before = b""
+        if self.text:
+            if first and segment[0] != META and segment != "\n":
+                return self._advance(segment) + self._close()
+            before = self._close()
+        if len(segment) > self.model.longest:
+            return before + self._advance(segment) + self._close()
+        ids = self.memo.get(segment) if self.memo else None
+        if ids is None:
+            ids = array("i", self.model.best_path(segment)).tobytes()
+            if self.memo:
+                self.memo.put(segment, ids)
+        return before + ids
+
+    def _advance(self, chunk: str) -> bytes:
         out = []
         for lo in range(0, len(chunk), self.model.longest):
             self.text += chunk[lo : lo + self.model.longest]
             self.most = max(self.most, len(self.text))
             self._extend(len(self.text) - self.model.longest)
             out += self._commit()
-        return out
+        return array("i", out).tobytes()
 
-    def finish(self) -> list[int]:
+    def _close(self) -> bytes:
         self._extend(len(self.text))
         out = self._path(len(self.text))
         self.text, self.best, self.back, self.done = "", [0.0], [-1], 0
-        return out
+        return array("i", out).tobytes()
 
     def _extend(self, until: int) -> None:
         """Pieces that start at each boundary before ``until``: all that they can span has been read."""
@@ -184,39 +245,27 @@ class StreamingViterbi:
         return out[::-1]
 
 
-def streamed(text: str, model: Pieces) -> list[int]:
-    stream = StreamingViterbi(model)
-    return stream.feed(text) + stream.finish()
-
-
-def encode(text: str, model: Pieces, known: dict[str, bytes] | None = None) -> bytes:
-    """Ids of a text as little-endian int32; ``known`` remembers those of its words."""
+def encode(text: str, model: Pieces, memo: Memo | None = None) -> bytes:
+    """Ids of a text as little-endian int32, all of them from one stream."""
     if not text:
         return b""
-    known = {} if known is None else known
-    plain = META + text.replace(META, _LITERAL).replace(" ", META)
-    if _LITERAL in text or not model.words:  # the private character itself, or no safe cuts: piece by piece through the stream
-        return _stream(text, model)
-    out = []
-    for word in model.cut.findall(plain):
-        ids = known.get(word)
-        if ids is None:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            ids = known[word] = array("i", model.best_path(word) if len(word) <= LONG_WORD else streamed(word, model)).tobytes()
-        out.append(ids)
-    return b"".join(out)
+    if _LITERAL in text:
+        return _around_private(text, model)
+    stream = StreamingViterbi(model, memo)
+    parts = stream.parts(META + text.replace(META, _LITERAL).replace(" ", META))
+    return b"".join(parts + stream.last_parts())
 
 
-def _stream(text: str, model: Pieces) -> bytes:
+def _around_private(text: str, model: Pieces) -> bytes:
     """A text with private characters: the parts between them are streamed, they themselves go by their bytes."""
-    out: list[int] = []
+    out: list[bytes] = []
     for k, part in enumerate(re.split(f"({_LITERAL})", text)):
         if part == _LITERAL:
-            out += [model.byte_id[b] for b in part.encode()]
+            out.append(array("i", [model.byte_id[b] for b in part.encode()]).tobytes())
             continue
-        out += streamed(("" if k else META) + part.replace(META, _LITERAL).replace(" ", META), model)
-    return np.array(out, "<i4").tobytes()
+        stream = StreamingViterbi(model)
+        out += stream.parts(("" if k else META) + part.replace(META, _LITERAL).replace(" ", META)) + stream.last_parts()
+    return b"".join(out)
 
 
 def decode(ids, model: Pieces) -> str:
@@ -232,10 +281,10 @@ def encode_texts(docs: DataFrame, text_col: str = "text", out_col: str = "ids",
     at = docs.columns.index(text_col)
 
     def work(batches):
-        model, known = pieces(model_path), _KNOWN.setdefault(model_path, {})
+        model, memo = pieces(model_path), Memo()
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            parts = [b"" if t is None else encode(t, model, known) for t in texts]
+            parts = [b"" if t is None else encode(t, model, memo) for t in texts]
             ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(parts), "<i4"))
             mask = pa.array([t is None for t in texts]) if texts else None
@@ -243,7 +292,7 @@ def encode_texts(docs: DataFrame, text_col: str = "text", out_col: str = "ids",
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*(f"c{i}" for i in range(batch.num_columns)), "out"])
 
     done = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(work, _carried(docs, "array<int>"))
-    return done.toDF(*docs.columns, out_col)
+    return done.toDF(*docs.columns, "__out").withColumn(out_col, F.col("__out")).drop("__out")
 
 
 def decode_ids(docs: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model_path: str = MODEL) -> DataFrame:
@@ -257,7 +306,7 @@ def decode_ids(docs: DataFrame, ids_col: str = "ids", out_col: str = "decoded",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*(f"c{i}" for i in range(batch.num_columns)), "out"])
 
     done = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(work, _carried(docs, "string"))
-    return done.toDF(*docs.columns, out_col)
+    return done.toDF(*docs.columns, "__out").withColumn(out_col, F.col("__out")).drop("__out")
 
 
 def op9_pieces(spark, sf_dir):

@@ -16,6 +16,16 @@ from trajframe.llm.common import find_spans, whole_text
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "access_key", "secret")
 
+#: Characters of an account number by country. The length ends a number that an upper-case word follows.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
 #: A run of characters is entered only at its first character (or where the last match ended), so a long
 #: run without the deciding character costs its length once, not its square.
 PATTERNS = {
@@ -23,7 +33,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?:" + "|".join(rf"{c}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for c, n in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_key)\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9_/+.-]{8,200}",
 }
@@ -84,10 +94,10 @@ VALIDATORS = {
 
 
 def _spans_of(kind: str, text: Column) -> Column:
-    proposed = F.filter(find_spans(text, PATTERNS[kind]), lambda s: VALIDATORS[kind](s["match"]))
+    proposed = F.filter(find_spans(text, PATTERNS[kind], CONTEXT), lambda s: VALIDATORS[kind](s["match"]))
 
     def scored(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
+        before = s["before"]
         score = (
             F.lit(SCORES[kind])
             + F.when(F.regexp_like(before, F.lit(RAISING[kind])), 0.1).otherwise(0.0)

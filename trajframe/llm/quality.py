@@ -3,7 +3,8 @@
 References are counted over all documents: for every language, the histogram of character classes and of its
 COMMON most frequent words. The most frequent ones have a bin each and the others share one with those of
 similar rank (up to each of BANDS), so that the histogram has most of the words' mass and few bins that a short text leaves
-empty by chance; all other words have the last bin. A language with less than RARE of all words uses the reference pooled over all, so there are at most 1 / RARE references. A document
+empty by chance; all other words have the last bin. Every language has its own reference; they are on the driver, so ``lang`` must name
+languages, of which there are thousands at most. A document
 fails if the Jensen-Shannon distance (base 2, 0 to 1) of either histogram is above its bound and the document is long
 enough for that histogram to mean something.
 
@@ -27,7 +28,6 @@ COMMON = 5000
 #: Words up to the first rank have a bin each; those from each rank to the next share one.
 BANDS = (40, 200, 1000, COMMON)
 BINS = BANDS[0] + len(BANDS)
-RARE = 0.005
 POOLED = "\x00pooled"
 MAX_CLASS_DISTANCE = 0.28
 #: On sf0.1, clean texts of 100 words and more lie within 0.39 of their language, clean texts beyond 0.45 of another one, gibberish beyond 0.68.
@@ -116,17 +116,17 @@ def _count(batches):
 
 
 def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, dict]:
-    """{language or POOLED: {"classes": counts, "words": {word: count}, "total": words}}, at most 1 / RARE + 1 of them."""
+    """{language or POOLED: {"classes": counts, "words": {word: count}, "total": words}}."""
     counts = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, kind string, item binary, n long")
     counts = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).persist()
-    totals = {r["lang"]: r["n"] for r in _languages(counts)}
+    totals = {r["lang"]: r["n"] for r in counts.where("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     everything = sum(totals.values())
     if not everything:
         counts.unpersist()
         return {}
-    own = [lang for lang, n in totals.items() if lang != POOLED and n >= RARE * everything]
+    own = [lang for lang in totals if lang != POOLED]
     every = counts.groupBy("kind", "item").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "kind", "item", "n")
-    mine = _most_frequent(counts.where(F.col("lang").isin(own)).select("lang", "kind", "item", "n"))
+    mine = _most_frequent(counts.where((F.col("lang") != POOLED) & F.col("lang").isin(own)).select("lang", "kind", "item", "n"))
     pooled = _most_frequent(every)
     out = {lang: {"classes": np.zeros(len(CLASSES)), "words": {}, "total": totals[lang]} for lang in own}
     out[POOLED] = {"classes": np.zeros(len(CLASSES)), "words": {}, "total": everything}
@@ -148,14 +148,6 @@ def _most_frequent(counts: DataFrame) -> DataFrame:
     return counts
 
 
-def _languages(counts: DataFrame) -> list:
-    """Words of each language; those below RARE are summed up, so few rows come back."""
-    totals = counts.where("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("n"))
-    everything = totals.agg(F.sum("n")).first()[0] or 0
-    name = F.when(F.col("n") >= RARE * everything, F.col("lang")).otherwise(F.lit(POOLED))
-    return totals.groupBy(name.alias("lang")).agg(F.sum("n").alias("n")).collect()
-
-
 SCORED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
 
 

@@ -49,17 +49,25 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp long) for every row."""
 
     def work(batches):
         for batch in batches:
-            fp = np.fromiter((fingerprint(t) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
+            fp = np.fromiter((fingerprint(t, shingle) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, f"doc_id {dict(docs.dtypes)[id_col]}, fp long")
 
 
+def majority_bits(hashes: np.ndarray) -> int:
+    """The fingerprint of some hashes: a bit is one where over half of them have it."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[lo : lo + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def bit_counts(fps: DataFrame) -> np.ndarray:
     """64 x 64: in how many fingerprints both bits are one; summed by Spark, 64 rows come back."""
 
@@ -201,17 +209,26 @@ def components(prints: DataFrame) -> DataFrame:
     return named.join(least, "root").select("fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable over links."""
-    prints = stored(fingerprints(docs, id_col, text_col))
+    prints = stored(fingerprints(docs, id_col, text_col, shingle))
     return prints.join(components(prints), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id; rows repeated under it count once.
-    Rows without an id can't be named in a group and stay."""
+    Rows without an id can't be named in a group and stay.
+
+    Without a ``similarity`` the groups are those of the fingerprints; with one, texts are linked whose shingles have that Jaccard similarity,
+    all of them (see ``near``).
+    """
     named = docs.where(F.col(id_col).isNotNull())
-    kept = near_duplicates(named, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    if similarity is None:
+        kept = near_duplicates(named, id_col, text_col, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    else:
+        from trajframe.llm.near import similar_sets
+
+        kept = similar_sets(named, id_col, text_col, shingle, similarity).groupBy("root").agg(F.min("first").alias("__id")).select("__id").distinct()
     one = named.join(kept, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
     return one.unionByName(docs.where(F.col(id_col).isNull()))
 

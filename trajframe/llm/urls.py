@@ -3,13 +3,15 @@
 Dated additions to and removals from lists become validity intervals; every capture is evaluated against the entries
 that were active when it was fetched. An entry names a host, a domain (the host or anything below it) or one URL.
 
-Hosts are matched once each, not once for each capture: their intervals are found over distinct hosts and joined to
-the captures, so a host with a third of all captures needs no third of the work. The two joins with captures are plain
-left joins on their keys, which adaptive execution splits where a key is heavy.
+Which entries concern a host is found over distinct hosts. A capture then asks each entry that concerns it for its state at the fetch
+time: an as-of join, by a union of captures and intervals and a window that carries the last interval on. Both joins deal
+the captures of one key over SALTS parts and copy the few rows of the other side to each, so that a host with a third of all
+captures isn't one task's work, and no capture carries the history of its host.
 
 Defined results: a null or malformed URL has no host and is on no list; a null fetch time is on no list; an entry added
 twice stays active from the first addition; an addition and a removal at one instant leave it inactive; repeated
-captures give repeated results.
+captures give repeated results. A host of digits and dots is an address and has no domains above it. Columns of the captures that are
+named host, matches or blocked stay, as <name>_given.
 """
 
 from __future__ import annotations
@@ -17,7 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajframe.llm.common import read
+from trajframe.llm.common import read, stored
+
+#: Parts over which the captures of one host, URL or entry are dealt.
+SALTS = 32
+ADDED = ("host", "matches", "blocked")
 
 
 def host_of(url: Column) -> Column:
@@ -33,9 +39,10 @@ def url_key(url: Column) -> Column:
 
 
 def domains_of(host: Column) -> Column:
-    """The host and every domain above it."""
+    """The host and every domain above it; an address of digits and dots stands alone."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    every = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.when(F.regexp_like(host, F.lit("^[0-9.]+$")), F.array(host)).otherwise(every)
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
@@ -50,25 +57,53 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     return spans.select("list", "kind", "pattern", F.col("at").alias("since"), "until")
 
 
-def _spans(rows: DataFrame, key: str, name: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("list", "kind", "pattern", "since", "until"))).alias(name))
+ENTRY = ("list", "kind", "pattern")
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    """Each row once for every part."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def concerning(narrow: DataFrame, intervals: DataFrame) -> DataFrame:
+    """(row, t, salt, list, kind, pattern): every capture with the entries that name its host, a domain above it, or its URL."""
+    entries = intervals.select(*ENTRY).distinct()
+    hosts = narrow.where("host IS NOT NULL").select("host").distinct()
+    probes = hosts.select("host", F.explode(domains_of(F.col("host"))).alias("pattern"))
+    by_host = probes.join(entries.where("kind IN ('host', 'domain')"), "pattern").where("kind = 'domain' OR host = pattern")
+    by_url = entries.where("kind = 'url'").withColumn("url_key", F.col("pattern"))
+    named = [narrow.join(_salted(rules), [key, "salt"]).select("row", "t", "salt", *ENTRY) for key, rules in (("host", by_host), ("url_key", by_url))]
+    return named[0].unionByName(named[1])
+
+
+def active_at(asked: DataFrame, intervals: DataFrame) -> DataFrame:
+    """(row, list, kind, pattern, since, until) of the intervals that hold at t, from (row, t, salt, list, kind, pattern).
+
+    The intervals of one entry don't overlap, so the last one that began decides.
+    """
+    began = _salted(intervals).select(*ENTRY, "salt", F.col("since").alias("t"), F.lit(None).cast("long").alias("row"), F.struct("since", "until").alias("span"))
+    both = asked.select(*ENTRY, "salt", "t", "row", F.lit(None).cast("struct<since:timestamp,until:timestamp>").alias("span")).unionByName(began)
+    so_far = Window.partitionBy(*ENTRY, "salt").orderBy("t", F.col("row").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = both.withColumn("span", F.last("span", ignorenulls=True).over(so_far)).where("row IS NOT NULL AND span IS NOT NULL")
+    return held.where(F.col("span.until").isNull() | (F.col("t") < F.col("span.until"))).select("row", *ENTRY, "span.since", "span.until")
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Adds host, matches (the active entries) and blocked to captures (with url, fetch_time)."""
-    intervals = validity_intervals(entries)
-    keyed = captures.withColumn("host", host_of(F.col("url"))).withColumn("url_key", url_key(F.col("url")))
-    hosts = keyed.where("host IS NOT NULL").select("host").distinct()
-    probes = hosts.select("host", F.explode(domains_of(F.col("host"))).alias("pattern"))
-    above = probes.join(intervals.where("kind IN ('host', 'domain')"), "pattern").where("kind = 'domain' OR host = pattern")
-    by_host = _spans(above, "host", "host_spans")
-    by_url = _spans(intervals.where("kind = 'url'").withColumn("url_key", F.col("pattern")), "url_key", "url_spans")
-    found = keyed.join(by_host, "host", "left").join(by_url, "url_key", "left")
+    names = [f"c{i}" for i in range(len(captures.columns))]
+    at = dict(zip(captures.columns, names, strict=True))
+    # Written once: the rows need numbers that stay.
+    rows = captures.toDF(*names).withColumn("host", host_of(F.col(at["url"]))).withColumn("row", F.monotonically_increasing_id())
+    rows = stored(rows)
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+    narrow = rows.where(F.col(at["fetch_time"]).isNotNull()).select("row", F.col(at["fetch_time"]).cast("timestamp").alias("t"), "host", url_key(F.col(at["url"])).alias("url_key"), salt.alias("salt"))
+    intervals = stored(validity_intervals(entries))
+    active = active_at(concerning(narrow, intervals), intervals)
+    found = active.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(*ENTRY, "since", "until"))).alias("matches"))
     none = F.array().cast("array<struct<list:string,kind:string,pattern:string,since:timestamp,until:timestamp>>")
-    spans = F.concat(F.coalesce("host_spans", none), F.coalesce("url_spans", none))
-    now = F.col("fetch_time")
-    active = F.filter(spans, lambda s: F.coalesce((s["since"] <= now) & (s["until"].isNull() | (now < s["until"])), F.lit(False)))
-    return found.withColumn("matches", active).withColumn("blocked", F.size("matches") > 0).drop("url_key", "host_spans", "url_spans")
+    out = rows.join(found, "row", "left").withColumn("matches", F.coalesce("matches", none))
+    given = [F.col(n).alias(f"{c}_given" if c in ADDED else c) for c, n in at.items()]
+    return out.select(*given, "host", "matches", (F.size("matches") > 0).alias("blocked"))
 
 
 #: The dated lists and fetch times that the query derives from the pages table.
@@ -141,7 +176,7 @@ spans AS (
   UNION ALL SELECT list, kind, pattern, s + (gap + 60) * 86400, NULL FROM listed WHERE again < 128),
 m AS (
   SELECT c.page_id, s.list, s.since FROM c JOIN spans s ON (s.kind = 'host' AND s.pattern = c.host) AND s.since <= c.fetched AND (s.until IS NULL OR c.fetched < s.until)
-  UNION ALL SELECT c.page_id, s.list, s.since FROM c JOIN spans s ON s.kind = 'domain' AND (c.host = s.pattern OR suffix(c.host, '.' || s.pattern)) AND s.since <= c.fetched AND (s.until IS NULL OR c.fetched < s.until)
+  UNION ALL SELECT c.page_id, s.list, s.since FROM c JOIN spans s ON s.kind = 'domain' AND (c.host = s.pattern OR (NOT regexp_matches(c.host, '^[0-9.]+$') AND suffix(c.host, '.' || s.pattern))) AND s.since <= c.fetched AND (s.until IS NULL OR c.fetched < s.until)
   UNION ALL SELECT c.page_id, s.list, s.since FROM c JOIN spans s ON (s.kind = 'url' AND s.pattern = c.url_key) AND s.since <= c.fetched AND (s.until IS NULL OR c.fetched < s.until)),
 g AS (SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, count(*) AS n, min(since) AS since FROM m GROUP BY page_id)
 SELECT c.page_id, c.fetched, c.host, g.n IS NOT NULL AS blocked, coalesce(g.lists, '') AS lists, coalesce(g.n, 0) AS n_matches, CAST(g.since AS BIGINT) AS since
