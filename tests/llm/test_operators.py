@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import math
 import random
@@ -442,20 +443,22 @@ def test_tables_equal_the_convolution():
 # Search
 
 
-def brute_search(texts, queries, k=10):
+def brute_search(texts, queries, k=10, ids=None):
+    """Rows under one id are documents of their own, and one query with the terms of all."""
+    ids = ids or list(range(len(texts)))
     tokens = [re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower()) for t in texts]
     n, mean = len(texts), sum(map(len, tokens)) / len(texts)
     df = Counter(t for x in tokens for t in set(x))
     out = []
-    for q in queries:
-        pick = set(tokens[q])
+    for q in sorted({ids[i] for i in queries}):
+        pick = {t for i, x in zip(ids, tokens, strict=True) if i == q for t in x}
         scores = Counter()
         for d, x in enumerate(tokens):
             c = Counter(x)
             for t in pick:
                 if c[t]:
                     scores[d] += int(search.contributions(search.idf_weight(df[t], n), float(c[t]), float(len(x)), mean))
-        out += [(q, r + 1, d, s / search.UNIT) for r, (d, s) in enumerate(sorted(scores.items(), key=lambda i: (-i[1], i[0]))[:k])]
+        out += [(q, r + 1, ids[d], s / search.UNIT) for r, (d, s) in enumerate(sorted(scores.items(), key=lambda i: (-i[1], ids[i[0]]))[:k])]
     return out
 
 
@@ -620,31 +623,146 @@ def test_schedule_is_inverted(spark):
 # All operators on awkward and empty tables
 
 
-def run_all(df):
-    net = langid.train(df.where("lang IS NOT NULL"))
-    return {
-        1: lines.dedup_lines(df),
-        2: pii.find_pii(df, out_col="found"),
-        3: licenses.find_licenses(df, out_col="found"),
-        4: quality.score_quality(df, quality.references(df)),
-        5: simhash.near_duplicates(df),
-        7: langid.predict(df, net),
-        8: search.search(df, df.where("doc_id % 2 = 0")),
-        9: pieces.encode_texts(df),
-        10: mixing.mix(mixing.sized(df)),
-    }
+def ids_of(df, col="doc_id"):
+    return sorted((r[col] for r in df.select(col).collect()), key=lambda x: (x is None, x))
+
+
+def test_awkward_lines(awkward):
+    """Exact and near copies by brute force; rows keep their columns, and those of one id their text."""
+    rows = {r["doc_id"]: r for r in awkward.collect()}
+    exact, near = brute_dropped([rows[i]["text"] for i in sorted(rows)], 0)
+    got = lines.dropped_lines(awkward).collect()
+    assert {(r["doc_id"], r["line_no"]) for r in got if r["reason"] == "exact"} == exact and {(r["doc_id"], r["line_no"]) for r in got if r["reason"] == "near"} == near
+    kept = lines.dedup_lines(awkward)
+    assert kept.columns == awkward.columns
+    for r in kept.collect():
+        t = rows[r["doc_id"]]["text"]
+        left = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (r["doc_id"], n) not in exact | near)
+        assert r["text"] == left and (r["match"], r["start"]) == ("m", 1)
+
+
+def test_awkward_spans_and_labels(awkward):
+    for r in pii.find_pii(awkward, out_col="found").collect():
+        assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["found"]] == base_spans(r["text"]) == []
+    assert all(r["licenses"] == [] and r["match"] == "m" for r in licenses.find_licenses(awkward).collect())
+    # A column that has the result's name is replaced.
+    assert all(r["match"] == [] for r in licenses.find_licenses(awkward, out_col="match").collect())
+
+
+def test_awkward_quality(awkward):
+    texts = {r["doc_id"]: r["text"] for r in awkward.collect()}
+    got = quality.score_quality(awkward, quality.references(awkward)).collect()
+    assert len(got) == awkward.count()
+    for r in got:
+        assert tuple(r)[1:7] == quality.judge(texts[r["doc_id"]], None)[:6] and not (r["kept"] and r["base_failed"])
+
+
+def test_awkward_fingerprints(awkward):
+    rows = sorted({(r["doc_id"], r["text"]) for r in awkward.collect()}, key=lambda r: r[0])
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    want = dict(zip((i for i, _ in rows), brute_components(fps, [i for i, _ in rows]), strict=True))
+    got = simhash.near_duplicates(awkward).collect()
+    assert len(got) == awkward.count() and all(r["component_id"] == want[r["doc_id"]] for r in got)
+    assert ids_of(simhash.keep_one_each(awkward)) == sorted(set(want.values()))
+
+
+def test_awkward_languages(awkward):
+    net = langid.train(awkward.where("lang IS NOT NULL"))
+    for r in langid.predict(awkward, net).join(awkward.select("doc_id", "text").distinct(), "doc_id").collect():
+        assert (r["lang_pred"] == "und") == (r["text"] is None or not any(c.isalpha() for c in r["text"])) and 0 <= r["score"] <= 1
+    kept = langid.keep_known(awkward, net)
+    assert kept.columns == awkward.columns and {r["text"] for r in kept.collect()} == {t for t in AWKWARD if t and any(c.isalpha() for c in t)}
+    assert {r["lang_pred"] for r in langid.predict(awkward, None).collect()} == {"und"}
+
+
+def test_rare_languages_are_learned(spark):
+    docs = labelled(spark).unionByName(spark.createDataFrame([(9000 + i, "żółw gęś źrebię łąka", "pl") for i in range(2)], "doc_id long, text string, lang string"))
+    assert "pl" in langid.train(docs).classes
+
+
+def test_awkward_search(awkward):
+    rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    want = brute_search([t for _, t in rows], range(len(rows)), ids=[i for i, _ in rows])
+    got = search.search(awkward, awkward).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"], r["score"]) for r in got] == [(q, k, s) for q, k, _, s in want]
+
+
+def test_awkward_pieces(awkward):
+    clash = awkward.withColumn("ids", F.lit("mine")).withColumn("decoded", F.lit("mine"))
+    back = pieces.decode_ids(pieces.encode_texts(clash))
+    assert sorted(back.columns) == sorted(clash.columns) and len(set(back.columns)) == len(back.columns)
+    assert all(r["decoded"] == r["text"] and (r["ids"] is None) == (r["text"] is None) for r in back.collect())
+
+
+def test_awkward_mix(awkward):
+    rows = mixing.mix(mixing.sized(awkward)).collect()
+    sizes = {r["doc_id"]: len(WS.findall(r["text"] or "")) for r in awkward.collect()}
+    assert len(rows) == awkward.count() and all(r["size"] == sizes[r["doc_id"]] and r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 3 for r in rows)
+    out = mixing.mixed_documents(awkward)
+    assert out.columns == awkward.columns and {r["doc_id"] for r in out.collect()} <= set(sizes)
+
+
+CAPTURES = "page_id long, url string, fetch_time timestamp, host string, matches string, blocked string"
+
+
+def test_awkward_urls(spark):
+    """Nulls, no host, repeated rows, a very long URL, an address, columns that have the result's names."""
+    day = lambda d: dt.datetime(2024, 1, d)
+    long = "http://long.b.com/" + "x" * 100_000
+    urls_of = [None, "", "no scheme", "http://", "http://a.b.com/x", "http://a.b.com/x", long, "http://10.0.0.1/x", "http://B.COM", "http://c.org/p#f"]
+    captures = spark.createDataFrame([(i, u, None if i == 8 else day(3), "mine", "m", "b") for i, u in enumerate(urls_of)] + [(5, urls_of[5], day(3), "mine", "m", "b")], CAPTURES)
+    entries = spark.createDataFrame(
+        [("spam", "domain", "b.com", "add", day(2)), ("bad", "url", long.removeprefix("http://"), "add", day(1)), ("net", "domain", "0.0.1", "add", day(1)), ("net", "host", "10.0.0.1", "add", day(3)), (None, "host", None, "add", day(1)), ("x", "url", "c.org/p", "add", None)],
+        "list string, kind string, pattern string, action string, at timestamp",
+    )
+    out = urls.filter_urls(captures, entries)
+    assert [c for c in out.columns if c.endswith("_given")] == ["host_given", "matches_given", "blocked_given"]
+    rows = out.collect()
+    assert len(rows) == 11 and all((r["host_given"], r["matches_given"], r["blocked_given"]) == ("mine", "m", "b") and r["blocked"] == bool(r["matches"]) for r in rows)
+    assert sorted((r["page_id"], r["host"], [m["list"] for m in r["matches"]]) for r in rows if r["host"]) == [
+        (4, "a.b.com", ["spam"]), (5, "a.b.com", ["spam"]), (5, "a.b.com", ["spam"]), (6, "long.b.com", ["bad", "spam"]), (7, "10.0.0.1", ["net"]), (8, "b.com", []), (9, "c.org", [])]
+    assert urls.filter_urls(captures.limit(0), entries).collect() == []
+    assert all(not r["blocked"] for r in urls.filter_urls(captures, entries.limit(0)).collect())
+
+
+def test_urls_equal_brute_force(spark):
+    """Random captures, one host with half of them, against the entries' states one by one."""
+    rng = random.Random(4)
+    hosts = ["hot.a.com", "b.a.com", "a.com", "c.org", "x.c.org"]
+    at = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(0, 60))
+    steps = [(rng.choice(["l1", "l2"]), rng.choice(["host", "domain"]), rng.choice([*hosts, "com", "org"]), rng.choice(["add", "add", "remove"]), at()) for _ in range(60)]
+    caps = [(i, f"http://{'hot.a.com' if i % 2 else rng.choice(hosts)}/p", at()) for i in range(200)]
+    got = urls.filter_urls(spark.createDataFrame(caps, "page_id long, url string, fetch_time timestamp"), spark.createDataFrame(steps, "list string, kind string, pattern string, action string, at timestamp"))
 
+    def active(entry, t):
+        own = [s for s in steps if s[:3] == entry and s[4] <= t]
+        last = [s for s in own if s[4] == max(x[4] for x in own)]
+        return bool(last) and all(s[3] == "add" for s in last)
 
-def test_awkward_tables(awkward):
-    n = awkward.count()
-    for k, df in run_all(awkward).items():
-        got = df.count()
-        assert got == n if k not in (1, 8) else got > 0, k
+    for r in got.collect():
+        t, host = r["fetch_time"], r["url"][7:-2]
+        want = {e for e in {s[:3] for s in steps} if active(e, t) and (host == e[2] or (e[1] == "domain" and host.endswith("." + e[2])))}
+        assert {(m["list"], m["kind"], m["pattern"]) for m in r["matches"]} == want
 
 
 def test_empty_tables(empty):
-    for df in run_all(empty).values():
-        assert df.count() == 0
+    net = langid.train(empty.where("lang IS NOT NULL"))
+    for df in (
+        lines.dedup_lines(empty),
+        lines.dropped_lines(empty),
+        pii.find_pii(empty),
+        licenses.find_licenses(empty),
+        quality.score_quality(empty, quality.references(empty)),
+        simhash.near_duplicates(empty),
+        simhash.keep_one_each(empty),
+        langid.predict(empty, net),
+        langid.keep_known(empty, net),
+        search.search(empty, empty),
+        pieces.decode_ids(pieces.encode_texts(empty)),
+        mixing.mix(mixing.sized(empty)),
+        mixing.mixed_documents(empty),
+    ):
+        assert df.collect() == []
 
 
 def test_pii_digest_of_nothing(spark, tmp_path):

@@ -4,7 +4,7 @@ A document's keywords choose the rules that are tried at all; a detection whose
 detection of better priority (or, at equal priority, of a longer or earlier one) is suppressed. One row in, one row out.
 
 Defined results: a null text is empty: no words, no labels, score 0, null first and last word. Repeated rows give
-repeated results.
+repeated results. A column that has the result's name is replaced.
 """
 
 from __future__ import annotations

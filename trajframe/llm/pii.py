@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
 Defined results: a null text is empty and has no spans; repeated rows give repeated results; a proposed
-span that its validator rejects is dropped and the search goes on behind it. One row in, one row out:
+span that its validator rejects is dropped and the search goes on behind it. A column that has the result's name is replaced. One row in, one row out:
 no shuffle, whatever the size of the corpus.
 """
 

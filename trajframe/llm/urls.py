@@ -11,7 +11,7 @@ captures isn't one task's work, and no capture carries the history of its host.
 Defined results: a null or malformed URL has no host and is on no list; a null fetch time is on no list; an entry added
 twice stays active from the first addition; an addition and a removal at one instant leave it inactive; repeated
 captures give repeated results. A host of digits and dots is an address and has no domains above it. Columns of the captures that are
-named host, matches or blocked stay, as <name>_given.
+named host, matches or blocked stay, as <name>_given. Entries without a pattern or a time are left out.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 
     At one instant a removal outweighs an addition. Only changes of state open or close an interval.
     """
-    at_once = entries.groupBy("list", "kind", "pattern", "at").agg(F.bool_and(F.col("action") == "add").alias("active"))
+    at_once = entries.where("pattern IS NOT NULL AND at IS NOT NULL").groupBy("list", "kind", "pattern", "at").agg(F.bool_and(F.col("action") == "add").alias("active"))
     order = Window.partitionBy("list", "kind", "pattern").orderBy("at")
     changes = at_once.withColumn("was", F.coalesce(F.lag("active").over(order), F.lit(False))).where("active <> was")
     spans = changes.withColumn("until", F.lead("at").over(order)).where("active")
