@@ -74,9 +74,15 @@ def a13_pair_streams(spark, sf_dir):
     return paired.select(F.col("episode").alias("episode_index"), "frame_index", F.round("state", 4).alias("state"), F.round("action", 4).alias("action"))
 
 
-@query()
+@query("""
+, l AS (SELECT 's0' AS feature, s0 AS v FROM fr UNION ALL SELECT 's1', s1 FROM fr)
+SELECT feature, COUNT(*) AS count, ROUND(MIN(v), 4) AS min, ROUND(MAX(v), 4) AS max, ROUND(AVG(v), 4) AS mean, ROUND(STDDEV_POP(v), 4) AS std FROM l GROUP BY 1
+""")
 def a6_stats_json(spark, sf_dir):
-    return S.as_json(S.merge_stats(S.per_episode_stats(frames(spark, sf_dir), ["s0", "s1"])))
+    """Stats written as JSON, and read from it."""
+    text = S.as_json(S.merge_stats(S.per_episode_stats(frames(spark, sf_dir), ["s0", "s1"])))
+    back = text.select("feature", F.from_json("json", "count long, min double, max double, mean double, std double").alias("j"))
+    return back.select("feature", "j.count", *(F.round(f"j.{c}", 4).alias(c) for c in ("min", "max", "mean", "std")))
 
 
 @query()

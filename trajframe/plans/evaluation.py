@@ -101,11 +101,17 @@ def d18_false_discovery(spark, sf_dir):
     return V.false_discovery(tests).select("feature", "p", "p_fdr", "significant")
 
 
-@query()
+@query(_ME + """
+, c AS (SELECT COUNT(*) FILTER (episode_index % 2 = 0 AND success) AS a, COUNT(*) FILTER (episode_index % 2 = 0 AND NOT success) AS b, COUNT(*) FILTER (episode_index % 2 = 1 AND success) AS c2, COUNT(*) FILTER (episode_index % 2 = 1 AND NOT success) AS d FROM me),
+m AS (SELECT *, a + b + c2 + d AS n, a + b AS r, a + c2 AS k FROM c),
+f AS (SELECT m.*, x, lgamma(r + 1) - lgamma(x + 1) - lgamma(r - x + 1) + lgamma(n - r + 1) - lgamma(k - x + 1) - lgamma(n - r - k + x + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1) AS lp
+  FROM m, range(0, (SELECT least(r, k) FROM m) + 1) t(x) WHERE x >= greatest(0, k - (n - r)))
+SELECT a, b, c2, d, ROUND(least(1, SUM(exp(lp)) FILTER (lp <= (SELECT lp FROM f g WHERE g.x = g.a) + 1e-7)), 6) AS p FROM f GROUP BY a, b, c2, d
+""")
 def d19_fisher(spark, sf_dir):
     m = _metrics(spark, sf_dir).withColumn("c", F.col("episode_index") % 2)
     one = m.agg(*(F.count_if((F.col("c") == c) & (F.col("success") == s)).alias(n) for n, c, s in (("a", 0, True), ("b", 0, False), ("c2", 1, True), ("d", 1, False))))
-    return one.withColumn("p", V.fisher_p_value("a", "b", "c2", "d"))
+    return one.withColumn("p", F.round(V.fisher_p_value("a", "b", "c2", "d"), 6))
 
 
 @query(_G + """

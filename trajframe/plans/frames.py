@@ -103,13 +103,29 @@ def e11_offsets_per_file(spark, sf_dir):
     return numbering.cumulative_offsets(rows, "length", "episode_index", "from_in_file", "to_in_file", "file").drop("length")
 
 
-@query()
+@query("""
+, o AS (SELECT episode_index % 2 AS dataset, episode_index, length, ROW_NUMBER() OVER (PARTITION BY episode_index % 2 ORDER BY episode_index) AS r FROM ep),
+p AS (
+  SELECT dataset, episode_index, r, length AS filled, 0 AS file FROM o WHERE r = 1
+  UNION ALL
+  SELECT o.dataset, o.episode_index, o.r, CASE WHEN p.filled + o.length >= 500 THEN o.length ELSE p.filled + o.length END, CASE WHEN p.filled + o.length >= 500 THEN p.file + 1 ELSE p.file END
+  FROM p JOIN o ON o.dataset = p.dataset AND o.r = p.r + 1)
+SELECT dataset, episode_index, CAST(file // 4 AS BIGINT) AS chunk_index, CAST(file % 4 AS BIGINT) AS file_index FROM p
+""")
 def a9_file_packing(spark, sf_dir):
     rows = episodes(spark, sf_dir).withColumn("dataset", F.col("episode_index") % 2)
     return numbering.pack_files(rows, 500.0, 4, size="length")
 
 
-@query()
+@query("""
+, o AS (SELECT episode_index % 3 AS camera, episode_index, length, length * 0.5::DOUBLE AS mb, ROW_NUMBER() OVER (PARTITION BY episode_index % 3 ORDER BY episode_index) AS r FROM ep),
+p AS (
+  SELECT camera, episode_index, r, mb AS total, 1 AS n, length AS held, 0 AS batch FROM o WHERE r = 1
+  UNION ALL
+  SELECT camera, episode_index, r, CASE WHEN shut THEN mb ELSE total + mb END, CASE WHEN shut THEN 1 ELSE n + 1 END, CASE WHEN shut THEN length ELSE held + length END, CASE WHEN shut THEN batch + 1 ELSE batch END
+  FROM (SELECT o.*, p.total, p.n, p.held, p.batch, p.total >= 200 OR p.n >= 8 OR p.held + o.length > 600 AS shut FROM p JOIN o ON o.camera = p.camera AND o.r = p.r + 1) q)
+SELECT camera, episode_index, CAST(batch AS BIGINT) AS batch FROM p
+""")
 def f10_episode_batches(spark, sf_dir):
     rows = episodes(spark, sf_dir).withColumn("camera", F.col("episode_index") % 3).withColumn("mb", F.col("length") * 0.5)
     return numbering.batch_episodes(rows, "camera", "episode_index", "mb", "length", 200.0, 8, 600)

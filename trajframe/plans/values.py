@@ -122,11 +122,14 @@ def h5_rotation_round_trip(spark, sf_dir):
     return back.select(*KEYS, *(F.abs(_r(F.get("w", F.lit(i)), 4)).alias(n) for i, n in enumerate("xyz")), *(_r(F.get("t", F.lit(i)), 4).alias(f"t{n}") for i, n in enumerate("xyz")))
 
 
-@query()
+@query("""
+, a AS (SELECT episode_index, frame_index, cos(radians(s0)) AS c1, sin(radians(s0)) AS n1, cos(radians(s1)) AS c2, sin(radians(s1)) AS n2 FROM fr)
+SELECT episode_index, frame_index, ROUND(0.3 * c1 * c2 + 0.0, 6) AS x, ROUND(0.3 * n1 * c2 + 0.0, 6) AS y, ROUND(0.3 * n2 + 0.1, 6) AS z, ROUND(CASE WHEN abs(c2) < 1e-6 THEN atan2(c1 * n2, -n1 * n2) ELSE atan2(n1 * c2, c1 * c2) END + 0.0, 6) AS yaw, ROUND(atan2(-n2, abs(c2)) + 0.0, 6) AS pitch FROM a
+""")
 def h6_forward_kinematics(spark, sf_dir):
     pose = K.forward_kinematics([{"a": 0.0, "alpha": 90.0, "d": 0.1, "theta_offset": 0.0}, {"a": 0.3, "alpha": 0.0, "d": 0.0, "theta_offset": 0.0}])
     rows = frames(spark, sf_dir).select(*KEYS, pose(F.array("s0", "s1")).alias("p"))
-    return rows.select(*KEYS, *(_r(F.get("p", F.lit(i))).alias(n) for i, n in enumerate(("x", "y", "z", "yaw", "pitch", "roll"))))
+    return rows.select(*KEYS, *(_r(F.get("p", F.lit(i))).alias(n) for i, n in enumerate(("x", "y", "z", "yaw", "pitch"))))
 
 
 @query("SELECT episode_index, frame_index, lpad(CAST(frame_index * 7 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(frame_index * 7 % 60 AS VARCHAR), 2, '0') AS clock, CAST(frame_index * 7 AS INTEGER) AS seconds, CAST(floor(frame_index * 7 * 2.5) AS BIGINT) AS frame FROM fr")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajframe.operators.numbering import cumulative_offsets
-from trajframe.streaming.storage import new_folder
+from trajframe.streaming.storage import kept, new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +36,7 @@ _WRITTEN: dict[tuple[str, str, str], str] = {}
 def written(spark, sf_dir, name: str, derive, key: str) -> DataFrame:
     """A derived table, written at its first use: clustered by ``key``, so that filters on it and on what rises with it skip files and row groups."""
     at = (spark.sparkContext.applicationId, sf_dir, name)
-    if at not in _WRITTEN:
+    if at not in _WRITTEN or not kept(spark, _WRITTEN[at]):
         path = f"{new_folder(spark)}/{name}"
         rows = derive(spark, sf_dir)
         rows.repartitionByRange(key).sortWithinPartitions(key).write.parquet(path)
