@@ -86,6 +86,10 @@ def find_spans(text: Column, pattern: str | Column, context: int = 0) -> Column:
     return F.when(F.regexp_like(text, rx), found).otherwise(F.array().cast(kind))
 
 
+#: (application, folder) of all folders made.
+_MADE: list[tuple[str, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which every executor sees.
 
@@ -97,7 +101,19 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/trajframe-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/trajframe-{uuid.uuid4().hex}"
+    _MADE.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Deletes what ``stored`` has written in this session, once no result that reads it is needed any more; how many folders there were."""
+    own = [m for m in _MADE if m[0] == spark.sparkContext.applicationId]
+    for made in own:
+        where = spark._jvm.org.apache.hadoop.fs.Path(made[1])
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _MADE.remove(made)
+    return len(own)
 
 
 def stored(df: DataFrame) -> DataFrame:
