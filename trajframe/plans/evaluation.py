@@ -34,7 +34,7 @@ def d13_evaluation_rollup(spark, sf_dir):
 
 
 @query("""
-, x AS (SELECT episode_index, t, sqrt(pow(s0 - lag(s0) OVER w, 2) + pow(s1 - lag(s1) OVER w, 2)) AS d, abs(s0 - lag(s0) OVER w) / 100 / nullif(t - lag(t) OVER w, 0) AS turn FROM fr WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index))
+, x AS (SELECT episode_index, t, sqrt(pow(s0 - lag(s0) OVER w, 2) + pow(s1 - lag(s1) OVER w, 2)) AS d, least(abs(s0 - lag(s0) OVER w) / 100, 2 * pi() - abs(s0 - lag(s0) OVER w) / 100) / nullif(t - lag(t) OVER w, 0) AS turn FROM fr WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index))
 SELECT episode_index, ROUND(MAX(t) - MIN(t), 2) AS duration, ROUND(SUM(d), 3) AS path_length, ROUND(MAX(turn) * 1000, 5) AS peak_turn, ROUND(AVG(turn) * 1000, 5) AS mean_turn FROM x GROUP BY 1 HAVING COUNT(*) >= 4
 """)
 def d14_kinematics(spark, sf_dir):
@@ -64,7 +64,7 @@ def d16_expert_reference(spark, sf_dir):
     return points.where("episode_index % 10 = 0").groupBy("point").agg(F.round(F.avg("s0"), 5).alias("s0"))
 
 
-@query(_POINTS + "SELECT pt.episode_index, ROUND(AVG(abs(pt.s0 - rf.s0)), 5) AS mean_error, ROUND(MAX(abs(pt.s0 - rf.s0)), 5) AS max_error, ROUND(sqrt(AVG(pow(pt.s0 - rf.s0, 2))), 5) AS rmse, ROUND(AVG(abs(pt.s0 - rf.s0)) / 100, 3) AS mean_turn FROM pt JOIN rf ON rf.point = pt.point GROUP BY 1")
+@query(_POINTS + "SELECT pt.episode_index, ROUND(AVG(abs(pt.s0 - rf.s0)), 5) AS mean_error, ROUND(MAX(abs(pt.s0 - rf.s0)), 5) AS max_error, ROUND(sqrt(AVG(pow(pt.s0 - rf.s0, 2))), 5) AS rmse, ROUND(AVG(least(abs(pt.s0 - rf.s0) / 100, 2 * pi() - abs(pt.s0 - rf.s0) / 100)), 3) AS mean_turn FROM pt JOIN rf ON rf.point = pt.point GROUP BY 1")
 def d15_accuracy(spark, sf_dir):
     points = V.resample(frames(spark, sf_dir), ["s0"], 10)
     reference = points.where("episode_index % 10 = 0").groupBy("point").agg(F.avg("s0").alias("s0"))

@@ -15,11 +15,12 @@ _PER = """
   SELECT episode_index, 's1', COUNT(*), MIN(s1), MAX(s1), AVG(s1), STDDEV_POP(s1), quantile_cont(s1, 0.01), quantile_cont(s1, 0.5), quantile_cont(s1, 0.99) FROM fr GROUP BY 1)
 """
 _COLS = ("min", "max", "mean", "std", "q01", "q50", "q99")
-_R = ", ".join(f"ROUND({c}, 6) AS {c}" for c in _COLS)
+#: Values with few decimals lie on the edge of rounding; a hair more moves them off it in both engines.
+_R = ", ".join(f"ROUND({c} + 1e-8, 6) AS {c}" for c in _COLS)
 
 
 def _rounded(df, *keys):
-    return df.select(*keys, "count", *(F.round(c, 6).alias(c) for c in _COLS))
+    return df.select(*keys, "count", *(F.round(F.col(c) + 1e-8, 6).alias(c) for c in _COLS))
 
 
 @query(_PER + f"SELECT episode_index, feature, count, {_R} FROM per")
