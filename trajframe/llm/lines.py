@@ -7,8 +7,8 @@ verified with a banded bit-parallel edit distance.
 
 Keys under which many lines meet aren't expanded into pairs. Their lines stay in, with the unmatched segment cut
 into FANOUT smaller ones and all around it as the key, again and again; at one character (or one place between two)
-all lines that meet are within one edit of each other, so that each is compared with the first of them only. This is exact but
-for collisions of 64-bit keys, which can hide a link and can't make one, and linear in the lines times the logarithm of their length.
+all lines that meet are within one edit of each other, so that all but the first are near copies of the first. Two 64-bit hashes of
+all that is around the place must agree, as two name a line. This is linear in the lines times the logarithm of their length.
 
 A line is dropped if an equal line, or one within an edit of it, occurs earlier (by doc_id, then line number). Lines
 without a word are left alone; a caller may have short lines compared for equality only.
@@ -126,7 +126,7 @@ def _first_keys(line: Column, n: Column, min_chars: int) -> Column:
 def _probes(classes: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, line_no, key, kind, m, a, b, own): a row for each key of a distinct line."""
     cells = [F.struct(F.get("keys", F.lit(i)).alias("key"), F.lit("").alias("kind"), m.alias("m"), a.alias("a"), b.alias("b"), F.lit(own).alias("own")) for i, (own, m, a, b) in enumerate(_segments(F.col("n")))]
-    return classes.where("keys IS NOT NULL").select("doc_id", "line_no", F.inline(F.array(*cells))).where(F.col("m") >= max(min_chars, 1))
+    return classes.where("keys IS NOT NULL").select("doc_id", "line_no", F.lit(0).cast("long").alias("check"), F.inline(F.array(*cells))).where(F.col("m") >= max(min_chars, 1))
 
 
 def _finer(crowd: DataFrame) -> DataFrame:
@@ -143,15 +143,16 @@ def _finer(crowd: DataFrame) -> DataFrame:
     wanted = F.concat(F.when((F.col("kind") != "i") & F.col("own") & (F.col("owns") > 1), same).otherwise(none), F.when((F.col("kind") != "s") & (F.col("size") > F.col("owns")), more).otherwise(none))
     # Lines of one length, or of both, must be there for a link to be found.
     parts = crowd.select("doc_id", "line_no", "line", "m", "own", F.explode(wanted).alias("p"))
+    key = lambda kind: _key(kind, F.col("m"), F.col("p.a"), F.col("p.b"), F.col("line"))
     return parts.select(
-        "doc_id", "line_no", _key(F.col("p.kind"), F.col("m"), F.col("p.a"), F.col("p.b"), F.col("line")).alias("key"), F.col("p.kind").alias("kind"), "m", F.col("p.a").alias("a"), F.col("p.b").alias("b"), "own"
+        "doc_id", "line_no", key(F.col("p.kind")).alias("key"), key(F.concat(F.lit("2"), "p.kind")).alias("check"), F.col("p.kind").alias("kind"), "m", F.col("p.a").alias("a"), F.col("p.b").alias("b"), "own"
     )
 
 
 def _met(rows: DataFrame) -> DataFrame:
     """The rows that share their key with another line and could be linked to it, with the number that share it."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count_if("own").alias("owns"), F.min(F.struct("doc_id", "line_no")).alias("first"))
-    return rows.join(sizes.where("size > 1 AND owns > 0"), "key")
+    sizes = rows.groupBy("key", "check").agg(F.count(F.lit(1)).alias("size"), F.count_if("own").alias("owns"), F.min(F.struct("doc_id", "line_no")).alias("first"))
+    return rows.join(sizes.where("size > 1 AND owns > 0"), ["key", "check"])
 
 
 def near_copies(docs: DataFrame, classes: DataFrame, min_chars: int = 0) -> DataFrame:
@@ -165,20 +166,20 @@ def near_copies(docs: DataFrame, classes: DataFrame, min_chars: int = 0) -> Data
     cut = F.transform(F.array(F.split("text", "\n")), lambda lines: F.transform(F.col("nos"), lambda i: F.struct(i.alias("line_no"), F.get(lines, i).alias("line"))))
     texts = docs.join(wanted, "doc_id").select("doc_id", F.inline(F.get(cut, F.lit(0))))
     texts = stored(texts.dropDuplicates(["doc_id", "line_no"]))
-    pairs = []
+    pairs, found = [], []
     while True:
-        few = met.where(F.col("size") <= SMALL_BUCKET).select("key", "doc_id", "line_no", "own", "kind")
+        few = met.where(F.col("size") <= SMALL_BUCKET).select("key", "check", "doc_id", "line_no", "own", "kind")
         x, y = few.alias("x"), few.alias("y")
         later = F.struct("x.doc_id", "x.line_no") > F.struct("y.doc_id", "y.line_no")
         roles = (F.col("x.own") | F.col("y.own")) & ((F.col("x.kind") != "i") | (F.col("x.own") != F.col("y.own")))
-        pairs.append(x.join(y, F.col("x.key") == F.col("y.key")).where(later & roles).select("x.doc_id", "x.line_no", F.struct("y.doc_id", "y.line_no").alias("first")))
+        pairs.append(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.check") == F.col("y.check"))).where(later & roles).select("x.doc_id", "x.line_no", F.struct("y.doc_id", "y.line_no").alias("first")))
         leaf = ((F.col("kind") == "s") & (F.col("b") - F.col("a") == 1)) | ((F.col("kind") == "i") & (F.col("a") == F.col("b")))
         crowd = met.where(F.col("size") > SMALL_BUCKET)
-        pairs.append(crowd.where(leaf & (F.struct("doc_id", "line_no") > F.col("first"))).select("doc_id", "line_no", "first"))
+        found.append(crowd.where(leaf & (F.struct("doc_id", "line_no") > F.col("first"))).select("doc_id", "line_no", "first"))
         crowd = crowd.where(~leaf)
         if crowd.isEmpty():
             break
-        crowd = crowd.drop("key", "first").join(texts, ["doc_id", "line_no"])
+        crowd = crowd.drop("key", "check", "first").join(texts, ["doc_id", "line_no"])
         met = stored(_met(_finer(crowd)))
     every = pairs[0]
     for p in pairs[1:]:
@@ -189,7 +190,10 @@ def near_copies(docs: DataFrame, classes: DataFrame, min_chars: int = 0) -> Data
     )
     # Comparing costs far more than its bytes suggest: the pairs are dealt out again, evenly.
     named = stored(named.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "line_no"))
-    return named.where(within_one_edit(F.col("line"), F.col("other"))).groupBy("doc_id", "line_no").agg(F.min("first").alias("first"))
+    out = named.where(within_one_edit(F.col("line"), F.col("other"))).select("doc_id", "line_no", "first")
+    for f in found:
+        out = out.unionByName(f)
+    return out.groupBy("doc_id", "line_no").agg(F.min("first").alias("first"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 0) -> DataFrame:

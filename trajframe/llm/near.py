@@ -36,8 +36,10 @@ SEED = 42
 SMALL_BUCKET = 8
 #: Rounds in which the sets of a crowded key are compared with one of them.
 ROUNDS = 3
-#: One document in SAMPLE is counted for the order; shingles in SEEN or more of those come last, the OFTEN most frequent exactly ordered.
-SAMPLE, SEEN, OFTEN = 16, 3, 50_000
+#: One document in SAMPLE is counted for the order; the OFTEN most frequent of the shingles that SEEN or more of those have come last.
+SAMPLE, SEEN, OFTEN = 4, 2, 500_000
+_MIX = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F], np.uint64)
+_SHIFT = np.uint64(31)
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -46,8 +48,16 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     if len(words) < shingle:
         return np.array([digest(b" ".join(words), SEED)], np.uint64)
-    joined = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-    return np.unique(np.fromiter((digest(s, SEED) for s in joined), np.uint64, len(words) - shingle + 1))
+    w = np.fromiter(map(digest, words), np.uint64, len(words))
+    n = len(w) - shingle + 1
+    h = w[:n].copy()
+    for k in range(1, shingle):  # each word's hash is mixed into those before it, in order
+        h *= _MIX[0]
+        h ^= h >> _SHIFT
+        h += w[k : k + n]
+    h *= _MIX[1]
+    h ^= h >> _SHIFT
+    return np.unique(h)
 
 
 def _arrays(values: list[np.ndarray]) -> pa.Array:
@@ -71,8 +81,8 @@ def often_seen(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> np.
     """Hashes of shingles that many documents of the sample have, the rarest first."""
     sample = docs.where(F.pmod(F.xxhash64(id_col), F.lit(SAMPLE)) == 0)
     seen = shingle_sets(sample, id_col, text_col, shingle).select(F.explode("hashes").alias("h")).groupBy("h").count()
-    top = seen.where(F.col("count") >= SEEN).orderBy(F.col("count").desc(), "h").limit(OFTEN).collect()
-    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+    top = seen.where(F.col("count") >= SEEN).orderBy(F.col("count").desc(), "h").limit(OFTEN).select("h").toArrow()
+    return np.ascontiguousarray(top.column("h").to_numpy()[::-1]).view(np.uint64)
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: Fraction) -> DataFrame:
@@ -118,7 +128,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp")))
     proposed = stored(fingerprint_pairs(classes))
     own = prints.join(classes.select("node", F.col("first").alias("doc_id")), ["doc_id", "node"]).dropDuplicates(["node"])
-    rows = own.select("node", "n", F.explode("keys").alias("key"))
+    # Dealt by key once: the count and the join read the same shuffle.
+    rows = own.select("node", "n", F.explode("keys").alias("key")).repartition("key")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("low"), F.max("n").alias("high")).where("size > 1")
     met = stored(rows.join(sizes, "key").where((F.col("n") * b >= F.col("low") * a) | (F.col("high") * b >= F.col("n") * a)).select("key", "node", "n", "size"))
     wanted = met.select("node").unionByName(proposed.select(F.explode(F.array("x", "y")).alias("node"))).distinct().join(classes, "node").select("node", F.col("first").alias("__first"))

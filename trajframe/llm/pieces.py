@@ -34,7 +34,7 @@ _LITERAL = "\ue000"
 #: What a character without a piece costs below the least score.
 UNKNOWN_PENALTY = 10.0
 #: Segments whose ids a task remembers, in each of two generations.
-REMEMBERED = 50_000
+REMEMBERED = 150_000
 
 
 class Pieces:
@@ -155,7 +155,16 @@ class StreamingViterbi:
             return [self._advance(chunk)]
         segments = model.cut.findall(self.held + chunk)
         self.held = segments.pop() if segments else ""
-        out = [self._segment(s, k == 0) for k, s in enumerate(segments)]
+        out, young = [], self.memo.young if self.memo else {}
+        if self.text and segments:
+            out.append(self._segment(segments[0], True))
+            del segments[0]
+        for s in segments:
+            ids = young.get(s)
+            if ids is None:
+                ids = self._segment(s, False)
+                young = self.memo.young if self.memo else young
+            out.append(ids)
         if len(self.held) > model.longest and not self.held.endswith(META):
             if self.text and segments:  # the held segment is a new one: the one before it has ended
                 out.append(self._close())
