@@ -26,7 +26,7 @@ def corpus(spark):
     rows += [(100, rows[0][1], "en", "s0", 0), (101, "12345 !!!", "en", "s1", 0), (102, None, "en", "s1", 0), (103, text(30) + "\n" + rows[3][1].split("\n")[0], "en", "s1", 0)]
     base = [text(rng.randrange(100, 200)).split() for _ in range(8)]
     rows += [(200 + i, " ".join(b), "en", "s2", 0) for i, b in enumerate(base)]
-    rows += [(300 + i, " ".join(changed(rng, b, rng.randrange(2, 5))), "en", "s2", 0) for i, b in enumerate(base)]
+    rows += [(300 + i, " ".join(changed(rng, b, rng.randrange(1, 3))), "en", "s2", 0) for i, b in enumerate(base)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
 
 
