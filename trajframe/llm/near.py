@@ -141,9 +141,11 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return (F.col(x) * b >= F.col(y) * a) & (F.col(y) * b >= F.col(x) * a)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links (a, b) among pairs (x, y)."""
-        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        named = pairs.join(sets.toDF("x", "xs"), "x").join(sets.toDF("y", "ys"), "y")
+        """Links (a, b) among pairs (x, y). The pairs are written first: where they are few, Spark takes them to the sets, not the sets to them."""
+        pairs = stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        sides = pairs.select("x", "y", F.explode(F.array("x", "y")).alias("node")).join(sets, "node")
+        of = lambda side: F.first(F.when(F.col("node") == F.col(side), F.col("hashes")), ignorenulls=True)
+        named = sides.groupBy("x", "y").agg(of("x").alias("xs"), of("y").alias("ys"))
         both = F.size(F.array_intersect("xs", "ys"))
         return stored(named.where(both * b >= (F.size("xs") + F.size("ys") - both) * a).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
