@@ -120,4 +120,6 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read back: a short lineage that survives lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    # Spark deletes the shuffle files of a finished job once the driver's collector finds it unused; long operators would fill the disks before.
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -65,16 +65,21 @@ def _arrays(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(v.view(np.int64) for v in values)])))
 
 
+def _digests(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64))
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, hashes array<long>) for every row."""
+    """(doc_id, digest, hashes array<long>) for every row; the digest names the set."""
 
     def work(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), _arrays([shingles(t, shingle) for t in part.column(1).to_pylist()])], ["doc_id", "hashes"])
+                sets = [shingles(t, shingle) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), _digests(sets), _arrays(sets)], ["doc_id", "digest", "hashes"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, f"doc_id {dict(docs.dtypes)[id_col]}, hashes array<long>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, f"doc_id {dict(docs.dtypes)[id_col]}, digest long, hashes array<long>")
 
 
 def often_seen(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> np.ndarray:
@@ -103,9 +108,8 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     def work(batches):
         for batch in batches:
             sets = [shingles(t, shingle) for t in batch.column(1).to_pylist()]
-            nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets))
             fp = np.fromiter((majority_bits(s) for s in sets), np.uint64, len(sets))
-            columns = [batch.column(0), pa.array(nodes.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp.view(np.int64)), _arrays([first(s) for s in sets])]
+            columns = [batch.column(0), _digests(sets), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp.view(np.int64)), _arrays([first(s) for s in sets])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fp", "keys"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(work, f"doc_id {dict(docs.dtypes)[id_col]}, node long, n long, fp long, keys array<long>")
@@ -125,17 +129,17 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = Fraction(str(similarity))
     a, b = F.lit(least.numerator), F.lit(least.denominator)
     prints = stored(prefixes(docs, id_col, text_col, shingle, least))
-    classes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp")))
+    own = stored(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    classes = own.drop("keys")
     proposed = stored(fingerprint_pairs(classes))
-    own = prints.join(classes.select("node", F.col("first").alias("doc_id")), ["doc_id", "node"]).dropDuplicates(["node"])
     # Dealt by key once: the count and the join read the same shuffle.
     rows = own.select("node", "n", F.explode("keys").alias("key")).repartition("key")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("low"), F.max("n").alias("high")).where("size > 1")
     met = stored(rows.join(sizes, "key").where((F.col("n") * b >= F.col("low") * a) | (F.col("high") * b >= F.col("n") * a)).select("key", "node", "n", "size"))
     wanted = met.select("node").unionByName(proposed.select(F.explode(F.array("x", "y")).alias("node"))).distinct().join(classes, "node").select("node", F.col("first").alias("__first"))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(wanted, F.col("__id") == F.col("__first"))
-    sets = shingle_sets(texts.select(F.struct("__id", "node").alias("__key"), "__text"), "__key", "__text", shingle).select("doc_id.node", "hashes")
-    sets = stored(sets.dropDuplicates(["node"]))
+    sets = shingle_sets(texts.select(F.struct("__id", "node").alias("__key"), "__text"), "__key", "__text", shingle).where("digest = doc_id.node").select("doc_id.node", "hashes")
+    sets = stored(sets.dropDuplicates(["node"]))  # an id may be repeated, with the same text or with others
 
     def fits(x: str, y: str):
         return (F.col(x) * b >= F.col(y) * a) & (F.col(y) * b >= F.col(x) * a)
