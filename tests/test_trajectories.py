@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajframe.functions import kinematics, vectors
-from trajframe.operators import align, edit, evaluate, numbering, progress, sampling, stats, windows
+from trajframe.operators import align, edit, evaluate, numbering, packing, progress, sampling, stats, windows
 from trajframe.operators.pipeline import Pipeline
 from trajframe.sources import dataset
 
@@ -112,7 +112,7 @@ def test_offsets_over_many_buckets(spark):
 
 def test_packing(spark):
     df = spark.createDataFrame([("d", i, s) for i, s in enumerate([4.0, 4.0, 4.0, 9.0, 1.0])], "dataset string, episode_index long, size double")
-    got = rows_of(numbering.pack_files(df, 9.0, files_per_chunk=2), "episode_index")
+    got = rows_of(packing.pack_files(df, 9.0, files_per_chunk=2), "episode_index")
     assert [(r[2], r[3]) for r in got] == [(0, 0), (0, 0), (0, 1), (1, 0), (1, 1)]
 
 

@@ -1,11 +1,10 @@
-"""Dense numbering, running offsets and size-bounded packing.
+"""Dense numbering and running offsets.
 
 Nothing here runs a window over all frames: numbers are found per bucket of episodes and then per episode.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,42 +50,3 @@ def renumber(frames: DataFrame, kept: DataFrame, episode: str = "episode_index",
     """Frames of the kept episodes (see ``kept_episodes``), with dense ``new_episode_index`` and ``new_index``: one join."""
     numbered = kept.select(episode, "new_episode_index", F.col("new_from_index").alias("__from"))
     return frames.join(numbered, episode).withColumn("new_index", F.col("__from") + F.col(frame)).drop("__from")
-
-
-def pack_files(sizes: DataFrame, limit: float, files_per_chunk: int = 1000, group: str = "dataset", order: str = "episode_index", size: str = "size") -> DataFrame:
-    """(group, order, chunk_index, file_index): files are filled in order until the next item would reach ``limit``.
-
-    Greedy and order-dependent, so it is a fold; it runs over one row per episode of a group, never over frames.
-    """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        chunk = file = 0
-        filled, places = 0.0, []
-        for s in (rows := rows.sort_values(order))[size]:
-            if filled and filled + s >= limit:
-                filled, file = 0.0, file + 1
-                if file == files_per_chunk:
-                    chunk, file = chunk + 1, 0
-            filled += s
-            places.append((chunk, file))
-        return pd.DataFrame({group: rows[group], order: rows[order], "chunk_index": [c for c, _ in places], "file_index": [f for _, f in places]})
-
-    kinds = dict(sizes.dtypes)
-    return sizes.select(group, order, size).groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, {order} {kinds[order]}, chunk_index long, file_index long")
-
-
-def batch_episodes(rows: DataFrame, group: str, order: str, size: str, frames: str, max_size: float, max_episodes: int, max_frames: int) -> DataFrame:
-    """(group, order, batch): a batch is closed once its size or episodes reach their bound, or before its frames pass theirs."""
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        batch, total, count, held, out = 0, 0.0, 0, 0, []
-        part = part.sort_values(order)
-        for s, f in zip(part[size], part[frames], strict=True):
-            if count and (total >= max_size or count >= max_episodes or held + f > max_frames):
-                batch, total, count, held = batch + 1, 0.0, 0, 0
-            total, count, held = total + s, count + 1, held + f
-            out.append(batch)
-        return pd.DataFrame({group: part[group], order: part[order], "batch": out})
-
-    kinds = dict(rows.dtypes)
-    return rows.select(group, order, size, frames).groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, {order} {kinds[order]}, batch long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trajframe.operators import numbering, windows
+from trajframe.operators import numbering, packing, windows
 from trajframe.plans.registry import query
 from trajframe.plans.views import episodes, frames, table, tasks
 
@@ -114,7 +114,7 @@ SELECT dataset, episode_index, CAST(file // 4 AS BIGINT) AS chunk_index, CAST(fi
 """)
 def a9_file_packing(spark, sf_dir):
     rows = episodes(spark, sf_dir).withColumn("dataset", F.col("episode_index") % 2)
-    return numbering.pack_files(rows, 500.0, 4, size="length")
+    return packing.pack_files(rows, 500.0, 4, size="length")
 
 
 @query("""
@@ -128,7 +128,7 @@ SELECT camera, episode_index, CAST(batch AS BIGINT) AS batch FROM p
 """)
 def f10_episode_batches(spark, sf_dir):
     rows = episodes(spark, sf_dir).withColumn("camera", F.col("episode_index") % 3).withColumn("mb", F.col("length") * 0.5)
-    return numbering.batch_episodes(rows, "camera", "episode_index", "mb", "length", 200.0, 8, 600)
+    return packing.batch_episodes(rows, "camera", "episode_index", "mb", "length", 200.0, 8, 600)
 
 
 @query("SELECT episode_index, COUNT(*) AS n_episode_frames, MIN(idx) AS first_idx, MAX(idx) + 1 AS end_idx, COUNT(DISTINCT task) AS n_tasks FROM fr GROUP BY episode_index")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: (application, folder) of all folders made.
@@ -38,3 +38,10 @@ def clean_up(spark: SparkSession) -> int:
 def kept(spark: SparkSession, path: str) -> bool:
     """Whether a folder that this session has made, or one inside it, is still there."""
     return any(path.startswith(folder) for app, folder in _MADE if app == spark.sparkContext.applicationId)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back: a short lineage that survives lost executors."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
