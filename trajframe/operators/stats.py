@@ -77,6 +77,27 @@ def merge_stats(parts: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFra
     )
 
 
+#: Of a sketch; the normalised rank of what it returns is off by about 1.65% at most, with 99% confidence.
+SKETCH_K = 200
+
+
+def episode_sketches(frames: DataFrame, cols: list[str], key: str = EPISODE, k: int = SKETCH_K) -> DataFrame:
+    """(key, feature, count, sketch): a KLL sketch of each feature of each episode, some kilobytes however long the episode is."""
+    long = frames.select(key, F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols)))).where("v IS NOT NULL")
+    return long.groupBy(key, "feature").agg(F.count("v").alias("count"), F.kll_sketch_agg_double("v", F.lit(k)).alias("sketch"))
+
+
+def merge_sketches(parts: DataFrame, by: tuple[str, ...] = ("feature",), k: int = SKETCH_K) -> DataFrame:
+    """(by, count, sketch): merged inside each task first, so that a sketch for each task is shuffled. Unlike means of quantiles, a merged sketch keeps its rank error."""
+    return parts.groupBy(*by).agg(F.sum("count").alias("count"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, quantiles=QUANTILES) -> DataFrame:
+    """The other columns and q01, q10, ... of sketches."""
+    names = [F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias(quantile_key(q)) for q in quantiles]
+    return sketches.select(*(c for c in sketches.columns if c != "sketch"), *names)
+
+
 def update_stats(old: DataFrame, new: DataFrame) -> DataFrame:
     """New stats where there are any, else the old ones; both by feature."""
     cols = [c for c in old.columns if c != "feature"]

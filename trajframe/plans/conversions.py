@@ -12,6 +12,7 @@ from trajframe.operators import structure as R
 from trajframe.plans.registry import query
 from trajframe.plans.views import episodes, events, frames, table, tasks
 from trajframe.sources import dataset as D
+from trajframe.sources.appendable import Appendable
 from trajframe.streaming.storage import new_folder
 
 KEYS = ("episode_index", "frame_index")
@@ -143,3 +144,41 @@ def h18_pixel_scaling(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", V.channels_first(every).alias("p"))
     at = lambda k, r, c: F.get(F.get(F.get("p", F.lit(k)), F.lit(r)), F.lit(c))
     return rows.select("vec_id", F.round(at(1, 2, 3), 9).alias("green"), F.round(at(0, 0, 0), 9).alias("red"), F.size("p").alias("planes"))
+
+
+def _appended(spark, sf_dir):
+    """The events appended as three batches of episodes; the second comes twice, and a writer of the third is lost before it commits."""
+    rows = events(spark, sf_dir).select("episode_index", "task", "us", "event_id", "s0")
+    top = episodes(spark, sf_dir).agg(F.max("episode_index")).first()[0] + 1
+    third = lambda k: rows.where(F.floor(F.col("episode_index") * 3 / top) == k)
+    store = Appendable.create(spark, f"{new_folder(spark)}/data", 30, {"s0": {"dtype": "float64", "shape": [1]}}, file_bytes=500 * 64, files_per_chunk=4)
+    put = lambda k, how: how(third(k), f"part-{k}", ["us", "event_id"], frame_bytes=64)
+    for k, how in ((0, store.append), (1, store.append), (1, store.append), (2, store.stage), (2, store.append)):
+        put(k, how)
+    return store.read()
+
+
+@query("SELECT DENSE_RANK() OVER (ORDER BY episode_index) - 1 AS episode_index, frame_index, idx AS index, task, ROUND(s0, 4) AS s0 FROM fr")
+def a8_appended_frames(spark, sf_dir):
+    back = _appended(spark, sf_dir)
+    return back.frames.join(back.tasks, "task_index").select(*KEYS, "index", "task", F.round("s0", 4).alias("s0"))
+
+
+@query("""
+, o AS (SELECT b, episode_index, length, dataset_from_index, ROW_NUMBER() OVER (PARTITION BY b ORDER BY episode_index) AS r
+        FROM (SELECT *, episode_index * 3 // (SELECT MAX(episode_index) + 1 FROM ep) AS b FROM ep) x),
+p AS (
+  SELECT b, episode_index, r, length, length AS filled, 0 AS file FROM o WHERE r = 1
+  UNION ALL
+  SELECT o.b, o.episode_index, o.r, o.length, CASE WHEN p.filled + o.length >= 500 THEN o.length ELSE p.filled + o.length END, CASE WHEN p.filled + o.length >= 500 THEN p.file + 1 ELSE p.file END
+  FROM p JOIN o ON o.b = p.b AND o.r = p.r + 1),
+f AS (SELECT b, SUM(MAX(file) + 1) OVER (ORDER BY b) - MAX(file) - 1 AS base FROM p GROUP BY b)
+SELECT CAST((base + file) // 4 AS BIGINT) AS chunk_index, CAST((base + file) % 4 AS BIGINT) AS file_index, COUNT(*) AS n_episodes, CAST(SUM(length) AS BIGINT) AS n_frames
+FROM p JOIN f USING (b) GROUP BY 1, 2
+""")
+def a8_appended_files(spark, sf_dir):
+    """What each file holds, counted over the frames that are read from it."""
+    back = _appended(spark, sf_dir)
+    per = back.frames.groupBy("episode_index").agg(F.count(F.lit(1)).alias("n"))
+    rows = back.episodes.select("episode_index", "chunk_index", "file_index").join(per, "episode_index")
+    return rows.groupBy("chunk_index", "file_index").agg(F.count(F.lit(1)).alias("n_episodes"), F.sum("n").alias("n_frames"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trajframe.operators import histogram as H
 from trajframe.operators import stats as S
 from trajframe.plans.registry import query
 from trajframe.plans.views import frames, table
@@ -50,6 +51,66 @@ SELECT task, q AS quantile, ROUND(CASE WHEN bin = 0 THEN lo ELSE lo + bin * ((hi
 def d3_histogram_quantiles(spark, sf_dir):
     return S.histogram_quantiles(frames(spark, sf_dir), ["task"], "s0", (0.01, 0.5, 0.9), 500).withColumn("value", F.round("value", 3))
 
+def _sql_bin(v: str, lo: str, hi: str, bins: int, moved: bool) -> str:
+    """The bin of a value; of an old centre, whose bin is closed on the right, if ``moved``."""
+    step, near = f"(({hi} - {lo}) / {bins})", "ceil" if moved else "floor"
+    k = f"greatest(0, least({bins - 1}, CAST({near}(({v} - {lo}) / {step}) AS INTEGER) {'- 1' if moved else ''}))"
+    below, above = ("<=", ">") if moved else ("<", ">=")
+    return f"list_transform([{k}], lambda k: k - (k > 0 AND {v} {below} k * {step} + {lo})::INT + (k < {bins - 1} AND {v} {above} (k + 1) * {step} + {lo})::INT)[1]"
+
+
+@query(f"""
+, v AS (SELECT frame_index // 16 AS b, s0 AS v FROM fr),
+m AS (SELECT b, MIN(v) AS lo, MAX(v) AS hi FROM v GROUP BY b),
+r AS (SELECT b, MIN(lo) OVER w AS mn, MAX(hi) OVER w AS mx, MIN(lo) OVER p AS mn0, MAX(hi) OVER p AS mx0 FROM m
+      WINDOW w AS (ORDER BY b), p AS (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT b, mn, mx, CAST(SUM(CASE WHEN mn < mn0 OR mx > mx0 THEN 1 ELSE 0 END) OVER (ORDER BY b) AS INTEGER) AS turn FROM r),
+e AS (SELECT turn, arg_min(mn, b) - CASE WHEN turn = 0 THEN 1e-10::DOUBLE ELSE (arg_min(mx, b) - arg_min(mn, b)) * 1e-10::DOUBLE END AS lo,
+        arg_min(mx, b) + CASE WHEN turn = 0 THEN 1e-10::DOUBLE ELSE (arg_min(mx, b) - arg_min(mn, b)) * 1e-10::DOUBLE END AS hi FROM s GROUP BY turn),
+tr AS (
+  SELECT e.turn, {_sql_bin("v.v", "e.lo", "e.hi", 200, False)} AS bin FROM v JOIN s ON s.b = v.b JOIN e ON e.turn = s.turn
+  UNION ALL
+  SELECT turn, {_sql_bin("c", "lo", "hi", 200, True)} FROM (
+    SELECT n.turn, n.lo, n.hi, ((tr.bin * ((o.hi - o.lo) / 200) + o.lo) + CASE WHEN tr.bin = 199 THEN o.hi ELSE (tr.bin + 1) * ((o.hi - o.lo) / 200) + o.lo END) / 2 AS c
+    FROM tr JOIN e o ON o.turn = tr.turn JOIN e n ON n.turn = tr.turn + 1) x)
+SELECT bin, COUNT(*) AS c, ROUND(ANY_VALUE(e.lo), 6) AS lo, ROUND(ANY_VALUE(e.hi), 6) AS hi FROM tr JOIN e ON e.turn = tr.turn WHERE tr.turn = (SELECT MAX(turn) FROM e) GROUP BY bin
+""")
+def d3_grown_histogram(spark, sf_dir):
+    """A running histogram over batches of frames, whose range grows with them: the counts after the last batch."""
+    rows = frames(spark, sf_dir).select(F.lit("s0").alias("feature"), F.lit(0).alias("dim"), F.floor(F.col("frame_index") / 16).alias("batch"), "s0")
+    found = H.grown_histograms(rows, "feature", "dim", "batch", "s0", 200)
+    return found.select(F.posexplode("counts").alias("bin", "c"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi")).where("c > 0")
+
+
+_RANKED = ", l AS (SELECT 's0' AS feature, s0 AS v FROM fr UNION ALL SELECT 's1', s1 FROM fr) SELECT feature, q.q AS quantile, COUNT(*) AS n, true AS near FROM l, (VALUES (0.01::DOUBLE), (0.5::DOUBLE), (0.99::DOUBLE)) q(q) WHERE v IS NOT NULL GROUP BY ALL"
+
+
+def _near(rows, quantiles, by: float):
+    """(feature, quantile, n, near): whether an estimated quantile (feature, quantile, value) lies between the exact ranks q - by and q + by; ``quantiles`` has a few rows."""
+    long = rows.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in ("s0", "s1"))))).where("v IS NOT NULL")
+    counted = long.join(F.broadcast(quantiles), "feature").groupBy("feature", "quantile").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < F.col("value")).alias("below"), F.count_if(F.col("v") <= F.col("value")).alias("upto")
+    )
+    near = (F.col("below") <= (F.col("quantile") + by) * F.col("n")) & (F.col("upto") >= (F.col("quantile") - by) * F.col("n"))
+    return counted.select("feature", "quantile", "n", near.alias("near"))
+
+
+@query(_RANKED)
+def d2_merged_sketches(spark, sf_dir):
+    """Quantiles from episodes' sketches merged, held against exact ranks."""
+    rows, qs = frames(spark, sf_dir), (0.01, 0.5, 0.99)
+    merged = S.sketch_quantiles(S.merge_sketches(S.episode_sketches(rows, ["s0", "s1"])), qs)
+    return _near(rows, merged.select("feature", F.inline(F.array(*(F.struct(F.lit(q).alias("quantile"), F.col(S.quantile_key(q)).alias("value")) for q in qs)))), 0.03)
+
+
+@query(_RANKED)
+def d3_merged_histograms(spark, sf_dir):
+    """Quantiles from episodes' histograms merged, held against exact ranks: with 5,000 bins they are off by the values of a bin or two."""
+    rows, qs = frames(spark, sf_dir), (0.01, 0.5, 0.99)
+    long = rows.select("episode_index", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in ("s0", "s1")))))
+    merged = H.merge_histograms(H.batch_histograms(long, ["episode_index", "feature"], "v"), ["feature"])
+    return _near(rows, H.quantiles_of(merged, ["feature"], qs), 0.02)
+
 
 @query(_MERGED + f", old AS (SELECT 's1' AS feature, CAST(7 AS BIGINT) AS count, 0.0::DOUBLE AS min, 1.0::DOUBLE AS max, 0.5::DOUBLE AS mean, 0.25::DOUBLE AS std, 0.0::DOUBLE AS q01, 0.5::DOUBLE AS q50, 1.0::DOUBLE AS q99 UNION ALL SELECT 'gone', 3, 0, 1, 0.5, 0.25, 0, 0.5, 1) SELECT feature, count, {_R} FROM mg UNION ALL SELECT feature, count, {_R} FROM old WHERE feature = 'gone'")
 def d4_recomputed_stats(spark, sf_dir):

@@ -42,16 +42,33 @@ def i3_recording(spark, sf_dir):
     return rows.select("event_id", "frame_index", F.round("timestamp", 5).alias("timestamp"))
 
 
-@query("SELECT 's0' AS feature, COUNT(*) AS count, ROUND(MIN(s0), 4) AS min, ROUND(AVG(s0), 6) AS mean, ROUND(STDDEV_POP(s0), 6) AS std FROM fr")
-def i4_incremental_stats(spark, sf_dir):
-    """Stats merged from all batches equal those over all frames."""
+def _incremental(spark, sf_dir, cols):
     folder = new_folder(spark)
     rows = _arriving(spark, sf_dir)
     S.arrivals(rows, "part", f"{folder}/in")
-    q = S.incremental_stats(S.read_frames(spark, f"{folder}/in", rows.drop("part").schema, S.FILES), ["s0"], f"{folder}/stats", f"{folder}/marks")
+    q = S.incremental_stats(S.read_frames(spark, f"{folder}/in", rows.drop("part").schema, S.FILES), cols, f"{folder}/stats", f"{folder}/marks")
     q.processAllAvailable()
     q.stop()
-    return S.stored_stats(spark, f"{folder}/stats").select("feature", "count", F.round("min", 4).alias("min"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+    return S.stored_stats(spark, f"{folder}/stats")
+
+
+@query("SELECT 's0' AS feature, COUNT(*) AS count, ROUND(MIN(s0), 4) AS min, ROUND(AVG(s0), 6) AS mean, ROUND(STDDEV_POP(s0), 6) AS std FROM fr")
+def i4_incremental_stats(spark, sf_dir):
+    """Stats merged from all batches equal those over all frames."""
+    return _incremental(spark, sf_dir, ["s0"]).select("feature", "count", F.round("min", 4).alias("min"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("""
+, l AS (SELECT 's0' AS feature, s0 AS v FROM fr UNION ALL SELECT 's1', s1 FROM fr)
+SELECT feature, q.q AS quantile, COUNT(*) AS n, true AS near FROM l, (VALUES (0.01::DOUBLE), (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) q(q) WHERE v IS NOT NULL GROUP BY ALL
+""")
+def i4_incremental_quantiles(spark, sf_dir):
+    """Quantiles from the batches' merged histograms, held against exact ranks over all frames."""
+    from trajframe.operators.stats import QUANTILES, quantile_key
+    from trajframe.plans.statistics import _near
+
+    found = _incremental(spark, sf_dir, ["s0", "s1"])
+    return _near(frames(spark, sf_dir), found.select("feature", F.inline(F.array(*(F.struct(F.lit(q).alias("quantile"), F.col(quantile_key(q)).alias("value")) for q in QUANTILES)))), 0.02)
 
 
 @query("""

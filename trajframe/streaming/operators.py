@@ -175,20 +175,30 @@ def rates(frames: DataFrame, key: str, time: str) -> DataFrame:
 
 
 def incremental_stats(stream: DataFrame, cols: list[str], path: str, checkpoint: str):
-    """Starts a query that merges each batch's stats into those stored under ``path``: a folder for each batch, so a repeated batch
-    overwrites its own."""
+    """Starts a query that adds each batch's stats and histograms to those stored under ``path``: a folder for each batch, so a repeated batch
+    overwrites its own. Both merge in any order."""
+    from trajframe.operators.histogram import batch_histograms
     from trajframe.operators.stats import per_episode_stats
 
     def merge(batch: DataFrame, number: int) -> None:
-        per_episode_stats(batch, cols).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.persist()
+        per_episode_stats(batch, cols).write.mode("overwrite").parquet(f"{path}/stats/batch={number}")
+        long = batch.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols))))
+        batch_histograms(long, ["feature"], "v").write.mode("overwrite").parquet(f"{path}/histograms/batch={number}")
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
 
 
 def stored_stats(spark: SparkSession, path: str) -> DataFrame:
-    from trajframe.operators.stats import merge_stats
-
-    return merge_stats(spark.read.parquet(path).drop("batch"))
+    """Stats by feature of all batches so far, with quantiles from the merged histograms, whose range has grown with the batches."""
+    from trajframe.operators.histogram import merge_histograms, quantiles_of
+    from trajframe.operators.stats import QUANTILES, merge_stats, quantile_key
+
+    merged = merge_stats(spark.read.parquet(f"{path}/stats").drop("batch"))
+    found = quantiles_of(merge_histograms(spark.read.parquet(f"{path}/histograms").drop("batch"), ["feature"]), ["feature"])
+    wide = found.groupBy("feature").agg(*(F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(quantile_key(q)) for q in QUANTILES))
+    return merged.drop(*(quantile_key(q) for q in QUANTILES)).join(wide, "feature", "left")
 
 
 #: Files of a part: tasks of one trigger.
