@@ -1,11 +1,12 @@
-"""Structured Streaming forms of the sequence operators.
+"""Structured Streaming: sources, gates, queues of actions, rates and incremental stats. Windows and counters of episodes are in ``stateful``.
 
-State is bounded per episode (the last few rows, a kept vector or a counter) and leaves when a row that ``end`` marks as the
-episode's last has come. Rows of an episode that come behind its end would start it anew.
+State is bounded per episode (a kept vector, the queue of actions to come) and leaves when a row that ``end`` marks as the episode's last has come, or when the
+watermark has passed the episode's last event time by ``silence_ms``, if frames have an event-time column ``time``.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,51 +21,33 @@ def read_frames(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
-def look_around(frames: DataFrame, value: str, back: int, ahead: int, key: str = "episode_index", order: str = "frame_index", end: str = "is_last") -> DataFrame:
-    """(key, order, back_value, ahead_value, back_pad, ahead_pad) once the ``ahead`` frames behind a row, or the episode's end, are seen.
-
-    Frames of an episode arrive in order over batches. State holds the last back + ahead rows. Beyond the episode stands the edge value.
-    """
-    kinds = dict(frames.dtypes)
-    schema = f"{key} {kinds[key]}, {order} long, back_value double, ahead_value double, back_pad boolean, ahead_pad boolean"
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, sent = ([list(x) for x in state.get[0]], state.get[1]) if state.exists else ([], -1)
-        new = pd.concat(list(batches)).sort_values(order)
-        rows += [[int(o), float(v)] for o, v in zip(new[order], new[value], strict=True)]
-        closed = bool(new[end].any())
-        out, at = [], {r[0]: r[1] for r in rows}
-        first, last = rows[0][0], rows[-1][0]
-        for o, v in rows:
-            if o <= sent or (o + ahead > last and not closed):
-                continue
-            b, a = max(o - back, 0), min(o + ahead, last)
-            out.append((k[0], o, at.get(b, at[first]), at[a], o - back < 0, o + ahead > last))
-            sent = o
-        if closed:
-            state.remove()
-        else:
-            state.update(([x for x in rows if x[0] > last - back - ahead - 1], sent))
-        if out:
-            yield pd.DataFrame(out, columns=[key, order, "back_value", "ahead_value", "back_pad", "ahead_pad"])
-
-    return frames.groupBy(key).applyInPandasWithState(step, schema, "rows array<array<double>>, sent long", "append", GroupStateTimeout.NoTimeout)
-
-
-def _keep(state: GroupState, rows: pd.DataFrame, end: str, value: tuple) -> None:
-    """The state for the next batch, or none once the episode has ended."""
+def _keep(state: GroupState, rows: pd.DataFrame, end: str, value: tuple, silence_ms: int | None) -> None:
+    """The state for the next batch, or none once the episode has ended; with a timeout if silence ends it too."""
     if bool(rows[end].any()):
         if state.exists:
             state.remove()
     else:
         state.update(value)
+        if silence_ms is not None:
+            state.setTimeoutTimestamp(max(int(rows["__ms"].max()), state.getCurrentWatermarkMs()) + silence_ms)
+
 
+def _by_episode(frames: DataFrame, key: str, step, schema: str, kept: str, time: str | None, delay: str) -> DataFrame:
+    """Without an event time, only end marks remove state."""
+    if time is None:
+        return frames.groupBy(key).applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.NoTimeout)
+    rows = frames.withWatermark(time, delay).withColumn("__ms", F.unix_millis(F.col(time)))
+    return rows.groupBy(key).applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
-def similarity_gate(frames: DataFrame, cols: list[str], tolerance: float, key: str = "episode_index", order: str = "frame_index", end: str = "is_last") -> DataFrame:
+
+def similarity_gate(frames: DataFrame, cols: list[str], tolerance: float, key: str = "episode_index", order: str = "frame_index", end: str = "is_last", time: str | None = None, silence_ms: int = 3_600_000, delay: str = "1 hour") -> DataFrame:
     """(key, order) of frames not seen before and at least ``tolerance`` from the last kept one; state: that one and its step."""
-    kinds = dict(frames.dtypes)
+    kinds, silence = dict(frames.dtypes), silence_ms if time else None
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept, most = (list(state.get[0]), state.get[1]) if state.exists else ([], -1)
         out, rows = [], pd.concat(list(batches))
         for row in rows.sort_values(order)[[order, *cols]].itertuples(index=False):
@@ -76,54 +59,22 @@ def similarity_gate(frames: DataFrame, cols: list[str], tolerance: float, key: s
                 continue
             kept = p
             out.append((k[0], o))
-        _keep(state, rows, end, (kept, most))
+        _keep(state, rows, end, (kept, most), silence)
         if out:
             yield pd.DataFrame(out, columns=[key, order])
 
-    return frames.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} long", "kept array<double>, most long", "append", GroupStateTimeout.NoTimeout)
+    return _by_episode(frames, key, step, f"{key} {kinds[key]}, {order} long", "kept array<double>, most long", time, delay)
 
 
-def row_features(frames: DataFrame, value: str, dt: float, limit: int, enabled: str, key: str = "episode_index", order: str = "frame_index", end: str = "is_last") -> DataFrame:
-    """(key, order, velocity, truncated, reference, command): the step from the last row, whether ``limit`` rows have gone by, the value
-    at the last rising edge of ``enabled`` and the last one while it held."""
-    kinds = dict(frames.dtypes)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before, n, reference, command, was = state.get if state.exists else (None, 0, None, None, False)
-        out, rows = [], pd.concat(list(batches))
-        for o, v, on in rows.sort_values(order)[[order, value, enabled]].itertuples(index=False):
-            n += 1
-            if on:
-                reference, command = reference if was else float(v), float(v)
-            was = bool(on)
-            out.append((k[0], int(o), 0.0 if before is None else (v - before) / dt, n >= limit, reference, command))
-            before = float(v)
-        _keep(state, rows, end, (before, n, reference, command, was))
-        yield pd.DataFrame(out, columns=[key, order, "velocity", "truncated", "reference", "command"]).astype({"reference": "float64", "command": "float64"})
-
-    schema = f"{key} {kinds[key]}, {order} long, velocity double, truncated boolean, reference double, command double"
-    return frames.groupBy(key).applyInPandasWithState(step, schema, "before double, n long, reference double, command double, was boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def record(frames: DataFrame, fps: float, key: str = "episode_index", order: str = "event_id", end: str = "is_last") -> DataFrame:
-    """(key, order, frame_index, timestamp): a counter per episode numbers frames as they arrive."""
-    kinds = dict(frames.dtypes)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(order)
-        _keep(state, rows, end, (n + len(rows),))
-        yield pd.DataFrame({key: k[0], order: rows[order].to_numpy(), "frame_index": range(n, n + len(rows)), "timestamp": [i / fps for i in range(n, n + len(rows))]})
-
-    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, frame_index long, timestamp double"
-    return frames.groupBy(key).applyInPandasWithState(step, schema, "n long", "append", GroupStateTimeout.NoTimeout)
-
-
-def late_actions(actions: DataFrame, key: str = "episode_index", step_col: str = "target", value: str = "value", executed: str = "executed", end: str = "is_last") -> DataFrame:
-    """(key, target, value, late): actions at or before the last executed step are late; others are merged with the queued value."""
-    kinds = dict(actions.dtypes)
+def late_actions(actions: DataFrame, key: str = "episode_index", step_col: str = "target", value: str = "value", executed: str = "executed", end: str = "is_last", time: str | None = None, silence_ms: int = 3_600_000, delay: str = "1 hour") -> DataFrame:
+    """(key, target, value, late): actions at or before the last executed step are late; others are merged with the queued value. Progress reports count both
+    under ``actions`` (``stateful.observed``)."""
+    kinds, silence = dict(actions.dtypes), silence_ms if time else None
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         steps, values, high = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], -1)
         queue, out, rows = dict(zip(steps, values, strict=True)), [], pd.concat(list(batches))
         for t, v, x in rows.sort_values(executed, kind="stable")[[step_col, value, executed]].itertuples(index=False):
@@ -133,39 +84,12 @@ def late_actions(actions: DataFrame, key: str = "episode_index", step_col: str =
                 queue[int(t)] = 0.3 * queue[int(t)] + 0.7 * float(v) if int(t) in queue else float(v)
             out.append((k[0], int(t), float(v) if late else queue[int(t)], late))
         queue = {t: v for t, v in queue.items() if t > high}
-        _keep(state, rows, end, (list(queue), list(queue.values()), high))
+        _keep(state, rows, end, (list(queue), list(queue.values()), high), silence)
         yield pd.DataFrame(out, columns=[key, step_col, value, "late"])
 
     schema = f"{key} {kinds[key]}, {step_col} long, {value} double, late boolean"
-    return actions.groupBy(key).applyInPandasWithState(step, schema, "steps array<long>, vals array<double>, high long", "append", GroupStateTimeout.NoTimeout)
-
-
-def pre_roll(frames: DataFrame, event: str, time: str, seconds: float, key: str = "episode_index", order: str = "frame_index", end: str = "is_last") -> DataFrame:
-    """(key, order): while saving is off, the rows of the last ``seconds`` wait in state; an event lets them out and saving goes on until the next event."""
-    kinds = dict(frames.dtypes)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        steps, times, saving = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], False)
-        out, rows = [], pd.concat(list(batches))
-        for o, t, e in rows.sort_values(order)[[order, time, event]].itertuples(index=False):
-            if e and not saving:
-                out += [(k[0], s) for s, x in zip(steps, times, strict=True) if t - x <= seconds]
-                steps, times, saving = [], [], True
-                out.append((k[0], int(o)))
-            elif saving:
-                out.append((k[0], int(o)))
-                saving = not e
-            else:
-                steps, times = [*steps, int(o)], [*times, float(t)]
-                while times and t - times[0] > seconds:
-                    steps.pop(0)
-                    times.pop(0)
-        _keep(state, rows, end, (steps, times, saving))
-        if out:
-            yield pd.DataFrame(out, columns=[key, order])
-
-    schema = f"{key} {kinds[key]}, {order} long"
-    return frames.groupBy(key).applyInPandasWithState(step, schema, "steps array<long>, times array<double>, saving boolean", "append", GroupStateTimeout.NoTimeout)
+    found = _by_episode(actions, key, step, schema, "steps array<long>, vals array<double>, high long", time, delay)
+    return found.observe("actions", F.count_if("late").alias("late"), F.count_if(~F.col("late")).alias("queued"))
 
 
 def rates(frames: DataFrame, key: str, time: str) -> DataFrame:
@@ -201,27 +125,41 @@ def stored_stats(spark: SparkSession, path: str) -> DataFrame:
     return merged.drop(*(quantile_key(q) for q in QUANTILES)).join(wide, "feature", "left")
 
 
-#: Files of a part: tasks of one trigger.
-FILES = 4
+def arrivals(rows: DataFrame, split: str, folder: str, key: str = "episode_index") -> int:
+    """``rows`` written as files, those of a lower ``split`` first, each file with the whole of its episodes' rows of that part; how many files a part has at most.
 
+    One write deals them to tasks by (part, key) and a folder for each part; the file source takes files by their time, so each part's are marked in turn."""
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.withColumn("__part", F.col(split)).drop(split).repartition(tasks, key).write.partitionBy("__part").parquet(folder)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((int(p.getPath().getName().rpartition("=")[2]), p.getPath()) for p in fs.listStatus(root) if "=" in p.getPath().getName())
+    most = 1
+    for turn, (_, part) in enumerate(parts):
+        files = fs.listStatus(part)
+        most = max(most, len(files))
+        for f in files:
+            fs.setTimes(f.getPath(), 1_000_000_000_000 + turn * 60_000, -1)
+    return most
 
-def arrivals(rows: DataFrame, split: str, folder: str, key: str = "episode_index") -> None:
-    """``rows`` written as FILES files for each value of ``split``, in that order, each file with the whole of its episodes' rows."""
-    for part in [r[0] for r in rows.select(split).distinct().orderBy(split).collect()]:
-        rows.where(F.col(split) == F.lit(part)).drop(split).repartition(FILES, key).write.mode("append").parquet(folder)
 
+def run_stream(spark: SparkSession, rows: DataFrame, split: str, transform, folder: str, mode: str = "append") -> tuple[DataFrame, list]:
+    """Streams ``rows``, part by part, through ``transform``; what came out (in complete mode the last result), and the progress reports.
 
-def replay(spark: SparkSession, rows: DataFrame, split: str, transform, folder: str, mode: str = "append") -> DataFrame:
-    """Streams ``rows``, part by part, through ``transform`` and reads what came out; in complete mode that is the last result.
-
-    A trigger takes FILES files. A part may have fewer, so that a trigger takes some of the next one too: rows of an episode still come in order.
-    """
+    A trigger takes as many files as the largest part has. A smaller part's trigger takes some of the next one too: rows of an episode still come in order."""
     source, sink, marks = f"{folder}/in", f"{folder}/out", f"{folder}/marks"
-    arrivals(rows, split, source)
-    writer = transform(read_frames(spark, source, rows.drop(split).schema, FILES)).writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True)
+    files = arrivals(rows, split, source)
+    stream = spark.readStream.schema(rows.drop(split).schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(source)
+    writer = transform(stream).writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True)
     if mode == "append":
         writer = writer.format("parquet").option("path", sink)
     else:
         writer = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(sink))
-    writer.start().awaitTermination()
-    return spark.read.parquet(sink)
+    running = writer.start()
+    running.awaitTermination()
+    return spark.read.parquet(sink), [json.loads(p.json) if hasattr(p, "json") else p for p in running.recentProgress]
+
+
+def replay(spark: SparkSession, rows: DataFrame, split: str, transform, folder: str, mode: str = "append") -> DataFrame:
+    return run_stream(spark, rows, split, transform, folder, mode)[0]
