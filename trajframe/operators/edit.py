@@ -41,14 +41,14 @@ def merge_datasets(parts: list[tuple[DataFrame, DataFrame, DataFrame]]) -> tuple
     tasks = merge_tasks([t for _, t, _ in parts])
     tagged = []
     for i, (frames, own, _) in enumerate(parts):
-        rows = frames.join(F.broadcast(own.select("task", "task_index")), "task_index").drop("task_index")
+        rows = frames.join(own.select("task", "task_index"), "task_index").drop("task_index")
         tagged.append(rows.withColumn("__part", F.lit(i)))
     every = reduce(lambda a, b: a.unionByName(b), tagged)
     known = reduce(DataFrame.unionByName, [e.select(F.lit(i).alias("__part"), "episode_index", "length") for i, (_, _, e) in enumerate(parts)])
     sizes = known.groupBy("__part").agg((F.max("episode_index") + 1).alias("e"), F.sum("length").alias("f"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("__part", F.coalesce(F.sum("e").over(before), F.lit(0)).alias("de"), F.coalesce(F.sum("f").over(before), F.lit(0)).alias("df"))
-    out = every.join(F.broadcast(shifts), "__part").join(F.broadcast(tasks), "task")
+    out = every.join(F.broadcast(shifts), "__part").join(tasks, "task")
     out = out.withColumn("episode_index", F.col("episode_index") + F.col("de")).withColumn("index", F.col("index") + F.col("df"))
     return out.drop("de", "df").withColumnRenamed("__part", "dataset_index"), tasks
 
@@ -79,7 +79,7 @@ def retask(frames: DataFrame, default: str | None = None, overrides: DataFrame |
         known = known.withColumn("__over", F.lit(None).cast("string"))
     known = known.select("episode_index", F.coalesce("__over", F.lit(default).cast("string"), "__first").alias("task"))
     tasks = known.select("task").distinct().withColumn("task_index", (F.row_number().over(Window.orderBy("task")) - 1).cast("long"))
-    renamed = known.join(F.broadcast(tasks), "task")
+    renamed = known.join(tasks, "task")
     return frames.drop("task", "task_index").join(renamed, "episode_index"), tasks
 
 
@@ -152,7 +152,7 @@ def hold_out(episodes: DataFrame, fraction: float) -> DataFrame:
 
 def map_files(rows: DataFrame, mapping: DataFrame, default: tuple[int, int]) -> DataFrame:
     """Rows (src_chunk, src_file) with dst_chunk, dst_file; files that the map doesn't know go to the default."""
-    out = rows.join(F.broadcast(mapping), ["src_chunk", "src_file"], "left")
+    out = rows.join(mapping, ["src_chunk", "src_file"], "left")
     return out.withColumn("dst_chunk", F.coalesce("dst_chunk", F.lit(default[0]))).withColumn("dst_file", F.coalesce("dst_file", F.lit(default[1])))
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajframe.functions.vectors import geodesic
+from trajframe.operators.scan import RANGE, ranged
 from trajframe.operators.windows import EPISODE, FRAME, gradient, in_order
+from trajframe.streaming.storage import stored
 
 # Tails of distributions for p-values: small tables of groups, so Arrow-batched functions are enough.
 
@@ -155,12 +157,22 @@ def welch(rows: DataFrame, features: list[str], condition: str, a, b) -> DataFra
 
 
 def false_discovery(tests: DataFrame, p: str = "p") -> DataFrame:
-    """Adds ``p_fdr`` (Benjamini-Hochberg) and ``significant``. One row for each feature: its windows need no partition."""
-    every = Window.partitionBy()
-    rank = F.rank().over(Window.orderBy(p))
-    ranked = tests.withColumn("__r", rank).withColumn("__raw", F.col(p) * F.count(p).over(every) / F.col("__r"))
-    out = ranked.withColumn("p_fdr", F.least(F.min("__raw").over(Window.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, 0)), F.lit(1.0)))
-    return out.withColumn("significant", F.col("p_fdr") < 0.05).drop("__r", "__raw")
+    """Adds ``p_fdr`` (Benjamini-Hochberg) and ``significant``; without a p-value both are null and the test doesn't count.
+
+    Any number of tests: ranks and the least scaled p-value of all larger ones are found by scans over ranges of p."""
+    rows = ranged(tests.where(F.col(p).isNotNull()), [], [p])
+    sizes = rows.groupBy(RANGE).agg(F.count(F.lit(1)).alias("__n"))
+    total = F.sum("__n").over(Window.partitionBy())
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.select(RANGE, total.alias("__total"), before.alias("__base"))
+    rank = F.rank().over(Window.partitionBy(RANGE).orderBy(p)) + F.col("__base")  # equal ones are in one range
+    raw = stored(rows.join(bases, RANGE).withColumn("__raw", F.col(p) * F.col("__total") / rank).drop("__total", "__base"))
+    least = raw.groupBy(RANGE).agg(F.min("__raw").alias("__m"))
+    behind = least.select(RANGE, F.min("__m").over(Window.orderBy(F.desc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)).alias("__behind"))
+    inside = F.min("__raw").over(Window.partitionBy(RANGE).orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, 0))
+    found = raw.withColumn("__in", inside).join(behind, RANGE).select(*tests.columns, F.least("__in", "__behind", F.lit(1.0)).alias("p_fdr"))
+    none = tests.where(F.col(p).isNull()).withColumn("p_fdr", F.lit(None).cast("double"))
+    return found.unionByName(none).withColumn("significant", F.col("p_fdr") < 0.05)
 
 
 def anova(rows: DataFrame, features: list[str], level: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trajframe.operators.windows import EPISODE, FRAME
 
@@ -41,6 +43,42 @@ def shuffled(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
     return rows.orderBy(hashed(*(F.col(k) for k in keys), F.lit(seed)), *keys)
 
 
+def buffered_shuffle(rows: DataFrame, seed: int, buffer: int = 10_000) -> DataFrame:
+    """All rows with ``shard`` and ``place``: the order in which a training job reads them, shards by a hash of their numbers, and within each as a buffer of ``buffer`` rows
+    lets them go. Nothing is sorted or shuffled: each task streams its part of the files through its buffer, and a row may come any number of rows later
+    than it stands there, and earlier by the buffer and a batch at most. The same files, seed and buffer give the same order."""
+    names = rows.columns
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, place, shard = None, 0, TaskContext.get().partitionId()
+        rng = np.random.default_rng([seed, shard])
+        number_of_shard = int(np.random.default_rng([seed, shard, 1]).integers(1 << 62))
+
+        def sent(table: pa.Table):
+            nonlocal place
+            n = table.num_rows
+            placed = table.append_column("shard", pa.array(np.full(n, number_of_shard))).append_column("place", pa.array(np.arange(place, place + n)))
+            place += n
+            yield from placed.to_batches()
+
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            if held.num_rows > buffer:
+                order = rng.permutation(held.num_rows)
+                out = held.num_rows - buffer
+                yield from sent(held.take(pa.array(order[:out])))
+                held = held.take(pa.array(order[out:])).combine_chunks()
+        if held is not None and held.num_rows:
+            yield from sent(held.take(pa.array(rng.permutation(held.num_rows))))
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("shard", T.LongType()), T.StructField("place", T.LongType())])
+    return rows.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(work, schema)
+
+
 def fraction_per_episode(rows: DataFrame, fraction: float, rank: Column, order: str = FRAME) -> DataFrame:
     """max(1, int(n fraction)) rows of each episode, those with the smallest ``rank``."""
     w = Window.partitionBy(EPISODE)

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from trajframe.operators.scan import RANGE, ranged
+from trajframe.streaming.storage import stored
+
 EPISODE, FRAME = "episode_index", "frame_index"
 
 
@@ -254,18 +257,46 @@ def rotate(frames: DataFrame, time: Column, seconds: float) -> DataFrame:
     return frames.withColumn("part", F.floor((time - first) / seconds).cast("long"))
 
 
-def drop_near_duplicates(frames: DataFrame, cols: list[str], tolerance: float) -> DataFrame:
-    """(episode, frame) of the frames at least ``tolerance`` from the last kept one. The state is the last kept frame, so it is a fold per episode."""
+def _unlike(cols: list[str], tolerance: float):
+    """A fold for groupBy(episode, ...): the frames of some rows that are at least ``tolerance`` from the last kept one, the first being compared with __entry, if there is one."""
     import numpy as np
     import pandas as pd
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(FRAME)
-        points, kept, last = rows[cols].to_numpy(float), [], None
+        entry = rows["__entry"].iloc[0] if len(rows) else None
+        points, kept = rows[cols].to_numpy(float), []
+        last = None if entry is None else np.array(entry, float)
         for i, p in enumerate(points):
             if last is None or np.linalg.norm(p - last) >= tolerance:
                 kept.append(i)
                 last = p
-        return rows.iloc[kept][[EPISODE, FRAME]]
+        return rows.iloc[kept][[EPISODE, RANGE, FRAME, "__p"]]
+
+    return fold
 
-    return frames.select(EPISODE, FRAME, *cols).groupBy(EPISODE).applyInPandas(fold, f"{EPISODE} long, {FRAME} long")
+
+def drop_near_duplicates(frames: DataFrame, cols: list[str], tolerance: float) -> DataFrame:
+    """(episode, frame) of the frames at least ``tolerance`` from the last kept one, which is all that the fold carries.
+
+    Episodes of any length: each is dealt to tasks by ranges of frames. First every range is folded as if nothing came before it; then, in turns, ranges whose
+    predecessors have ended with another kept frame than they began from are folded again. A fold mostly falls back to the same frames, so that what it hands on doesn't change;
+    after turn k the first k ranges of an episode are final."""
+    point = F.array(*(F.col(c).cast("double") for c in cols))
+    rows = ranged(frames.select(EPISODE, FRAME, *cols).withColumn("__p", point), [EPISODE], [FRAME])
+    by, kinds = [EPISODE, RANGE], dict(rows.dtypes)
+    schema = f"{EPISODE} {kinds[EPISODE]}, {RANGE} int, {FRAME} {kinds[FRAME]}, __p array<double>"
+    folded = lambda rows: stored(rows.groupBy(*by).applyInPandas(_unlike(cols, tolerance), schema))
+    places = stored(rows.select(*by).distinct())
+    used = stored(places.withColumn("__entry", F.lit(None).cast("array<double>")))
+    kept = folded(rows.withColumn("__entry", F.lit(None).cast("array<double>")))
+    while True:
+        ends = places.join(kept.groupBy(*by).agg(F.max_by("__p", FRAME).alias("__end")), by, "left")
+        before = Window.partitionBy(EPISODE).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+        entries = ends.select(*by, F.last("__end", ignorenulls=True).over(before).alias("__entry"))
+        new = stored(entries.join(used.withColumnRenamed("__entry", "__used"), by).where(~F.col("__entry").eqNullSafe(F.col("__used"))).select(*by, "__entry"))
+        if new.isEmpty():
+            return kept.select(EPISODE, FRAME)
+        again = folded(rows.join(new, by))
+        kept = stored(kept.join(new.select(*by), by, "left_anti").unionByName(again))
+        used = stored(used.join(new.select(*by), by, "left_anti").unionByName(new))

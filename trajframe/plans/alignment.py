@@ -50,6 +50,19 @@ def c8_nearest_with_tolerance(spark, sf_dir):
     return rows.select("episode_index", "event_id", F.round("click_value", 4).alias("click_value"), "within_tol")
 
 
+@query(_PREV_NEXT + """SELECT n.episode_index, event_id, ROUND(coalesce(bv, f.v), 4) AS held, ROUND(CASE WHEN bt IS NULL OR nt - t < t - bt THEN coalesce(av, bv) ELSE bv END, 4) AS near,
+  ROUND(coalesce(av, l.v), 4) AS coming, ROUND(CASE WHEN bt IS NULL THEN av WHEN nt IS NULL OR nt = bt THEN bv ELSE bv + (av - bv) * (t - bt) / (nt - bt) END, 4) AS between
+  FROM n LEFT JOIN (SELECT episode_index, arg_min(s0, t) AS v FROM ac GROUP BY 1) f ON f.episode_index = n.episode_index
+  LEFT JOIN (SELECT episode_index, arg_max(s0, t) AS v FROM ac GROUP BY 1) l ON l.episode_index = n.episode_index""")
+def c6_long_episodes(spark, sf_dir):
+    """All four alignments with episodes dealt by ranges of time."""
+    rows, right = series(spark, sf_dir, "view"), series(spark, sf_dir, "click")
+    for how, name in (("backward", "held"), ("nearest", "near"), ("forward", "coming")):
+        rows = align.asof(rows, right, "episode_index", "t", ["click_value"], how, clip=how != "nearest", long_keys=True).withColumnRenamed("click_value", name).drop("match_t")
+    rows = align.interpolate(rows, right, "episode_index", "t", ["click_value"], long_keys=True).withColumnRenamed("click_value", "between")
+    return _out(rows, "held", "near", "coming", "between")
+
+
 @query(_PREV_NEXT + "SELECT n.episode_index, event_id, ROUND(coalesce(av, l.v), 4) AS click_value FROM n LEFT JOIN (SELECT episode_index, arg_max(s0, t) AS v FROM ac GROUP BY 1) l ON l.episode_index = n.episode_index")
 def c9_asof_forward_clipped(spark, sf_dir):
     return _out(align.asof(series(spark, sf_dir, "view"), series(spark, sf_dir, "click"), "episode_index", "t", ["click_value"], "forward", clip=True), "click_value")

@@ -45,9 +45,44 @@ def d14_kinematics(spark, sf_dir):
     return rows.select("episode_index", F.round("duration", 2).alias("duration"), F.round("path_length", 3).alias("path_length"), *turns)
 
 
-@query()
+def _sql_gradient(source: str, name: str, cols: tuple[str, ...]) -> str:
+    """A common table expression ``name`` with the derivatives of some columns of ``source`` by t, named after them."""
+
+    def slope(c: str) -> str:
+        at = lambda col, k: col if k == 0 else f"{'lag' if k < 0 else 'lead'}({col}, {abs(k)}) OVER w"
+        end = lambda s: (
+            f"(-(2 * a{s} + b{s}) / nullif(a{s} * (a{s} + b{s}), 0)) * {c} + ((a{s} + b{s}) / nullif(a{s} * b{s}, 0)) * {at(c, s)} - (a{s} / nullif(b{s} * (a{s} + b{s}), 0)) * {at(c, 2 * s)}"
+            .replace(f"a{s}", f"({at('t', s)} - t)").replace(f"b{s}", f"({at('t', 2 * s)} - {at('t', s)})")
+        )
+        h1, h2 = f"(t - {at('t', -1)})", f"({at('t', 1)} - t)"
+        inner = f"({at(c, 1)} * {h1} * {h1} + {c} * ({h2} * {h2} - {h1} * {h1}) - {at(c, -1)} * {h2} * {h2}) / nullif({h1} * {h2} * ({h1} + {h2}), 0)"
+        return f"CASE WHEN {at('t', -1)} IS NULL THEN {end(1)} WHEN {at('t', 1)} IS NULL THEN {end(-1)} ELSE {inner} END AS {c}"
+
+    return f", {name} AS (SELECT episode_index, frame_index, t, {', '.join(map(slope, cols))} FROM {source} WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index))"
+
+
+def _lengths(name: str, source: str) -> str:
+    return f", {name} AS (SELECT episode_index, frame_index, t, sqrt(s0 * s0 + s1 * s1) AS x FROM {source})"
+
+
+_SMOOTH = (
+    ", p0 AS (SELECT episode_index, frame_index, t, s0, s1 FROM fr WHERE length >= 4)"
+    + "".join(_sql_gradient(a, b, ("s0", "s1")) + _lengths(f"n{b}", b) for a, b in (("p0", "v"), ("v", "a"), ("a", "j")))
+    + """
+, jj AS (SELECT episode_index, (x * x + pow(lag(x) OVER w, 2)) / 2 * (t - lag(t) OVER w) AS x FROM nj WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index)),
+sv AS (SELECT episode_index, AVG(x) AS m, MAX(x) AS peak, MAX(t) - MIN(t) AS duration FROM nv GROUP BY 1), sa AS (SELECT episode_index, AVG(x) AS m, STDDEV_SAMP(x) AS sd FROM na GROUP BY 1),
+sj AS (SELECT episode_index, AVG(x) AS m, STDDEV_SAMP(x) AS sd FROM nj GROUP BY 1), si AS (SELECT episode_index, SUM(x) AS x FROM jj GROUP BY 1)
+"""
+)
+_SMOOTHNESS = {"mean_speed": "sv.m", "peak_speed": "sv.peak", "mean_acc": "sa.m", "sd_acc": "sa.sd", "mean_jerk": "sj.m", "sd_jerk": "sj.sd"}
+
+
+@query(_SMOOTH + "SELECT sv.episode_index, " + ", ".join(f"ROUND(ln({x}), 5) AS ln_{n}" for n, x in _SMOOTHNESS.items()) + """, ROUND(-ln(pow(duration, 3) / pow(peak, 2) * si.x), 5) AS log_jerk
+FROM sv JOIN sa USING (episode_index) JOIN sj USING (episode_index) JOIN si USING (episode_index)""")
 def d14_smoothness(spark, sf_dir):
-    return V.kinematics(frames(spark, sf_dir), ["s0", "s1"], "t").select("episode_index", "mean_speed", "peak_speed", "mean_acc", "sd_acc", "mean_jerk", "sd_jerk", "log_jerk")
+    """Logarithms, as the sizes span many powers of ten."""
+    rows = V.kinematics(frames(spark, sf_dir), ["s0", "s1"], "t")
+    return rows.select("episode_index", *(F.round(F.log(n), 5).alias(f"ln_{n}") for n in _SMOOTHNESS), F.round("log_jerk", 5).alias("log_jerk"))
 
 
 _POINTS = """
@@ -101,6 +136,20 @@ def d18_false_discovery(spark, sf_dir):
     return V.false_discovery(tests).select("feature", "p", "p_fdr", "significant")
 
 
+@query("""
+, d AS (SELECT episode_index, 2 * pi() * (us % 86400000000) / 86400000000.0::DOUBLE AS a FROM fr),
+r AS (SELECT episode_index, exp(-COUNT(*) * (pow(AVG(cos(a)), 2) + pow(AVG(sin(a)), 2))) AS p FROM d GROUP BY 1),
+k AS (SELECT *, p * COUNT(*) OVER () / RANK() OVER (ORDER BY p) AS raw FROM r),
+f AS (SELECT episode_index, p, least(1, MIN(raw) OVER (ORDER BY p DESC)) AS p_fdr FROM k)
+SELECT episode_index, ROUND(p, 6) AS p, ROUND(p_fdr, 6) AS p_fdr, p_fdr < 0.05 AS significant FROM f
+""")
+def d18_daily_rhythm(spark, sf_dir):
+    """Rayleigh's test of each episode for a preferred time of day, adjusted over all episodes."""
+    a = 2 * F.pi() * (F.col("us") % 86_400_000_000) / 86_400_000_000.0
+    tests = frames(spark, sf_dir).groupBy("episode_index").agg(F.exp(-F.count(F.lit(1)) * (F.pow(F.avg(F.cos(a)), 2) + F.pow(F.avg(F.sin(a)), 2))).alias("p"))
+    return V.false_discovery(tests).select("episode_index", F.round("p", 6).alias("p"), F.round("p_fdr", 6).alias("p_fdr"), "significant")
+
+
 @query(_ME + """
 , c AS (SELECT COUNT(*) FILTER (episode_index % 2 = 0 AND success) AS a, COUNT(*) FILTER (episode_index % 2 = 0 AND NOT success) AS b, COUNT(*) FILTER (episode_index % 2 = 1 AND success) AS c2, COUNT(*) FILTER (episode_index % 2 = 1 AND NOT success) AS d FROM me),
 m AS (SELECT *, a + b + c2 + d AS n, a + b AS r, a + c2 AS k FROM c),

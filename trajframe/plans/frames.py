@@ -45,9 +45,12 @@ def a4_tasks(spark, sf_dir):
     return tasks(spark, sf_dir)
 
 
-@query("SELECT CAST(x.k AS BIGINT) AS k FROM range(0, 200) x(k) LEFT JOIN ep ON ep.episode_index = x.k WHERE ep.episode_index IS NULL")
+@query("SELECT CAST(x.k AS BIGINT) AS k FROM range(0, (SELECT MAX(episode_index) * 2 + 2 FROM ep)) x(k) LEFT JOIN ep ON ep.episode_index = x.k WHERE ep.episode_index IS NULL")
 def a16_missing_shards(spark, sf_dir):
-    return spark.range(200).withColumnRenamed("id", "k").join(episodes(spark, sf_dir), F.col("k") == F.col("episode_index"), "left_anti")
+    """Of the numbers up to twice the largest, those that no episode has."""
+    known = episodes(spark, sf_dir).select("episode_index")
+    wanted = spark.range(known.agg(F.max("episode_index")).first()[0] * 2 + 2).withColumnRenamed("id", "k")
+    return wanted.join(known, F.col("k") == F.col("episode_index"), "left_anti")
 
 
 @query("""
@@ -147,14 +150,17 @@ def d10_summary(spark, sf_dir):
 
 
 @query("""
-, x AS (SELECT (idx * 7) % 9000 AS i FROM fr)
-SELECT ep.episode_index, COUNT(*) AS n, CAST(SUM(i - ep.dataset_from_index) AS BIGINT) AS total FROM x JOIN ep ON x.i >= ep.dataset_from_index AND x.i < ep.dataset_to_index GROUP BY 1
+, x AS (SELECT (idx * 7) % ((SELECT MAX(dataset_to_index) FROM ep) + 50) AS i FROM fr)
+SELECT COALESCE(ep.episode_index, -1) AS episode_index, COUNT(*) AS n, CAST(SUM(i - COALESCE(ep.dataset_from_index, 0)) AS BIGINT) AS total
+FROM x LEFT JOIN ep ON x.i >= ep.dataset_from_index AND x.i < ep.dataset_to_index GROUP BY 1
 """)
 def c4_index_range_join(spark, sf_dir):
-    from trajframe.operators.align import range_join
+    """Indices over the whole table and somewhat beyond it, which belongs to no episode."""
+    from trajframe.operators.align import index_join
 
-    wanted = frames(spark, sf_dir).select(((F.col("idx") * 7) % 9000).alias("i"))
-    found = range_join(wanted, episodes(spark, sf_dir).select("episode_index", "dataset_from_index", "dataset_to_index"), "i", "dataset_from_index", "dataset_to_index", width=64)
+    known = episodes(spark, sf_dir).select("episode_index", "dataset_from_index", "dataset_to_index")
+    top = known.agg(F.max("dataset_to_index")).first()[0] + 50
+    found = index_join(frames(spark, sf_dir).select(((F.col("idx") * 7) % top).alias("i")), known, "i", "dataset_from_index", "dataset_to_index", {"episode_index": -1, "dataset_from_index": 0})
     return found.groupBy("episode_index").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("i") - F.col("dataset_from_index")).alias("total"))
 
 

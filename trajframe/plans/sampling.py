@@ -38,6 +38,17 @@ def f3_shuffle(spark, sf_dir):
     return parts.agg(F.sum("n").alias("n"), F.sum("d").alias("n_distinct"), F.sum("late").alias("out_of_order"), F.count_if("overlap").alias("overlaps"), F.min("lo").alias("first_key"))
 
 
+@query("SELECT COUNT(*) AS n, COUNT(DISTINCT idx) AS n_distinct, COUNT(*) AS places, true AS moved, CAST(0 AS BIGINT) AS exchanges FROM fr")
+def f3_buffered_shuffle(spark, sf_dir):
+    """A permutation without a sort: every frame once, each in a place of its own, most in another one than in the files, and no exchange in its plan."""
+    rows = S.buffered_shuffle(frames(spark, sf_dir).select("idx"), 3, 500)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    back = Window.partitionBy("shard").orderBy("place")
+    placed = rows.withColumn("step", F.col("idx") - F.lag("idx").over(back))
+    one = placed.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("idx").alias("n_distinct"), F.count_distinct("shard", "place").alias("places"), (F.count_if(F.col("step") == 1) * 10 < F.count(F.lit(1))).alias("moved"))
+    return one.withColumn("exchanges", F.lit(plan.count("Exchange")).cast("long"))
+
+
 @query("""
 , r AS (SELECT *, row_number() OVER (PARTITION BY episode_index ORDER BY (idx * 7919) % 10007, frame_index) AS r FROM fr)
 SELECT episode_index, frame_index FROM r WHERE r <= greatest(1, CAST(floor(length * 0.1) AS BIGINT))

@@ -127,7 +127,7 @@ def build(rows: DataFrame, fps: int, order: list[str], features: dict, robot_typ
     tasks = rows.select("task").distinct().withColumn("task_index", (F.row_number().over(Window.orderBy("task")) - 1).cast("long"))
     per = rows.groupBy("episode_index").agg(F.count(F.lit(1)).alias("length"), F.array_sort(F.collect_set("task")).alias("tasks"))
     known = cumulative_offsets(per, "length", "episode_index", "dataset_from_index", "dataset_to_index")
-    frames = numbered.join(F.broadcast(tasks), "task").join(known.select("episode_index", "dataset_from_index"), "episode_index")
+    frames = numbered.join(tasks, "task").join(known.select("episode_index", "dataset_from_index"), "episode_index")
     frames = frames.withColumn("index", F.col("dataset_from_index") + F.col("frame_index"))
     features = {**{n: {"dtype": d, "shape": [1]} for n, d in DEFAULTS.items()}, **features}
     totals = known.agg(F.count(F.lit(1)), F.sum("length")).first()
