@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajframe.sources.appendable import Appendable, Taken
-from trajframe.sources.dataset import integrity
+from trajframe.sources.dataset import integrity, modified
 from trajframe.streaming.storage import new_folder
 
 FEATURES = {"v": {"dtype": "float64", "shape": [1]}, "note": {"dtype": "string", "shape": [1]}}
@@ -93,3 +93,13 @@ def test_what_does_not_fit_is_refused(spark, store):
     assert (none.frames, none.next_file) == (0, 0)
     store.append(batch(spark, 0, [2], "a"), "some", ["at"])
     assert store.read().frames.count() == 2
+
+
+def test_edits_take_the_stats_along(spark, store):
+    """A removed feature leaves neither a column nor a spec nor stats; an added number gets all three."""
+    store.append(batch(spark, 0, [2, 3], "a"), "one", ["at"])
+    data = modified(store.read(), {"w": (F.col("v") * 2, {"dtype": "float64", "shape": [1]})}, ["v"])
+    assert "v" not in data.frames.columns and "v" not in data.info.features and data.info.features["w"]["dtype"] == "float64"
+    s = data.stats.collect()
+    assert [r["feature"] for r in s] == ["w"] and (s[0]["count"], s[0]["min"], s[0]["max"]) == (5, 0.0, 24.0)
+    assert "v" in store.read().info.features

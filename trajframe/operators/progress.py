@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajframe.operators.windows import EPISODE, FRAME, in_order, whole
+from trajframe.operators.windows import EPISODE, FRAME, delta_window, in_order, symmetric_deltas, whole
 
 
 def tau(t: Column, start: Column, end: Column) -> Column:
@@ -106,3 +106,16 @@ def read_annotations(episodes: DataFrame, prefix: str, key: str = EPISODE) -> Da
     zipped = F.arrays_zip(F.col(f"{p}_names").alias("name"), F.col(f"{p}_start_times").alias("start"), F.col(f"{p}_end_times").alias("end"))
     rows = episodes.select(key, F.posexplode(zipped).alias("pos", "z"))
     return rows.select(key, "pos", F.col("z.0").alias("name"), F.col("z.1").alias("start"), F.col("z.2").alias("end")) if "0" in rows.schema["z"].dataType.names else rows.select(key, "pos", "z.*")
+
+
+def progress_targets(rows: DataFrame, stage: str, n_obs: int, max_rewind: int, gap: int, steps: Column) -> DataFrame:
+    """(episode, frame, targets, rewound): ``stage`` at the slots that a sample of each frame has: n_obs + 1 frames around it, clamped at the episode's ends, then
+    ``max_rewind`` slots of earlier frames in reverse, from before the first of those. As many of these are filled as ``steps`` says and the history
+    holds; the rest are 0."""
+    half = n_obs // 2
+    back = [-(half + i) * gap for i in range(1, max_rewind + 1)]
+    seen = delta_window(rows.withColumn("__steps", steps.cast("int")), stage, [*symmetric_deltas(n_obs, gap), *back])
+    earliest = F.col(FRAME) - half * gap
+    used = F.when(earliest > 0, F.greatest(F.lit(0), F.least(F.col("__steps"), F.lit(max_rewind), F.floor(earliest / gap).cast("int")))).otherwise(F.lit(0))
+    kept = F.transform(f"{stage}_window", lambda x, i: F.when(i <= n_obs + F.col("rewound"), x).otherwise(F.lit(0.0)))
+    return seen.withColumn("rewound", used).select(EPISODE, FRAME, kept.alias("targets"), "rewound")

@@ -28,10 +28,10 @@ def a8_written_dataset(spark, sf_dir):
     return back.select(*KEYS, "index", "task_index", F.round(F.col("s0").cast("double"), 3).alias("s0"))
 
 
-def _legacy(spark, sf_dir):
+def _legacy(spark, sf_dir, **packing):
     root = new_folder(spark)
     D.write_legacy(frames(spark, sf_dir).select(*KEYS, "task", "s0", "s1"), tasks(spark, sf_dir), ["s0", "s1"], root)
-    return D.convert_legacy(spark, root, 30, {"s0": {"dtype": "float64", "shape": [1]}, "s1": {"dtype": "float64", "shape": [1]}})
+    return D.convert_legacy(spark, root, 30, {"s0": {"dtype": "float64", "shape": [1]}, "s1": {"dtype": "float64", "shape": [1]}}, **packing)
 
 
 @query("SELECT ep.episode_index, length, dataset_from_index, dataset_to_index, x.tasks FROM ep JOIN (SELECT episode_index, string_agg(DISTINCT task, ',' ORDER BY task) AS tasks FROM fr GROUP BY 1) x USING (episode_index)")
@@ -42,12 +42,36 @@ def a10_legacy_episodes(spark, sf_dir):
 
 
 @query("""
-, l AS (SELECT 's0' AS feature, s0 AS v FROM fr UNION ALL SELECT 's1', s1 FROM fr)
-SELECT feature, CAST(0 AS INTEGER) AS dim, COUNT(*) AS count, ROUND(MIN(v), 4) AS min, ROUND(MAX(v), 4) AS max, ROUND(AVG(v), 4) AS mean, ROUND(STDDEV_POP(v), 4) AS std FROM l GROUP BY 1
+, l AS (SELECT episode_index, 's0' AS feature, s0 AS v FROM fr UNION ALL SELECT episode_index, 's1', s1 FROM fr),
+q AS (SELECT feature, episode_index, COUNT(*) AS n, quantile_cont(v, 0.01) AS q01, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.99) AS q99 FROM l GROUP BY ALL),
+w AS (SELECT feature, SUM(n * q01) / SUM(n) AS q01, SUM(n * q50) / SUM(n) AS q50, SUM(n * q99) / SUM(n) AS q99 FROM q GROUP BY 1)
+SELECT l.feature, CAST(0 AS INTEGER) AS dim, COUNT(*) AS count, ROUND(MIN(v), 4) AS min, ROUND(MAX(v), 4) AS max, ROUND(AVG(v), 4) AS mean, ROUND(STDDEV_POP(v), 4) AS std,
+  ROUND(ANY_VALUE(q01) + 1e-8, 4) AS q01, ROUND(ANY_VALUE(q50) + 1e-8, 4) AS q50, ROUND(ANY_VALUE(q99) + 1e-8, 4) AS q99 FROM l JOIN w ON w.feature = l.feature GROUP BY 1
 """)
 def a11_converted_stats(spark, sf_dir):
-    """The stats of all episodes of the older layout merged."""
-    return _legacy(spark, sf_dir).stats.select("feature", "dim", "count", *(F.round(c, 4).alias(c) for c in ("min", "max", "mean", "std")))
+    """The stats of all episodes of the older layout merged, with their quantiles."""
+    found = _legacy(spark, sf_dir).stats
+    return found.select("feature", "dim", "count", *(F.round(c, 4).alias(c) for c in ("min", "max", "mean", "std")), *(F.round(F.col(c) + 1e-8, 4).alias(c) for c in ("q01", "q50", "q99")))
+
+
+@query("""
+, o AS (SELECT episode_index, length, ROW_NUMBER() OVER (ORDER BY episode_index) AS r FROM ep),
+p AS (
+  SELECT episode_index, r, length, length AS filled, 0 AS file FROM o WHERE r = 1
+  UNION ALL
+  SELECT o.episode_index, o.r, o.length, CASE WHEN p.filled + o.length >= 700 THEN o.length ELSE p.filled + o.length END, CASE WHEN p.filled + o.length >= 700 THEN p.file + 1 ELSE p.file END
+  FROM p JOIN o ON o.r = p.r + 1)
+SELECT CAST(file // 3 AS BIGINT) AS chunk_index, CAST(file % 3 AS BIGINT) AS file_index, CAST(1 AS BIGINT) AS n_files, COUNT(*) AS n_episodes, CAST(SUM(length) AS BIGINT) AS n_frames FROM p GROUP BY ALL
+""")
+def a11_converted_files(spark, sf_dir):
+    """The older layout's file for each episode packed into files of a size, written, and counted by what lies in each of them."""
+    data = _legacy(spark, sf_dir, file_bytes=700 * 40, frame_bytes=40, files_per_chunk=3)
+    numbered = data.frames.join(data.episodes.select("episode_index", "dataset_from_index"), "episode_index").withColumn("index", F.col("dataset_from_index") + F.col("frame_index")).drop("dataset_from_index")
+    root = f"{new_folder(spark)}/data"
+    D.Dataset(numbered, data.episodes, data.tasks, data.info, data.stats).write(root)
+    back = spark.read.parquet(f"{root}/data").withColumn("f", F.col("_metadata.file_path"))
+    found = back.groupBy("chunk_index", "file_index").agg(F.count_distinct("f").alias("n_files"), F.count_distinct("episode_index").alias("n_episodes"), F.count(F.lit(1)).alias("n_frames"))
+    return found.select(F.col("chunk_index").cast("long").alias("chunk_index"), F.col("file_index").cast("long").alias("file_index"), "n_files", "n_episodes", "n_frames")
 
 
 @query("SELECT CAST(episode_index AS VARCHAR) AS episode, COUNT(*) AS n, ROUND(SUM(s0), 3) AS total, ROUND(MIN(t), 3) AS first FROM fr GROUP BY 1")

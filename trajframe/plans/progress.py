@@ -97,6 +97,23 @@ def e28_progress_targets(spark, sf_dir):
     return rows.select(*KEYS, *(F.round(F.get("stage_window", F.lit(i)), 4).alias(n) for i, n in enumerate(("back", "now", "ahead"))))
 
 
+@query(_IV + """
+, s AS (SELECT f.episode_index, f.frame_index, CASE WHEN f.frame_index < 3 THEN 0.0 WHEN f.frame_index > (nv.n - 1) * 6 + 7 THEN nv.n - 1 + 0.999 WHEN (f.frame_index - 3) % 6 = 5 THEN (f.frame_index - 3) // 6 + 1.0
+  ELSE (f.frame_index - 3) // 6 + least((f.frame_index - 3) % 6 / 4.0, CASE WHEN (f.frame_index - 3) // 6 = nv.n - 1 THEN 0.999 ELSE 1.0 END) END AS stage FROM fr f JOIN nv ON nv.episode_index = f.episode_index)
+SELECT f.episode_index, f.frame_index, u.used AS rewound, """ + ", ".join(
+    f"ROUND((SELECT stage FROM s x WHERE x.episode_index = f.episode_index AND x.frame_index = greatest(0, least(f.length - 1, f.frame_index + {d}))), 4) AS t{i}" for i, d in enumerate((-4, -2, 0, 2, 4))
+) + "".join(
+    f", CASE WHEN u.used >= {k} THEN ROUND((SELECT stage FROM s x WHERE x.episode_index = f.episode_index AND x.frame_index = f.frame_index - {4 + 2 * k}), 4) ELSE 0 END AS t{4 + k}" for k in (1, 2, 3)
+) + """ FROM fr f JOIN (SELECT episode_index, frame_index, CAST(CASE WHEN frame_index > 4 THEN least(frame_index % 4, 3, (frame_index - 4) // 2) ELSE 0 END AS INTEGER) AS used FROM fr) u
+  ON u.episode_index = f.episode_index AND u.frame_index = f.frame_index""")
+def e28_rewound_targets(spark, sf_dir):
+    """Targets of five observed frames, two apart, and of up to three rewound ones."""
+    rows = frames(spark, sf_dir)
+    staged = P.stage_and_tau(rows.select(*KEYS), _intervals(spark, sf_dir)).join(rows.select(*KEYS, "length"), list(KEYS))
+    found = P.progress_targets(staged, "stage", 4, 3, 2, F.col("frame_index") % 4)
+    return found.select(*KEYS, "rewound", *(F.round(F.get("targets", F.lit(i)), 4).alias(f"t{i}") for i in range(8)))
+
+
 @query(_IV + "SELECT iv.episode_index, CAST(pos AS INTEGER) AS pos, name, ROUND(a / 10.0, 2)::DOUBLE AS start FROM iv JOIN ep USING (episode_index)")
 def h11_annotation_arrays(spark, sf_dir):
     """Annotations written to arrays on episodes and read back."""

@@ -7,7 +7,7 @@ meta/episodes, meta/tasks, meta/subtasks, meta/info.json, meta/stats.json.
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,9 +88,15 @@ class Dataset:
     subtasks: DataFrame | None = None
 
     def write(self, root: str) -> None:
-        """Frames are range-partitioned by episode and sorted by index, so a filter on episodes skips files and row groups."""
+        """Frames are range-partitioned by episode and sorted by index, so a filter on episodes skips files and row groups. Where the episodes have files
+        (chunk_index, file_index), each file holds its episodes and nothing else."""
         spark = self.frames.sparkSession
-        self.frames.repartitionByRange("episode_index").sortWithinPartitions("index").write.parquet(f"{root}/data")
+        if "file_index" in self.episodes.columns:
+            placed = self.frames.join(self.episodes.select("episode_index", "chunk_index", "file_index"), "episode_index").select(*self.frames.columns, "chunk_index", "file_index")
+            placed = placed.repartition("chunk_index", "file_index").sortWithinPartitions("chunk_index", "file_index", "index")
+            placed.write.partitionBy("chunk_index", "file_index").parquet(f"{root}/data")
+        else:
+            self.frames.repartitionByRange("episode_index").sortWithinPartitions("index").write.parquet(f"{root}/data")
         self.episodes.write.parquet(f"{root}/meta/episodes")
         self.tasks.coalesce(1).write.parquet(f"{root}/meta/tasks")
         if self.subtasks is not None:
@@ -110,6 +116,26 @@ class Dataset:
         return cls(frames, known, spark.read.parquet(f"{root}/meta/tasks"), info, _optional(spark, "json", f"{root}/meta/stats.json"), _optional(spark, "parquet", f"{root}/meta/subtasks"))
 
 
+def modified(data: Dataset, add: dict[str, tuple[Column, dict]] | None = None, remove: list[str] | None = None) -> Dataset:
+    """The dataset with features added, (column, {"dtype", "shape"}) each, and removed: frames, the features' list and the stats go together. Stats of removed features
+    go; those of added numbers are found from the frames."""
+    from trajframe.operators.edit import modify_features
+    from trajframe.operators.stats import merge_stats, per_episode_stats
+
+    add, remove = add or {}, remove or []
+    frames = modify_features(data.frames, {n: c for n, (c, _) in add.items()}, remove)
+    features = {n: s for n, s in data.info.features.items() if n not in remove} | {n: s for n, (_, s) in add.items()}
+    stats = data.stats
+    if stats is not None:
+        stats = stats.where(~F.col("feature").isin(remove)) if remove else stats
+        numbers = [n for n, (_, s) in add.items() if s["dtype"] in _KINDS and s["dtype"] not in ("string", "bool") and tuple(s.get("shape", (1,))) in ((1,), ())]
+        if numbers:
+            own = merge_stats(per_episode_stats(frames, numbers))
+            own = own.withColumn("dim", F.lit(0)) if "dim" in stats.columns else own
+            stats = stats.unionByName(own, allowMissingColumns=True)
+    return replace(data, frames=frames, info=replace(data.info, features=features), stats=stats)
+
+
 def _optional(spark: SparkSession, kind: str, path: str) -> DataFrame | None:
     """The table, or None where there is none."""
     try:
@@ -177,8 +203,11 @@ def read_legacy_lines(spark: SparkSession, root: str) -> tuple[DataFrame, DataFr
     return tuple(spark.read.json(f"{root}/meta/{n}.jsonl") for n in ("episodes", "episodes_stats", "tasks"))
 
 
-def convert_legacy(spark: SparkSession, root: str, fps: int, features: dict) -> Dataset:
-    """The older layout (a file per episode, JSON lines) as a dataset: dictionaries joined, offsets and totals found anew."""
+def convert_legacy(spark: SparkSession, root: str, fps: int, features: dict, file_bytes: float | None = None, frame_bytes: float = 0.0, files_per_chunk: int = 1000) -> Dataset:
+    """The older layout (a file per episode, JSON lines) as a dataset: dictionaries joined, offsets and totals found anew, quantiles kept that all stats have.
+
+    With ``file_bytes`` the episodes are packed into files of that size, a frame being taken as ``frame_bytes``."""
+    from trajframe.operators.packing import pack_files
     from trajframe.operators.stats import merge_stats
 
     episodes, stats, tasks = read_legacy_lines(spark, root)
@@ -186,9 +215,16 @@ def convert_legacy(spark: SparkSession, root: str, fps: int, features: dict) ->
     known = cumulative_offsets(episodes.select("episode_index", "tasks", "length"), "length", "episode_index", "dataset_from_index", "dataset_to_index")
     totals = known.agg(F.count(F.lit(1)), F.sum("length")).first()
     info = Info(fps, features, total_episodes=totals[0], total_frames=totals[1] or 0, total_tasks=tasks.count(), splits={"train": f"0:{totals[0]}"})
+    if file_bytes is not None:
+        sizes = known.select(F.lit(0).alias("__one"), "episode_index", (F.col("length") * frame_bytes).alias("__bytes"))
+        known = known.join(pack_files(sizes, file_bytes, files_per_chunk, "__one", "episode_index", "__bytes").drop("__one"), "episode_index")
     names = stats.schema["stats"].dataType.names
-    parts = stats.select("episode_index", F.inline(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(f"stats.`{n}`").alias("s")) for n in names))))
-    flat = parts.select("feature", F.posexplode(F.arrays_zip("s.min", "s.max", "s.mean", "s.std")).alias("dim", "z"), F.get("s.count", F.lit(0)).alias("count"))
+    shared = set.intersection(*(set(stats.schema["stats"].dataType[n].dataType.names) for n in names))
+    pick = lambda n: F.struct(*(F.col(f"stats.`{n}`.{c}").alias(c) for c in sorted(shared)))
+    parts = stats.select("episode_index", F.inline(F.array(*(F.struct(F.lit(n).alias("feature"), pick(n).alias("s")) for n in names))))
+    own = [{q for q in stats.schema["stats"].dataType[n].dataType.names if q[0] == "q" and q[1:].isdigit()} for n in names]
+    fields = ["min", "max", "mean", "std", *sorted(set.intersection(*own))]
+    flat = parts.select("feature", F.posexplode(F.arrays_zip(*(f"s.{c}" for c in fields))).alias("dim", "z"), F.get("s.count", F.lit(0)).alias("count"))
     merged = merge_stats(flat.select("feature", "dim", "z.*", "count"), ("feature", "dim"))
     return Dataset(frames, known, tasks.select("task", "task_index"), info, merged)
 
@@ -253,7 +289,10 @@ def images_to_pointers(frames: DataFrame, episodes: DataFrame, images: list[str]
 def write_legacy(frames: DataFrame, tasks: DataFrame, features: list[str], root: str) -> None:
     """The older layout: a file for each episode, JSON lines for episodes, their stats and tasks."""
     per = frames.groupBy("episode_index").agg(F.array_sort(F.collect_set("task")).alias("tasks"), F.count(F.lit(1)).alias("length"))
-    values = lambda c: F.struct(*(F.array(f(c)).alias(n) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop))), F.array(F.count(c)).alias("count"))
+    from trajframe.operators.stats import QUANTILES, quantile_key
+
+    moments = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_pop} | {quantile_key(q): (lambda c, q=q: F.percentile(c, F.lit(q))) for q in QUANTILES}
+    values = lambda c: F.struct(*(F.array(f(c)).alias(n) for n, f in moments.items()), F.array(F.count(c)).alias("count"))
     stats = frames.groupBy("episode_index").agg(F.struct(*(values(c).alias(c) for c in features)).alias("stats"))
     frames.repartition("episode_index").sortWithinPartitions("frame_index").write.partitionBy("episode_index").parquet(f"{root}/data")
     for name, rows in (("episodes", per), ("episodes_stats", stats), ("tasks", tasks)):
