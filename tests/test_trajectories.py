@@ -259,3 +259,37 @@ def test_no_window_over_all_frames(spark):
     for line in plan.splitlines():
         if line.lstrip("+-: ").startswith("Window") and "windowspecdefinition(" in line:
             assert "episode_index" in line or "task" in line or "__bucket" in line
+
+
+def test_shards_go_on_where_they_stopped(spark):
+    """A finished attempt's shards aren't run again; an attempt that was cut short counts for nothing."""
+    from trajframe.operators import structure
+    from trajframe.streaming.storage import new_folder
+
+    rows = spark.createDataFrame([(e, i, float(i)) for e in range(7) for i in range(3)], "episode_index long, index long, v double")
+    folder, ran = f"{new_folder(spark)}/shards", []
+
+    def job(part):
+        ran.append(sorted(r[0] for r in part.select("episode_index").distinct().collect()))
+        return part.withColumn("w", F.col("v") + 1)
+
+    structure.run_sharded(rows.where("episode_index % 3 = 2"), job, 3, folder)
+    rows.where("episode_index = 0").withColumn("w", F.lit(-1.0)).withColumn("shard", F.lit(0)).write.partitionBy("shard").parquet(f"{folder}/attempt-00009")
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/attempt-00009/_SUCCESS")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, False)
+    out = structure.run_sharded(rows, job, 3, folder)
+    assert ran == [[2, 5], [0, 1, 3, 4, 6]] and out.count() == 21 and out.where("w <> v + 1").count() == 0
+    structure.run_sharded(rows, job, 3, folder)
+    assert len(ran) == 2
+
+
+def test_derived_tables_follow_the_files(spark, tmp_path):
+    """A table that changes within a session is derived anew."""
+    from trajframe.plans import views
+
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    path = f"{tmp_path}/events.parquet"
+    source.where("user_id < 3").write.parquet(path)
+    few = views.frames(spark, str(tmp_path)).count()
+    source.where("user_id < 6").write.mode("overwrite").parquet(path)
+    assert views.frames(spark, str(tmp_path)).count() == source.where("user_id < 6").count() > few

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,22 +44,35 @@ def unflatten_keys(rows: DataFrame, key: str, cols: list[str], sep: str = "/") -
     return named.groupBy(key).pivot("__c", cols).agg(F.first("value"))
 
 
-def run_sharded(frames: DataFrame, job: Callable[[DataFrame], DataFrame], world: int, folder: str, index: str = "index", episode: str = "episode_index") -> DataFrame:
-    """``job`` over the episodes of each rank (episode mod world), a shard written for each, and all shards read as one in the order of ``index``.
+def run_sharded(frames: DataFrame, job: Callable[[DataFrame], DataFrame], world: int, folder: str, episode: str = "episode_index") -> DataFrame:
+    """``job`` over all episodes as one Spark job that writes a folder for each shard (episode mod world), and all shards read as one. The job keeps ``episode``.
 
-    A shard that is there already is left alone, so a job that was cut short goes on with those that are missing.
-    """
+    A run that was cut short leaves no finished attempt, and one over some of the shards those shards: the next run takes on what no finished attempt holds."""
     spark = frames.sparkSession
-    shards = [f"{folder}/shard-{rank:05d}-of-{world:05d}" for rank in range(world)]
-    for rank, path in enumerate(shards):
-        if not _complete(spark, path):
-            job(frames.where(F.pmod(F.col(episode), F.lit(world)) == rank)).write.mode("overwrite").parquet(path)
-    parts = [spark.read.parquet(p) for p in shards]
-    return reduce(DataFrame.unionByName, parts).orderBy(index)
-
-
-def _complete(spark: SparkSession, path: str) -> bool:
-    """Whether a table was written to its end."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    shard = F.pmod(F.col(episode), F.lit(world)).cast("int")
+    done = finished_shards(spark, folder)
+    missing = sorted(set(range(world)) - {n for _, n in done})
+    if missing:
+        path = f"{folder}/attempt-{uuid.uuid4().hex}"
+        job(frames.where(shard.isin(missing))).withColumn("shard", shard).write.partitionBy("shard").parquet(path)
+        done = finished_shards(spark, folder)
+    if not done:
+        return job(frames.limit(0))
+    return spark.read.parquet(*(f"{p}/shard={n}" for p, n in done))
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """The folders and files in a folder, by name; none where there is no such folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().toString() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def finished_shards(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(attempt, shard) of what finished attempts have written."""
+    found = []
+    for attempt in listed(spark, folder):
+        names = [p.rpartition("/")[2] for p in listed(spark, attempt)]
+        if "_SUCCESS" in names:
+            found += [(attempt, int(n.rpartition("=")[2])) for n in names if n.startswith("shard=")]
+    return found

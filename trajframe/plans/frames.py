@@ -31,7 +31,7 @@ def flagship_delta_by_task(spark, sf_dir):
 
 @query("SELECT episode_index, frame_index, idx, ROUND(s0, 4) AS s0 FROM fr WHERE episode_index IN (3, 5, 8)")
 def a1_frame_scan_episodes(spark, sf_dir):
-    """The list of episodes reaches the scan as a pushed filter on user_id."""
+    """The list of episodes reaches the scan of the frames as a pushed filter."""
     return frames(spark, sf_dir).where(F.col("episode_index").isin(3, 5, 8)).select("episode_index", "frame_index", "idx", F.round("s0", 4).alias("s0"))
 
 

@@ -1,6 +1,6 @@
 """The events table seen as trajectories: users are episodes, their events frames, event types tasks.
 
-Frames, episodes and tasks are derived from the events once for each session and table folder and written as Parquet to the shared
+Frames, episodes and tasks are derived from the events once for each session and state of the events' files, and written as Parquet to the shared
 folder, as a dataset would hold them; queries scan that. ``VIEWS`` gives the same tables to the oracle, as common table expressions.
 """
 
@@ -29,13 +29,20 @@ def events(spark, sf_dir) -> DataFrame:
     )
 
 
-#: Where the derived tables of a session lie, by application, source folder and name.
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+#: Where the derived tables of a session lie, by application, source folder, name and the state of the source's files.
+_WRITTEN: dict[tuple[str, str, str, str], str] = {}
+
+
+def state(spark, path: str) -> str:
+    """The names, sizes and times of a table's files: other files, other derived tables."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return ";".join(sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in fs.listStatus(where)))
 
 
 def written(spark, sf_dir, name: str, derive, key: str) -> DataFrame:
     """A derived table, written at its first use: clustered by ``key``, so that filters on it and on what rises with it skip files and row groups."""
-    at = (spark.sparkContext.applicationId, sf_dir, name)
+    at = (spark.sparkContext.applicationId, sf_dir, name, state(spark, f"{sf_dir}/events.parquet"))
     if at not in _WRITTEN or not kept(spark, _WRITTEN[at]):
         path = f"{new_folder(spark)}/{name}"
         rows = derive(spark, sf_dir)
