@@ -82,3 +82,20 @@ def test_buffered_shuffle(spark):
     assert sorted(r["id"] for r in one) == list(range(5000)) and all(r["note"] == f"n{r['id']}" for r in one)
     assert len({(r["shard"], r["place"]) for r in one}) == 5000 and len({r["shard"] for r in one}) == 3
     assert sampling.buffered_shuffle(rows.limit(0), 1).count() == 0
+
+
+@pytest.mark.parametrize("piece", [1, 2, 7, 1000])
+def test_pieces(spark, piece):
+    """Derivatives, unwrapped angles, lengths and integrals of episodes cut into pieces, down to one frame."""
+    rng = np.random.default_rng(piece)
+    rows = [(e, i, float(t), *map(float, rng.uniform(-3, 3, 2))) for e, n in ((0, 61), (1, 1), (2, 2), (3, 7)) for i, t in enumerate(np.cumsum(rng.uniform(0.1, 1, n)))]
+    frames = spark.createDataFrame(rows, "episode_index long, frame_index long, t double, x double, y double")
+    order = ["episode_index", "frame_index"]
+    grown = [windows.with_gradient(frames, F.col("x"), F.col("t"), "g", p).orderBy(*order).collect() for p in (None, piece)]
+    assert grown[0] == grown[1]
+    turned = [windows.unwrap(frames, "x", "u", p).orderBy(*order).collect() for p in (None, piece)]
+    assert np.allclose([r["u"] for r in turned[0]], [r["u"] for r in turned[1]]) and [tuple(r)[:5] for r in turned[1]] == rows
+    assert windows.velocity(frames, ["x", "y"], 0.1, piece).orderBy(*order).collect() == windows.velocity(frames, ["x", "y"], 0.1).orderBy(*order).collect()
+    for f in (lambda p: windows.path_length(frames, ["x", "y"], p), lambda p: windows.trapezoid(frames, F.col("x"), F.col("t"), p)):
+        a, b = ([r[1] for r in f(p).orderBy("episode_index").collect()] for p in (None, piece))
+        assert np.allclose(a, b) and len(a) == 4

@@ -26,6 +26,23 @@ def shifted(value: Column, k: int, w: WindowSpec) -> Column:
     return F.lead(value, k).over(w) if k > 0 else F.lag(value, -k).over(w) if k < 0 else value
 
 
+#: Frames of a piece of a long episode, without those that it borrows.
+PIECE = 65_536
+
+
+def in_pieces(frames: DataFrame, back: int, ahead: int, piece: int | None = PIECE) -> tuple[DataFrame, WindowSpec]:
+    """Frames dealt by pieces of their episode, and the window over a piece in order, for operators that look at most ``back`` and ``ahead`` frames away.
+
+    Each piece borrows so many frames of its neighbours; its own are marked ``__core``, and only these are to be kept. Frame numbers are dense. Without a
+    ``piece`` an episode is one."""
+    if piece is None:
+        return frames.withColumn("__core", F.lit(True)).withColumn("__piece", F.lit(0).cast("long")), in_order()
+    own = F.floor(F.col(FRAME) / piece)
+    first, last = F.greatest(F.lit(0), F.floor((F.col(FRAME) - ahead) / piece)), F.floor((F.col(FRAME) + back) / piece)
+    rows = frames.withColumn("__piece", F.explode(F.sequence(first, last))).withColumn("__core", F.col("__piece") == own)
+    return rows, Window.partitionBy(EPISODE, "__piece").orderBy(FRAME)
+
+
 def delta_window(frames: DataFrame, col: str, deltas: list[int], padding: str = "clamp", out: str | None = None) -> DataFrame:
     """Adds ``out`` (values at each delta) and ``out_is_pad``.
 
@@ -117,22 +134,37 @@ def unwrapped(angle: Column, w: WindowSpec | None = None) -> Column:
     return fix
 
 
-def unwrap(frames: DataFrame, col: str, out: str) -> DataFrame:
-    """Adds ``out``, the angles of ``col`` unwrapped along each episode."""
-    with_fix = frames.withColumn("__fix", F.coalesce(unwrapped(F.col(col)), F.lit(0.0)))
-    return with_fix.withColumn(out, F.col(col) + F.sum("__fix").over(in_order())).drop("__fix")
+def with_gradient(frames: DataFrame, value: Column, time: Column, out: str, piece: int | None = PIECE) -> DataFrame:
+    """Adds ``gradient`` of a value, for episodes of any length."""
+    rows, w = in_pieces(frames, 2, 2, piece)
+    return rows.withColumn(out, gradient(value, time, w)).where("__core").drop("__core", "__piece")
+
 
+def unwrap(frames: DataFrame, col: str, out: str, piece: int | None = None) -> DataFrame:
+    """Adds ``out``, the angles of ``col`` unwrapped along each episode. With a ``piece`` the turns of earlier pieces are handed on, a row for each."""
+    rows, w = in_pieces(frames, 1, 0, piece)
+    fixed = rows.withColumn("__fix", F.coalesce(unwrapped(F.col(col), w), F.lit(0.0))).where("__core").drop("__core")
+    inside = F.sum("__fix").over(Window.partitionBy(EPISODE, "__piece").orderBy(FRAME))
+    if piece is None:
+        return fixed.withColumn(out, F.col(col) + inside).drop("__fix", "__piece")
+    sums = fixed.groupBy(EPISODE, "__piece").agg(F.sum("__fix").alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(EPISODE).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sums.select(EPISODE, "__piece", F.coalesce(before, F.lit(0.0)).alias("__before"))
+    return fixed.withColumn("__in", inside).join(bases, [EPISODE, "__piece"]).withColumn(out, F.col(col) + F.col("__before") + F.col("__in")).select(*frames.columns, out)
 
-def path_length(frames: DataFrame, cols: list[str]) -> DataFrame:
+
+def path_length(frames: DataFrame, cols: list[str], piece: int | None = None) -> DataFrame:
     """(episode, path_length): the sum of distances between neighbouring frames."""
-    d2 = sum((F.pow(F.col(c) - F.lag(c).over(in_order()), 2) for c in cols), F.lit(0.0))
-    return frames.select(EPISODE, F.sqrt(d2).alias("d")).groupBy(EPISODE).agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("path_length"))
+    rows, w = in_pieces(frames, 1, 0, piece)
+    d2 = sum((F.pow(F.col(c) - F.lag(c).over(w), 2) for c in cols), F.lit(0.0))
+    return rows.select(EPISODE, "__core", F.sqrt(d2).alias("d")).where("__core").groupBy(EPISODE).agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("path_length"))
 
 
-def trapezoid(frames: DataFrame, value: Column, time: Column) -> DataFrame:
+def trapezoid(frames: DataFrame, value: Column, time: Column, piece: int | None = None) -> DataFrame:
     """(episode, integral) by the trapezoid rule."""
-    piece = (value + F.lag(value).over(in_order())) / 2 * (time - F.lag(time).over(in_order()))
-    return frames.select(EPISODE, piece.alias("p")).groupBy(EPISODE).agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("integral"))
+    rows, w = in_pieces(frames, 1, 0, piece)
+    area = (value + F.lag(value).over(w)) / 2 * (time - F.lag(time).over(w))
+    return rows.select(EPISODE, "__core", area.alias("p")).where("__core").groupBy(EPISODE).agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("integral"))
 
 
 def transitions(frames: DataFrame, state: list[str], done: Column | None = None, force_truncated: bool | None = None) -> DataFrame:
@@ -146,10 +178,10 @@ def transitions(frames: DataFrame, state: list[str], done: Column | None = None,
     return out.withColumn("truncated", F.col("done") if force_truncated is None else F.lit(force_truncated))
 
 
-def velocity(frames: DataFrame, cols: list[str], dt: float) -> DataFrame:
+def velocity(frames: DataFrame, cols: list[str], dt: float, piece: int | None = None) -> DataFrame:
     """Adds vel_<col>, zero on the first frame."""
-    w = in_order()
-    return frames.withColumns({f"vel_{c}": F.coalesce((F.col(c) - F.lag(c).over(w)) / dt, F.lit(0.0)) for c in cols})
+    rows, w = in_pieces(frames, 1, 0, piece)
+    return rows.withColumns({f"vel_{c}": F.coalesce((F.col(c) - F.lag(c).over(w)) / dt, F.lit(0.0)) for c in cols}).where("__core").drop("__core", "__piece")
 
 
 def segments(rows: DataFrame, key: str, order: list[str], ends: Column, out: str = "segment") -> DataFrame:

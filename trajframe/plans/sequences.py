@@ -71,25 +71,35 @@ def e6_rewind(spark, sf_dir):
     return W.rewind(frames(spark, sf_dir), 4, 5)
 
 
-@query("""
+_GRADIENT = """
 , h AS (SELECT episode_index, frame_index, s0 AS y, t, lag(s0) OVER w AS y0, lag(t) OVER w AS t0, lead(s0) OVER w AS y1, lead(t) OVER w AS t1,
                lead(s0, 2) OVER w AS y2, lead(t, 2) OVER w AS t2, lag(s0, 2) OVER w AS z2, lag(t, 2) OVER w AS u2 FROM fr WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index))
 SELECT episode_index, frame_index, ROUND(1000 * CASE
   WHEN t0 IS NULL THEN -(2 * (t1 - t) + (t2 - t1)) / ((t1 - t) * (t2 - t)) * y + (t2 - t) / ((t1 - t) * (t2 - t1)) * y1 - (t1 - t) / ((t2 - t1) * (t2 - t)) * y2
   WHEN t1 IS NULL THEN (2 * (t - t0) + (t0 - u2)) / ((t - t0) * (t - u2)) * y - (t - u2) / ((t - t0) * (t0 - u2)) * y0 + (t - t0) / ((t0 - u2) * (t - u2)) * z2
   ELSE (y1 * (t - t0) * (t - t0) + y * ((t1 - t) * (t1 - t) - (t - t0) * (t - t0)) - y0 * (t1 - t) * (t1 - t)) / ((t - t0) * (t1 - t) * (t1 - t0)) END, 5) AS slope FROM h
-""")
+"""
+
+
+@query(_GRADIENT)
 def e7_gradient(spark, sf_dir):
     return frames(spark, sf_dir).select(*KEYS, F.round(1000 * W.gradient(F.col("s0"), F.col("t")), 5).alias("slope"))
 
 
+@query(_GRADIENT)
+def e7_gradient_in_pieces(spark, sf_dir):
+    """The same with episodes cut into pieces that borrow their neighbours' ends."""
+    return W.with_gradient(frames(spark, sf_dir), F.col("s0"), F.col("t"), "g", 32).select(*KEYS, F.round(F.col("g") * 1000, 5).alias("slope"))
+
+
+
 @query("""
 , a AS (SELECT episode_index, frame_index, s1 / 20 AS x, s1 / 20 - lag(s1 / 20) OVER (PARTITION BY episode_index ORDER BY frame_index) AS d FROM fr)
 SELECT episode_index, frame_index, ROUND(x + coalesce(SUM(-2 * pi() * round(d / (2 * pi()))) OVER (PARTITION BY episode_index ORDER BY frame_index), 0), 4) AS angle FROM a
 """)
 def e8_unwrap(spark, sf_dir):
     rows = frames(spark, sf_dir).withColumn("x", F.col("s1") / 20)
-    return W.unwrap(rows, "x", "angle").select(*KEYS, F.round("angle", 4).alias("angle"))
+    return W.unwrap(rows, "x", "angle", 32).select(*KEYS, F.round("angle", 4).alias("angle"))
 
 
 @query("""
@@ -98,7 +108,7 @@ SELECT episode_index, ROUND(coalesce(SUM(d), 0), 4) AS path_length, ROUND(coales
 """)
 def e9_path_length_and_integral(spark, sf_dir):
     rows = frames(spark, sf_dir)
-    both = W.path_length(rows, ["s0", "s1"]).join(W.trapezoid(rows, F.col("s0"), F.col("t") / 3600), "episode_index")
+    both = W.path_length(rows, ["s0", "s1"], 32).join(W.trapezoid(rows, F.col("s0"), F.col("t") / 3600, 32), "episode_index")
     return both.select("episode_index", F.round("path_length", 4).alias("path_length"), F.round("integral", 2).alias("integral"))
 
 
@@ -126,7 +136,7 @@ def e13_transitions(spark, sf_dir):
 
 @query("SELECT episode_index, frame_index, ROUND(coalesce((s0 - lag(s0) OVER (PARTITION BY episode_index ORDER BY frame_index)) / 0.1::DOUBLE, 0), 3) AS vel_s0 FROM fr")
 def e14_velocity(spark, sf_dir):
-    return W.velocity(frames(spark, sf_dir), ["s0"], 0.1).select(*KEYS, F.round("vel_s0", 3).alias("vel_s0"))
+    return W.velocity(frames(spark, sf_dir), ["s0"], 0.1, 32).select(*KEYS, F.round("vel_s0", 3).alias("vel_s0"))
 
 
 @query("SELECT episode_index, frame_index, CAST(coalesce(SUM(CASE WHEN task = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY episode_index ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS segment FROM fr")
