@@ -6,11 +6,13 @@ other links, and needs pairs only of sets that fingerprints haven't linked.
 
 A document is the set of its SHINGLE-word shingles. Its shingles are put in one order that holds for all documents: those that
 a sample of the documents has seldom first (else by hash), often ones last. Two sets of similarity t or more share
-one of the first n - ceil(t n) + 1 shingles of each, whatever the order is; so those are the keys under which sets meet, and the
-sample decides about cost only. Pairs that meet are verified on the whole sets.
+one of the first n - ceil(t n) + 1 shingles of each, whatever the order is, and the first they share is among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller
+one; so those are the keys under which sets meet, and the sample decides about cost only. What two sets share behind these prefixes is at most what is left of the larger
+rest, so a pair that shares too few keys needs no look at the sets: a passage that unlike documents have in common goes no further. Pairs that are left are verified on
+the whole sets, which only those documents' texts are read for.
 
-Only links between documents that aren't linked yet matter. Where many sets meet under a key, all are compared with one of
-them first; pairs are made only between sets that no link has joined by then.
+Only links between documents that aren't linked yet matter. Where many sets meet under a key, all are compared with one of them first, then with
+two more, four more and so on; sets that a link has joined by then are left out.
 
 Defined results: texts without a word have the same set, and so have exact copies; a text shorter than a shingle has one shingle.
 Sets are named by a 64-bit digest.
@@ -23,7 +25,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajframe.llm.common import stored
@@ -34,8 +36,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SEED = 42
 SMALL_BUCKET = 8
-#: Rounds in which the sets of a crowded key are compared with one of them.
-ROUNDS = 3
 #: One document in SAMPLE is counted for the order; the OFTEN most frequent of the shingles that SEEN or more of those have come last.
 SAMPLE, SEEN, OFTEN = 4, 2, 500_000
 _MIX = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -83,11 +83,20 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
 
 
 def often_seen(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> np.ndarray:
-    """Hashes of shingles that many documents of the sample have, the rarest first."""
+    """Hashes of shingles that many documents of the sample have, the rarest first: at most OFTEN, from a count upwards that a histogram of the counts gives."""
     sample = docs.where(F.pmod(F.xxhash64(id_col), F.lit(SAMPLE)) == 0)
     seen = shingle_sets(sample, id_col, text_col, shingle).select(F.explode("hashes").alias("h")).groupBy("h").count()
-    top = seen.where(F.col("count") >= SEEN).orderBy(F.col("count").desc(), "h").limit(OFTEN).select("h").toArrow()
-    return np.ascontiguousarray(top.column("h").to_numpy()[::-1]).view(np.uint64)
+    seen = stored(seen.where(F.col("count") >= SEEN).withColumn("bits", F.floor(F.log2("count") * 8).cast("int")))
+    total, least = 0, None
+    for r in sorted(seen.groupBy("bits").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["bits"]):
+        if (total := total + r["n"]) > OFTEN:
+            break
+        least = r["bits"]
+    if least is None:
+        return np.zeros(0, np.uint64)
+    top = seen.where(F.col("bits") >= least).select("h", "count").toArrow()
+    h, n = (np.ascontiguousarray(top.column(c).to_numpy()) for c in ("h", "count"))
+    return h[np.lexsort((h, n))].view(np.uint64)
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: Fraction) -> DataFrame:
@@ -129,54 +138,78 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = Fraction(str(similarity))
     a, b = F.lit(least.numerator), F.lit(least.denominator)
     prints = stored(prefixes(docs, id_col, text_col, shingle, least))
-    own = stored(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    classes = own.drop("keys")
+    classes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("copies")))
+    copied = stored(classes.where("copies > 1").select(F.col("node").alias("__node"), F.col("first").alias("__first")))
+    classes = classes.drop("copies")
     proposed = stored(fingerprint_pairs(classes))
-    # Dealt by key once: the count and the join read the same shuffle.
-    rows = own.select("node", "n", F.explode("keys").alias("key")).repartition("key")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("low"), F.max("n").alias("high")).where("size > 1")
-    met = stored(rows.join(sizes, "key").where((F.col("n") * b >= F.col("low") * a) | (F.col("high") * b >= F.col("n") * a)).select("key", "node", "n", "size"))
-    wanted = met.select("node").unionByName(proposed.select(F.explode(F.array("x", "y")).alias("node"))).distinct().join(classes, "node").select("node", F.col("first").alias("__first"))
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(wanted, F.col("__id") == F.col("__first"))
-    sets = shingle_sets(texts.select(F.struct("__id", "node").alias("__key"), "__text"), "__key", "__text", shingle).where("digest = doc_id.node").select("doc_id.node", "hashes")
-    sets = stored(sets.dropDuplicates(["node"]))  # an id may be repeated, with the same text or with others
+    # Exact copies are one set: only the first one's keys are dealt out.
+    one = prints.join(copied, (F.col("node") == F.col("__node")) & (F.col("doc_id") != F.col("__first")), "left_anti")
+    inner = F.col("n") - F.ceil(2 * a * F.col("n") / (a + b)) + 1
+    rows = one.select("node", inner.alias("inner"), F.posexplode("keys").alias("pos", "key")).select("key", "node", (F.col("pos") < F.col("inner")).alias("own"))
+    wide = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"))
+    met = stored(rows.join(wide, "key").groupBy("key", "node").agg(F.max("own").alias("own")))
+    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = stored(met.join(sizes, "key").join(classes.select("node", "n"), "node"))
 
     def fits(x: str, y: str):
         return (F.col(x) * b >= F.col(y) * a) & (F.col(y) * b >= F.col(x) * a)
 
+    def enough(shared, x: str, y: str):
+        """Whether sets that share so many keys can be similar: the larger rest behind the prefixes may be common."""
+        rest = lambda n: F.ceil(F.col(n) * a / b) - 1
+        return (shared + F.greatest(rest(x), rest(y))) * (a + b) >= (F.col(x) + F.col(y)) * a
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links (a, b) among pairs (x, y). The pairs are written first: where they are few, Spark takes them to the sets, not the sets to them."""
+        """Links (a, b) among pairs (x, y). Pairs and the sets they name are written first: where they are few, Spark takes them to the texts, not the texts to them."""
         pairs = stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        wanted = stored(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(classes, "node").select("node", F.col("first").alias("__first")))
+        texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(wanted, F.col("__id") == F.col("__first"))
+        sets = shingle_sets(texts.select(F.struct("__id", "node").alias("__key"), "__text"), "__key", "__text", shingle).where("digest = doc_id.node").select("doc_id.node", "hashes")
+        sets = stored(sets.dropDuplicates(["node"]))  # an id may be repeated, with the same text or with others
         sides = pairs.select("x", "y", F.explode(F.array("x", "y")).alias("node")).join(sets, "node")
         of = lambda side: F.first(F.when(F.col("node") == F.col(side), F.col("hashes")), ignorenulls=True)
         named = sides.groupBy("x", "y").agg(of("x").alias("xs"), of("y").alias("ys"))
         both = F.size(F.array_intersect("xs", "ys"))
         return stored(named.where(both * b >= (F.size("xs") + F.size("ys") - both) * a).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
-    def pairs_of(rows: DataFrame) -> DataFrame:
-        x, y = rows.alias("x"), rows.alias("y")
-        return x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits("x.n", "y.n")).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
+    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots, "node", "left").select(*rows.columns, F.coalesce("component", "node").alias("root"))
+
+    def inside(x: str, y: str):
+        """Whether the key is among the smaller set's first ones."""
+        return (F.col(f"{x}.own") & (F.col(f"{x}.n") <= F.col(f"{y}.n"))) | (F.col(f"{y}.own") & (F.col(f"{y}.n") <= F.col(f"{x}.n")))
 
     links = verified(proposed)
     roots = connected_components(links)
-    few = met.where(F.col("size") <= SMALL_BUCKET).join(roots, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("root"))
-    links = links.unionByName(verified(pairs_of(few)))
-    crowd = met.where(F.col("size") > SMALL_BUCKET).select("key", "node", "n")
-    roots = connected_components(links)
-    for turn in range(ROUNDS + 1):
-        named = crowd.join(roots, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("root"))
-        pivot = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("n").alias("m"), F.col("root"))).alias("p"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-        pivot = pivot.where("r0 <> r1").select("key", F.col("p.node").alias("y"), F.col("p.m").alias("m"), F.col("p.root").alias("s"))
-        crowd = stored(named.join(pivot, "key"))
-        if crowd.isEmpty():
+    few = rooted(met.where(F.col("size") <= SMALL_BUCKET).select("key", "node", "n", "own"), roots)
+    crowd = met.where(F.col("size") > SMALL_BUCKET).select("key", "node", "n", "own")
+    crowded = crowd.groupBy("node").agg(F.count(F.lit(1)).alias("keys"))
+    x, y = few.alias("x"), few.alias("y")
+    pairs = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits("x.n", "y.n"))
+    pairs = pairs.groupBy(F.col("x.node").alias("x"), F.col("y.node").alias("y")).agg(F.count(F.lit(1)).alias("shared"), F.max(inside("x", "y")).alias("inside"), F.max("x.n").alias("nx"), F.max("y.n").alias("ny")).where("inside")
+    for side in ("x", "y"):
+        pairs = pairs.join(crowded.select(F.col("node").alias(side), F.col("keys").alias(f"c{side}")), side, "left")
+    more = F.least(F.coalesce("cx", F.lit(0)), F.coalesce("cy", F.lit(0)))
+    links = links.unionByName(verified(pairs.where(enough(F.col("shared") + more, "nx", "ny"))))
+
+    # Crowded keys: in turn k, 2^k of a key's sets are compared with all behind them.
+    by_hash = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
+    crowd = stored(crowd.withColumn("rank", F.row_number().over(by_hash)))
+    keys = met.select("key", "node")
+    start, roots = 1, connected_components(links)
+    while True:
+        named = rooted(crowd.where(F.col("rank") >= start), roots)
+        open_ = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+        named = stored(named.join(open_, "key"))
+        if named.isEmpty():
             break
-        if turn < ROUNDS:
-            more = verified(crowd.where((F.col("root") != F.col("s")) & fits("n", "m")).select(F.col("node").alias("x"), "y"))
-        else:
-            more = verified(pairs_of(crowd))
-        links = links.unionByName(more)
-        roots = connected_components(links)
-        crowd = crowd.select("key", "node", "n")
-    return classes.join(roots, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))
-
-
+        x, y = named.alias("x"), named.where(F.col("rank") < 2 * start).alias("y")
+        met_here = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.rank") > F.col("y.rank")) & (F.col("x.root") != F.col("y.root")) & fits("x.n", "y.n") & inside("x", "y"))
+        tried = stored(met_here.select(F.col("x.node").alias("x"), F.col("y.node").alias("y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")).distinct())
+        shared = tried.join(keys.withColumnRenamed("node", "x"), "x").join(keys.withColumnRenamed("node", "y"), ["y", "key"]).groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("shared"))
+        likely = stored(shared.where(enough(F.col("shared"), "nx", "ny")))
+        if not likely.isEmpty():
+            links = links.unionByName(verified(likely))
+            roots = connected_components(links)
+        start *= 2
+    return rooted(classes.select("node", "first"), roots)
