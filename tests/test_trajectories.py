@@ -293,3 +293,13 @@ def test_derived_tables_follow_the_files(spark, tmp_path):
     few = views.frames(spark, str(tmp_path)).count()
     source.where("user_id < 6").write.mode("overwrite").parquet(path)
     assert views.frames(spark, str(tmp_path)).count() == source.where("user_id < 6").count() > few
+
+
+def test_kinematics_counts_steps_past_a_whole_turn_back(spark):
+    """One step of 6.5 among small ones: by the angle it is 2 pi - 6.5, by the quaternions alone 6.5 - 2 pi."""
+    yaws = [0.0, 0.5, 7.0, 7.5]
+    rows = spark.createDataFrame([(0, i, float(i), 0.0, a) for i, a in enumerate(yaws)], "episode_index long, frame_index long, t double, p double, yaw double")
+    turned = rows.withColumn("q", vectors.euler_to_quaternion(F.lit(0.0), F.lit(0.0), F.col("yaw")))
+    mean = lambda *angle: evaluate.kinematics(turned, ["p"], "t", "q", *angle).first()["mean_turn"]
+    assert mean("yaw") == pytest.approx((1.0 + 2 * math.pi - 6.5) / 3)
+    assert mean() == pytest.approx((1.0 + 6.5 - 2 * math.pi) / 3)

@@ -40,7 +40,7 @@ SELECT episode_index, ROUND(MAX(t) - MIN(t), 2) AS duration, ROUND(SUM(d), 3) AS
 def d14_kinematics(spark, sf_dir):
     """Positions from two columns, a turn about one axis from the first."""
     q = euler_to_quaternion(F.lit(0.0), F.lit(0.0), F.col("s0") / 100)
-    rows = V.kinematics(frames(spark, sf_dir).withColumn("q", q), ["s0", "s1"], "t", "q")
+    rows = V.kinematics(frames(spark, sf_dir).withColumn("q", q).withColumn("yaw", F.col("s0") / 100), ["s0", "s1"], "t", "q", "yaw")
     turns = (F.round(F.col(c) * 1000, 5).alias(c) for c in ("peak_turn", "mean_turn"))
     return rows.select("episode_index", F.round("duration", 2).alias("duration"), F.round("path_length", 3).alias("path_length"), *turns)
 
