@@ -303,3 +303,12 @@ def test_kinematics_counts_steps_past_a_whole_turn_back(spark):
     mean = lambda *angle: evaluate.kinematics(turned, ["p"], "t", "q", *angle).first()["mean_turn"]
     assert mean("yaw") == pytest.approx((1.0 + 2 * math.pi - 6.5) / 3)
     assert mean() == pytest.approx((1.0 + 6.5 - 2 * math.pi) / 3)
+
+
+def test_stage_of_episodes_without_stages(spark, frames):
+    """They stay with null where asked to; their targets are null, and slots that are not filled 0."""
+    iv = spark.createDataFrame([(0, 0, 0, 1)], "episode_index long, pos int, start int, end int")
+    staged = progress.stage_and_tau(frames, iv, how="left")
+    assert rows_of(staged.groupBy("episode_index").agg(F.count("stage"), F.count(F.lit(1))), "episode_index") == [(0, 2, 2), (1, 0, 1), (2, 0, 3)]
+    got = progress.progress_targets(staged.where("episode_index = 2"), "stage", 2, 1, 1, F.lit(0)).first()
+    assert (list(got["targets"]), got["rewound"]) == ([None, None, None, 0.0], 0)

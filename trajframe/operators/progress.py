@@ -13,14 +13,14 @@ def tau(t: Column, start: Column, end: Column) -> Column:
     return F.when(end <= start, 1.0).otherwise(F.least(F.greatest((t - start) / F.nullif(end - start, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
 
 
-def stage_and_tau(frames: DataFrame, intervals: DataFrame, at: str = FRAME, key: str = EPISODE) -> DataFrame:
+def stage_and_tau(frames: DataFrame, intervals: DataFrame, at: str = FRAME, key: str = EPISODE, how: str = "inner") -> DataFrame:
     """Frames with ``stage`` (stage number + tau). ``intervals`` (key, pos, start, end) are an episode's stages in order.
 
     Inside a stage, ends included, the first that fits; before the first 0; after the last the last + .999; in a gap the stage before with
-    tau 1. A single stage runs over the whole episode.
+    tau 1. A single stage runs over the whole episode. Episodes without stages drop out; with ``how`` "left" they stay, their stage null.
     """
     held = intervals.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "start", "end"))).alias("__s"))
-    rows = frames.join(held, key)
+    rows = frames.join(held, key, how)
     t, n = F.col(at).cast("double"), F.size("__s")
     hit = F.get(F.filter(F.transform("__s", lambda s, i: F.struct(i.alias("i"), s["start"].alias("a"), s["end"].alias("b"))), lambda s: (s["a"] <= t) & (t <= s["b"])), F.lit(0))
     before = F.size(F.filter("__s", lambda s: s["end"] < t))
@@ -28,7 +28,7 @@ def stage_and_tau(frames: DataFrame, intervals: DataFrame, at: str = FRAME, key:
     rows = rows.withColumn("__hit", hit)
     inside = F.col("__hit.i") + F.least(tau(t, F.col("__hit.a").cast("double"), F.col("__hit.b").cast("double")), F.when(F.col("__hit.i") == n - 1, 0.999).otherwise(1.0))
     stage = F.when(F.col("__hit").isNotNull(), inside).when(t < F.get("__s", F.lit(0))["start"], 0.0).when(t > last, n - 1 + 0.999).otherwise(F.greatest(before - 1, F.lit(0)) + 1.0)
-    return rows.withColumn("stage", stage).select(*frames.columns, "stage")
+    return rows.withColumn("stage", F.when(F.col("__s").isNotNull(), stage)).select(*frames.columns, "stage")
 
 
 def proportions(intervals: DataFrame, key: str = EPISODE) -> DataFrame:

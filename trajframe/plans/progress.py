@@ -107,9 +107,8 @@ SELECT f.episode_index, f.frame_index, u.used AS rewound, """ + ", ".join(
 ) + """ FROM fr f JOIN (SELECT episode_index, frame_index, CAST(CASE WHEN frame_index > 4 THEN least(frame_index % 4, 3, (frame_index - 4) // 2) ELSE 0 END AS INTEGER) AS used FROM fr) u
   ON u.episode_index = f.episode_index AND u.frame_index = f.frame_index""")
 def e28_rewound_targets(spark, sf_dir):
-    """Targets of five observed frames, two apart, and of up to three rewound ones."""
-    rows = frames(spark, sf_dir)
-    staged = P.stage_and_tau(rows.select(*KEYS), _intervals(spark, sf_dir)).join(rows.select(*KEYS, "length"), list(KEYS))
+    """Targets of five observed frames, two apart, and of up to three rewound ones; null in episodes without stages."""
+    staged = P.stage_and_tau(frames(spark, sf_dir).select(*KEYS), _intervals(spark, sf_dir), how="left")
     found = P.progress_targets(staged, "stage", 4, 3, 2, F.col("frame_index") % 4)
     return found.select(*KEYS, "rewound", *(F.round(F.get("targets", F.lit(i)), 4).alias(f"t{i}") for i in range(8)))
 
