@@ -312,3 +312,11 @@ def test_stage_of_episodes_without_stages(spark, frames):
     assert rows_of(staged.groupBy("episode_index").agg(F.count("stage"), F.count(F.lit(1))), "episode_index") == [(0, 2, 2), (1, 0, 1), (2, 0, 3)]
     got = progress.progress_targets(staged.where("episode_index = 2"), "stage", 2, 1, 1, F.lit(0)).first()
     assert (list(got["targets"]), got["rewound"]) == ([None, None, None, 0.0], 0)
+
+
+def test_nearest_turn(spark):
+    """Angles of more than a whole turn come back from the pose with their turns."""
+    df = spark.createDataFrame([(a,) for a in (0.0, 3.0, 6.2957, 7.7266, 14.0, -7.0)], "a double")
+    pose = vectors.pose_state(F.array(F.lit(0.0)), vectors.euler_to_quaternion(F.lit(0.0), F.lit(0.0), F.col("a")), F.lit(1.0))
+    for r in df.select("a", vectors.nearest_turn(F.get(pose, F.lit(3)), F.col("a")).alias("b")).collect():
+        assert r["b"] == pytest.approx(r["a"], abs=1e-9)

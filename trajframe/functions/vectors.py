@@ -184,6 +184,11 @@ def columns_to_quaternion(m: Column) -> Column:
     )
 
 
+def nearest_turn(angle: Column, near: Column) -> Column:
+    """The angle of a quaternion about a fixed axis by as many double turns as bring it nearest to ``near``: a quaternion holds its angle but for those."""
+    return angle + F.round((near - angle) / (4 * math.pi)) * (4 * math.pi)
+
+
 def pose_state(position: Column, quaternion: Column, gripper: Column) -> Column:
     return F.concat(position, quaternion_to_axis_angle(quaternion), F.array(gripper))
 
