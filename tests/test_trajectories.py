@@ -327,3 +327,11 @@ def test_forward_kinematics_half_turn(spark):
     pose = kinematics.forward_kinematics([{"a": 0.0, "alpha": 90.0, "d": 0.1, "theta_offset": 0.0}, {"a": 0.3, "alpha": 0.0, "d": 0.0, "theta_offset": 0.0}])
     df = spark.createDataFrame([([0.0, 98.0],), ([0.0, 260.0],), ([360.0, 98.0],)], "v array<double>")
     assert [r["p"][3] for r in df.select(pose("v").alias("p")).collect()] == pytest.approx([-math.pi, -math.pi, math.pi])
+
+
+def test_rotations_do_not_multiply_in_the_plan(spark):
+    """A rotation there and back through its vector form: each value stands a few times in the plan, not thousands."""
+    df = spark.range(1).select(F.array(*(F.lit(x) for x in (0.1, 0.2, 0.3, 0.9))).alias("q"), F.array(*(F.lit(x) for x in (1.0, 2.0, 3.0))).alias("v"))
+    p = vectors.rotvec_to_quaternion(vectors.quaternion_to_rotvec(F.col("q")))
+    back = df.select(vectors.rotate(vectors.quaternion_inverse(p), vectors.rotate(F.col("q"), F.col("v"))).alias("w"))
+    assert back._jdf.queryExecution().analyzed().toString().count("lambdafunction") < 100

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,13 +96,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value found once. A column that is used twice stands, and is found, twice in the plan, and four times when what uses it is used twice."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return let(a, lambda a: F.sqrt(dot(a, a)))
 
 
 def cross(a: Column, b: Column) -> Column:
     g = lambda v, i: F.get(v, F.lit(i))
-    return F.array(g(a, 1) * g(b, 2) - g(a, 2) * g(b, 1), g(a, 2) * g(b, 0) - g(a, 0) * g(b, 2), g(a, 0) * g(b, 1) - g(a, 1) * g(b, 0))
+    of = lambda a, b: F.array(g(a, 1) * g(b, 2) - g(a, 2) * g(b, 1), g(a, 2) * g(b, 0) - g(a, 0) * g(b, 2), g(a, 0) * g(b, 1) - g(a, 1) * g(b, 0))
+    return let(a, lambda a: let(b, lambda b: of(a, b)))
 
 
 def euler_to_quaternion(roll: Column, pitch: Column, yaw: Column) -> Column:
@@ -127,48 +134,49 @@ def quaternion_inverse(q: Column) -> Column:
 
 def rotvec_to_quaternion(v: Column) -> Column:
     """Small angles by the series of sin(a / 2) / a."""
-    a = norm(v)
-    k = F.when(a < 1e-6, 0.5 - a * a / 48).otherwise(F.sin(a / 2) / F.nullif(a, F.lit(0.0)))
-    return F.concat(F.transform(v, lambda x: x * k), F.array(F.cos(a / 2)))
+    scale = lambda a: F.when(a < 1e-6, 0.5 - a * a / 48).otherwise(F.sin(a / 2) / F.nullif(a, F.lit(0.0)))
+    of = lambda v, a: let(scale(a), lambda k: F.concat(F.transform(v, lambda x: x * k), F.array(F.cos(a / 2))))
+    return let(v, lambda v: let(norm(v), lambda a: of(v, a)))
 
 
 def quaternion_to_rotvec(q: Column) -> Column:
-    w = F.get(q, F.lit(3))
-    v = F.transform(F.slice(q, 1, 3), lambda x: F.when(w < 0, -x).otherwise(x))
-    s = norm(v)
-    angle = 2 * F.atan2(s, F.abs(w))
-    k = F.when(s < 1e-7, 2.0 + s * s / 3).otherwise(angle / F.nullif(s, F.lit(0.0)))
-    return F.transform(v, lambda x: x * k)
+    scale = lambda s, w: F.when(s < 1e-7, 2.0 + s * s / 3).otherwise(2 * F.atan2(s, F.abs(w)) / F.nullif(s, F.lit(0.0)))
+    scaled = lambda v, w: let(let(norm(v), lambda s: scale(s, w)), lambda k: F.transform(v, lambda x: x * k))
+    of = lambda q, w: let(F.transform(F.slice(q, 1, 3), lambda x: F.when(w < 0, -x).otherwise(x)), lambda v: scaled(v, w))
+    return let(q, lambda q: let(F.get(q, F.lit(3)), lambda w: of(q, w)))
 
 
 def quaternion_to_axis_angle(q: Column) -> Column:
     """Axis times angle; no rotation where the axis can't be told (1 - w^2 near 0)."""
-    w = F.least(F.greatest(F.get(q, F.lit(3)), F.lit(-1.0)), F.lit(1.0))
-    den = F.sqrt(F.greatest(1 - w * w, F.lit(0.0)))
-    return F.transform(F.slice(q, 1, 3), lambda x: F.when(den <= 1e-10, 0.0).otherwise(x * 2 * F.acos(w) / F.nullif(den, F.lit(0.0))))
+    bounded = lambda q: F.least(F.greatest(F.get(q, F.lit(3)), F.lit(-1.0)), F.lit(1.0))
+    den = lambda w: F.sqrt(F.greatest(1 - w * w, F.lit(0.0)))
+    scaled = lambda x, w, d: F.when(d <= 1e-10, 0.0).otherwise(x * 2 * F.acos(w) / F.nullif(d, F.lit(0.0)))
+    of = lambda q, w: let(den(w), lambda d: F.transform(F.slice(q, 1, 3), lambda x: scaled(x, w, d)))
+    return let(q, lambda q: let(bounded(q), lambda w: of(q, w)))
 
 
 def rotate(q: Column, v: Column) -> Column:
     """A vector turned by a quaternion."""
-    u, w = F.slice(q, 1, 3), F.get(q, F.lit(3))
-    t = F.transform(cross(u, v), lambda x: 2 * x)
-    return F.zip_with(F.zip_with(v, F.transform(t, lambda x: x * w), lambda a, b: a + b), cross(u, t), lambda a, b: a + b)
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    twice = lambda u, v: F.transform(cross(u, v), lambda x: 2 * x)
+    of = lambda u, w, v: let(twice(u, v), lambda t: plus(plus(v, F.transform(t, lambda x: x * w)), cross(u, t)))
+    return let(q, lambda q: let(v, lambda v: let(F.slice(q, 1, 3), lambda u: let(F.get(q, F.lit(3)), lambda w: of(u, w, v)))))
 
 
 def six_to_columns(v: Column, eps: float = 1e-6) -> Column:
     """The three columns of the rotation whose first two are spanned by a 6-vector (Gram-Schmidt)."""
-    a, b = F.slice(v, 1, 3), F.slice(v, 4, 3)
-    na = F.greatest(norm(a), F.lit(eps))
-    x = F.transform(a, lambda k: k / na)
-    d = dot(x, b)
-    y = F.zip_with(b, x, lambda p, q: p - d * q)
-    ny = F.greatest(norm(y), F.lit(eps))
-    y = F.transform(y, lambda k: k / ny)
-    return F.array(x, y, cross(x, y))
+    unit = lambda a: let(a, lambda a: let(F.greatest(norm(a), F.lit(eps)), lambda n: F.transform(a, lambda k: k / n)))
+    second = lambda x, b: let(dot(x, b), lambda d: unit(F.zip_with(b, x, lambda p, q: p - d * q)))
+    of = lambda x, b: let(second(x, b), lambda y: F.array(x, y, cross(x, y)))
+    return let(v, lambda v: let(unit(F.slice(v, 1, 3)), lambda x: of(x, F.slice(v, 4, 3))))
 
 
 def columns_to_quaternion(m: Column) -> Column:
     """(x, y, z, w) of a rotation given by its three columns. The largest of the four is found from the diagonal, the others from it."""
+    return let(m, _columns_to_quaternion)
+
+
+def _columns_to_quaternion(m: Column) -> Column:
     c = lambda col, row: F.get(F.get(m, F.lit(col)), F.lit(row))
     d0, d1, d2 = c(0, 0), c(1, 1), c(2, 2)
     root = lambda v: F.sqrt(F.greatest(v, F.lit(0.0))) / 2
