@@ -99,3 +99,13 @@ def test_sketches_merge(spark):
     assert max(off.values()) < 0.03
     averaged = stats.merge_stats(stats.per_episode_stats(frames, ["v"])).first()
     assert abs(np.searchsorted(values, averaged["q50"]) / len(values) - 0.5) > 0.05
+
+
+def test_merged_parts_equal_merged_histograms(spark):
+    """Many parts with few values each: the same histogram as that of the parts' full ones, and those have all bins."""
+    rows = spark.range(400).select((F.col("id") % 40).alias("part"), F.lit("a").alias("feature"), (F.col("id") * 7919 % 1009 / 3).alias("v"))
+    parts = histogram.batch_histograms(rows, ["part", "feature"], "v", 50)
+    assert all(len(r["counts"]) == 50 and sum(r["counts"]) == r["n"] == 10 for r in parts.collect())
+    merged = histogram.merged_parts(rows, ["part"], ["feature"], "v", 50)
+    assert merged.collect() == histogram.merge_histograms(parts, ["feature"], 50).collect()
+    assert "map_from_entries" not in parts._jdf.queryExecution().analyzed().toString()

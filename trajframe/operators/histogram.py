@@ -45,24 +45,45 @@ def moved_bin(centre: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 
 def _dense(counted: DataFrame, keys: list[str], bins: int) -> DataFrame:
-    """Histograms from (keys, lo, hi, bin, c): at most ``bins`` rows for each."""
-    found = counted.groupBy(*keys, "lo", "hi").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("__m"))
-    full = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.element_at("__m", i), F.lit(0).cast("long")))
-    return found.select(*keys, "lo", "hi", "n", full.alias("counts"))
+    """Histograms from (keys, lo, hi, bin, c): at most ``bins`` rows for each. In one pass over the present bins, each behind the zeros that part it from the last one."""
+    found = counted.groupBy(*keys, "lo", "hi").agg(F.sum("c").alias("n"), F.sort_array(F.collect_list(F.struct("bin", "c"))).alias("__s"))
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n)
+    last = lambda i: F.coalesce(F.get("__s", i - 1)["bin"], F.lit(-1))
+    full = F.flatten(F.transform("__s", lambda x, i: F.concat(zeros(x["bin"] - last(i) - 1), F.array(x["c"]))))
+    return found.select(*keys, "lo", "hi", "n", F.concat(full, zeros(F.lit(bins - 1) - last(F.size("__s")))).alias("counts"))
 
 
 def batch_histograms(rows: DataFrame, keys: list[str], value: str, bins: int = BINS) -> DataFrame:
     """A histogram for each key over its own range; nulls and NaN aren't counted."""
+    return _dense(_counted(rows, keys, value, bins), keys, bins)
+
+
+def _counted(rows: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
+    """(keys, lo, hi, bin, c) of the bins that have values."""
     v = rows.select(*keys, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("__v")).where("__v IS NOT NULL")
     ranges = v.groupBy(*keys).agg((F.min("__v") - PAD).alias("lo"), (F.max("__v") + PAD).alias("hi"))
     binned = v.join(ranges, keys).select(*keys, "lo", "hi", bin_of(F.col("__v"), F.col("lo"), F.col("hi"), bins).alias("bin"))
-    return _dense(binned.groupBy(*keys, "lo", "hi", "bin").agg(F.count(F.lit(1)).alias("c")), keys, bins)
+    return binned.groupBy(*keys, "lo", "hi", "bin").agg(F.count(F.lit(1)).alias("c"))
 
 
 def merge_histograms(parts: DataFrame, keys: list[str], bins: int = BINS) -> DataFrame:
     """One histogram for each key over the range of all its parts. Parts may have other numbers of bins; they are summed by bin before a histogram is put together."""
     ranges = parts.groupBy(*keys).agg(F.min("lo").alias("__lo"), F.max("hi").alias("__hi"))
     own = parts.select(*keys, "lo", "hi", F.size("counts").alias("__bins"), F.posexplode("counts").alias("__i", "c")).where("c > 0").join(ranges, keys)
+    return _merged(own, keys, bins)
+
+
+def merged_parts(rows: DataFrame, part: list[str], keys: list[str], value: str, bins: int = BINS) -> DataFrame:
+    """The same as the histograms of all (part, keys) merged to one for each key, but only bins that have values are ever held: many small parts have far fewer values than bins."""
+    counted = _counted(rows, [*part, *keys], value, bins)
+    v = rows.select(*keys, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("__v")).where("__v IS NOT NULL")
+    ranges = v.groupBy(*keys).agg((F.min("__v") - PAD).alias("__lo"), (F.max("__v") + PAD).alias("__hi"))
+    own = counted.select(*keys, "lo", "hi", F.lit(bins).alias("__bins"), F.col("bin").alias("__i"), "c").join(ranges, keys)
+    return _merged(own, keys, bins)
+
+
+def _merged(own: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """Histograms over [__lo, __hi] from counts (keys, lo, hi, __bins, __i, c, __lo, __hi), each at the centre of its own bin."""
     left, right = (F.col("lo") + (F.col("__i") + k) * ((F.col("hi") - F.col("lo")) / F.col("__bins")) for k in (0, 1))
     at = moved_bin((left + right) / 2, F.col("__lo"), F.col("__hi"), bins)
     moved = own.select(*keys, F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), at.alias("bin"), "c")

@@ -108,7 +108,7 @@ def d3_merged_histograms(spark, sf_dir):
     """Quantiles from episodes' histograms merged, held against exact ranks: with 5,000 bins they are off by the values of a bin or two."""
     rows, qs = frames(spark, sf_dir), (0.01, 0.5, 0.99)
     long = rows.select("episode_index", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in ("s0", "s1")))))
-    merged = H.merge_histograms(H.batch_histograms(long, ["episode_index", "feature"], "v"), ["feature"])
+    merged = H.merged_parts(long, ["episode_index"], ["feature"], "v")
     return _near(rows, H.quantiles_of(merged, ["feature"], qs), 0.02)
 
 
