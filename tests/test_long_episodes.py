@@ -99,3 +99,14 @@ def test_pieces(spark, piece):
     for f in (lambda p: windows.path_length(frames, ["x", "y"], p), lambda p: windows.trapezoid(frames, F.col("x"), F.col("t"), p)):
         a, b = ([r[1] for r in f(p).orderBy("episode_index").collect()] for p in (None, piece))
         assert np.allclose(a, b) and len(a) == 4
+
+
+@pytest.mark.parametrize("long_keys", [False, True])
+def test_ways_of_one_deal_equal_those_of_their_own(spark, long_keys):
+    left = spark.createDataFrame([(k, float(t), 100 * k + t) for k in (0, 1) for t in range(0, 40, 3)], "k long, t double, id long")
+    right = spark.createDataFrame([(0, float(t), float(t * t)) for t in range(5, 30, 7)], "k long, t double, v double")
+    ways = {"held": ("backward", True), "near": ("nearest", False), "coming": ("forward", True), "bare": ("backward", False)}
+    got = align.asof_each(left, right, "k", "t", "v", ways, long_keys=long_keys)
+    for name, (how, clip) in ways.items():
+        own = align.asof(left, right, "k", "t", ["v"], how, clip=clip)
+        assert sorted(got.select("id", name).collect()) == sorted(own.select("id", "v").collect(), key=lambda r: r["id"]), name

@@ -44,6 +44,25 @@ def _beside(rows: DataFrame, long_keys: bool, ends: bool = False) -> DataFrame:
     return rows.withColumns(found)
 
 
+def _chosen(how: str, clip: bool) -> Column:
+    """The sample that a direction takes of those beside a row."""
+    if how not in ("backward", "forward", "nearest"):
+        raise ValueError(f"unknown direction {how!r}")
+    if how == "nearest":
+        closer = F.col("__a.t") - F.col("__t") < F.col("__t") - F.col("__b.t")
+        return F.when(F.col("__b").isNull() | closer, F.coalesce("__a", "__b")).otherwise(F.col("__b"))
+    near, end = ("__b", "__first") if how == "backward" else ("__a", "__last")
+    return F.coalesce(near, end) if clip else F.col(near)
+
+
+def asof_each(left: DataFrame, right: DataFrame, key: str, time: str, value: str, ways: dict[str, tuple[str, bool]], long_keys: bool = False) -> DataFrame:
+    """Left rows with a column for each of ``ways`` (name: direction, clip): the value that ``asof`` gives in that way. Both sides are dealt once for all of them."""
+    chosen = {n: _chosen(how, clip) for n, (how, clip) in ways.items()}
+    ends = any(clip and how != "nearest" for how, clip in ways.values())
+    rows = _beside(_both(left, right, key, time, [value]), long_keys, ends).withColumns({f"__m_{n}": c for n, c in chosen.items()})
+    return rows.where("__side = 1").select("__left.*", *(F.col(f"__m_{n}.{value}").alias(n) for n in ways))
+
+
 def asof(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], how: str = "backward", tolerance: float | None = None, clip: bool = False, long_keys: bool = False) -> DataFrame:
     """Left rows with the right values at the sample chosen by ``how``, and its time as ``match_t``.
 
@@ -51,16 +70,7 @@ def asof(left: DataFrame, right: DataFrame, key: str, time: str, values: list[st
     ``clip`` falls back to the key's first (backward) or last (forward) sample. ``within_tol`` says whether the
     match lies closer than ``tolerance``; without a sample it is null like the values.
     """
-    if how not in ("backward", "forward", "nearest"):
-        raise ValueError(f"unknown direction {how!r}")
-    rows = _beside(_both(left, right, key, time, values), long_keys, clip)
-    if how == "nearest":
-        closer = F.col("__a.t") - F.col("__t") < F.col("__t") - F.col("__b.t")
-        found = F.when(F.col("__b").isNull() | closer, F.coalesce("__a", "__b")).otherwise(F.col("__b"))
-    else:
-        near, end = ("__b", "__first") if how == "backward" else ("__a", "__last")
-        found = F.coalesce(near, end) if clip else F.col(near)
-    rows = rows.withColumn("__m", found)
+    rows = _beside(_both(left, right, key, time, values), long_keys, clip and how != "nearest").withColumn("__m", _chosen(how, clip))
     out = rows.where("__side = 1").select("__left.*", F.col("__m.t").alias("match_t"), *(F.col(f"__m.{v}").alias(v) for v in values))
     return out if tolerance is None else out.withColumn("within_tol", F.abs(F.col("match_t") - F.col(time)) < tolerance)
 

@@ -57,8 +57,8 @@ def c8_nearest_with_tolerance(spark, sf_dir):
 def c6_long_episodes(spark, sf_dir):
     """All four alignments with episodes dealt by ranges of time."""
     rows, right = series(spark, sf_dir, "view"), series(spark, sf_dir, "click")
-    for how, name in (("backward", "held"), ("nearest", "near"), ("forward", "coming")):
-        rows = align.asof(rows, right, "episode_index", "t", ["click_value"], how, clip=how != "nearest", long_keys=True).withColumnRenamed("click_value", name).drop("match_t")
+    ways = {"held": ("backward", True), "near": ("nearest", False), "coming": ("forward", True)}
+    rows = align.asof_each(rows, right, "episode_index", "t", "click_value", ways, long_keys=True)
     rows = align.interpolate(rows, right, "episode_index", "t", ["click_value"], long_keys=True).withColumnRenamed("click_value", "between")
     return _out(rows, "held", "near", "coming", "between")
 
