@@ -88,3 +88,19 @@ def test_replays_are_dropped_and_counted(spark):
     out, progress = run(spark, twice, lambda s: T.without_replays(s, ["episode_index", "frame_index"], "ts", "1 hour"))
     n = df.where("episode_index >= 0").count()
     assert out.count() == n and T.dropped_replays(progress) == twice.count() - n - 1
+
+
+def test_rows_of_an_episode_reach_python_together(spark):
+    rows = spark.range(3000).coalesce(1).select((F.col("id") % 3).alias("e"), F.col("id").alias("o"), F.timestamp_seconds("id").alias("ts"), F.when(F.col("id") != 4, F.col("id")).alias("v"))
+    got = {r["__key"]: r for r in T._packed(rows, ["v"], "e", "o", None, "ts").collect()}
+    assert len(got) == 3 and got[2]["__at"] == 2_999_000 and not got[2]["__last"]
+    assert got[1]["__order"] == list(range(1, 3000, 3)) and got[1]["__value0"] == [1, None, *range(7, 3000, 3)]
+
+
+def test_a_timer_is_set_anew_for_an_episode_that_goes_on(spark):
+    """Each part comes before the silence since the last one is over, but after the first part's timer has expired."""
+    rows = [(0, 10 * p + i, 100 + 40 * p + i, p) for p in range(5) for i in range(10)] + [(-1, 0, 1000, 5)]
+    df = spark.createDataFrame(rows, "episode_index long, frame_index long, sec long, part long").withColumn("ts", F.timestamp_seconds("sec"))
+    out, progress = run(spark, df, lambda s: T.record(s, 1.0, order="sec", **SILENT))
+    assert [x[0] for x in out.orderBy("sec").select("frame_index").collect()] == list(range(50))
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 1

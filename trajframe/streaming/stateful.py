@@ -2,7 +2,7 @@
 
 An episode's state is a short list of rows and a few numbers. It leaves when a row that ``end`` marks as the last has come, or, without any such mark, when the
 watermark is ``silence`` beyond the episode's latest event time: a timer then closes the episode and gives out what waited for its end. Rows of an episode come
-in order over batches; rows behind the watermark are dropped by Spark, and an episode that goes on after it was closed begins anew.
+in order over batches; those that come all together behind the watermark are dropped by Spark, and an episode that goes on after it was closed begins anew.
 
 These need a state store with column families (``use_state_store``), set before a query starts.
 """
@@ -10,14 +10,15 @@ These need a state store with column families (``use_state_store``), set before
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: Event time in milliseconds; a name that a named tuple can have.
-AT = "event_time_ms"
+#: Rows that are given out at once.
+MOST = 10_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -28,63 +29,94 @@ def use_state_store(spark: SparkSession) -> None:
 class Closing(StatefulProcessor):
     """Keeps a tuple of numbers and a list of rows for each episode and closes it by an end mark or by silence.
 
-    ``rows_schema`` and ``schema`` are those of the list and the tuple. ``fold`` gets (key, list, tuple or None, new rows, whether the episode ends) and returns (list, tuple, output)."""
+    ``rows_schema`` and ``schema`` are those of the list and the tuple. ``fold`` gets (key, list, tuple or None, new rows, whether the episode ends) and returns (list, tuple, output);
+    a new row is its order and the values of ``taken``. Each call to the state store is a round trip from Python, so an episode has one value, which holds the list too, and
+    one timer: if the episode has gone on when it expires, it is set anew."""
 
     rows_schema, schema = "", ""
 
-    def __init__(self, order: str, end: str | None, silence_ms: int, columns: list[str]):
-        self.order, self.end, self.silence_ms, self.columns = order, end, silence_ms, columns
+    def __init__(self, taken: list[str], silence_ms: int, columns: list[str]):
+        self.taken, self.silence_ms, self.columns = taken, silence_ms, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.rows_schema)
-        self.numbers = handle.getValueState("numbers", f"{self.schema}, due long")
+        self.handle, self.out = handle, Row(*self.columns)
+        waiting = f"waiting array<struct<{self.rows_schema}>>, " if self.rows_schema else ""
+        self.kept = handle.getValueState("kept", f"{waiting}{self.schema}, due long, timer long")
 
-    def fold(self, key, waiting: list[tuple], numbers: tuple | None, new: pd.DataFrame, closed: bool) -> tuple[list[tuple], tuple, list[tuple]]:
+    def fold(self, key, waiting: list[tuple], numbers: tuple | None, new: list[tuple], closed: bool) -> tuple[list[tuple], tuple, list[tuple]]:
         raise NotImplementedError
 
-    def _kept(self) -> tuple[list[tuple], tuple | None, int | None]:
-        found = self.numbers.get() if self.numbers.exists() else None
-        rows = [tuple(r) for r in self.waiting.get()] if found is not None else []
-        return rows, tuple(found[:-1]) if found is not None else None, found[-1] if found is not None else None
-
-    def _forget(self) -> None:
-        self.waiting.clear()
-        self.numbers.clear()
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        waiting, numbers, due = self._kept()
-        closed = bool(self.end) and bool(new[self.end].any())
+    def _known(self) -> tuple[list[tuple], tuple | None, int | None, int | None]:
+        """The waiting rows, the numbers, when silence ends the episode, and the timer that is set."""
+        found = self.kept.get()
+        if found is None:
+            return [], None, None, None
+        *numbers, due, timer = found
+        return [tuple(r) for r in numbers.pop(0)] if self.rows_schema else [], tuple(numbers), due, timer
+
+    def _keep(self, waiting: list[tuple], numbers: tuple, due: int, timer: int) -> None:
+        self.kept.update((*([waiting] if self.rows_schema else []), *numbers, due, timer))
+
+    def _given(self, key, out: list[tuple]) -> Iterator[Row]:
+        for lo in range(0, len(out), MOST):
+            yield self.out(key[0], *(list(c) for c in list(zip(*out[lo : lo + MOST], strict=True))[1:]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new, latest, closed = [], 0, False
+        for _, _, at, last, *lists in rows:  # as _packed has them
+            new += zip(*lists, strict=True)
+            latest, closed = max(latest, at or 0), closed or last
+        new.sort(key=itemgetter(0))
+        waiting, numbers, due, timer = self._known()
         waiting, numbers, out = self.fold(key[0], waiting, numbers, new, closed)
-        if due is not None:
-            self.handle.deleteTimer(due)
-        if closed:
-            self._forget()
-        else:
-            due = max(int(new[AT].max()) + self.silence_ms, due or 0, timerValues.getCurrentWatermarkInMs() + 1)
-            self.handle.registerTimer(due)
-            self.numbers.update((*numbers, due))
-            if waiting:
-                self.waiting.put(waiting)
-            else:
-                self.waiting.clear()
-        if out:
-            yield pd.DataFrame(out, columns=self.columns)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        waiting, numbers, _ = self._kept()
+        if not closed:
+            due = max(latest + self.silence_ms, due or 0, timerValues.getCurrentWatermarkInMs() + 1)
+            if timer is None:
+                self.handle.registerTimer(timer := due)
+            self._keep(waiting, numbers, due, timer)
+        elif timer is not None:
+            self.handle.deleteTimer(timer)
+            self.kept.clear()
+        yield from self._given(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        waiting, numbers, due, _ = self._known()
         if numbers is None:
             return
-        _, _, out = self.fold(key[0], waiting, numbers, pd.DataFrame(columns=self.columns), True)
-        self._forget()
-        if out:
-            yield pd.DataFrame(out, columns=self.columns)
+        if due > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+            self._keep(waiting, numbers, due, due)
+            return
+        _, _, out = self.fold(key[0], waiting, numbers, [], True)
+        self.kept.clear()
+        yield from self._given(key, out)
+
+
+def _packed(frames: DataFrame, taken: list[str], key: str, order: str, end: str | None, time: str) -> DataFrame:
+    """(key, latest time, the same in ms, whether the last row is among them, lists of the order and the taken columns): the rows of a key that come together in an Arrow
+    batch as one row, as a row of its own costs Python more than all else."""
+    kinds = dict(frames.dtypes)
+    own = {"__order": order, **{f"__value{i}": c for i, c in enumerate(taken)}}
+    last = F.coalesce(F.col(end), F.lit(False)) if end else F.lit(False)
+    rows = frames.select(F.col(key).alias("__key"), F.col(time).alias("__time"), F.unix_millis(F.col(time)).alias("__at"), last.alias("__last"), *(F.col(c).alias(n) for n, c in own.items()))
+
+    def work(batches):
+        for batch in batches:
+            if batch.num_rows:
+                many = pa.Table.from_batches([batch]).group_by("__key", use_threads=False)
+                found = many.aggregate([("__time", "max"), ("__at", "max"), ("__last", "any"), *((n, "list") for n in own)])
+                found = found.select(["__key", "__time_max", "__at_max", "__last_any", *(f"{n}_list" for n in own)]).rename_columns(["__key", "__time", "__at", "__last", *own])
+                yield from found.combine_chunks().to_batches()
+
+    return rows.mapInArrow(work, f"__key {kinds[key]}, __time {kinds[time]}, __at long, __last boolean, " + ", ".join(f"{n} array<{kinds[c]}>" for n, c in own.items()))
 
 
-def _process(frames: DataFrame, processor: Closing, schema: str, key: str, time: str, delay: str) -> DataFrame:
-    rows = frames.withWatermark(time, delay).withColumn(AT, F.unix_millis(F.col(time)))
-    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+def _process(frames: DataFrame, processor: Closing, schema: str, key: str, order: str, end: str | None, time: str, delay: str) -> DataFrame:
+    first, *others = (part.split(" ", 1) for part in schema.split(", "))
+    lists = ", ".join(f"{n} array<{kind}>" for n, kind in others)
+    rows = _packed(frames, processor.taken, key, order, end, time).withWatermark("__time", delay)
+    found = rows.groupBy("__key").transformWithState(processor, f"{' '.join(first)}, {lists}", "Append", "EventTime")
+    return found.select(first[0], F.inline(F.arrays_zip(*(n for n, _ in others))))
 
 
 def _columns(schema: str) -> list[str]:
@@ -92,16 +124,14 @@ def _columns(schema: str) -> list[str]:
 
 
 class _LookAround(Closing):
-    rows_schema, schema = "o long, v double", "sent long, first_order long, first_value double"
+    rows_schema, schema = "o:long,v:double", "sent long, first_order long, first_value double"
 
-    def __init__(self, value: str, back: int, ahead: int, *rest):
+    def __init__(self, back: int, ahead: int, *rest):
         super().__init__(*rest)
-        self.value, self.back, self.ahead = value, back, ahead
+        self.back, self.ahead = back, ahead
 
     def fold(self, key, waiting, numbers, new, closed):
-        rows = [(int(o), float(v)) for o, v in waiting]
-        if len(new):
-            rows += [(int(o), float(v)) for o, v in zip(new[self.order], new[self.value], strict=True)]
+        rows = waiting + [(o, float(v)) for o, v in new]
         sent, first, edge = numbers or (-1, *rows[0])
         at, last, out = dict(rows), rows[-1][0], []
         for o, _ in rows:
@@ -117,11 +147,11 @@ def look_around(frames: DataFrame, value: str, back: int, ahead: int, time: str,
 
     State holds the last back + ahead rows. Beyond the episode stands the edge value."""
     schema = f"{key} {dict(frames.dtypes)[key]}, {order} long, back_value double, ahead_value double, back_pad boolean, ahead_pad boolean"
-    return _process(frames, _LookAround(value, back, ahead, order, end, silence_ms, _columns(schema)), schema, key, time, delay)
+    return _process(frames, _LookAround(back, ahead, [value], silence_ms, _columns(schema)), schema, key, order, end, time, delay)
 
 
 class _Record(Closing):
-    rows_schema, schema = "o long", "n long"
+    schema = "n long"
 
     def __init__(self, fps: float, *rest):
         super().__init__(*rest)
@@ -129,27 +159,28 @@ class _Record(Closing):
 
     def fold(self, key, waiting, numbers, new, closed):
         n = numbers[0] if numbers else 0
-        return [], (n + len(new),), [(key, o, n + i, (n + i) / self.fps) for i, o in enumerate(new[self.order] if len(new) else ())]
+        return [], (n + len(new),), [(key, o, n + i, (n + i) / self.fps) for i, (o,) in enumerate(new)]
 
 
 def record(frames: DataFrame, fps: float, time: str, silence_ms: int, delay: str, key: str = "episode_index", order: str = "event_id", end: str | None = None) -> DataFrame:
     """(key, order, frame_index, timestamp): a counter for each episode numbers frames as they arrive."""
     kinds = dict(frames.dtypes)
     schema = f"{key} {kinds[key]}, {order} {kinds[order]}, frame_index long, timestamp double"
-    return _process(frames, _Record(fps, order, end, silence_ms, _columns(schema)), schema, key, time, delay)
+    return _process(frames, _Record(fps, [], silence_ms, _columns(schema)), schema, key, order, end, time, delay)
 
 
 class _PreRoll(Closing):
-    rows_schema, schema = "o long, t double, b long", "saving boolean"
+    rows_schema, schema = "o:long,t:double,b:long", "saving boolean"
 
-    def __init__(self, event: str, clock: str, seconds: float, size: str | None, max_bytes: int | None, *rest):
+    def __init__(self, seconds: float, max_bytes: int | None, *rest):
         super().__init__(*rest)
-        self.event, self.clock, self.seconds, self.size, self.max_bytes = event, clock, seconds, size, max_bytes
+        self.seconds, self.max_bytes = seconds, max_bytes
 
     def fold(self, key, waiting, numbers, new, closed):
         saving, held, out = bool(numbers[0]) if numbers else False, sum(r[2] for r in waiting), []
         at = 0  # rows of the list before this have left
-        for o, t, e, b in zip(new[self.order], new[self.clock], new[self.event], new[self.size] if self.size else [0] * len(new), strict=True) if len(new) else ():
+        for o, t, e, *size in new:
+            b = size[0] if size else 0
             if e and not saving:
                 out += [(key, r[0]) for r in waiting[at:] if t - r[1] <= self.seconds]
                 waiting, at, held, saving = [], 0, 0, True
@@ -171,20 +202,20 @@ def pre_roll(frames: DataFrame, event: str, clock: str, seconds: float, time: st
     """(key, order): while saving is off, the rows of the last ``seconds`` wait in state, the latest of at most ``max_bytes`` by the column ``size``; an event lets
     them out and saving goes on until the next event."""
     schema = f"{key} {dict(frames.dtypes)[key]}, {order} long"
-    return _process(frames, _PreRoll(event, clock, seconds, size, max_bytes, order, end, silence_ms, _columns(schema)), schema, key, time, delay)
+    return _process(frames, _PreRoll(seconds, max_bytes, [clock, event, *([size] if size else [])], silence_ms, _columns(schema)), schema, key, order, end, time, delay)
 
 
 class _RowFeatures(Closing):
-    rows_schema, schema = "o long", "before double, n long, reference double, command double, was boolean"
+    schema = "before double, n long, reference double, command double, was boolean"
 
-    def __init__(self, value: str, dt: float, limit: int, enabled: str, *rest):
+    def __init__(self, dt: float, limit: int, *rest):
         super().__init__(*rest)
-        self.value, self.dt, self.limit, self.enabled = value, dt, limit, enabled
+        self.dt, self.limit = dt, limit
 
     def fold(self, key, waiting, numbers, new, closed):
         before, n, reference, command, was = numbers or (None, 0, None, None, False)
         out = []
-        for o, v, on in zip(new[self.order], new[self.value], new[self.enabled], strict=True) if len(new) else ():
+        for o, v, on in new:
             n += 1
             if on:
                 reference, command = reference if was else float(v), float(v)
@@ -198,7 +229,7 @@ def row_features(frames: DataFrame, value: str, dt: float, limit: int, enabled:
     """(key, order, velocity, truncated, reference, command): the step from the last row, whether ``limit`` rows have gone by, the value
     at the last rising edge of ``enabled`` and the last one while it held."""
     schema = f"{key} {dict(frames.dtypes)[key]}, {order} long, velocity double, truncated boolean, reference double, command double"
-    return _process(frames, _RowFeatures(value, dt, limit, enabled, order, end, silence_ms, _columns(schema)), schema, key, time, delay)
+    return _process(frames, _RowFeatures(dt, limit, [value, enabled], silence_ms, _columns(schema)), schema, key, order, end, time, delay)
 
 
 def without_replays(frames: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
