@@ -79,8 +79,12 @@ def a12_csv_streams(spark, sf_dir):
     """A folder of CSV files for each episode, with a time column, a number and a text."""
     root = new_folder(spark)
     rows = frames(spark, sf_dir).select(F.col("episode_index").alias("episode"), F.round("t", 6).alias("Time"), F.round("s0", 6).alias("s0"), "task")
-    rows.repartition("episode").write.partitionBy("episode").option("header", "true").csv(root)
-    read = D.read_streams(spark, f"{root}/*/*.csv", r"episode=([^/]+)/")
+    try:
+        D.write_files(rows, root, D.episode_file("episode", "csv"), ["Time"], ("episode",))
+        read = D.read_streams(spark, f"{root}/chunk-*", r"episode_0*([0-9]+)\.csv$")
+    except OSError:
+        rows.repartition("episode").write.partitionBy("episode").option("header", "true").csv(root)
+        read = D.read_streams(spark, f"{root}/*/*.csv", r"episode=([^/]+)/")
     if read.columns != ["episode", "timestamp", "s0"]:
         raise ValueError(f"columns {read.columns}")
     return read.groupBy("episode").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("s0"), 3).alias("total"), F.round(F.min("timestamp"), 3).alias("first"))

@@ -31,7 +31,7 @@ from trajframe.operators.numbering import kept_episodes
 from trajframe.operators.packing import pack_files
 from trajframe.operators.scan import ranged, running_sums
 from trajframe.operators.stats import merge_stats, per_episode_stats
-from trajframe.sources.dataset import DEFAULTS, Dataset, Info, feature_type, read_text, schema_of
+from trajframe.sources.dataset import DEFAULTS, Dataset, Info, feature_type, read_text, schema_of, write_placed
 
 #: Bytes of a value by its dtype, for the size of a frame before any file has been measured.
 _WIDTHS = {"float64": 8, "int64": 8, "float32": 4, "int32": 4, "int16": 2, "int8": 1, "bool": 1}
@@ -211,7 +211,7 @@ class Appendable:
         frames = frames.withColumn("index", F.col("dataset_from_index") + F.col("__frame")).withColumnRenamed("__frame", "frame_index")
         columns = [F.col(f"`{c.name}`").cast(c.dataType) for c in schema_of(self.features)]
         # All of a file is in one task, which may write several.
-        frames.repartition("chunk_index", "file_index").sortWithinPartitions("chunk_index", "file_index", "index").select(*columns, "chunk_index", "file_index").write.partitionBy("chunk_index", "file_index").parquet(f"{base}/data")
+        write_placed(frames.select(*columns, "chunk_index", "file_index"), f"{base}/data")
         staged = self.spark.read.schema(schema_of(self.features)).option("recursiveFileLookup", "true").parquet(f"{base}/data")
         if self._measured:
             per_episode_stats(staged, self._measured).write.parquet(f"{base}/stats")

@@ -7,8 +7,10 @@ meta/episodes, meta/tasks, meta/subtasks, meta/info.json, meta/stats.json.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +80,83 @@ def _write_text(spark: SparkSession, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def _arrow_uri(spark: SparkSession, folder: str) -> str | None:
+    """The folder's full address, where Arrow can write to its file system too."""
+    from pyarrow import fs
+
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    uri = f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    try:
+        fs.FileSystem.from_uri(uri)
+    except (pa.ArrowException, OSError, ImportError):
+        return None
+    return uri
+
+
+def write_files(rows: DataFrame, folder: str, place: Column, order: list[str], drop: tuple[str, ...] = ()) -> None:
+    """Many small files: each row goes to the file (.parquet, or .csv with a header and doubled quotes) that ``place`` names under the folder, sorted by ``order``, without the columns ``drop``.
+
+    Spark's writer asks the file system several times for each file and renames all of them in the driver at the end; here a task writes its files, in pieces of an Arrow batch,
+    and gives each its name once it is whole, so a task that is repeated replaces what it has written. Raises ``OSError`` if Arrow can't write there."""
+    uri = _arrow_uri(rows.sparkSession, folder)
+    if uri is None:
+        raise OSError(f"Arrow can't write to {folder}")
+    dealt = rows.withColumn("__place", place).repartition("__place").sortWithinPartitions("__place", *order).drop(*drop)
+
+    def work(batches):
+        from pyarrow import csv, fs, parquet
+
+        to, base = fs.FileSystem.from_uri(uri)
+        made, now, writer, out, draft, n = set(), None, None, None, "", 0
+
+        def done():
+            writer.close()
+            out.close()
+            to.move(draft, f"{base}/{now}")
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([n])], ["place", "n"])
+
+        for batch in batches:
+            at = batch.schema.get_field_index("__place")
+            names, own, lo = batch.column(at), pa.Table.from_batches([batch]).drop_columns(["__place"]), 0
+            for name, hi in _runs(names):
+                if name != now:
+                    if now is not None:
+                        yield done()
+                    now, n = name, 0
+                    above, _, last = f"{base}/{name}".rpartition("/")
+                    if above not in made:
+                        to.create_dir(above, recursive=True)
+                        made.add(above)
+                    draft = f"{above}/.{last}.{uuid.uuid4().hex}"
+                    out = to.open_output_stream(draft)
+                    writer = csv.CSVWriter(out, own.schema) if name.endswith(".csv") else parquet.ParquetWriter(out, own.schema)
+                writer.write_table(own.slice(lo, hi - lo))
+                n, lo = n + hi - lo, hi
+        if now is not None:
+            yield done()
+
+    dealt.mapInArrow(work, "place string, n long").agg(F.sum("n")).first()
+
+
+def write_placed(frames: DataFrame, folder: str) -> None:
+    """A file for each (chunk_index, file_index), sorted by index."""
+    parts = ("chunk_index", "file_index")
+    try:
+        place = F.concat(F.lit("chunk_index="), F.col(parts[0]).cast("string"), F.lit("/file_index="), F.col(parts[1]).cast("string"), F.lit("/part-0.parquet"))
+        write_files(frames, folder, place, ["index"], parts)
+    except OSError:
+        frames.repartition(*parts).sortWithinPartitions(*parts, "index").write.partitionBy(*parts).parquet(folder)
+
+
+def _runs(names: pa.Array) -> list[tuple[str, int]]:
+    """(value, end) of each run of equal values."""
+    import pyarrow.compute as pc
+
+    ends = pc.run_end_encode(names)
+    return list(zip(ends.values.to_pylist(), ends.run_ends.to_pylist(), strict=True))
+
+
 @dataclass
 class Dataset:
     frames: DataFrame
@@ -93,8 +172,7 @@ class Dataset:
         spark = self.frames.sparkSession
         if "file_index" in self.episodes.columns:
             placed = self.frames.join(self.episodes.select("episode_index", "chunk_index", "file_index"), "episode_index").select(*self.frames.columns, "chunk_index", "file_index")
-            placed = placed.repartition("chunk_index", "file_index").sortWithinPartitions("chunk_index", "file_index", "index")
-            placed.write.partitionBy("chunk_index", "file_index").parquet(f"{root}/data")
+            write_placed(placed, f"{root}/data")
         else:
             self.frames.repartitionByRange("episode_index").sortWithinPartitions("index").write.parquet(f"{root}/data")
         self.episodes.write.parquet(f"{root}/meta/episodes")
@@ -211,7 +289,9 @@ def convert_legacy(spark: SparkSession, root: str, fps: int, features: dict, fil
     from trajframe.operators.stats import merge_stats
 
     episodes, stats, tasks = read_legacy_lines(spark, root)
-    frames = spark.read.parquet(f"{root}/data")
+    frames = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/data")
+    if "episode_index" not in frames.columns:  # as folders by episode
+        frames = spark.read.parquet(f"{root}/data")
     known = cumulative_offsets(episodes.select("episode_index", "tasks", "length"), "length", "episode_index", "dataset_from_index", "dataset_to_index")
     totals = known.agg(F.count(F.lit(1)), F.sum("length")).first()
     info = Info(fps, features, total_episodes=totals[0], total_frames=totals[1] or 0, total_tasks=tasks.count(), splits={"train": f"0:{totals[0]}"})
@@ -286,6 +366,11 @@ def images_to_pointers(frames: DataFrame, episodes: DataFrame, images: list[str]
     return rows, chosen.withColumns(ends), None if stats is None else stats.where(~F.col("feature").isin(images))
 
 
+def episode_file(episode: str, kind: str) -> Column:
+    """chunk-000/episode_000000.<kind>: a thousand episodes' files in a folder."""
+    return F.format_string(f"chunk-%03d/episode_%06d.{kind}", F.floor(F.col(episode) / 1000), F.col(episode).cast("long"))
+
+
 def write_legacy(frames: DataFrame, tasks: DataFrame, features: list[str], root: str) -> None:
     """The older layout: a file for each episode, JSON lines for episodes, their stats and tasks."""
     per = frames.groupBy("episode_index").agg(F.array_sort(F.collect_set("task")).alias("tasks"), F.count(F.lit(1)).alias("length"))
@@ -294,6 +379,10 @@ def write_legacy(frames: DataFrame, tasks: DataFrame, features: list[str], root:
     moments = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_pop} | {quantile_key(q): (lambda c, q=q: F.percentile(c, F.lit(q))) for q in QUANTILES}
     values = lambda c: F.struct(*(F.array(f(c)).alias(n) for n, f in moments.items()), F.array(F.count(c)).alias("count"))
     stats = frames.groupBy("episode_index").agg(F.struct(*(values(c).alias(c) for c in features)).alias("stats"))
-    frames.repartition("episode_index").sortWithinPartitions("frame_index").write.partitionBy("episode_index").parquet(f"{root}/data")
+    name = episode_file("episode_index", "parquet")
+    try:
+        write_files(frames, f"{root}/data", name, ["frame_index"])
+    except OSError:
+        frames.repartition("episode_index").sortWithinPartitions("frame_index").write.partitionBy("episode_index").parquet(f"{root}/data")
     for name, rows in (("episodes", per), ("episodes_stats", stats), ("tasks", tasks)):
         rows.write.json(f"{root}/meta/{name}.jsonl")
