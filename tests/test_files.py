@@ -37,3 +37,10 @@ def test_without_arrow_spark_writes(spark, monkeypatch):
         data = D.convert_legacy(spark, root, 10, {"v": {"dtype": "float64", "shape": [1]}})
         got.append((sorted(map(tuple, data.frames.select("episode_index", "frame_index", "v").collect())), sorted(data.episodes.select("length").collect())))
     assert got[0] == got[1] and len(got[0][0]) == 40
+
+
+def test_no_rows_leave_a_folder(spark):
+    folder = new_folder(spark)
+    none = spark.range(0).withColumnRenamed("id", "e")
+    D.write_files(none, folder, D.episode_file("e", "parquet"), ["e"])
+    assert spark.read.schema("e long").parquet(folder).count() == 0

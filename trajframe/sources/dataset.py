@@ -102,6 +102,8 @@ def write_files(rows: DataFrame, folder: str, place: Column, order: list[str], d
     uri = _arrow_uri(rows.sparkSession, folder)
     if uri is None:
         raise OSError(f"Arrow can't write to {folder}")
+    where = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).mkdirs(where)  # there is a folder even without rows
     dealt = rows.withColumn("__place", place).repartition("__place").sortWithinPartitions("__place", *order).drop(*drop)
 
     def work(batches):
