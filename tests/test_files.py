@@ -44,3 +44,17 @@ def test_no_rows_leave_a_folder(spark):
     none = spark.range(0).withColumnRenamed("id", "e")
     D.write_files(none, folder, D.episode_file("e", "parquet"), ["e"])
     assert spark.read.schema("e long").parquet(folder).count() == 0
+
+
+def test_the_older_layouts_files_are_read_by_tasks(spark, tmp_path):
+    """No scan of Spark's opens each of the files; rows and types are those that were written, and other names are still read."""
+    rows = spark.range(600).selectExpr("id DIV 5 AS episode_index", "id % 5 AS frame_index", "IF(id % 7 = 0, NULL, 'a') AS task", "id * 0.5D AS s0", "timestamp_micros(id) AS at")
+    root = f"file://{tmp_path}/old"
+    D.write_legacy(rows, spark.sql("SELECT 'a' AS task, 0L AS task_index"), ["s0"], root)
+    back = D.convert_legacy(spark, root, 30, {"s0": {"dtype": "float64", "shape": [1]}}).frames
+    assert not back.inputFiles() or all("/data/" not in f for f in back.inputFiles())
+    assert dict(back.dtypes) == dict(rows.dtypes)
+    assert sorted(map(str, back.select(*rows.columns).collect())) == sorted(map(str, rows.collect()))
+    (tmp_path / "old/data/chunk-000").rename(tmp_path / "old/data/part-000")
+    moved = D.convert_legacy(spark, root, 30, {"s0": {"dtype": "float64", "shape": [1]}}).frames
+    assert moved.count() == 600

@@ -141,6 +141,48 @@ def write_files(rows: DataFrame, folder: str, place: Column, order: list[str], d
     dealt.mapInArrow(work, "place string, n long").agg(F.sum("n")).first()
 
 
+#: Small files that a task reads, on average, and rows that it hands on at once.
+FILES_A_TASK, ROWS_AT_ONCE = 256, 16_384
+
+
+def read_files(places: DataFrame, folder: str, n_files: int) -> DataFrame:
+    """The rows of many small Parquet files of one schema, whose places under the folder are the only column of ``places``.
+
+    Spark's scan lists all files and opens each anew at some milliseconds; here tasks are dealt names and read the files in turn. Raises ``OSError`` if Arrow can't read there
+    or the folder has other files than these: not ``n_files``, or none at the first place. A task fails where one is missing."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark, uri, one = places.sparkSession, _arrow_uri(places.sparkSession, folder), places.first()
+    if uri is None or one is None:
+        raise OSError(f"Arrow can't read from {folder}, or there is nothing")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path(f"{folder}/{one[0]}")) or files.getContentSummary(path(folder)).getFileCount() != n_files:
+        raise OSError(f"{folder} has other files")
+    kind = spark.read.parquet(f"{folder}/{one[0]}").schema
+    schema = to_arrow_schema(kind)
+
+    def work(batches):
+        from pyarrow import fs, parquet
+
+        to, base = fs.FileSystem.from_uri(uri)
+        held, rows = [], 0
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with to.open_input_file(f"{base}/{name}") as file:
+                    for part in parquet.ParquetFile(file).iter_batches(ROWS_AT_ONCE, columns=schema.names):
+                        held.append(pa.Table.from_batches([part]).select(schema.names).cast(schema))
+                        rows += part.num_rows
+                        if rows >= ROWS_AT_ONCE:
+                            yield from pa.concat_tables(held).combine_chunks().to_batches()
+                            held, rows = [], 0
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+    n = max(spark.sparkContext.defaultParallelism, -(-n_files // FILES_A_TASK))
+    return places.repartition(n).mapInArrow(work, kind)
+
+
 def write_placed(frames: DataFrame, folder: str) -> None:
     """A file for each (chunk_index, file_index), sorted by index."""
     parts = ("chunk_index", "file_index")
@@ -291,12 +333,15 @@ def convert_legacy(spark: SparkSession, root: str, fps: int, features: dict, fil
     from trajframe.operators.stats import merge_stats
 
     episodes, stats, tasks = read_legacy_lines(spark, root)
-    frames = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/data")
-    if "episode_index" not in frames.columns:  # as folders by episode
-        frames = spark.read.parquet(f"{root}/data")
     known = cumulative_offsets(episodes.select("episode_index", "tasks", "length"), "length", "episode_index", "dataset_from_index", "dataset_to_index")
     totals = known.agg(F.count(F.lit(1)), F.sum("length")).first()
     info = Info(fps, features, total_episodes=totals[0], total_frames=totals[1] or 0, total_tasks=tasks.count(), splits={"train": f"0:{totals[0]}"})
+    try:
+        frames = read_files(episodes.select(episode_file("episode_index", "parquet").alias("place")), f"{root}/data", totals[0])
+    except OSError:
+        frames = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/data")
+        if "episode_index" not in frames.columns:  # as folders by episode
+            frames = spark.read.parquet(f"{root}/data")
     if file_bytes is not None:
         sizes = known.select(F.lit(0).alias("__one"), "episode_index", (F.col("length") * frame_bytes).alias("__bytes"))
         known = known.join(pack_files(sizes, file_bytes, files_per_chunk, "__one", "episode_index", "__bytes").drop("__one"), "episode_index")
