@@ -7,7 +7,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from trajframe.llm import simhash
+from trajframe.llm import near, simhash
 
 
 def shingled(text):
@@ -54,3 +54,18 @@ def test_stage_keeps_one_of_each_group(spark, seed):
 def test_nothing_to_link(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.keep_one_each(docs, shingle=5, similarity=0.8).count() == 0
+
+
+def test_few_turns_for_crowded_keys(spark, monkeypatch):
+    """150 unlike texts (0.78) that share a passage, some of whose shingles are among their keys, and near copies of two: each turn costs tables, so turns must be few."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    passage = rng.choices(words, k=40)
+    texts = [" ".join(passage + rng.choices(words, k=5)) for _ in range(150)]
+    texts += [" ".join([*texts[7].split()[:-1], "other"]), " ".join(["other", *texts[90].split()[1:]])]
+    turns, stored = [], near.stored
+    monkeypatch.setattr(near, "stored", lambda df: (turns.append(df) if {"rank", "root"} <= set(df.columns) else None, stored(df))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.keep_one_each(docs, shingle=5, similarity=0.8).collect()}
+    assert got == brute_kept(texts) and len(got) < len(texts)
+    assert 2 <= len(turns) <= 5

@@ -11,8 +11,8 @@ one; so those are the keys under which sets meet, and the sample decides about c
 rest, so a pair that shares too few keys needs no look at the sets: a passage that unlike documents have in common goes no further. Pairs that are left are verified on
 the whole sets, which only those documents' texts are read for.
 
-Only links between documents that aren't linked yet matter. Where many sets meet under a key, all are compared with one of them first, then with
-two more, four more and so on; sets that a link has joined by then are left out.
+Only links between documents that aren't linked yet matter. Where many sets meet under a key, all are compared with one of them first, then, in turns, with
+those up to the 16th, the 128th and so on; sets that a link has joined by then are left out. A turn writes some ten small tables, so it is few turns that count.
 
 Defined results: texts without a word have the same set, and so have exact copies; a text shorter than a shingle has one shingle.
 Sets are named by a 64-bit digest.
@@ -36,6 +36,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SEED = 42
 SMALL_BUCKET = 8
+#: How many times as many of a crowded key's sets have been compared with the others after each turn.
+TURN = 8
 #: One document in SAMPLE is counted for the order; the OFTEN most frequent of the shingles that SEEN or more of those have come last.
 SAMPLE, SEEN, OFTEN = 4, 2, 500_000
 _MIX = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -190,26 +192,31 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for side in ("x", "y"):
         pairs = pairs.join(crowded.select(F.col("node").alias(side), F.col("keys").alias(f"c{side}")), side, "left")
     more = F.least(F.coalesce("cx", F.lit(0)), F.coalesce("cy", F.lit(0)))
-    links = links.unionByName(verified(pairs.where(enough(F.col("shared") + more, "nx", "ny"))))
+    waiting = pairs.where(enough(F.col("shared") + more, "nx", "ny")).select("x", "y")
 
-    # Crowded keys: in turn k, 2^k of a key's sets are compared with all behind them.
+    # Crowded keys: in a turn, a key's sets up to the next power of TURN are compared with all behind them. The other keys' pairs go with the first turn.
     by_hash = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
     crowd = stored(crowd.withColumn("rank", F.row_number().over(by_hash)))
-    keys = met.select("key", "node")
-    start, roots = 1, connected_components(links)
+    keys = stored(met.groupBy("node").agg(F.collect_list("key").alias("keys")))  # a set's own first shingles
+    start, end = 1, 2
     while True:
         named = rooted(crowd.where(F.col("rank") >= start), roots)
         open_ = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
         named = stored(named.join(open_, "key"))
-        if named.isEmpty():
+        if not named.isEmpty():
+            x, y = named.alias("x"), named.where(F.col("rank") < end).alias("y")
+            met_here = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.rank") > F.col("y.rank")) & (F.col("x.root") != F.col("y.root")) & fits("x.n", "y.n") & inside("x", "y"))
+            tried = stored(met_here.select(F.col("x.node").alias("x"), F.col("y.node").alias("y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")).distinct())
+            both = tried.join(keys.toDF("x", "kx"), "x").join(keys.toDF("y", "ky"), "y")
+            likely = stored(both.where(enough(F.least(F.size("kx"), F.size("ky")), "nx", "ny") & enough(F.size(F.array_intersect("kx", "ky")), "nx", "ny")).select("x", "y"))
+            if waiting is not None:
+                waiting = waiting.unionByName(likely)
+            elif not likely.isEmpty():
+                waiting = likely
+        elif waiting is None:
             break
-        x, y = named.alias("x"), named.where(F.col("rank") < 2 * start).alias("y")
-        met_here = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.rank") > F.col("y.rank")) & (F.col("x.root") != F.col("y.root")) & fits("x.n", "y.n") & inside("x", "y"))
-        tried = stored(met_here.select(F.col("x.node").alias("x"), F.col("y.node").alias("y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")).distinct())
-        shared = tried.join(keys.withColumnRenamed("node", "x"), "x").join(keys.withColumnRenamed("node", "y"), ["y", "key"]).groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("shared"))
-        likely = stored(shared.where(enough(F.col("shared"), "nx", "ny")))
-        if not likely.isEmpty():
-            links = links.unionByName(verified(likely))
+        if waiting is not None:
+            links, waiting = links.unionByName(verified(waiting)), None
             roots = connected_components(links)
-        start *= 2
+        start, end = end, TURN * end
     return rooted(classes.select("node", "first"), roots)
