@@ -94,6 +94,19 @@ def test_variants(spark, crowd, parts):
     assert {tuple(x) for x in spelling.variants(words, parts=parts, crowd=crowd).collect()} == brute_variants(n)
 
 
+def test_growing_tables_are_not_broadcast(spark, monkeypatch):
+    """Under Spark's own threshold: it takes what an explode makes for as small as what went in, and the driver has to hold it."""
+    plans, stored = [], spelling.stored
+    keep = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(spelling, "stored", lambda df: stored(keep(df)))
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") in ("10MB", "10485760b", "10485760")
+    words = spark.createDataFrame([("aaaaa", 3), ("aaaab", 9), ("aaabb", 30), ("zzzzz", 4)], "word string, n long")
+    found = keep(spelling.variants(words)).collect()
+    assert {r["word"]: r["root"] for r in found} == {"aaaaa": "aaabb", "aaaab": "aaabb", "aaabb": "aaabb", "zzzzz": "zzzzz"}
+    assert len(plans) >= 5 and any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_words_within_an_edit_share_a_key():
     r = random.Random(3)
     words = list({"".join(r.choices("ab", k=r.randint(1, 6))) for _ in range(120)})

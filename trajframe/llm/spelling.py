@@ -164,6 +164,11 @@ def _keyed(words: DataFrame, keys) -> DataFrame:
     return words.select("word", "n").mapInArrow(work, "word string, n long, keys array<long>").select("word", "n", F.explode("keys").alias("key"))
 
 
+def _beside(rows: DataFrame) -> DataFrame:
+    """The rows as a join's right side that is never broadcast: Spark doesn't see how many rows an explode or a compressed file makes, and takes such tables for small."""
+    return rows.hint("merge")
+
+
 def near_words(words: DataFrame, parts: tuple[int, int] = PARTS, crowd: int = CROWD) -> DataFrame:
     """(a, na, b, nb), a before b: all pairs of distinct words (word, n) that differ by one inserted, deleted or replaced letter."""
 
@@ -173,12 +178,12 @@ def near_words(words: DataFrame, parts: tuple[int, int] = PARTS, crowd: int = CR
 
     rows = _keyed(words, signed)
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = stored(rows.join(sizes, "key"))
+    met = stored(rows.join(_beside(sizes), "key"))
 
     def verified(rows: DataFrame) -> DataFrame:
         x, y = rows.toDF("key", "a", "na"), rows.toDF("key", "b", "nb")
         close = F.abs(F.length("a") - F.length("b")) <= 1
-        return x.join(y, "key").where((F.col("a") < F.col("b")) & close & (F.levenshtein("a", "b", 1) == 1)).select("a", "na", "b", "nb")
+        return x.join(_beside(y), "key").where((F.col("a") < F.col("b")) & close & (F.levenshtein("a", "b", 1) == 1)).select("a", "na", "b", "nb")
 
     few = verified(met.where(F.col("size") <= crowd).select("key", "word", "n"))
     many = met.where(F.col("size") > crowd).select("word", "n").distinct()
@@ -191,7 +196,7 @@ def roots(forms: DataFrame) -> DataFrame:
     ends = stored(forms.select("word", F.col("form").alias("root"), F.lit(True).alias("moved")))
     while not ends.where("moved").isEmpty():
         further = ends.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        ends = stored(ends.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        ends = stored(ends.join(_beside(further), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
     return ends.select("word", "root")
 
 
@@ -201,10 +206,10 @@ def variants(words: DataFrame, ratio: int = RATIO, parts: tuple[int, int] = PART
     pairs = near_words(words, parts, crowd)
     both = pairs.select("a", F.col("b").alias("near"), F.col("nb").alias("m")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("near"), F.col("na").alias("m")))
     best = both.groupBy("a").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("less"), F.col("near"))).alias("best"))
-    found = words.join(best, words["word"] == best["a"], "left")
+    found = words.join(_beside(best), words["word"] == best["a"], "left")
     is_form = -F.col("best.less") >= ratio * F.col("n")
     found = stored(found.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(is_form, F.col("best.near")).alias("form"), F.when(is_form, -F.col("best.less")).alias("form_n")))
-    named = found.join(roots(found.where("form IS NOT NULL").select("word", "form")), "word", "left")
+    named = found.join(_beside(roots(found.where("form IS NOT NULL").select("word", "form"))), "word", "left")
     return named.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
